@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
-QUERIES = {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+QUERIES = {"op5_exact_dedup": exact_dedup.op5_exact_dedup, "op9_mixing": mixing.op9_mixing}
 
 ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
