@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, secrets
 
-QUERIES = {"op5_exact_dedup": exact_dedup.op5_exact_dedup, "op9_mixing": mixing.op9_mixing}
+QUERIES = {"op3_secrets": secrets.op3_secrets, "op5_exact_dedup": exact_dedup.op5_exact_dedup, "op9_mixing": mixing.op9_mixing}
 
-ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_secrets": secrets.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
