@@ -82,6 +82,8 @@ def fold_stream(keys: DataFrame, path: str, scratch: Scratch, files_per_trigger:
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # a store per partition: preallocated log files would outweigh the state
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
