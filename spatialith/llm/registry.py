@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets
-
-QUERIES = {"op3_secrets": secrets.op3_secrets, "op5_exact_dedup": exact_dedup.op5_exact_dedup, "op9_mixing": mixing.op9_mixing}
+from . import exact_dedup, mixing, pieces, quality_crf, secrets
+
+QUERIES = {
+    "op2_quality": quality_crf.op2_quality,
+    "op3_secrets": secrets.op3_secrets,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op9_mixing": mixing.op9_mixing,
+}
 
 ORACLES = {"op3_secrets": secrets.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}

@@ -17,6 +17,8 @@ SHINGLE_WORDS = 5
 SHINGLE_BITS = 48
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: What a span's length adds to its hash before the last mixing.
+LENGTH_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -31,6 +33,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_M1_INV = np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+_M2_INV = np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+
+
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix64``."""
+    x = x.astype(np.uint64, copy=True)
+    for shift, factor in ((31, _M2_INV), (27, _M1_INV), (30, np.uint64(1))):
+        x ^= (x >> np.uint64(shift)) ^ (x >> np.uint64(2 * shift))
+        x *= factor
+    return x
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """Base to the power 0..n-1 modulo 2^64, or the inverses."""
     key = "inverse" if inverse else "plain"
@@ -89,7 +104,7 @@ def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     terms = mix64(flat.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * powers(len(flat))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
     raw = (sums[ends] - sums[starts]) * powers(len(flat) + 1, inverse=True)[starts]
-    return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix64(raw + (ends - starts).astype(np.uint64) * LENGTH_FACTOR)
 
 
 def shingles(texts: list[str | None], size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
