@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, quality_crf, secrets
+from . import exact_dedup, jaccard_join, mixing, pieces, quality_crf, secrets
 
 QUERIES = {
     "op2_quality": quality_crf.op2_quality,
     "op3_secrets": secrets.op3_secrets,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op9_mixing": mixing.op9_mixing,
