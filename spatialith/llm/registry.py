@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, pieces, quality_crf, secrets
+from . import exact_dedup, hnsw_dedup, jaccard_join, mixing, pieces, quality_crf, secrets
 
 QUERIES = {
+    "op1_hnsw_dedup": hnsw_dedup.op1_hnsw_dedup,
     "op2_quality": quality_crf.op2_quality,
     "op3_secrets": secrets.op3_secrets,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLES = {"op3_secrets": secrets.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_hnsw_dedup": hnsw_dedup.ORACLE, "op3_secrets": secrets.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
