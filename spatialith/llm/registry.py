@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hnsw_dedup, jaccard_join, mixing, pieces, quality_crf, secrets
+from . import exact_dedup, gru_lm, hnsw_dedup, jaccard_join, mixing, pieces, quality_crf, secrets
 
 QUERIES = {
     "op1_hnsw_dedup": hnsw_dedup.op1_hnsw_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_gru_lm": gru_lm.op7_gru_lm,
     "op9_mixing": mixing.op9_mixing,
 }
 
