@@ -160,13 +160,14 @@ def _by_bytes(full: DataFrame, member: DataFrame, differ: DataFrame, scratch: Sc
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stay = exact_groups(docs, id_col, text_col).filter("kept")
+    doc = F.struct(*docs.columns).alias("doc")  # packed, so that no column of theirs clashes
     if _has_metadata(docs):
-        rows = docs.withColumns({"_f": F.col("_metadata.file_path"), "_r": F.col("_metadata.row_index")})
-        on = (F.col("_f") == F.col("s._file")) & (F.col("_r") == F.col("s._row"))
+        rows = docs.select(doc, F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+        on = (F.col("f") == F.col("s._file")) & (F.col("r") == F.col("s._row"))
     else:
-        rows = docs.withColumn("_f", sha256_hex(ascii_lower(F.col(text_col))))
-        on = (F.col("_f") == F.col("s.text_sha256")) & rows[id_col].eqNullSafe(F.col(f"s.{id_col}"))
-    return rows.join(stay.alias("s"), on, "left_semi").select(docs.columns)
+        rows = docs.select(doc, sha256_hex(ascii_lower(F.col(text_col))).alias("f"))
+        on = (F.col("f") == F.col("s.text_sha256")) & F.col(f"doc.{id_col}").eqNullSafe(F.col(f"s.{id_col}"))
+    return rows.join(stay.alias("s"), on, "left_semi").select("doc.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

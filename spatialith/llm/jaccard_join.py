@@ -429,7 +429,8 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
     gone = near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept"))
-    return docs.join(gone.select(F.col(id_col).alias("_gone")), docs[id_col] == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # packed, so that no column of theirs clashes
+    return rows.join(gone.select(F.col(id_col).alias("gone")), F.col(f"doc.{id_col}") == F.col("gone"), "left_anti").select("doc.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

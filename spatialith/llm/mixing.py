@@ -68,6 +68,7 @@ def shares(weights: DataFrame, period: int = PERIOD) -> DataFrame:
 def schedule(share_rows: DataFrame, period: int = PERIOD) -> DataFrame:
     """One period by earliest deadline first: (source, share, turn, slot, release, deadline)."""
     all_shares = share_rows.agg(F.array_sort(F.collect_list(F.struct("rank", "share", "source"))).alias("s"))
+    all_shares = all_shares.filter(F.size("s") > 0)
     # acc: blocks placed so far per source, and the source of each slot
     folded = all_shares.selectExpr(
         "s",
@@ -158,11 +159,14 @@ def mix(
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """All rows of ``docs``, range-partitioned and sorted by training order."""
-    order = mix(docs, id_col, **options).select(F.col(id_col).alias("_id"), "slot", "offset").distinct()
-    rows = docs.join(order, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    keys = [F.asc_nulls_last("slot"), F.asc("offset"), F.asc("_id")]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(docs.columns)
+    """All rows of ``docs``, range-partitioned and sorted by training order; rows of one identifier stay together."""
+    order = mix(docs, id_col, **options).groupBy(F.col(id_col).alias("key"))
+    order = order.agg(F.min(F.struct("slot", "offset")).alias("at")).select("key", "at.*")
+    # packed, so that no column of theirs clashes
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = rows.join(order, F.col(f"doc.{id_col}").eqNullSafe(F.col("key")), "left")
+    keys = [F.asc_nulls_last("slot"), F.asc("offset"), F.asc("key")]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
