@@ -47,7 +47,7 @@ def cap_share(rows: DataFrame, among: Column, capped: Column, ratio: float = 1 /
     )
     # the largest k with k / (other + k) <= ratio, its boundary checked by the same division
     k = F.floor(F.col("_other") * ratio / (1 - ratio)) + 1
-    fits = lambda k: F.coalesce(k / (F.col("_other") + k) <= F.lit(ratio), F.lit(False))
+    fits = lambda k: F.coalesce(F.try_divide(k, F.col("_other") + k) <= F.lit(ratio), F.lit(False))
     most = F.when(fits(k), k).when(fits(k - 1), k - 1).otherwise(F.greatest(k - 2, F.lit(0)))
     count = count.select(F.least(most, F.col("_k")).cast("long").alias("_most"))  # one row
     hit = rows.filter(among & capped).select("question_id", hash_order("question_id").alias("_h"))
@@ -158,7 +158,8 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     cols = cells.groupBy(F.col("b").alias("a")).agg(F.sum("n").alias("y"))
     chance = rows.join(cols, "a").agg(F.coalesce(F.sum(F.col("x").cast("double") * F.col("y")), F.lit(0.0)).alias("e"))
     one = total.join(F.broadcast(chance))  # one row each
-    po, pe = F.col("same") / F.col("t"), F.col("e") / (F.col("t").cast("double") * F.col("t"))
+    po = F.try_divide(F.col("same"), F.col("t"))
+    pe = F.try_divide(F.col("e"), F.col("t").cast("double") * F.col("t"))
     return one.select(F.when(F.col("t") == 0, 0.0).when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 

@@ -12,10 +12,12 @@ from ..functions import text as X
 from ..operators import counterfactual as C
 from ..operators import frames as V
 from ..operators import graph as A
+from ..operators import kernels as K
 from ..operators import quality as Q
 from ..operators import referability as M
 from ..operators import relations as R
 from ..sources import adapters as S
+from ..sources import files
 from . import oracle_views as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -768,3 +770,83 @@ def occlusion_decision(spark: SparkSession, sf: str) -> DataFrame:
         "case when object_id % 6 = 0 then 0 else 3 end as probe_visible",
     )
     return V.occlusion_decision(rows).select("object_id", "decision")
+
+
+# kernels: no SQL form; tests compare them with hand-checked values
+
+
+@query("surface_distances")
+def surface_distances(spark: SparkSession, sf: str) -> DataFrame:
+    return K.surface_distances(S.objects(spark, sf))
+
+
+@query("ray_visibility")
+def ray_visibility(spark: SparkSession, sf: str) -> DataFrame:
+    return K.visible_shares(S.objects(spark, sf), S.cameras(spark, sf).filter("frame_id = 0"))
+
+
+@query(
+    "footprint_overlaps",
+    O.views(O.OBJECTS) + f" SELECT a.id AS a_id, b.id AS b_id, round(greatest(-{_gap("x")}, 0) * greatest(-{_gap("y")}, 0) * 1e6)::BIGINT AS overlap_mm2 {PAIR}",
+)
+def footprint_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Polygon clipping of rectangular footprints, so that SQL can check it."""
+    corners = lambda p: F.array(*[F.array(F.col(f"{p}x{i}"), F.col(f"{p}y{j}")) for i in (0, 1) for j in (0, 1)])
+    pair = R.pairs(S.objects(spark, sf)).select("a_id", "b_id", corners("a_").alias("a_hull"), corners("b_").alias("b_hull"))
+    out = K.footprint_overlaps(pair)
+    return out.select("a_id", "b_id", F.round(F.col("overlap_area") * 1e6).cast("long").alias("overlap_mm2"))
+
+
+@query("box_suppression")
+def box_suppression(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = S.objects(spark, sf).selectExpr("scene_id as frame_id", "substring(label, 1, 6) as label", "id", "(id * 37 % 100) / 100.0D as score", "x0", "y0", "x1", "y1")
+    return K.suppress(boxes, 0.1).select("frame_id", "id")
+
+
+@query(
+    "label_duplicates",
+    O.views(O.REVIEWS) + " SELECT frame_id, label, count(*) AS n FROM reviews GROUP BY ALL HAVING count(*) > 1",
+)
+def label_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return S.reviews(spark, sf).groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query(
+    "opposite_directions",
+    "SELECT d AS direction, o AS opposite FROM (VALUES "
+    + ", ".join(f"('{r[i]}', '{r[(i + 4) % 8]}')" for r in (G.HORIZONTAL, G.CARDINAL) for i in range(8))
+    + ", ('above', 'below'), ('below', 'above')) t(d, o)",
+)
+def opposite_directions(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.sql("SELECT explode(array(" + ", ".join(f"'{d}'" for d in [*G.HORIZONTAL, *G.CARDINAL, "above", "below"]) + ")) AS direction")
+    return names.select("direction", X.opposite(F.col("direction")).alias("opposite"))
+
+
+@query(
+    "label_slugs",
+    "SELECT p_name, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, count(*) AS n FROM part GROUP BY ALL",
+)
+def label_slugs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = S.read(spark, sf, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("p_name", X.slug(F.col("p_name")).alias("slug"), "n")
+
+
+@query(
+    "resume_remaining",
+    O.views(O.QUESTIONS, O.PREDICTIONS) + " SELECT question_id FROM questions q WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.question_id = q.question_id)",
+)
+def resume_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    return files.remaining(S.questions(spark, sf), S.predictions(spark, sf), ["question_id"]).select("question_id")
+
+
+@query(
+    "scene_parsing",
+    """WITH v AS (SELECT l_orderkey // 100 AS scene_id, l_orderkey AS segment, l_quantity AS x, l_discount AS y, l_tax AS z FROM lineitem),
+    s AS (SELECT o_orderkey // 100 AS scene_id, o_orderkey AS segment, o_orderkey % 5 AS id, 'label_' || (o_orderkey % 5) AS label FROM orders),
+    o AS (SELECT v.scene_id, id, label, count(*) AS n_vertices, min(x) AS x0, max(x) AS x1 FROM v JOIN s ON v.segment = s.segment WHERE label NOT IN ('label_0') GROUP BY ALL)
+    SELECT scene_id, id, label, n_vertices, x0, x1, (x0 + x1) / 2 AS cx FROM o WHERE scene_id IN (SELECT scene_id FROM o GROUP BY scene_id HAVING count(*) >= 3)""",
+)
+def scene_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    vertices = S.read(spark, sf, "lineitem").selectExpr("l_orderkey div 100 as scene_id", "l_orderkey as segment", "l_quantity as x", "l_discount as y", "l_tax as z")
+    segments = S.read(spark, sf, "orders").selectExpr("o_orderkey div 100 as scene_id", "o_orderkey as segment", "o_orderkey % 5 as id", "concat('label_', o_orderkey % 5) as label")
+    return files.parse_scene(vertices, segments, ["label_0"]).select("scene_id", "id", "label", "n_vertices", "x0", "x1", "cx")
