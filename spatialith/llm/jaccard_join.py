@@ -384,12 +384,6 @@ def near_duplicates(
     reps = scratch.keep(classes.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
 
     found = _buckets(reps, scratch, threshold, runs, small, levels)
-    blocks = F.ceil(F.col("size") / small).cast("int")
-    dealt = found.withColumn("block", F.when(F.col("size") <= small, 0).otherwise(F.pmod(F.xxhash64("id"), blocks)).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("size") <= small, 0).otherwise(blocks - 1))))
-    dealt = dealt.select(
-        "path", "id", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
-    )
     paths = found.groupBy("id").agg(F.collect_set("path").alias("paths"))
     known = scratch.keep(reps.join(paths, "id"), "members")
     keys = ["path", "bi", "bj"]
@@ -397,7 +391,14 @@ def near_duplicates(
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys)
 
-    with_sketch = dealt.join(known.select("id", "n", "sketch", "paths"), "id")
+    # sketches join the buckets before blocks repeat them
+    blocks = F.ceil(F.col("size") / small).cast("int")
+    whole = F.col("size") <= small
+    dealt = found.join(known.select("id", "n", "sketch", "paths"), "id")
+    dealt = dealt.withColumn("block", F.when(whole, 0).otherwise(F.pmod(F.xxhash64("id"), blocks)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(whole, 0).otherwise(blocks - 1))))
+    bounds = F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
+    with_sketch = dealt.select("path", "id", "block", *bounds, "n", "sketch", "paths")
     active = by_bucket(with_sketch).mapInArrow(_candidates(threshold), "path long, bi int, bj int, block int, id long")
     active = scratch.keep(active, "active")
     texts = active.join(known.select("id", "weight", "d1", "paths"), "id").join(rows.select("id", "text"), "id")
