@@ -171,3 +171,31 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, length(coalesce(text, ''))::BIGINT AS size FROM documents),
+w AS (SELECT source, pow(greatest(sum(size), 1)::DOUBLE, {ALPHA}) AS weight FROM d GROUP BY source),
+i0 AS (SELECT *, {PERIOD} * weight / sum(weight) OVER () AS ideal FROM w),
+i1 AS (SELECT source, CASE WHEN ideal < 1 THEN 1.0 ELSE ({PERIOD} - count(*) FILTER (ideal < 1) OVER ()) * weight / sum(weight) FILTER (ideal >= 1) OVER () END AS ideal FROM i0),
+i2 AS (SELECT *, greatest(1, floor(ideal)) AS whole, {PERIOD} - sum(greatest(1, floor(ideal))) OVER () AS missing,
+  row_number() OVER (ORDER BY ideal - floor(ideal) DESC, source NULLS FIRST) AS place, row_number() OVER (ORDER BY greatest(1, floor(ideal)) DESC, source NULLS FIRST) AS largest FROM i1),
+s AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank, source,
+  (whole + CASE WHEN place <= missing THEN 1 ELSE 0 END + CASE WHEN largest = 1 THEN least(missing, 0) ELSE 0 END)::BIGINT AS share FROM i2),
+a AS (SELECT list(share ORDER BY rank) AS s FROM s),
+edf(t, done, who) AS (
+  SELECT 0::BIGINT, list_transform(s, lambda x: 0::BIGINT), NULL::BIGINT FROM a
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, i: x + CASE WHEN i - 1 = pick THEN 1 ELSE 0 END), pick FROM (
+    SELECT t, done, list_min(list_filter(list_transform(range(len(s)), lambda i: CASE WHEN done[i + 1] < s[i + 1] AND (done[i + 1] * {PERIOD}) // s[i + 1] <= t
+      THEN {{'due': ((done[i + 1] + 1) * {PERIOD} + s[i + 1] - 1) // s[i + 1], 'who': i}} END), lambda x: x IS NOT NULL)).who AS pick
+    FROM edf, a WHERE t < {PERIOD})
+),
+plan AS (SELECT s.source, s.share, t - 1 AS slot, row_number() OVER (PARTITION BY who ORDER BY t) - 1 AS turn FROM edf JOIN s ON s.rank = who),
+o AS (SELECT doc_id, source, coalesce(sum(size) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+b AS (SELECT doc_id, o.source, start, start // {BLOCK_CHARS} AS block, s.share FROM o LEFT JOIN s ON o.source IS NOT DISTINCT FROM s.source)
+SELECT b.doc_id, b.source, b.block, (b.block // b.share) * {PERIOD} + p.slot AS slot,
+  (b.block // b.share) * {PERIOD} + (p.turn * {PERIOD}) // p.share AS release,
+  (b.block // b.share) * {PERIOD} + ((p.turn + 1) * {PERIOD} + p.share - 1) // p.share AS deadline, b.start AS "offset"
+FROM b LEFT JOIN plan p ON b.source IS NOT DISTINCT FROM p.source AND b.block % b.share = p.turn
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
 }
 
-ORACLES = {"op1_hnsw_dedup": hnsw_dedup.ORACLE, "op3_secrets": secrets.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op1_hnsw_dedup": hnsw_dedup.ORACLE,
+    "op3_secrets": secrets.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}
