@@ -75,8 +75,9 @@ def near_boundary(d: Column) -> Column:
 
 def overlap_area(a: str = "a_", b: str = "b_") -> Column:
     """Common area of two rectangular footprints."""
-    x, y, _ = box_gaps(a, b)
-    return F.greatest(-x, F.lit(0.0)) * F.greatest(-y, F.lit(0.0))
+    c = F.col
+    x, y = (F.least(c(f"{a}{k}1"), c(f"{b}{k}1")) - F.greatest(c(f"{a}{k}0"), c(f"{b}{k}0")) for k in "xy")
+    return F.greatest(x, F.lit(0.0)) * F.greatest(y, F.lit(0.0))
 
 
 def vertical_direction(a: str = "a_", b: str = "b_") -> Column:

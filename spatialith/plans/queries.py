@@ -68,6 +68,10 @@ def _gap(k: str, a: str = "a", b: str = "b") -> str:
     return f"greatest({a}.{k}0 - {b}.{k}1, {b}.{k}0 - {a}.{k}1)"
 
 
+#: Common area of two footprints.
+_OVERLAP = " * ".join(f"greatest(least(a.{k}1, b.{k}1) - greatest(a.{k}0, b.{k}0), 0)" for k in "xy")
+
+
 def _distance(a: str = "a", b: str = "b") -> str:
     g = [f"greatest({_gap(k, a, b)}, 0.0)" for k in "xyz"]
     return f"sqrt({g[0]} * {g[0]} + {g[1]} * {g[1]} + {g[2]} * {g[2]})"
@@ -93,7 +97,7 @@ PAIR = "FROM objects a JOIN objects b ON a.scene_id = b.scene_id AND a.id < b.id
 P, S_ = "(a.cy - b.cy)", "(a.cx - b.cx)"
 RELATIONS = f"""relations AS (SELECT a.scene_id, a.id AS a_id, b.id AS b_id, a.label AS a_label, b.label AS b_label,
   {_distance()} AS d, {_direction(P, S_, RING)} AS direction, {_ambiguity(P, S_)} AS ambiguity,
-  greatest(-{_gap('x')}, 0) * greatest(-{_gap('y')}, 0) AS overlap,
+  {_OVERLAP} AS overlap,
   greatest({_gap('x')}, {_gap('y')}, {_gap('z')}) AS gap {PAIR})"""
 
 
@@ -110,8 +114,8 @@ def relations(spark: SparkSession, sf: str) -> DataFrame:
 
 _FWD = "((b.cx - a.cx) * c.fx + (b.cy - a.cy) * c.fy)"
 _RGT = "((b.cx - a.cx) * c.fy - (b.cy - a.cy) * c.fx)"
-_VERT = f"""CASE WHEN greatest(-{_gap('x')}, 0) * greatest(-{_gap('y')}, 0) > 1e-8 AND b.z0 - a.z1 > 0.02 THEN 'above'
-  WHEN greatest(-{_gap('x')}, 0) * greatest(-{_gap('y')}, 0) > 1e-8 AND a.z0 - b.z1 > 0.02 THEN 'below' END"""
+_VERT = f"""CASE WHEN {_OVERLAP} > 1e-8 AND b.z0 - a.z1 > 0.02 THEN 'above'
+  WHEN {_OVERLAP} > 1e-8 AND a.z0 - b.z1 > 0.02 THEN 'below' END"""
 
 
 @query(
@@ -221,7 +225,7 @@ def l1_distance(spark: SparkSession, sf: str) -> DataFrame:
     O.views(O.OBJECTS, O.CAMERAS, O.EDGES)
     + f""", r AS (SELECT a.scene_id, c.frame_id, a.id AS a_id, b.id AS b_id, coalesce({_VERT}, {_direction(_FWD, _RGT, EGO)}) AS direction,
       CASE WHEN ({_VERT}) IS NOT NULL THEN 1.0 - least(greatest(b.z0 - a.z1, a.z0 - b.z1) / greatest(a.z1 - a.z0, b.z1 - b.z0, 0.02), 1.0) ELSE {_ambiguity(_FWD, _RGT)} END AS ambiguity,
-      greatest(-{_gap('x')}, 0) * greatest(-{_gap('y')}, 0) AS overlap, greatest({_gap('x')}, {_gap('y')}, {_gap('z')}) AS gap, {_distance()} AS d
+      {_OVERLAP} AS overlap, greatest({_gap('x')}, {_gap('y')}, {_gap('z')}) AS gap, {_distance()} AS d
       {PAIR} JOIN cameras c ON c.scene_id = a.scene_id WHERE a.label <> b.label)
     SELECT scene_id, frame_id, a_id, b_id, direction AS correct_value FROM (SELECT r.*, row_number() OVER (PARTITION BY r.scene_id, r.frame_id ORDER BY md5(concat_ws('|', '42', r.a_id, r.b_id)), r.a_id, r.b_id) AS k
       FROM r {_EDGE} WHERE r.ambiguity <= 0.7 AND r.d >= 0.5 AND (CASE WHEN r.direction IN ('above', 'below') THEN NULL ELSE {_WHY} END) IS NULL) WHERE k <= 20""",
@@ -787,7 +791,7 @@ def ray_visibility(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "footprint_overlaps",
-    O.views(O.OBJECTS) + f" SELECT a.id AS a_id, b.id AS b_id, round(greatest(-{_gap("x")}, 0) * greatest(-{_gap("y")}, 0) * 1e6)::BIGINT AS overlap_mm2 {PAIR}",
+    O.views(O.OBJECTS) + f" SELECT a.id AS a_id, b.id AS b_id, round({_OVERLAP} * 1e6)::BIGINT AS overlap_mm2 {PAIR}",
 )
 def footprint_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Polygon clipping of rectangular footprints, so that SQL can check it."""

@@ -58,6 +58,8 @@ def test_boxes(spark):
     above = boxes(spark, (0, 0, 0, 1, 1, 1), (0.5, 0.5, 2, 1.5, 1.5, 3))
     row = above.select(G.vertical_direction().alias("v"), G.overlap_area().alias("o"), G.box_distance().alias("d")).first()
     assert (row.v, row.o, row.d) == ("above", 0.25, 1.0)
+    inside = boxes(spark, (0, 0, 0, 4, 4, 1), (1, 1, 0, 2, 2, 1))
+    assert inside.select(G.overlap_area().alias("o")).first().o == 1.0
 
 
 def test_moves_and_compass(spark):
