@@ -59,17 +59,29 @@ def forest(candidates: DataFrame) -> DataFrame:
     return best_parent(candidates).groupBy("scene_id").applyInPandas(build, schema)
 
 
-def chains(edges: DataFrame, doublings: int = 4) -> DataFrame:
-    """(scene_id, root, id, hops): all dependents of each object, down to 2 ** ``doublings`` hops.
+def chains(edges: DataFrame) -> DataFrame:
+    """(scene_id, root, id, hops): all dependents of each object at any depth, with the fewest hops.
 
-    Paths of up to k hops and those of exactly k, joined, give paths of up to 2k: a few joins for any size of data.
+    A scene's edges are one small group, so one shuffle replaces a join per level; cycles end.
     """
-    found = edges.select("scene_id", F.col("parent_id").alias("root"), F.col("child_id").alias("id"), F.lit(1).alias("hops"))
-    for n in range(doublings):
-        far = found.filter(F.col("hops") == 1 << n).select("scene_id", "root", F.col("id").alias("_mid"))
-        on = found.select("scene_id", F.col("root").alias("_mid"), "id", (F.col("hops") + (1 << n)).alias("hops"))
-        found = found.unionByName(far.join(on, ["scene_id", "_mid"]).select("scene_id", "root", "id", "hops"))
-    return found.groupBy("scene_id", "root", "id").agg(F.min("hops").alias("hops"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        below: dict[int, list[int]] = {}
+        for parent, child in zip(pdf.parent_id.tolist(), pdf.child_id.tolist(), strict=True):
+            below.setdefault(parent, []).append(child)
+        rows = []
+        for root in below:
+            seen, level, hops = {root}, [root], 0
+            while level:
+                hops += 1
+                level = list(dict.fromkeys(c for p in level for c in below.get(p, ()) if c not in seen))
+                seen.update(level)
+                rows += [(root, c, hops) for c in level]
+        out = pd.DataFrame(rows, columns=["root", "id", "hops"])
+        return out.assign(scene_id=pdf.scene_id.iloc[0])[["scene_id", "root", "id", "hops"]]
+
+    slim = edges.select("scene_id", "parent_id", "child_id")
+    return slim.groupBy("scene_id").applyInPandas(walk, "scene_id long, root long, id long, hops int")
 
 
 def moved_sets(objects: DataFrame, edges: DataFrame) -> DataFrame:
