@@ -28,7 +28,7 @@ from .store import Scratch, table
 from .textbatch import mix64
 
 THRESHOLD = 0.98
-SHARD_ROWS = 4096
+SHARD_ROWS = 16384
 DEGREE = 16
 BUILD_BEAM = 48
 FIRST_BEAM = 32
