@@ -321,6 +321,7 @@ def near_duplicates(
     classes = usable.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
     classes = scratch.keep(classes.withColumn("dim", F.size("embedding")), "classes")
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    sizes = scratch.keep(sizes, "sizes")  # a stored table's size is known, and a large label's rows can be split
     dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
     index = scratch.keep(dealt.groupBy("label", "dim", "shard").applyInPandas(build_shard, INDEX), "index")
     met = index.withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
