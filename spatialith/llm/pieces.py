@@ -19,6 +19,7 @@ pieces, or the unknown piece if the model has no byte pieces.  Repeated rows are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,12 @@ from .store import table
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 SPACE = 0x2581
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 1_000_000
 PAIR_SLOTS = 1 << 21
+BUCKET_BITS = 18
+#: Characters of a part, and how many parts learn their new units together: long arrays, short texts in memory.
+ENCODE_CHARS = 1_000_000
+PARTS_TOGETHER = 12
 
 
 def _merge_by_rank(symbols: list[str], rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -54,6 +59,7 @@ class Vocabulary:
     def __init__(self, path: str = MODEL_PATH):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        self.key = uuid.uuid4().hex  # copies that workers unpickle are the same vocabulary
         proto = pb.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
@@ -86,6 +92,11 @@ class Vocabulary:
         self.keys = keys[by_key]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        # keys are spread evenly: where those with the same leading bits start
+        self.shift = np.uint64(64 - BUCKET_BITS)
+        starts = np.searchsorted(self.keys, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << self.shift)
+        self.bucket = starts.astype(np.int32)
+        self.ceiling = np.append(self.keys, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.ids = np.array([kept[j][1] for j in by_key], np.int32)
         self.score = np.array([kept[j][2] for j in by_key])
         self.unknown_score = float(min(x for _, _, x in kept)) - 10
@@ -108,9 +119,17 @@ class Vocabulary:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key among the pieces, or -1."""
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1)
+        at = self.bucket[keys >> self.shift]
+        here = self.ceiling[at]
+        out = np.where(here == keys, at, np.int32(-1))
+        todo = np.flatnonzero(here < keys)  # behind others of its bucket
+        while len(todo):
+            at[todo] += 1
+            here = self.ceiling[at[todo]]
+            same = here == keys[todo]
+            out[todo[same]] = at[todo[same]]
+            todo = todo[here < keys[todo]]
+        return out
 
 
 class Encoder:
@@ -132,45 +151,58 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, flat, and len(texts) + 1 offsets."""
+        return next(self.encode_parts([texts]))
+
+    def encode_parts(self, parts: list[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` of each part; units that the cache lacks are encoded together, so that arrays are long."""
+        cut = [self._cut(texts) for texts in parts]
+        self._learn([c[2:] for c in cut])
+        for keys, at, *_ in cut:
+            place = np.searchsorted(self.known, keys)
+            count = self.count[place]
+            total = np.concatenate([[0], np.cumsum(count)])
+            ids = self.tokens[np.repeat(self.first[place] - total[:-1], count) + np.arange(total[-1])]
+            yield ids, total[at]
+        if len(self.known) > self.cache_units:
+            self.clear()
+
+    def _cut(self, texts) -> tuple[np.ndarray, ...]:
+        """Hash of every unit, each text's first unit, and hashes, lengths and characters of units to be learned."""
         prefix = chr(SPACE) if self.v.dummy_prefix else ""
         flat, offsets = B.codes([prefix + t if t else None for t in texts])
         flat = np.where(flat == 32, np.uint32(SPACE), flat)
-        if not len(flat):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         joined = (flat[:-1].astype(np.int64) << 21) | flat[1:]
         at = np.minimum(np.searchsorted(self.v.pairs, joined), len(self.v.pairs) - 1)
-        cut = np.concatenate([[True], self.v.pairs[at] != joined])
-        cut[offsets[:-1][offsets[:-1] < len(flat)]] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(flat))
+        edge = np.ones(len(flat), bool)
+        edge[1:] = self.v.pairs[at] != joined
+        edge[offsets[:-1][offsets[:-1] < len(flat)]] = True
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], len(flat))[: len(starts)]
         keys = B.span_hashes(flat, starts, ends)
-        unique, sample, back = np.unique(keys, return_index=True, return_inverse=True)
-        place = self._places(unique, flat, starts[sample], ends[sample])[back]
-        count = self.count[place]
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.tokens[np.repeat(self.first[place] - total[:-1], count) + np.arange(total[-1])]
-        result = ids, total[np.searchsorted(starts, offsets)]
-        if len(self.known) > self.cache_units:
-            self.clear()
-        return result
-
-    def _places(self, keys, flat, starts, ends) -> np.ndarray:
-        """Where the cache holds each unit (keys sorted, distinct); encodes those that it lacks."""
-        at = np.searchsorted(self.known, keys)
-        new = np.ones(len(keys), bool)
+        unique, sample = np.unique(keys, return_index=True)
+        at = np.searchsorted(self.known, unique)
+        new = np.ones(len(unique), bool)
         near = at < len(self.known)
-        new[near] = self.known[at[near]] != keys[near]
-        lack = np.flatnonzero(new)
-        if len(lack):
-            ids, edges = self._units(flat, starts[lack], ends[lack])
-            first = np.concatenate([self.first, len(self.tokens) + edges[:-1]])
-            count = np.concatenate([self.count, np.diff(edges)])
-            self.tokens = np.concatenate([self.tokens, ids])
-            known = np.concatenate([self.known, keys[lack]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.first, self.count = known[order], first[order], count[order]
-            at = np.searchsorted(self.known, keys)
-        return at
+        new[near] = self.known[at[near]] != unique[near]
+        sample = sample[new]
+        size = ends[sample] - starts[sample]
+        first = np.cumsum(size) - size
+        characters = flat[np.repeat(starts[sample] - first, size) + np.arange(size.sum())]
+        return keys, np.searchsorted(starts, offsets), unique[new], size, characters
+
+    def _learn(self, lacking: list[tuple[np.ndarray, ...]]) -> None:
+        keys, size, flat = (np.concatenate(x) for x in zip(*lacking, strict=True))
+        if not len(keys):
+            return
+        ends = np.cumsum(size)
+        keys, sample = np.unique(keys, return_index=True)
+        ids, edges = self._units(flat, ends[sample] - size[sample], ends[sample])
+        first = np.concatenate([self.first, len(self.tokens) + edges[:-1]])
+        count = np.concatenate([self.count, np.diff(edges)])
+        self.tokens = np.concatenate([self.tokens, ids])
+        known = np.concatenate([self.known, keys])
+        order = np.argsort(known, kind="stable")
+        self.known, self.first, self.count = known[order], first[order], count[order]
 
     def _units(self, flat, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of units, flat, and offsets.  Units of one length advance together."""
@@ -206,7 +238,9 @@ class Encoder:
         for i in range(1, length + 1):
             for size in range(min(i, v.longest), 0, -1):
                 piece = found[size - 1][:, i - size]
-                ok = np.flatnonzero((piece >= 0) & (best[:, i - size] > -np.inf))
+                can = (piece >= 0) & (best[:, i - size] > -np.inf)
+                # of a BPE model's candidates one is valid, so a text that has it is done with this position
+                ok = np.flatnonzero(can & (best[:, i] == -np.inf) if v.bpe else can)
                 if not len(ok):
                     continue
                 if v.bpe:
@@ -254,7 +288,7 @@ class Encoder:
 
     def _joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the joined text of pieces a and b by rank gives a and b; remembers recent pairs."""
-        pair = a * len(self.v.keys) + b
+        pair = a.astype(np.int64) * len(self.v.keys) + b
         slot = (pair * 0x9E3779B1 >> 7) & (PAIR_SLOTS - 1)
         result = self._valid[slot]
         miss = np.flatnonzero(self._slots[slot] != pair)
@@ -309,17 +343,37 @@ class Encoder:
         return texts
 
 
+_WORKERS: dict[str, Encoder] = {}
+
+
+def worker_encoder(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of this worker process, with what it has cached in earlier tasks."""
+    if vocabulary.key not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[vocabulary.key] = Encoder(vocabulary)
+    return _WORKERS[vocabulary.key]
+
+
+def encode_chunks(encoder: Encoder, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, ids, offsets) of runs of texts."""
+    runs = list(B.chunks(texts, ENCODE_CHARS))
+    for n in range(0, len(runs), PARTS_TOGETHER):
+        group = runs[n : n + PARTS_TOGETHER]
+        parts = encoder.encode_parts([texts[a:b] for a, b in group])
+        for (a, b), (ids, offsets) in zip(group, parts, strict=True):
+            yield a, b, ids, offsets
+
+
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, token_ids, decoded text's equality with the text (round_trip); one row per row of ``docs``."""
     rows = docs.select(id_col, text_col)
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in B.chunks(texts):
-                ids, offsets = encoder.encode(texts[a:b])
+            for a, b, ids, offsets in encode_chunks(encoder, texts):
                 again = encoder.decode(ids, offsets)
                 same = [(t or "") == d for t, d in zip(texts[a:b], again, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 
 from . import textbatch as B
 from .jaccard_join import whole_groups
-from .pieces import Encoder, Vocabulary
+from .pieces import Vocabulary, encode_chunks, worker_encoder
 from .store import Scratch, table
 
 SEQUENCE = 1024
@@ -68,11 +68,10 @@ def _tokenise(vocabulary: Vocabulary, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, squeeze = Encoder(vocabulary), zstandard.ZstdCompressor(3)
+        encoder, squeeze = worker_encoder(vocabulary), zstandard.ZstdCompressor(3)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in B.chunks(texts):
-                ids, edges = encoder.encode(texts[a:b])
+            for a, b, ids, edges in encode_chunks(encoder, texts):
                 data = [_pack(np.append(ids[x:y], end_id), squeeze) for x, y in zip(edges, edges[1:], strict=False)]
                 columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(edges) + 1), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "data"])
