@@ -353,7 +353,9 @@ def _buckets(reps: DataFrame, scratch: Scratch, threshold: float, runs: int, sma
     for level in range(1, levels + 1):
         # the same bucket by two tokens of one path is one bucket
         rows = scratch.keep(rows.distinct() if level > 1 else rows, f"paths-{level}")
+        # stored, so that both sides of the join are plain shuffles and a path that many share can be split
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sizes = scratch.keep(sizes, f"sizes-{level}")
         rows = scratch.keep(rows.join(sizes, "path"), f"buckets-{level}")
         scratch.drop(f"paths-{level}")
         done = rows if level == levels else rows.filter(F.col("size") <= small)
