@@ -10,6 +10,7 @@ k % per_shard * stride of file k / per_shard, and a reader resumes anywhere by s
 Scale: tokens are stored once (compressed), a document's place in the stream is a prefix sum over ranges of identifiers
 (only one sum per range is added up), and two shuffles move the compressed tokens: to their place, and to their shard.
 A task holds one shard, and writes it whole under a temporary name, so that repeated tasks leave the same file.
+The query writes all shards below the shared folder and returns the slots as read back from the files.
 
 Edge cases: null and empty texts are an end-of-text id alone.  Null identifiers come first; rows that repeat an
 identifier follow each other, ordered by their tokens.  An empty table gives no sequences.  Extra columns are ignored.
@@ -33,6 +34,8 @@ from .store import Scratch, table
 SEQUENCE = 1024
 STRIDE = 2 * SEQUENCE
 PER_SHARD = 1024
+#: Files of two megabytes that a task reads back.
+SHARDS_A_TASK = 8
 KEY = 0x5EED_0F_0DDC0FFEE
 END_ID = 2
 FEISTEL_ROUNDS = 6
@@ -202,22 +205,27 @@ def _write_files(uri: str):
                     with store.open_output_stream(own) as f:
                         f.write(data)
                     store.move(own, path)
+                n_tokens = sum(part.column("n_tokens").to_pylist())
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": shard, "path": path, "first_slot": part.column("slot")[0].as_py(), "n_sequences": y - x, "sha256": digest}]
+                    [{"shard": shard, "path": path, "first_slot": part.column("slot")[0].as_py(), "n_sequences": y - x, "n_tokens": n_tokens, "sha256": digest}]
                 )
 
     return run
 
 
-def write_shards(rows: DataFrame, uri: str) -> DataFrame:
-    """Write ``sequences`` as files below ``uri`` (a folder that all executors share); the manifest, one row a shard."""
+def write_shards(rows: DataFrame, uri: str, dealt: bool = False) -> DataFrame:
+    """Write ``sequences`` as files below ``uri`` (a folder that all executors share); the manifest, one row a shard.
+
+    ``dealt``: the rows come straight from ``sequences``, so each shard is whole and sorted in one task already.
+    """
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "slot")
-    schema = "shard long, path string, first_slot long, n_sequences long, sha256 string"
-    manifest = dealt.mapInArrow(_write_files(uri), schema)
+    if not dealt:
+        rows = rows.repartition("shard").sortWithinPartitions("shard", "slot")
+    schema = "shard long, path string, first_slot long, n_sequences long, n_tokens long, sha256 string"
+    manifest = rows.mapInArrow(_write_files(uri), schema)
     return Scratch(rows.sparkSession, "token-manifest").keep(manifest, "manifest")
 
 
@@ -235,5 +243,46 @@ def read_slots(uri: str, first: int, end: int, length: int = SEQUENCE, per_shard
                 first += 1
 
 
+def _read_files(uri: str, length: int, short: tuple[int, int]):
+    """Maps manifest rows to the slots of their files; ``short``: the slot that is filled up, and its tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for r in batch.to_pylist():
+                with store.open_input_stream(r["path"]) as f:
+                    data = f.read()
+                if len(data) != r["n_sequences"] * 2 * length or hashlib.sha256(data).hexdigest() != r["sha256"]:
+                    raise OSError(f"{r['path']} is not what its manifest says")
+                slot = r["first_slot"] + np.arange(r["n_sequences"])
+                at = 2 * length * np.arange(r["n_sequences"])
+                filled = np.where(slot == short[0], short[1], length).astype(np.int32)
+                tokens = pa.array([data[x : x + 2 * length] for x in at.tolist()], pa.binary())
+                columns = [pa.array(np.full(len(slot), r["shard"])), pa.array(slot), pa.array(at), pa.array(filled), tokens]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "byte_offset", "n_tokens", "tokens"])
+
+    return run
+
+
+def read_shards(manifest: DataFrame, uri: str, length: int = SEQUENCE, key: int = KEY) -> DataFrame:
+    """The rows of ``sequences``, from the files that ``write_shards`` left below ``uri``."""
+    m = manifest.agg(F.count(F.lit(1)).alias("shards"), F.sum("n_sequences").alias("n"), F.sum("n_tokens").alias("tokens")).first()
+    if not m.shards:
+        return manifest.sparkSession.createDataFrame([], SEQUENCES)
+    last = int(feistel(np.array([m.n - 1]), m.n, key)[0])
+    short = (last, m.tokens - (m.n - 1) * length)
+    return manifest.repartition(-(-m.shards // SHARDS_A_TASK)).mapInArrow(_read_files(uri, length, short), SEQUENCES)
+
+
+def store(docs: DataFrame, vocabulary: Vocabulary, uri: str, length: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
+    """Write all shards of ``docs`` below ``uri``; returns their slots, read back from the files."""
+    rows = sequences(docs, vocabulary, length=length, per_shard=per_shard)
+    return read_shards(write_shards(rows, uri, dealt=True), uri, length)
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(table(spark, sf_dir, "documents"), Vocabulary())
+    return store(table(spark, sf_dir, "documents"), Vocabulary(), Scratch(spark, "token-shards").path("shards"))

@@ -6,6 +6,7 @@ import collections
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -231,6 +232,19 @@ def test_token_store_files(spark, tmp_path):
     assert sorted(again.sha256) == sorted(manifest.sha256)
 
 
+def test_token_store_query_writes_shards(spark):
+    """The query leaves every shard file below the shared folder, and returns the slots that they hold."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.glob("token-shards-*"))
+    out = token_store.op8_token_store(spark, SF).toPandas().sort_values("slot").reset_index(drop=True)
+    (folder,) = set(root.glob("token-shards-*")) - before
+    n = len(out)
+    files = sorted((folder / "shards").glob("shard-*.bin"))
+    assert len(files) == -(-n // token_store.PER_SHARD) and b"".join(f.read_bytes() for f in files) == b"".join(out.tokens)
+    rows = token_store.sequences(table(spark, SF, "documents"), pieces.Vocabulary()).toPandas()
+    assert rows.sort_values("slot").reset_index(drop=True).equals(out)
+
+
 def test_mixing_deviation(spark):
     weights = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.15), ("d", 0.05)], "source string, weight double")
     shares = mixing.shares(weights, 100)
