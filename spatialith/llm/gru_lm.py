@@ -11,9 +11,9 @@ Model: the ``VOCABULARY`` - 1 most frequent tokens and one name for all others.
 them; the output is factored into a softmax over classes of frequency rank and one over the words of the class.  A word
 outside the vocabulary is scored by the model as 'other', then by its smoothed count among the others, so the score is
 a probability of the text up to the hash.  Training is truncated back-propagation: each task starts from the same
-weights, takes from each of its training texts runs of windows chosen by hash (a share of ``TRAIN_RATE`` of all windows,
-with state carried over the windows of a run), and the tasks' weights are averaged, for ``ROUNDS`` rounds.  Scoring
-carries the state across windows through the complete text.
+weights, takes from each of its training texts runs of windows (with state carried over the windows of a run), and the
+tasks' weights are averaged, for ``ROUNDS`` rounds.  A hash deals the runs to the rounds, so that the network learns from
+every training token once.  Scoring carries the state across windows through the complete text.
 
 Edge cases: null text counts as empty; an empty text is the end token alone.  A null identifier is in the fold of its
 crc32, null, and counts as training.  Without training texts counts are 0 and both scores are those of a uniform guess.
@@ -39,18 +39,17 @@ SMOOTH = 0.1
 END = np.uint64(0xE4D5E4D5E4D5E4D5)
 #: Bound on the words that are sent to all tasks: 16 bytes each.
 SENT_WORDS = 1 << 18
-CLASSES = 32
+CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 EMBED, HIDDEN = 24, 32
 WINDOW = 32
 RUN_WINDOWS = 4
-TRAIN_RATE = 1 / 16
 ROUNDS = 2
-TRAIN_ROWS = 64
+TRAIN_ROWS = 256
 LEARNING_RATE = 0.01
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD_WORDS = 1_000_000
-SCORE_TOKENS = 2_000_000
+SCORE_TOKENS = 1_000_000
 
 
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -305,8 +304,8 @@ def _batches(items: Iterator, n: int) -> Iterator[list]:
         yield held
 
 
-def _train_runs(words: Words, rate: float, part: int):
-    """Runs of windows of a task's texts: each run of each text is chosen by the hash of its first tokens."""
+def _train_runs(words: Words, part: int, rounds: int):
+    """Runs of windows of a task's texts that round ``part`` learns from: a hash of a run's tokens gives it one round."""
     span = WINDOW * RUN_WINDOWS
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -319,15 +318,15 @@ def _train_runs(words: Words, rate: float, part: int):
                 count = (np.diff(edges) + span - 1) // span
                 first = np.repeat(edges[:-1], count) + span * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 last = np.minimum(first + span, np.repeat(edges[1:], count))
-                draw = B.mix64(sums[last] - sums[first] + np.uint64(part + 1)) >> np.uint64(11)
-                for i in np.flatnonzero(draw.astype(np.float64) / 2.0**53 < rate):
+                draw = B.mix64(sums[last] - sums[first]) % np.uint64(rounds)
+                for i in np.flatnonzero(draw == part):
                     yield numbers[first[i] : last[i]]
 
     return runs
 
 
-def _local_round(net_flat: np.ndarray, words: Words, rate: float, part: int):
-    runs = _train_runs(words, rate, part)
+def _local_round(net_flat: np.ndarray, words: Words, part: int, rounds: int):
+    runs = _train_runs(words, part, rounds)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Gru(net_flat)
@@ -349,12 +348,12 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()], pa.binary())], ["seen", "total"])
 
 
-def train(docs: DataFrame, words: Words, other: int, scratch: Scratch, rounds: int = ROUNDS, rate: float = TRAIN_RATE) -> Gru:
+def train(docs: DataFrame, words: Words, other: int, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
     """Weights averaged over tasks, by the tokens that each learned from; ``docs``: one column of training texts."""
     net = Gru.start(words.model_counts, other)
     schema = "seen double, total binary"
     for n in range(rounds):
-        rows = docs.mapInArrow(_local_round(net.flat(), words, rate / rounds, n), schema)
+        rows = docs.mapInArrow(_local_round(net.flat(), words, n, rounds), schema)
         rows = scratch.keep(rows, f"round-{n}")
         for _ in range(2):  # sums of about the square root of the tasks each, then of those
             parts = max(1, math.isqrt(rows.rdd.getNumPartitions()))

@@ -162,6 +162,14 @@ def test_lm(spark, docs):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_learns_from_every_token(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.glob("gru-lm-*"))
+    n = gru_lm.op7_gru_lm(spark, SF).first().train_tokens
+    (folder,) = set(root.glob("gru-lm-*")) - before
+    assert sum(pd.read_parquet(f).seen.sum() for f in folder.glob("round-*")) == n > 0
+
+
 def test_lm_sums_to_one():
     net = gru_lm.Gru.start(np.arange(gru_lm.VOCABULARY)[::-1].copy(), 100)
     h = np.full((gru_lm.VOCABULARY, gru_lm.HIDDEN), 0.3, np.float32)
