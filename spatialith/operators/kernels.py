@@ -106,11 +106,12 @@ def sample_surface(triangles: np.ndarray, n: int, seed: int) -> np.ndarray:
     pick = rng.choice(len(triangles), 4 * n, p=weight / weight.sum())
     r, s = np.sqrt(rng.random(4 * n)), rng.random(4 * n)
     points = a[pick] * (1 - r)[:, None] + b[pick] * (r * (1 - s))[:, None] + c[pick] * (r * s)[:, None]
-    chosen = [0]
-    gap = np.linalg.norm(points - points[0], axis=1)
+    x, y, z = np.ascontiguousarray(points.T)
+    squares = lambda i: (x - x[i]) ** 2 + (y - y[i]) ** 2 + (z - z[i]) ** 2
+    chosen, gap = [0], squares(0)
     while len(chosen) < n:
         chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, np.linalg.norm(points - points[chosen[-1]], axis=1))
+        np.minimum(gap, squares(chosen[-1]), out=gap)
     return points[chosen]
 
 
@@ -132,6 +133,13 @@ def box_triangles(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.array([[corner[f[0]], corner[f[i]], corner[f[i + 1]]] for f in faces for i in (1, 2)])
 
 
+def sample_counts(boxes: list[np.ndarray], base: int) -> list[int]:
+    """Samples of each mesh of a scene: ``base`` for the smallest area, more by the root of the ratio of areas."""
+    areas = np.array([np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1).sum() / 2 for t in boxes])
+    least = areas[areas > 1e-10].min(initial=np.inf)
+    return [int(np.ceil(base * np.sqrt(max(a / least, 1.0)))) for a in areas]
+
+
 def surface_distances(objects: DataFrame, n: int = 32) -> DataFrame:
     """(scene_id, a_id, b_id, distance): least distance between sampled surfaces of a scene's boxes."""
 
@@ -164,28 +172,39 @@ def hit_distances(origin: np.ndarray, directions: np.ndarray, triangles: np.ndar
     return np.where(ok & (u >= 0) & (v >= 0) & (u + v <= 1) & (t > EPS), t, np.inf)
 
 
-def visible_shares(objects: DataFrame, cameras: DataFrame, n: int = 24) -> DataFrame:
-    """(scene_id, frame_id, id, n_rays, n_visible): how many rays to an object's surface meet nothing before it."""
-    joined = cameras.join(objects, "scene_id")
+def visible_shares(objects: DataFrame, cameras: DataFrame, n: int = 512) -> DataFrame:
+    """(scene_id, frame_id, id, n_rays, n_visible): how many rays to an object's surface meet nothing before it.
+
+    ``n``: rays to the smallest object of a scene; larger ones get more.
+    """
+    # a fixed number of partitions: by bytes, Spark would put these few rows into one slow task
+    parts = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = cameras.join(objects, "scene_id").repartition(parts, "scene_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        low, high = pdf[["x0", "y0", "z0"]].to_numpy(), pdf[["x1", "y1", "z1"]].to_numpy()
-        eye = pdf[["px", "py", "pz"]].iloc[0].to_numpy(float)
+        things = pdf.drop_duplicates("id").sort_values("id")
+        low, high = things[["x0", "y0", "z0"]].to_numpy(), things[["x1", "y1", "z1"]].to_numpy()
         boxes = [box_triangles(a, b) for a, b in zip(low, high, strict=True)]
         every = np.concatenate(boxes)
+        counts = sample_counts(boxes, n)
+        points = [sample_surface(t, c, int(i)) for t, c, i in zip(boxes, counts, things.id, strict=True)]
         rows = []
-        for i, object_id in enumerate(pdf.id):
-            target = sample_surface(boxes[i], n, int(object_id)) - eye
-            far = np.linalg.norm(target, axis=1)
-            hits = hit_distances(eye, target / far[:, None], every)
-            hits[:, 12 * i : 12 * i + 12] = np.inf  # the object itself hides nothing of its own
-            clear = hits.min(1) > far - 1e-3
-            rows.append((pdf.scene_id.iloc[0], pdf.frame_id.iloc[0], object_id, n, int(clear.sum())))
+        for frame in pdf.drop_duplicates("frame_id").sort_values("frame_id").itertuples():
+            eye = np.array([frame.px, frame.py, frame.pz], float)
+            for i, object_id in enumerate(things.id):
+                target = points[i] - eye
+                far = np.linalg.norm(target, axis=1)
+                clear = 0
+                for at in range(0, counts[i], 512):
+                    part = slice(at, at + 512)
+                    hits = hit_distances(eye, target[part] / far[part, None], every)
+                    hits[:, 12 * i : 12 * i + 12] = np.inf  # the object itself hides nothing of its own
+                    clear += int((hits.min(1) > far[part] - 1e-3).sum())
+                rows.append((frame.scene_id, frame.frame_id, object_id, counts[i], clear))
         return pd.DataFrame(rows, columns=["scene_id", "frame_id", "id", "n_rays", "n_visible"])
 
     schema = "scene_id long, frame_id long, id long, n_rays int, n_visible int"
-    return joined.groupBy("scene_id", "frame_id").applyInPandas(run, schema)
+    return joined.groupBy("scene_id").applyInPandas(run, schema)
 
 
 def compress_path(hits: np.ndarray, owners: np.ndarray, merge: float = 1e-3) -> list[tuple[float, int]]:

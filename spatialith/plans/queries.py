@@ -786,7 +786,7 @@ def surface_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ray_visibility")
 def ray_visibility(spark: SparkSession, sf: str) -> DataFrame:
-    return K.visible_shares(S.objects(spark, sf), S.cameras(spark, sf).filter("frame_id = 0"))
+    return K.visible_shares(S.objects(spark, sf), S.cameras(spark, sf))
 
 
 @query(

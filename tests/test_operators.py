@@ -148,3 +148,15 @@ def test_stream(spark, tmp_path):
     stream = scoring.prediction_stream(spark, "/root/testdata/sf0.001/events.parquet")
     out = scoring.run_to_end(scoring.windowed_accuracy(stream), "scored", str(tmp_path / "checkpoint"))
     assert out.count() > 0 and out.filter("n_right > n").count() == 0
+
+
+def test_ray_visibility_covers_every_frame(spark):
+    from spatialith.plans import queries
+    from spatialith.sources import adapters
+
+    sf = "/root/testdata/sf0.001"
+    out = queries.ray_visibility(spark, sf).toPandas()
+    wanted = adapters.cameras(spark, sf).join(adapters.objects(spark, sf), "scene_id").select("scene_id", "frame_id", "id").toPandas()
+    assert sorted(map(tuple, out[["scene_id", "frame_id", "id"]].to_numpy().tolist())) == sorted(map(tuple, wanted.to_numpy().tolist()))
+    assert (out.n_rays >= 512).all() and (out.n_rays > 512).any()
+    assert ((out.n_visible >= 0) & (out.n_visible <= out.n_rays)).all()
