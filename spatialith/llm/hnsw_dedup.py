@@ -195,24 +195,31 @@ class Graph:
         return self._search_layer(q, entry, beam, 0)
 
 
-def range_links(q: np.ndarray, graph: Graph, full: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all pairs of at least ``threshold`` that audited searches find; unit vectors in doubles."""
+def range_links(
+    q: np.ndarray, graph: Graph, full: np.ndarray, threshold: float, same: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of all pairs of at least ``threshold`` that audited searches find; unit vectors in doubles.
+
+    ``same``: the queries are the nodes, and the audits on links and on nearest neighbours leave each row itself out.
+    """
     n = len(graph.unit)
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
     truth = q[audit] @ full.T
+    if same:
+        truth[np.arange(len(audit)), audit] = -np.inf
     beam = FIRST_BEAM
     while True:
-        found_q, found_x, nearest = _search_all(q, graph, full, threshold, beam)
+        found_q, found_x, nearest = _search_all(q, graph, full, threshold, beam, same)
         pairs = set(zip(found_q.tolist(), found_x.tolist(), strict=True))
         wanted = [(int(audit[i]), int(j)) for i, j in zip(*np.nonzero(truth >= threshold), strict=True)]
         best = truth.max(1)
-        hits = sum(p in pairs for p in wanted) + int((nearest[audit] >= best - SLACK).sum())
-        if hits >= AUDIT_RECALL * (len(wanted) + len(audit)) or beam >= n:
+        linked, met = sum(p in pairs for p in wanted), int((nearest[audit] >= best - SLACK).sum())
+        if linked >= AUDIT_RECALL * len(wanted) and met >= AUDIT_RECALL * len(audit) or beam >= n:
             return found_q, found_x
         beam *= 2
 
 
-def _search_all(q, graph, full, threshold, beam):
+def _search_all(q, graph, full, threshold, beam, same=False):
     """Links of all queries; queries whose whole beam is links search again with twice the beam."""
     out_q, out_x, nearest = [], [], np.full(len(q), -np.inf)
     todo = np.arange(len(q))
@@ -225,7 +232,7 @@ def _search_all(q, graph, full, threshold, beam):
                 nearest[rows] = np.inf
             else:
                 ids, sims = graph.search(q[rows].astype(np.float32), beam)
-                nearest[rows] = sims[:, 0]
+                nearest[rows] = np.where(ids == rows[:, None], -np.inf, sims).max(1) if same else sims[:, 0]
                 whole = sims[:, -1] >= threshold - SLACK
                 again.append(rows[whole])
                 r, c = np.nonzero((sims >= threshold - SLACK) & ~whole[:, None])
@@ -272,7 +279,7 @@ def _link_shards(threshold: float):
         sides = [_unpack(r) for r in pdf.sort_values("shard").itertuples()]
         a, b = sides[0], sides[-1]
         n, same = len(a[0]), len(sides) == 1
-        i, j = range_links(a[2], b[3], b[2], threshold)
+        i, j = range_links(a[2], b[3], b[2], threshold, same)
         if same:
             i, j = np.minimum(i, j), np.maximum(i, j)
             i, j = i[i != j], j[i != j]

@@ -100,6 +100,27 @@ def test_hnsw_against_all_pairs():
     assert found <= true and len(found) >= 0.99 * len(true)
 
 
+def test_hnsw_audit_leaves_the_row_itself_out(monkeypatch):
+    """A first search that finds each row but no other link is widened, though few links are wanted."""
+    x = np.random.default_rng(8).normal(size=(200, 32))
+    x[1] = x[0] + 1e-3
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pdf = pd.DataFrame({"label": 0, "dim": 32, "shard": 0, "shards": 1, "id": range(200), "weight": 1, "embedding": list(unit)})
+    beams = []
+
+    def search(q, graph, full, threshold, beam, *_):
+        beams.append(beam)
+        value = q @ full.T
+        i, j = np.nonzero(value >= threshold)
+        if beam == hnsw_dedup.FIRST_BEAM:
+            i, j = i[i == j], j[i == j]
+        return i, j, np.full(len(q), np.inf)
+
+    monkeypatch.setattr(hnsw_dedup, "_search_all", search)
+    hnsw_dedup._link_shards(0.98)(hnsw_dedup.build_shard(pdf))
+    assert len(beams) > 1
+
+
 def test_hnsw_shards_agree(spark):
     v = table(spark, SF, "embeddings")
     one = hnsw_dedup.near_duplicates(v).orderBy("vec_id").collect()
