@@ -3,17 +3,18 @@
 Equal vectors of a label collapse first and count with their multiplicity.  Each label's vectors are dealt into shards
 of about ``SHARD_ROWS`` by hash, and a layered graph is built per shard.  For every pair of a label's shards (and every
 shard with itself) each side's vectors search the other side's graph, many queries at a time in lockstep.  A search that
-comes back with nothing but links may have missed some, so its beam doubles; beyond ``WIDEST`` the query is compared with
-the whole shard instead.  After each pass an audit compares a fixed sample of queries with brute force, on links and on
+comes back with nothing but links may have missed some, so its beam doubles; beyond ``WIDEST`` the query scans the whole
+shard instead, in blocks that are counted, united and forgotten.  After each pass an audit compares a fixed sample of queries with brute force, on links and on
 the nearest neighbour, and all beams double until the audit's recall is reached.  Candidates are verified by cosine in
 double precision; links are united within the task and then over all tasks.
 
-Scale: tasks hold two shards, whatever a label's size; every shard of a label meets every other one, in blocks, so work
+Scale: tasks hold two shards, and at most ``WIDEST`` pairs a vector, whatever a label's size or density; every shard of a label meets every other one, in blocks, so work
 grows with the square of a label's number of shards.  Rows that leave a task are one per vector, never one per link.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors with a
 null label or of unlike length.  A null identifier gets a null component.  Rows that repeat an identifier count as
-vectors of their own.  An empty table gives an empty result.  Extra columns are ignored.
+vectors of their own: classes have numbers of their own, and an identifier only names the component that it is the
+smallest of.  An empty table gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -197,53 +198,99 @@ class Graph:
 
 def range_links(
     q: np.ndarray, graph: Graph, full: np.ndarray, threshold: float, same: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all pairs of at least ``threshold`` that audited searches find; unit vectors in doubles.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node) of the pairs of at least ``threshold`` that audited searches find, and the queries left to a scan.
 
-    ``same``: the queries are the nodes, and the audits on links and on nearest neighbours leave each row itself out.
+    Unit vectors in doubles.  No query has more than ``WIDEST`` pairs here; those with more are left to the scan.
+    ``same``: the queries are the nodes; no row is paired with itself, and the audits leave it out.
     """
     n = len(graph.unit)
     audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT_ROWS, len(q))).astype(int))
     truth = q[audit] @ full.T
     if same:
         truth[np.arange(len(audit)), audit] = -np.inf
+    wanted, best = (truth >= threshold).sum(1), truth.max(1)
     beam = FIRST_BEAM
     while True:
-        found_q, found_x, nearest = _search_all(q, graph, full, threshold, beam, same)
-        pairs = set(zip(found_q.tolist(), found_x.tolist(), strict=True))
-        wanted = [(int(audit[i]), int(j)) for i, j in zip(*np.nonzero(truth >= threshold), strict=True)]
-        best = truth.max(1)
-        linked, met = sum(p in pairs for p in wanted), int((nearest[audit] >= best - SLACK).sum())
-        if linked >= AUDIT_RECALL * len(wanted) and met >= AUDIT_RECALL * len(audit) or beam >= n:
-            return found_q, found_x
+        found_q, found_x, scan, nearest = _search_all(q, graph, full, threshold, beam, same)
+        if same:
+            others = found_q != found_x
+            found_q, found_x = found_q[others], found_x[others]
+        linked = np.bincount(found_q, minlength=len(q))
+        linked[scan] = np.iinfo(np.int64).max  # a scan finds all
+        met = nearest[audit] >= best - SLACK
+        if np.minimum(linked[audit], wanted).sum() >= AUDIT_RECALL * wanted.sum() and met.mean() >= AUDIT_RECALL or beam >= n:
+            return found_q, found_x, scan
         beam *= 2
 
 
 def _search_all(q, graph, full, threshold, beam, same=False):
-    """Links of all queries; queries whose whole beam is links search again with twice the beam."""
+    """Links of all queries; queries whose whole beam is links search again with twice the beam, then are left over."""
     out_q, out_x, nearest = [], [], np.full(len(q), -np.inf)
     todo = np.arange(len(q))
-    while len(todo):
+    while len(todo) and beam <= WIDEST and beam < len(full):
         again = []
         for a in range(0, len(todo), BATCH):
             rows = todo[a : a + BATCH]
-            if beam > WIDEST or beam >= len(full):  # the exact way for what no beam can hold
-                r, x = np.nonzero(q[rows] @ full.T >= threshold)
-                nearest[rows] = np.inf
-            else:
-                ids, sims = graph.search(q[rows].astype(np.float32), beam)
-                nearest[rows] = np.where(ids == rows[:, None], -np.inf, sims).max(1) if same else sims[:, 0]
-                whole = sims[:, -1] >= threshold - SLACK
-                again.append(rows[whole])
-                r, c = np.nonzero((sims >= threshold - SLACK) & ~whole[:, None])
-                x = ids[r, c]
-                exact = np.einsum("nd,nd->n", q[rows[r]], full[x]) >= threshold
-                r, x = r[exact], x[exact]
-            out_q.append(rows[r])
-            out_x.append(x)
+            ids, sims = graph.search(q[rows].astype(np.float32), beam)
+            nearest[rows] = np.where(ids == rows[:, None], -np.inf, sims).max(1) if same else sims[:, 0]
+            whole = sims[:, -1] >= threshold - SLACK
+            again.append(rows[whole])
+            r, c = np.nonzero((sims >= threshold - SLACK) & ~whole[:, None])
+            x = ids[r, c]
+            exact = np.einsum("nd,nd->n", q[rows[r]], full[x]) >= threshold
+            out_q.append(rows[r[exact]])
+            out_x.append(x[exact])
         todo = np.concatenate(again) if again else todo[:0]
         beam *= 2
-    return np.concatenate(out_q or [todo]), np.concatenate(out_x or [todo]), nearest
+    nearest[todo] = np.inf
+    none = todo[:0]
+    return np.concatenate([none, *out_q]), np.concatenate([none, *out_x]), todo, nearest
+
+
+def unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``root`` (each node's smallest node so far, itself its own root) after links between nodes u and v."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while True:
+            after = root[root]
+            if (after == root).all():
+                break
+            root = after
+
+
+class _Side:
+    """One shard of a pair: its vectors, weights, where its nodes start, link counts, and which rows were scanned."""
+
+    def __init__(self, unit: np.ndarray, weight: np.ndarray, at: int):
+        self.unit, self.weight, self.at = unit, weight.astype(np.float64), at
+        self.links = np.zeros(len(unit))
+        self.scanned = np.zeros(len(unit), bool)
+
+
+def _scan(q: _Side, x: _Side, root: np.ndarray, threshold: float) -> np.ndarray:
+    """Count and unite all links of q's scanned rows, a block of queries at a time; no pair outlives its block.
+
+    A pair whose ends are both scanned is counted by each end for itself, else by the scanned end for both.
+    """
+    rows = np.flatnonzero(q.scanned)
+    other = np.flatnonzero(~x.scanned)
+    for a in range(0, len(rows), BATCH):
+        r = rows[a : a + BATCH]
+        near = q.unit[r] @ x.unit.T >= threshold
+        if q is x:
+            near[np.arange(len(r)), r] = False
+        q.links[r] += near @ x.weight
+        x.links[other] += q.weight[r] @ near[:, other]
+        i, j = np.nonzero(near & (root[q.at + r][:, None] != root[x.at : x.at + len(x.unit)]))
+        if len(i):
+            pair = np.unique(root[q.at + r[i]].astype(np.int64) << 32 | root[x.at + j])
+            root = unite(root, pair >> 32, pair & 0xFFFFFFFF)
+    return root
 
 
 def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
@@ -254,53 +301,61 @@ def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
         width = DEGREE * (1 if links else 2)
         links.append(data[at : at + width * len(ids)].reshape(len(ids), width))
         at += width * len(ids)
-    return ids, weight, unit, Graph(unit, ids, links)
+    return ids, weight, unit, Graph(unit, np.frombuffer(row.hashes, np.int64), links)
 
 
-INDEX = "label long, dim int, shard int, shards int, ids binary, weights binary, vectors binary, graph binary"
+INDEX = (
+    "label long, dim int, shard int, shards int, ids binary, hashes binary, weights binary, vectors binary, graph binary"
+)
 
 
 def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id", kind="stable")
+    pdf = pdf.sort_values(["hash", "id"], kind="stable")
     x = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-    ids = pdf.id.to_numpy(np.int64)
-    graph = Graph(unit, ids)
+    ids, hashes = pdf.id.to_numpy(np.int64), pdf["hash"].to_numpy(np.int64)
+    graph = Graph(unit, hashes)
     first = pdf.iloc[0]
     packed = np.concatenate([t.ravel() for t in graph.links]).tobytes()
-    values = [first.label, first.dim, first.shard, first.shards, ids.tobytes()]
+    values = [first.label, first.dim, first.shard, first.shards, ids.tobytes(), hashes.tobytes()]
     values += [pdf.weight.to_numpy(np.int64).tobytes(), unit.tobytes(), packed]
     return pd.DataFrame([values], columns=[c.split()[0] for c in INDEX.split(", ")])
 
 
 def _link_shards(threshold: float):
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [_unpack(r) for r in pdf.sort_values("shard").itertuples()]
-        a, b = sides[0], sides[-1]
-        n, same = len(a[0]), len(sides) == 1
-        i, j = range_links(a[2], b[3], b[2], threshold, same)
-        if same:
+        (a_ids, a_weight, a_unit, a_graph), *more = [_unpack(r) for r in pdf.sort_values("shard").itertuples()]
+        a = _Side(a_unit, a_weight, 0)
+        ids = a_ids
+        if not more:
+            b = a
+            i, j, scan = range_links(a.unit, a_graph, a.unit, threshold, True)
+            a.scanned[scan] = True
             i, j = np.minimum(i, j), np.maximum(i, j)
-            i, j = i[i != j], j[i != j]
         else:
-            y, x = range_links(b[2], a[3], a[2], threshold)
+            ((b_ids, b_weight, b_unit, b_graph),) = more
+            b, ids = _Side(b_unit, b_weight, len(a_ids)), np.concatenate([a_ids, b_ids])
+            i, j, scan = range_links(a.unit, b_graph, b.unit, threshold)
+            a.scanned[scan] = True
+            y, x, scan = range_links(b.unit, a_graph, a.unit, threshold)
+            b.scanned[scan] = True
             i, j = np.concatenate([i, x]), np.concatenate([j, y])
         pair = np.unique(i.astype(np.int64) << 32 | j)  # found from either side
         i, j = pair >> 32, pair & 0xFFFFFFFF
-        ids = a[0] if same else np.concatenate([a[0], b[0]])
-        weight = a[1] if same else np.concatenate([a[1], b[1]])
-        j = j if same else j + n
-        links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-        root = ids.copy()
-        while True:
-            before = root.copy()
-            np.minimum.at(root, i, before[j])
-            np.minimum.at(root, j, before[i])
-            if (root == before).all():
-                break
+        left = ~(a.scanned[i] | b.scanned[j])
+        i, j = i[left], j[left]
+        a.links += np.bincount(i, b.weight[j], len(a.unit))
+        b.links += np.bincount(j, a.weight[i], len(b.unit))
+        root = unite(np.arange(len(ids)), i, b.at + j)
+        root = _scan(a, b, root, threshold)
+        if more:
+            root = _scan(b, a, root, threshold)
+        links = np.concatenate([a.links, b.links]) if more else a.links
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, ids)
         keep = links > 0
-        return pd.DataFrame({"id": ids[keep], "links": links[keep].astype(np.int64), "root": root[keep]})
+        return pd.DataFrame({"id": ids[keep], "links": links[keep].astype(np.int64), "root": least[root][keep]})
 
     return link
 
@@ -316,20 +371,22 @@ def near_duplicates(
     """One row per vector: id, n_links, component_id, kept."""
     scratch = Scratch(vectors.sparkSession, "hnsw-dedup")
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).cast("long").alias("vec"),
         F.col(label_col).cast("long").alias("label"),
         F.col(vector_col).alias("embedding"),
     )
     sound = F.expr(
-        "id is not null and label is not null and embedding is not null and exists(embedding, x -> x <> 0) and "
+        "vec is not null and label is not null and embedding is not null and exists(embedding, x -> x <> 0) and "
         "forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
     )
     usable = rows.filter(F.coalesce(sound, F.lit(False)))
-    classes = usable.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    classes = usable.groupBy("label", "embedding").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("weight"))
+    # a class is known by a number of its own: identifiers may repeat with other vectors
+    classes = classes.withColumn("id", F.monotonically_increasing_id()).withColumn("hash", F.xxhash64("embedding"))
     classes = scratch.keep(classes.withColumn("dim", F.size("embedding")), "classes")
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
     sizes = scratch.keep(sizes, "sizes")  # a stored table's size is known, and a large label's rows can be split
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
+    dealt = classes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod("hash", "shards").cast("int"))
     index = scratch.keep(dealt.groupBy("label", "dim", "shard").applyInPandas(build_shard, INDEX), "index")
     met = index.withColumn("other", F.explode(F.expr("sequence(0, shards - 1)")))
     met = met.withColumn("bi", F.least("shard", "other")).withColumn("bj", F.greatest("shard", "other"))
@@ -337,18 +394,21 @@ def near_duplicates(
     found = scratch.keep(found, "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     united = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    known = classes.select("label", "embedding", "id", "weight")
-    known = known.join(links, "id", "left").join(united, "id", "left")
-    known = scratch.keep(known.withColumnRenamed("id", "rep"), "known")
-    out = rows.join(known, ["label", "embedding"], "left")
-    in_class = F.col("rep").isNotNull() & F.col("id").isNotNull()
-    component = F.when(in_class, F.coalesce("component", "rep")).otherwise(F.col("id"))
+    linked = classes.select("id", "vec").join(links, "id").join(united, "id", "left")
+    linked = scratch.keep(linked.withColumn("component", F.coalesce("component", "id")), "linked")
+    least = linked.groupBy("component").agg(F.min("vec").alias("least"))
+    known = classes.select("label", "embedding", "id", "vec", "weight")
+    known = known.join(linked.join(least, "component").select("id", "links", "least"), "id", "left")
+    known = known.select("label", "embedding", F.col("vec").alias("rep"), "weight", "links", "least")
+    out = rows.join(scratch.keep(known, "known"), ["label", "embedding"], "left")
+    in_class = F.col("rep").isNotNull() & F.col("vec").isNotNull()
+    component = F.when(in_class, F.coalesce("least", "rep")).otherwise(F.col("vec"))
     count = F.when(in_class, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(F.lit(0))
     return out.select(
-        F.col("id").alias(id_col),
+        F.col("vec").alias(id_col),
         count.cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("vec") == component, F.lit(True)).alias("kept"),
     )
 
 

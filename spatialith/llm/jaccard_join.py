@@ -5,7 +5,8 @@
 2. Chosen paths: in each of several runs a class samples tokens of its sketch by a hash that all classes share, about
    1 / threshold of them, and lies in one bucket per token.  Buckets of more than ``SMALL`` classes are split again by
    tokens sampled in the same way for that path, up to ``LEVELS`` times.  What is still large then, such as a big group
-   of true near copies, is cut into blocks, and pairs of blocks are compared, so that no task holds a large bucket.
+   of true near copies, is cut into blocks of about ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles, and pairs of blocks
+   are compared, so that no task holds a large bucket.
 3. In each bucket all pairs are compared by sketch.  A pair that shares several buckets counts in the first one alone.
 4. Classes with a candidate get their text back and pairs are verified on the full sets, again bucket by bucket.  Each
    bucket returns one row per class (weight of verified partners, smallest partner reached), never a row per pair.
@@ -16,8 +17,10 @@ with a known probability, and runs repeat until the chance that all of them miss
 
 Edge cases: null text counts as empty.  Words are lower-cased (A-Z) and split at ASCII white space.  A text of one to
 four words is one shingle; a text without words has no shingles and links with nothing.  Documents with a null
-identifier get no links and a null class.  Rows that repeat an identifier count as documents of their own.  An empty
-table gives an empty result.  Extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
+identifier get no links and a null class.  Rows that repeat an identifier count as documents of their own: classes have
+numbers of their own and rows are told apart by their place in a file (rows that come from elsewhere are stored first),
+so of a group exactly one row is kept, the first by identifier, file and position.  An empty table gives an empty
+result.  Extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textbatch as B
 from .components import components
-from .store import Scratch, table
+from .store import Scratch, located, table
 
 THRESHOLD = 0.8
 SKETCH = 64
@@ -40,6 +43,9 @@ SKETCH = 64
 SKETCH_MARGIN = 4
 SMALL = 256
 LEVELS = 3
+#: Bounds on a block of a large bucket: classes, and shingles of all of them.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 21
 RECALL = 0.99
 #: Buckets up to this size are compared pair by pair, larger ones by matrix products.
 PAIRWISE = 24
@@ -74,19 +80,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d1, d2 = set_digests(values, edges)
             small = (values >> np.uint64(16)).astype(np.uint32)
             sketch = [small[x : min(y, x + SKETCH)].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
-            columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(edges)), pa.array(d1), pa.array(d2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sketch, pa.binary())], ["id", "n", "d1", "d2", "sketch"])
+            place = [batch.column(k).slice(a, b - a) for k in (0, 2, 3)]
+            columns = [*place, pa.array(np.diff(edges)), pa.array(d1), pa.array(d2), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "file", "row", "n", "d1", "d2", "sketch"])
 
 
 def _paths(threshold: float, runs: int) -> Callable:
-    """Maps (path or null, id, sketch) to (path, id): the buckets one level down."""
+    """Maps (path or null, id, n, sketch) to (path, id, n): the buckets one level down."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(1).to_numpy()
-            sketches = batch.column(2).to_pylist()
+            ids, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            sketches = batch.column(3).to_pylist()
             size = np.array([len(s) // 4 for s in sketches])
             token = np.frombuffer(b"".join(sketches), np.uint32).astype(np.uint64)
             row = np.repeat(np.arange(len(size)), size)
@@ -97,7 +104,8 @@ def _paths(threshold: float, runs: int) -> Callable:
                 seed = B.mix64(start + np.uint64((run * 0x9E3779B97F4A7C15 + 1) & ((1 << 64) - 1)))[row]
                 taken = np.flatnonzero(B.mix64(token * np.uint64(0xFF51AFD7ED558CCD) + seed) < limit)
                 path = B.mix64(seed[taken] ^ B.mix64(token[taken])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(ids[row[taken]])], ["path", "id"])
+                who = row[taken]
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(ids[who]), pa.array(n[who])], ["path", "id", "n"])
 
     return choose
 
@@ -298,18 +306,12 @@ def _verify(threshold: float) -> Callable:
         edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in parts]))])
         d1, _ = set_digests(values, edges)
         ids, weight, n = t.column("id").to_numpy(), t.column("weight").to_numpy(), np.diff(edges)
-        # a row that repeats an identifier with another text, or the class's own text again
-        group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        usable = d1 == t.column("d1").to_numpy()
-        first = np.zeros(len(ids), bool)
-        order = np.lexsort((~usable, ids, group))
-        repeat = (ids[order][1:] == ids[order][:-1]) & (group[order][1:] == group[order][:-1])
-        first[order[np.concatenate([[True], ~repeat])]] = True
-        usable &= first
+        if (d1 != t.column("d1").to_numpy()).any():
+            raise ValueError("a text is not the one that its class was made from")
 
         def by_pair(i, j):
             good = np.zeros(len(i), bool)
-            maybe = usable[i] & usable[j] & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+            maybe = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
             for k in np.flatnonzero(maybe):
                 both = np.concatenate([values[edges[i[k]] : edges[i[k] + 1]], values[edges[j[k]] : edges[j[k] + 1]]])
                 both.sort(kind="stable")
@@ -319,8 +321,8 @@ def _verify(threshold: float) -> Callable:
 
         def by_group(rows):
             same = _shared(values, edges, rows)
-            m, u = n[rows.start : rows.stop], usable[rows.start : rows.stop]
-            return (u[:, None] & u[None]) & (same >= threshold * (m[:, None] + m[None] - same) - 1e-6)
+            m = n[rows.start : rows.stop]
+            return same >= threshold * (m[:, None] + m[None] - same) - 1e-6
 
         i, j = _compare(t, at, by_pair, by_group)
         links = np.bincount(i, weights=weight[j], minlength=len(ids)) + np.bincount(j, weights=weight[i], minlength=len(ids))
@@ -345,16 +347,16 @@ def _parts(t: pa.Table, at: np.ndarray, limit: int = 4_000_000) -> Iterator[tupl
 
 
 def _buckets(reps: DataFrame, scratch: Scratch, threshold: float, runs: int, small: int, levels: int) -> DataFrame:
-    """(path, id, size): final buckets of at least two classes."""
-    schema = "path long, id long"
+    """(path, id, n, size, total): final buckets of at least two classes, with their classes and shingles counted."""
+    schema = "path long, id long, n long"
     choose = _paths(threshold, runs)
     found: DataFrame | None = None
-    rows = reps.select(F.lit(None).cast("long").alias("path"), "id", "sketch").mapInArrow(choose, schema)
+    rows = reps.select(F.lit(None).cast("long").alias("path"), "id", "n", "sketch").mapInArrow(choose, schema)
     for level in range(1, levels + 1):
         # the same bucket by two tokens of one path is one bucket
         rows = scratch.keep(rows.distinct() if level > 1 else rows, f"paths-{level}")
         # stored, so that both sides of the join are plain shuffles and a path that many share can be split
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
         sizes = scratch.keep(sizes, f"sizes-{level}")
         rows = scratch.keep(rows.join(sizes, "path"), f"buckets-{level}")
         scratch.drop(f"paths-{level}")
@@ -363,27 +365,22 @@ def _buckets(reps: DataFrame, scratch: Scratch, threshold: float, runs: int, sma
         large = rows.filter(F.col("size") > small)
         if level == levels or large.isEmpty():
             break
-        rows = large.join(reps.select("id", "sketch"), "id").select("path", "id", "sketch").mapInArrow(choose, schema)
+        rows = large.join(reps.select("id", "sketch"), "id").select("path", "id", "n", "sketch").mapInArrow(choose, schema)
     return found
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = THRESHOLD,
-    runs: int | None = None,
-    small: int = SMALL,
-    levels: int = LEVELS,
+def _grouped(
+    rows: DataFrame, scratch: Scratch, threshold: float, runs: int | None, small: int, levels: int, block: int
 ) -> DataFrame:
-    """One row per document: id, class_id (smallest identifier that links reach), n_links, kept (id = class_id)."""
-    scratch = Scratch(docs.sparkSession, "jaccard-join")
+    """From (doc, file, row, text): (doc, file, row, class_id, n_links, kept)."""
     runs = runs or runs_needed(threshold, RECALL, levels)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = rows.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, sketch binary")
+    signature = "doc long, file string, row long, n long, d1 long, d2 long, sketch binary"
+    signed = rows.select("doc", "text", "file", "row").mapInArrow(_signatures, signature)
     signed = scratch.keep(signed, "signatures")
-    classes = signed.filter("n > 0 and id is not null").groupBy("d1", "d2", "n", "sketch")
-    reps = scratch.keep(classes.agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
+    classes = signed.filter("n > 0 and doc is not null").groupBy("d1", "d2", "n", "sketch")
+    classes = classes.agg(F.min(F.struct("doc", "file", "row")).alias("rep"), F.count(F.lit(1)).alias("weight"))
+    # a class is known by a number of its own: identifiers may repeat with other texts
+    reps = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     found = _buckets(reps, scratch, threshold, runs, small, levels)
     paths = found.groupBy("id").agg(F.collect_set("path").alias("paths"))
@@ -394,46 +391,79 @@ def near_duplicates(
         return df.repartition(*keys).sortWithinPartitions(*keys)
 
     # sketches join the buckets before blocks repeat them
-    blocks = F.ceil(F.col("size") / small).cast("int")
-    whole = F.col("size") <= small
-    dealt = found.join(known.select("id", "n", "sketch", "paths"), "id")
-    dealt = dealt.withColumn("block", F.when(whole, 0).otherwise(F.pmod(F.xxhash64("id"), blocks)).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(whole, 0).otherwise(blocks - 1))))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    dealt = found.join(known.select("id", "sketch", "paths"), "id")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     bounds = F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     with_sketch = dealt.select("path", "id", "block", *bounds, "n", "sketch", "paths")
     active = by_bucket(with_sketch).mapInArrow(_candidates(threshold), "path long, bi int, bj int, block int, id long")
     active = scratch.keep(active, "active")
-    texts = active.join(known.select("id", "weight", "d1", "paths"), "id").join(rows.select("id", "text"), "id")
+    texts = active.join(known.select("id", "weight", "d1", "paths", "rep.file", "rep.row"), "id")
+    texts = texts.join(rows.select("file", "row", "text"), ["file", "row"]).drop("file", "row")
     checked = by_bucket(texts).mapInArrow(_verify(threshold), "id long, links long, root long")
     checked = scratch.keep(checked, "links")
 
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))
     united = components(checked.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    per_class = reps.select("d1", "d2", F.col("n").alias("n"), F.col("id").alias("rep"), "weight")
-    per_class = per_class.join(links.withColumnRenamed("id", "rep"), "rep", "left")
-    per_class = per_class.join(united.withColumnRenamed("id", "rep"), "rep", "left")
-    per_class = scratch.keep(per_class, "per-class")
-    out = signed.select("id", "n", "d1", "d2").join(
-        per_class.select("d1", "d2", "n", "rep", "weight", "links", "component"), ["d1", "d2", "n"], "left"
-    )
-    known_id = F.col("id").isNotNull()
-    class_id = F.when(known_id, F.coalesce("component", "rep", "id"))
+    linked = reps.select("id", "rep").join(links, "id").join(united, "id", "left")
+    linked = scratch.keep(linked.withColumn("component", F.coalesce("component", "id")), "linked")
+    first = linked.groupBy("component").agg(F.min("rep").alias("first"))
+    per_class = reps.join(linked.join(first, "component").select("id", "links", "first"), "id", "left")
+    per_class = per_class.select("d1", "d2", "n", "weight", "links", F.coalesce("first", "rep").alias("first"))
+    out = signed.select("doc", "file", "row", "n", "d1", "d2")
+    out = out.join(scratch.keep(per_class, "per-class"), ["d1", "d2", "n"], "left")
+    in_class = F.col("doc").isNotNull() & F.col("first").isNotNull()
     return out.select(
-        F.col("id").alias(id_col),
-        class_id.alias("class_id"),
-        F.when(known_id & F.col("rep").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
-        .otherwise(F.lit(0))
-        .cast("long")
-        .alias("n_links"),
-        F.coalesce(F.col("id") == class_id, F.lit(True)).alias("kept"),
+        "doc",
+        "file",
+        "row",
+        F.when(in_class, F.col("first.doc")).otherwise(F.col("doc")).alias("class_id"),
+        F.when(in_class, F.coalesce("links", F.lit(0)) + F.col("weight") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.when(in_class, F.col("first") == F.struct("doc", "file", "row")).otherwise(F.lit(True)).alias("kept"),
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with their places, and (doc, file, row, text) of them."""
+    at = located(docs, scratch)
+    names = F.col(f"doc.{id_col}").cast("long").alias("doc"), F.col("_file").alias("file"), F.col("_row").alias("row")
+    return at, at.select(*names, F.col(f"doc.{text_col}").alias("text"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    runs: int | None = None,
+    small: int = SMALL,
+    levels: int = LEVELS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """One row per document: id, class_id (smallest identifier that links reach), n_links, kept (the class's one row)."""
+    scratch = Scratch(docs.sparkSession, "jaccard-join")
+    _, rows = _placed(docs, id_col, text_col, scratch)
+    found = _grouped(rows, scratch, threshold, runs, small, levels, block)
+    return found.select(F.col("doc").alias(id_col), "class_id", "n_links", "kept")
+
+
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    runs: int | None = None,
+    small: int = SMALL,
+    levels: int = LEVELS,
+    block: int = BLOCK,
+) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))  # packed, so that no column of theirs clashes
-    return rows.join(gone.select(F.col(id_col).alias("gone")), F.col(f"doc.{id_col}") == F.col("gone"), "left_anti").select("doc.*")
+    scratch = Scratch(docs.sparkSession, "jaccard-join")
+    at, rows = _placed(docs, id_col, text_col, scratch)
+    gone = _grouped(rows, scratch, threshold, runs, small, levels, block).filter(~F.col("kept"))
+    gone = gone.select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    return at.join(gone, ["_file", "_row"], "left_anti").select("doc.*")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

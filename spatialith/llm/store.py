@@ -9,7 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -51,3 +53,30 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a file: a scan under projections and filters alone."""
+    if "_metadata" in docs.columns:  # a column of that name hides the file's own
+        return False
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return False
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty()
+
+
+def located(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, _file, _row): each row, packed so that no column of it clashes, and its own place in a file.
+
+    Rows that don't come straight from files are stored first, so that every row has a place.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    if not _plain_scan(docs):
+        packed = scratch.keep(packed, "located")
+        return packed.select("doc", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    place = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    return docs.select(F.struct(*docs.columns).alias("doc"), *place)

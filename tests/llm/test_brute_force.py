@@ -13,6 +13,8 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from spatialith.llm import gru_lm, hnsw_dedup, jaccard_join, licenses, mixing, pieces, quality_crf, secrets, token_store
 from spatialith.llm import textbatch as B
 from spatialith.llm.store import table
@@ -88,13 +90,63 @@ def test_jaccard_join_large_buckets(spark):
     assert (out.class_id.to_numpy() == root).all()
 
 
+def random_rows(rng, n=120):
+    """(doc_id, text) with exact and near copies under repeated and unlike identifiers."""
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [list(rng.choice(vocabulary, int(rng.integers(1, 80)))) for _ in range(n // 3)]
+    rows = []
+    for _ in range(n):
+        t = list(texts[int(rng.integers(len(texts)))])
+        if rng.random() < 0.4:
+            t[int(rng.integers(len(t)))] = "other"
+        rows.append((int(rng.integers(n // 4)), " ".join(t)))
+    return rows
+
+
+def test_jaccard_join_repeated_identifiers(spark):
+    """Rows that repeat an identifier with other texts keep their own groups, and one row of each group stays."""
+    rows = [(1, "a b c d e f"), (9, "a b c d e f"), (9, "g h i j k l"), (9, "g h i j k l"), (2, "")]
+    rows += random_rows(np.random.default_rng(6))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit(0)).withColumn("row", F.lit(1))
+    links, root = groups([t for _, t in rows])
+    least = [min(rows[j][0] for j in np.flatnonzero(root == root[i])) for i in range(len(rows))]
+    out = [(r.doc_id, r.n_links, r.class_id) for r in jaccard_join.near_duplicates(frame).collect()]
+    assert sorted(out) == sorted((rows[i][0], links[i], least[i]) for i in range(len(rows)))
+    for one in (frame, frame.repartition(5)):
+        stay = jaccard_join.keep_one(one)
+        assert stay.columns == frame.columns
+        group = collections.defaultdict(set)
+        for i, r in enumerate(rows):
+            group[r].add(root[i])
+        kept = [next(iter(group[r.doc_id, r.text])) for r in stay.collect()]
+        assert sorted(kept) == sorted(set(root))  # one row of every group
+
+
+def test_jaccard_join_many_near_copies(spark):
+    """5000 near copies are one large bucket, compared in pairs of blocks without a lost or a false link."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*base[:k % 120], f"changed{k}", *base[k % 120 + 1:]]) for k in range(5000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = jaccard_join.near_duplicates(frame).agg(F.sum("n_links"), F.countDistinct("class_id"), F.sum(F.col("kept").cast("int"))).first()
+    place = [set(range(max(0, k - 4), min(116, k + 1))) for k in range(120)]  # shingles that a change at k spoils
+    copies = collections.Counter(k % 120 for k in range(5000))
+    links = 0
+    for a in range(120):
+        for b in range(120):
+            same = 116 - len(place[a] | place[b])
+            if same >= 0.8 * (2 * 116 - same):
+                links += copies[a] * copies[b]
+    assert out[0] == links - 5000 and out[1] == 1 and out[2] == 1
+
+
 def test_hnsw_against_all_pairs():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(60, 32))
     x = np.concatenate([centres[rng.integers(60, size=900)] + rng.normal(0, 0.05, (900, 32)), rng.normal(size=(900, 32))])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     graph = hnsw_dedup.Graph(unit, np.arange(len(unit)))
-    i, j = hnsw_dedup.range_links(unit, graph, unit, 0.98)
+    i, j, scan = hnsw_dedup.range_links(unit, graph, unit, 0.98)
+    assert not len(scan)
     true = set(zip(*np.nonzero(unit @ unit.T >= 0.98), strict=True))
     found = set(zip(i.tolist(), j.tolist(), strict=True))
     assert found <= true and len(found) >= 0.99 * len(true)
@@ -105,7 +157,7 @@ def test_hnsw_audit_leaves_the_row_itself_out(monkeypatch):
     x = np.random.default_rng(8).normal(size=(200, 32))
     x[1] = x[0] + 1e-3
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    pdf = pd.DataFrame({"label": 0, "dim": 32, "shard": 0, "shards": 1, "id": range(200), "weight": 1, "embedding": list(unit)})
+    pdf = pd.DataFrame({"label": 0, "dim": 32, "shard": 0, "shards": 1, "id": range(200), "hash": range(200), "weight": 1, "embedding": list(unit)})
     beams = []
 
     def search(q, graph, full, threshold, beam, *_):
@@ -114,13 +166,65 @@ def test_hnsw_audit_leaves_the_row_itself_out(monkeypatch):
         i, j = np.nonzero(value >= threshold)
         if beam == hnsw_dedup.FIRST_BEAM:
             i, j = i[i == j], j[i == j]
-        return i, j, np.full(len(q), np.inf)
+        return i, j, i[:0], np.full(len(q), np.inf)
 
     monkeypatch.setattr(hnsw_dedup, "_search_all", search)
     hnsw_dedup._link_shards(0.98)(hnsw_dedup.build_shard(pdf))
     assert len(beams) > 1
 
 
+def test_hnsw_dense_label_in_bounded_memory():
+    """A whole shard of near-equal vectors of unequal weights: counts are exact, and no pair outlives its block."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n = 3000
+    x = rng.normal(size=64) + rng.normal(0, 0.11, (n, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    weight = rng.integers(1, 4, n)
+    pdf = pd.DataFrame({"label": 0, "dim": 64, "shards": 2, "id": rng.permutation(n), "hash": rng.integers(-(2**62), 2**62, n), "weight": weight, "embedding": list(unit)})
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert 0.05 < near.mean() < 0.95
+    want = dict(zip(pdf.id, near @ weight, strict=True))
+    one = hnsw_dedup.build_shard(pdf.assign(shard=0))
+    halves = [hnsw_dedup.build_shard(pdf[k::2].assign(shard=k)) for k in range(2)]
+    link = hnsw_dedup._link_shards(0.98)
+    tracemalloc.start()
+    found = link(one)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    many = pd.concat([*map(link, halves), link(pd.concat(halves))]).groupby("id").links.sum()
+    got, summed = dict(zip(found.id, found.links, strict=True)), many.to_dict()
+    assert sum(abs(got.get(i, 0) - w) for i, w in want.items()) <= 0.001 * sum(want.values())
+    assert sum(abs(summed.get(i, 0) - w) for i, w in want.items()) <= 0.001 * sum(want.values())
+
+
+def vector_groups(rows, threshold=0.98):
+    """Links and smallest identifier of each row's component, by all pairs of rows of one label and length."""
+    unit = [None if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links, root = np.zeros(len(rows), int), np.arange(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            if unit[i] is None or unit[j] is None or rows[i][2] is None or rows[i][2] != rows[j][2]:
+                continue
+            if len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold:
+                links[[i, j]] += 1
+                root[root == root[i]] = root[j]
+    return [(rows[i][0], int(links[i]), min(rows[j][0] for j in np.flatnonzero(root == root[i]))) for i in range(len(rows))]
+
+
+def test_hnsw_repeated_identifiers(spark):
+    """Rows that repeat an identifier with unlike vectors are vectors of their own; columns may clash."""
+    rows = [(9, [1.0, 0.0], 1), (9, [0.0, 1.0], 1), (10, [1.0, 0.001], 1), (10, [1.0, 0.0], 1), (3, [0.0, 2.0], 1)]
+    rows += [(9, [1.0, 0.0], 2), (9, [1.0, 0.0], 2), (4, [0.0, 0.0], 1), (5, None, 1), (6, [1.0, 0.0], None), (7, [1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for name in ("id", "vec", "rep", "links", "hash", "shard", "component"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    out = [(r.vec_id, r.n_links, r.component_id) for r in hnsw_dedup.near_duplicates(frame).collect()]
+    assert sorted(out) == sorted(vector_groups(rows))
+
+
 def test_hnsw_shards_agree(spark):
     v = table(spark, SF, "embeddings")
     one = hnsw_dedup.near_duplicates(v).orderBy("vec_id").collect()
