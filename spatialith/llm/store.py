@@ -74,9 +74,10 @@ def located(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     Rows that don't come straight from files are stored first, so that every row has a place.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("doc"))
-    if not _plain_scan(docs):
-        packed = scratch.keep(packed, "located")
-        return packed.select("doc", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     place = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    if not _plain_scan(docs):
+        names = {c.lower() for c in docs.columns}
+        if "_metadata" in names or len(names) < len(docs.columns):
+            return scratch.keep(docs.select(F.struct(*docs.columns).alias("doc")), "located").select("doc", *place)
+        docs = scratch.keep(docs, "located")
     return docs.select(F.struct(*docs.columns).alias("doc"), *place)

@@ -15,7 +15,7 @@ import pytest
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from spatialith.llm import gru_lm, hnsw_dedup, jaccard_join, licenses, mixing, pieces, quality_crf, secrets, token_store
+from spatialith.llm import exact_dedup, gru_lm, hnsw_dedup, jaccard_join, licenses, mixing, pieces, quality_crf, secrets, token_store
 from spatialith.llm import textbatch as B
 from spatialith.llm.store import table
 
@@ -122,6 +122,35 @@ def test_jaccard_join_repeated_identifiers(spark):
         assert sorted(kept) == sorted(set(root))  # one row of every group
 
 
+def test_exact_dedup_state_outlives_the_run(spark, tmp_path):
+    """A second run from the same state knows the first one's digests, and checks bytes against its documents."""
+    rows = random_rows(np.random.default_rng(9), 60)
+    rows = [(i, t.upper() if i % 3 else t) for i, (_, t) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.filter("doc_id % 2 = 0").write.parquet(str(tmp_path / "one"))
+    frame.filter("doc_id % 2 = 1").write.parquet(str(tmp_path / "two"))
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    whole = {r.doc_id: r for r in exact_dedup.exact_groups(frame).select(columns).collect()}
+    weak = lambda text: F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 1)
+    for name, digest in (("strong", exact_dedup.sha256_hex), ("weak", weak)):
+        state = f"file://{tmp_path}/state-{name}"
+        one, two = (
+            exact_dedup.exact_groups(spark.read.parquet(str(tmp_path / part)), digest=digest, state=state).select(columns).collect()
+            for part in ("one", "two")
+        )
+        assert len(one) == len(two) == 30 and all(r.keep_id % 2 == 0 for r in one)
+        assert any(r.keep_id % 2 == 0 for r in two) and {r.doc_id: r for r in two} == {i: whole[i] for i in range(1, 60, 2)}
+
+
+def test_exact_dedup_repeated_rows(spark):
+    """Of rows that repeat identifier and text one stays, also where they don't come from files."""
+    rows = [(1, "x"), (1, "X"), (2, "y"), (2, "z"), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_file", F.lit("clash"))
+    stay = exact_dedup.keep_one(frame)
+    assert stay.columns == frame.columns
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in stay.collect()), key=str) == sorted([(1, "x"), (2, "y"), (2, "z"), (None, "")], key=str)
+
+
 def test_jaccard_join_many_near_copies(spark):
     """5000 near copies are one large bucket, compared in pairs of blocks without a lost or a false link."""
     base = [f"w{i}" for i in range(120)]
