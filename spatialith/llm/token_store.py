@@ -1,19 +1,22 @@
 """Token sequences in training order, as fixed-stride binary shards.
 
 Documents are tokenised (SentencePiece, two bytes an id), each ends with an end-of-text id, and the stream of all of
-them, by identifier, is cut into sequences of ``SEQUENCE`` ids; the last one is filled up with end-of-text ids.  A keyed
-Feistel network permutes the sequences' numbers; numbers that leave the range walk on along their cycle, so the result is
-a permutation of exactly that range.  A sequence's image is its slot in training order.  Slots are dealt to shards by
-range, and a shard is its sequences in slot order without headers, so sequence k of the order lies at byte
-k % per_shard * stride of file k / per_shard, and a reader resumes anywhere by seeking.
-
-Scale: tokens are stored once (compressed), a document's place in the stream is a prefix sum over ranges of identifiers
-(only one sum per range is added up), and two shuffles move the compressed tokens: to their place, and to their shard.
-A task holds one shard, and writes it whole under a temporary name, so that repeated tasks leave the same file.
-The query writes all shards below the shared folder and returns the slots as read back from the files.
-
-Edge cases: null and empty texts are an end-of-text id alone.  Null identifiers come first; rows that repeat an
-identifier follow each other, ordered by their tokens.  An empty table gives no sequences.  Extra columns are ignored.
+them, in the order of the table (file, then row), is cut into sequences of ``SEQUENCE`` ids; the last one is filled up
+with end-of-text ids.  A keyed Feistel network permutes the sequences' numbers; numbers that leave the range walk on
+along their cycle, so the result is a permutation of exactly that range.  A sequence's image is its slot in training
+order.  Slots are dealt to shards by range, and a shard is its sequences in slot order without headers, so sequence k of
+the order lies at byte k % per_shard * stride of file k / per_shard, and a reader resumes anywhere by seeking.
+
+Scale: tokens are stored once (compressed) and shuffled once, to the range of shards that a task writes.  A task that
+tokenises counts its tokens as it goes, so a document's place in the stream needs only the sums of the tasks before
+(one row a task and file, added up in one window, and joined to the tokens).  Ranges hold ``SHARDS_A_TASK`` shards,
+however large the corpus, and go to tasks by their number, so none is empty or doubly full.  Shards are written under a
+temporary name and moved, so that repeated tasks leave the same file.  The query writes all shards below the shared
+folder and returns the slots as read back from the files.
+
+Edge cases: null and empty texts are an end-of-text id alone.  Identifiers play no part, so null and repeated ones are
+harmless.  Rows that don't come straight from files are stored first, in the order in which they come.  An empty table
+gives no sequences.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +32,16 @@ from pyspark.sql import Window as W
 from . import textbatch as B
 from .jaccard_join import whole_groups
 from .pieces import Vocabulary, encode_chunks, worker_encoder
-from .store import Scratch, table
+from .store import Scratch, located, table
 
 SEQUENCE = 1024
 STRIDE = 2 * SEQUENCE
 PER_SHARD = 1024
-#: Files of two megabytes that a task reads back.
+#: Files of two megabytes that a task writes, and reads back.
 SHARDS_A_TASK = 8
+#: Documents whose tokens train the compression dictionary, and its bytes.
+DICTIONARY_DOCS = 2000
+DICTIONARY_BYTES = 1 << 16
 KEY = 0x5EED_0F_0DDC0FFEE
 END_ID = 2
 FEISTEL_ROUNDS = 6
@@ -57,66 +63,106 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _pack(ids: np.ndarray, squeeze) -> bytes:
-    """Two-byte ids, low bytes before high bytes, compressed."""
-    return squeeze.compress(ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes())
+class Packer:
+    """Two-byte ids, low bytes before high bytes, compressed with a dictionary that all tasks share."""
 
+    def __init__(self, dictionary: bytes = b""):
+        import zstandard
+
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        self.squeeze = zstandard.ZstdCompressor(3, dict_data=shared, write_content_size=True, write_dict_id=False)
+        self.expand = zstandard.ZstdDecompressor(dict_data=shared)
+
+    @staticmethod
+    def planes(ids: np.ndarray) -> bytes:
+        return ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        return self.squeeze.compress(self.planes(ids))
 
-def _unpack(data: bytes, expand) -> np.ndarray:
-    raw = np.frombuffer(expand.decompress(data), np.uint8)
-    return raw.reshape(2, -1).T.copy().view("<u2").ravel()
+    def unpack(self, data: bytes) -> np.ndarray:
+        raw = np.frombuffer(self.expand.decompress(data), np.uint8)
+        return raw.reshape(2, -1).T.copy().view("<u2").ravel()
 
 
-def _tokenise(vocabulary: Vocabulary, end_id: int):
+def dictionary(texts: DataFrame, vocabulary: Vocabulary, sample: int = DICTIONARY_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
+    """A compression dictionary from at most ``sample`` documents; it changes sizes alone, never a token."""
+    import zstandard
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+        encoder = worker_encoder(vocabulary)
+        for batch in batches:
+            for _, _, ids, edges in encode_chunks(encoder, batch.column(0).to_pylist()):
+                parts = [Packer.planes(ids[x : min(y, x + SEQUENCE)]) for x, y in zip(edges, edges[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["part"])
+
+    few = texts.filter(F.length("text") > 0).limit(sample)
+    parts = [bytes(r.part) for r in few.mapInArrow(run, "part binary").collect()]
+    parts = [p for p in parts if len(p) >= 8]
+    try:
+        return zstandard.train_dictionary(size, parts).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
 
-        encoder, squeeze = worker_encoder(vocabulary), zstandard.ZstdCompressor(3)
+
+def _tokenise(vocabulary: Vocabulary, end_id: int, shared: bytes):
+    """Maps (text, file, row) to (part, file, row, start, n, data): start is the place among its task's tokens of a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        encoder, packer, part = worker_encoder(vocabulary), Packer(shared), TaskContext.get().partitionId()
+        done: dict[str, tuple[int, int]] = {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for a, b, ids, edges in encode_chunks(encoder, texts):
-                data = [_pack(np.append(ids[x:y], end_id), squeeze) for x, y in zip(edges, edges[1:], strict=False)]
-                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(edges) + 1), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "data"])
+                data = [packer.pack(np.append(ids[x:y], end_id)) for x, y in zip(edges, edges[1:], strict=False)]
+                n, starts = (np.diff(edges) + 1).tolist(), []
+                for file, row, size in zip(files[a:b], rows[a:b].tolist(), n, strict=True):
+                    at, last = done.get(file, (0, -1))
+                    if row <= last:
+                        raise RuntimeError(f"rows of {file} come out of order")
+                    starts.append(at)
+                    done[file] = at + size, row
+                place = [pa.array([part] * (b - a), pa.int32()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)]
+                columns = [*place, pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "file", "row", "start", "n", "data"])
 
     return run
 
 
-def _fragments(n_sequences: int, length: int, per_shard: int, key: int):
-    """Maps (start, data) to the pieces of sequences that it fills: (shard, slot, pos, data)."""
+def _fragments(n_sequences: int, length: int, per_task: int, key: int, shared: bytes):
+    """Maps (start, data) to the pieces of sequences that it fills: (task, slot, pos, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze, expand = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+        packer = Packer(shared)
         for batch in batches:
             starts, packed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a in range(0, len(packed), 512):
                 number, pos, data = [], [], []
                 for start, raw in zip(starts[a : a + 512].tolist(), packed[a : a + 512], strict=True):
-                    ids = _unpack(raw, expand)
+                    ids = packer.unpack(raw)
                     at = 0
                     while at < len(ids):
                         seq, off = divmod(start + at, length)
                         take = min(length - off, len(ids) - at)
                         number.append(seq)
                         pos.append(off)
-                        data.append(_pack(ids[at : at + take], squeeze))
+                        data.append(raw if take == len(ids) else packer.pack(ids[at : at + take]))
                         at += take
                 slot = feistel(np.array(number, np.int64), n_sequences, key)
-                columns = [pa.array(slot // per_shard), pa.array(slot), pa.array(pos, pa.int32()), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "pos", "data"])
+                task = pa.array((slot // per_task).astype(np.int32))
+                columns = [task, pa.array(slot), pa.array(pos, pa.int32()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["task", "slot", "pos", "data"])
 
     return run
 
 
-def _assemble(length: int, per_shard: int, end_id: int):
+def _assemble(length: int, per_shard: int, end_id: int, shared: bytes):
     """Maps sorted fragments to whole sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand = zstandard.ZstdDecompressor()
+        packer = Packer(shared)
         for t, at in whole_groups(batches, ["slot"]):
             slots = t.column("slot").to_numpy()
             data = t.column("data").to_pylist()
@@ -124,7 +170,7 @@ def _assemble(length: int, per_shard: int, end_id: int):
                 hi = min(lo + 4096, len(at) - 1)
                 rows, filled = [], []
                 for x, y in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=False):
-                    ids = np.concatenate([_unpack(d, expand) for d in data[x:y]])
+                    ids = np.concatenate([packer.unpack(d) for d in data[x:y]])
                     filled.append(len(ids))
                     rows.append(np.pad(ids, (0, length - len(ids)), constant_values=end_id).astype("<u2").tobytes())
                 slot = slots[at[lo:hi]]
@@ -141,14 +187,13 @@ SEQUENCES = "shard long, slot long, byte_offset long, n_tokens int, tokens binar
 def sequences(
     docs: DataFrame,
     vocabulary: Vocabulary,
-    id_col: str = "doc_id",
     text_col: str = "text",
     length: int = SEQUENCE,
     per_shard: int = PER_SHARD,
     key: int = KEY,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """One row per sequence, partitioned by shard and sorted by slot: shard, slot, byte_offset, n_tokens, tokens.
+    """One row per sequence, partitioned by ranges of shards and sorted by slot: shard, slot, byte_offset, n_tokens, tokens.
 
     ``tokens``: ``length`` little-endian two-byte ids; ``n_tokens`` of them come from documents.
     """
@@ -156,27 +201,24 @@ def sequences(
         raise ValueError("ids must fit in two bytes")
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-store")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema[0].dataType.simpleString()
-    tokens = rows.mapInArrow(_tokenise(vocabulary, end_id), f"id {id_type}, n long, data binary")
-    tokens = scratch.keep(tokens.withColumn("row", F.monotonically_increasing_id()), "tokens")
-    by_id = [F.asc_nulls_first("id"), F.asc("tie"), F.asc("row")]
-    sizes = tokens.select("id", "n", "row", F.xxhash64("data").alias("tie")).repartitionByRange(*by_id)
-    sizes = scratch.keep(sizes.withColumn("part", F.spark_partition_id()), "sizes")
-    sums = scratch.keep(sizes.groupBy("part").agg(F.sum("n").alias("n")), "sums")
-    total = sums.agg(F.sum("n")).first()[0] or 0
+    rows = located(docs, scratch).select(F.col(f"doc.{text_col}").alias("text"), F.col("_file").alias("file"), F.col("_row").alias("row"))
+    shared = dictionary(rows.select("text"), vocabulary)
+    schema = "part int, file string, row long, start long, n long, data binary"
+    tokens = scratch.keep(rows.mapInArrow(_tokenise(vocabulary, end_id, shared), schema), "tokens")
+    runs = tokens.groupBy("part", "file").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    runs = scratch.keep(runs, "runs")
+    total = runs.agg(F.sum("n")).first()[0] or 0
     if not total:
         return spark.createDataFrame([], SEQUENCES)
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("part").orderBy(*by_id).rowsBetween(W.unboundedPreceding, 0)
-    starts = sizes.withColumn("upto", F.sum("n").over(within)).join(bases, "part")
-    starts = starts.select("row", (F.col("base") + F.col("upto") - F.col("n")).alias("start"))
-    placed = tokens.select("row", "data").join(starts, "row").select("start", "data")
+    before = W.orderBy("file", "row").rowsBetween(W.unboundedPreceding, -1)
+    bases = scratch.keep(runs.select("part", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    placed = tokens.select("part", "file", "start", "data").join(bases, ["part", "file"])
+    placed = placed.select((F.col("base") + F.col("start")).alias("start"), "data")
     n_sequences = (total + length - 1) // length
-    pieces = placed.mapInArrow(_fragments(n_sequences, length, per_shard, key), "shard long, slot long, pos int, data binary")
-    dealt = pieces.repartition("shard").sortWithinPartitions("shard", "slot", "pos")
-    return dealt.mapInArrow(_assemble(length, per_shard, end_id), SEQUENCES)
+    per_task = per_shard * SHARDS_A_TASK
+    pieces = placed.mapInArrow(_fragments(n_sequences, length, per_task, key, shared), "task int, slot long, pos int, data binary")
+    dealt = pieces.repartitionById(-(-n_sequences // per_task), F.col("task")).sortWithinPartitions("slot", "pos")
+    return dealt.select("slot", "data").mapInArrow(_assemble(length, per_shard, end_id, shared), SEQUENCES)
 
 
 def _write_files(uri: str):
@@ -216,14 +258,17 @@ def _write_files(uri: str):
 def write_shards(rows: DataFrame, uri: str, dealt: bool = False) -> DataFrame:
     """Write ``sequences`` as files below ``uri`` (a folder that all executors share); the manifest, one row a shard.
 
-    ``dealt``: the rows come straight from ``sequences``, so each shard is whole and sorted in one task already.
+    ``dealt``: the rows come straight from ``sequences``, so each shard is whole and sorted in one task already; other
+    rows go to tasks by ranges of shards again.
     """
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
     if not dealt:
-        rows = rows.repartition("shard").sortWithinPartitions("shard", "slot")
+        most = rows.agg(F.max("shard")).first()[0] or 0
+        task = F.floor(F.col("shard") / SHARDS_A_TASK).cast("int")
+        rows = rows.repartitionById(most // SHARDS_A_TASK + 1, task).sortWithinPartitions("shard", "slot")
     schema = "shard long, path string, first_slot long, n_sequences long, n_tokens long, sha256 string"
     manifest = rows.mapInArrow(_write_files(uri), schema)
     return Scratch(rows.sparkSession, "token-manifest").keep(manifest, "manifest")

@@ -378,7 +378,7 @@ def test_feistel_is_a_permutation():
 
 
 def test_token_store_files(spark, tmp_path):
-    docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
     uri = f"file://{tmp_path}/shards"
     vocabulary = pieces.Vocabulary()
     rows = token_store.sequences(table(spark, SF, "documents"), vocabulary, length=256, per_shard=64)
