@@ -21,7 +21,7 @@ gives no sequences.  Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ STRIDE = 2 * SEQUENCE
 PER_SHARD = 1024
 #: Files of two megabytes that a task writes, and reads back.
 SHARDS_A_TASK = 8
-#: Documents whose tokens train the compression dictionary, and its bytes.
-DICTIONARY_DOCS = 2000
+#: Documents from whose tokens the compression is set up, and bytes of its dictionary.
+SAMPLE_DOCS = 2000
 DICTIONARY_BYTES = 1 << 16
 KEY = 0x5EED_0F_0DDC0FFEE
 END_ID = 2
@@ -64,54 +64,62 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 class Packer:
-    """Two-byte ids, low bytes before high bytes, compressed with a dictionary that all tasks share."""
+    """Two-byte ranks of ids by frequency, low bytes before high bytes, compressed with a dictionary that all tasks share."""
 
-    def __init__(self, dictionary: bytes = b""):
+    def __init__(self, ids_by_rank: np.ndarray, dictionary: bytes = b""):
         import zstandard
 
+        self.ids = ids_by_rank
+        self.rank = np.empty(len(self.ids), "<u2")
+        self.rank[self.ids] = np.arange(len(self.ids))
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.squeeze = zstandard.ZstdCompressor(3, dict_data=shared, write_content_size=True, write_dict_id=False)
         self.expand = zstandard.ZstdDecompressor(dict_data=shared)
 
-    @staticmethod
-    def planes(ids: np.ndarray) -> bytes:
-        return ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    def planes(self, ids: np.ndarray) -> bytes:
+        return self.rank[ids].view(np.uint8).reshape(-1, 2).T.tobytes()
 
     def pack(self, ids: np.ndarray) -> bytes:
         return self.squeeze.compress(self.planes(ids))
 
     def unpack(self, data: bytes) -> np.ndarray:
         raw = np.frombuffer(self.expand.decompress(data), np.uint8)
-        return raw.reshape(2, -1).T.copy().view("<u2").ravel()
+        return self.ids[raw.reshape(2, -1).T.copy().view("<u2").ravel()]
 
 
-def dictionary(texts: DataFrame, vocabulary: Vocabulary, sample: int = DICTIONARY_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A compression dictionary from at most ``sample`` documents; it changes sizes alone, never a token."""
+def packing(rows: DataFrame, vocabulary: Vocabulary, sample: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> tuple:
+    """What ``Packer`` is made of, from about ``sample`` documents by hash of their places; it changes sizes alone."""
     import zstandard
 
+    n_ids = len(vocabulary.out_at) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
         for batch in batches:
             for _, _, ids, edges in encode_chunks(encoder, batch.column(0).to_pylist()):
-                parts = [Packer.planes(ids[x : min(y, x + SEQUENCE)]) for x, y in zip(edges, edges[1:], strict=False)]
+                parts = [ids[x : min(y, x + SEQUENCE)].astype("<u2").tobytes() for x, y in zip(edges, edges[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["part"])
 
-    few = texts.filter(F.length("text") > 0).limit(sample)
-    parts = [bytes(r.part) for r in few.mapInArrow(run, "part binary").collect()]
-    parts = [p for p in parts if len(p) >= 8]
+    share = max(1, rows.count() // sample)
+    few = rows.filter(F.pmod(F.xxhash64("file", "row"), F.lit(share)) == 0).select("text")
+    parts = sorted(bytes(r.part) for r in few.mapInArrow(run, "part binary").collect())
+    parts = [np.frombuffer(p, "<u2") for p in parts if len(p) >= 8]
+    count = np.bincount(np.concatenate(parts), minlength=n_ids) if parts else np.zeros(n_ids, int)
+    by_rank = np.argsort(-count, kind="stable").astype("<u2")
+    plain = Packer(by_rank)
     try:
-        return zstandard.train_dictionary(size, parts).as_bytes()
+        return by_rank, zstandard.train_dictionary(size, [plain.planes(p) for p in parts]).as_bytes()
     except zstandard.ZstdError:  # too little to learn from
-        return b""
+        return by_rank, b""
 
 
-def _tokenise(vocabulary: Vocabulary, end_id: int, shared: bytes):
+def _tokenise(vocabulary: Vocabulary, end_id: int, shared: tuple):
     """Maps (text, file, row) to (part, file, row, start, n, data): start is the place among its task's tokens of a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer, part = worker_encoder(vocabulary), Packer(shared), TaskContext.get().partitionId()
+        encoder, packer, part = worker_encoder(vocabulary), Packer(*shared), TaskContext.get().partitionId()
         done: dict[str, tuple[int, int]] = {}
         for batch in batches:
             texts, files, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
@@ -131,11 +139,11 @@ def _tokenise(vocabulary: Vocabulary, end_id: int, shared: bytes):
     return run
 
 
-def _fragments(n_sequences: int, length: int, per_task: int, key: int, shared: bytes):
+def _fragments(n_sequences: int, length: int, per_task: int, key: int, shared: tuple):
     """Maps (start, data) to the pieces of sequences that it fills: (task, slot, pos, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(shared)
+        packer = Packer(*shared)
         for batch in batches:
             starts, packed = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a in range(0, len(packed), 512):
@@ -158,16 +166,16 @@ def _fragments(n_sequences: int, length: int, per_task: int, key: int, shared: b
     return run
 
 
-def _assemble(length: int, per_shard: int, end_id: int, shared: bytes):
+def _assemble(length: int, per_shard: int, end_id: int, shared: tuple):
     """Maps sorted fragments to whole sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(shared)
+        packer = Packer(*shared)
         for t, at in whole_groups(batches, ["slot"]):
             slots = t.column("slot").to_numpy()
             data = t.column("data").to_pylist()
-            for lo in range(0, len(at) - 1, 4096):
-                hi = min(lo + 4096, len(at) - 1)
+            for lo in range(0, len(at) - 1, 1024):
+                hi = min(lo + 1024, len(at) - 1)
                 rows, filled = [], []
                 for x, y in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=False):
                     ids = np.concatenate([packer.unpack(d) for d in data[x:y]])
@@ -184,32 +192,26 @@ def _assemble(length: int, per_shard: int, end_id: int, shared: bytes):
 SEQUENCES = "shard long, slot long, byte_offset long, n_tokens int, tokens binary"
 
 
-def sequences(
-    docs: DataFrame,
-    vocabulary: Vocabulary,
-    text_col: str = "text",
-    length: int = SEQUENCE,
-    per_shard: int = PER_SHARD,
-    key: int = KEY,
-    end_id: int = END_ID,
-) -> DataFrame:
-    """One row per sequence, partitioned by ranges of shards and sorted by slot: shard, slot, byte_offset, n_tokens, tokens.
+def _dealt(
+    docs: DataFrame, vocabulary: Vocabulary, text_col: str, length: int, per_shard: int, key: int, end_id: int
+) -> tuple[DataFrame, Callable] | None:
+    """Fragments sorted by slot in the task that owns their range of shards, and the map that makes them sequences.
 
-    ``tokens``: ``length`` little-endian two-byte ids; ``n_tokens`` of them come from documents.
+    None if there are no documents.
     """
     if len(vocabulary.out_at) - 1 > 1 << 16:
         raise ValueError("ids must fit in two bytes")
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-store")
     rows = located(docs, scratch).select(F.col(f"doc.{text_col}").alias("text"), F.col("_file").alias("file"), F.col("_row").alias("row"))
-    shared = dictionary(rows.select("text"), vocabulary)
+    shared = packing(rows, vocabulary)
     schema = "part int, file string, row long, start long, n long, data binary"
     tokens = scratch.keep(rows.mapInArrow(_tokenise(vocabulary, end_id, shared), schema), "tokens")
     runs = tokens.groupBy("part", "file").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
     runs = scratch.keep(runs, "runs")
     total = runs.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return spark.createDataFrame([], SEQUENCES)
+        return None
     before = W.orderBy("file", "row").rowsBetween(W.unboundedPreceding, -1)
     bases = scratch.keep(runs.select("part", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     placed = tokens.select("part", "file", "start", "data").join(bases, ["part", "file"])
@@ -218,7 +220,27 @@ def sequences(
     per_task = per_shard * SHARDS_A_TASK
     pieces = placed.mapInArrow(_fragments(n_sequences, length, per_task, key, shared), "task int, slot long, pos int, data binary")
     dealt = pieces.repartitionById(-(-n_sequences // per_task), F.col("task")).sortWithinPartitions("slot", "pos")
-    return dealt.select("slot", "data").mapInArrow(_assemble(length, per_shard, end_id, shared), SEQUENCES)
+    return dealt.select("slot", "data"), _assemble(length, per_shard, end_id, shared)
+
+
+def sequences(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    text_col: str = "text",
+    length: int = SEQUENCE,
+    per_shard: int = PER_SHARD,
+    key: int = KEY,
+    end_id: int = END_ID,
+) -> DataFrame:
+    """One row per sequence, partitioned by ranges of shards and sorted by slot: shard, slot, byte_offset, n_tokens, tokens.
+
+    ``tokens``: ``length`` little-endian two-byte ids; ``n_tokens`` of them come from documents.
+    """
+    found = _dealt(docs, vocabulary, text_col, length, per_shard, key, end_id)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], SEQUENCES)
+    rows, assemble = found
+    return rows.mapInArrow(assemble, SEQUENCES)
 
 
 def _write_files(uri: str):
@@ -255,23 +277,23 @@ def _write_files(uri: str):
     return run
 
 
-def write_shards(rows: DataFrame, uri: str, dealt: bool = False) -> DataFrame:
-    """Write ``sequences`` as files below ``uri`` (a folder that all executors share); the manifest, one row a shard.
+MANIFEST = "shard long, path string, first_slot long, n_sequences long, n_tokens long, sha256 string"
 
-    ``dealt``: the rows come straight from ``sequences``, so each shard is whole and sorted in one task already; other
-    rows go to tasks by ranges of shards again.
-    """
+
+def _folder(uri: str) -> None:
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
     store.create_dir(root, recursive=True)
-    if not dealt:
-        most = rows.agg(F.max("shard")).first()[0] or 0
-        task = F.floor(F.col("shard") / SHARDS_A_TASK).cast("int")
-        rows = rows.repartitionById(most // SHARDS_A_TASK + 1, task).sortWithinPartitions("shard", "slot")
-    schema = "shard long, path string, first_slot long, n_sequences long, n_tokens long, sha256 string"
-    manifest = rows.mapInArrow(_write_files(uri), schema)
-    return Scratch(rows.sparkSession, "token-manifest").keep(manifest, "manifest")
+
+
+def write_shards(rows: DataFrame, uri: str) -> DataFrame:
+    """Write ``sequences`` as files below ``uri`` (a folder that all executors share); the manifest, one row a shard."""
+    _folder(uri)
+    most = rows.agg(F.max("shard")).first()[0] or 0
+    task = F.floor(F.col("shard") / SHARDS_A_TASK).cast("int")
+    rows = rows.repartitionById(most // SHARDS_A_TASK + 1, task).sortWithinPartitions("shard", "slot")
+    return Scratch(rows.sparkSession, "token-manifest").keep(rows.mapInArrow(_write_files(uri), MANIFEST), "manifest")
 
 
 def read_slots(uri: str, first: int, end: int, length: int = SEQUENCE, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
@@ -325,8 +347,16 @@ def read_shards(manifest: DataFrame, uri: str, length: int = SEQUENCE, key: int
 
 def store(docs: DataFrame, vocabulary: Vocabulary, uri: str, length: int = SEQUENCE, per_shard: int = PER_SHARD) -> DataFrame:
     """Write all shards of ``docs`` below ``uri``; returns their slots, read back from the files."""
-    rows = sequences(docs, vocabulary, length=length, per_shard=per_shard)
-    return read_shards(write_shards(rows, uri, dealt=True), uri, length)
+    spark = docs.sparkSession
+    found = _dealt(docs, vocabulary, "text", length, per_shard, KEY, END_ID)
+    if found is None:
+        return spark.createDataFrame([], SEQUENCES)
+    rows, assemble = found
+    write = _write_files(uri)
+    _folder(uri)
+    # sequences go from the assembler to the writer within one worker
+    manifest = rows.mapInArrow(lambda batches: write(assemble(batches)), MANIFEST)
+    return read_shards(Scratch(spark, "token-manifest").keep(manifest, "manifest"), uri, length)
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
