@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spatialith.llm import exact_dedup, gru_lm, hnsw_dedup, jaccard_join, licenses, mixing, pieces, quality_crf, secrets, token_store
 from spatialith.llm import textbatch as B
-from spatialith.llm.store import table
+from spatialith.llm.store import Scratch, table
 
 SF = "/root/testdata/sf0.001"
 SF_MORE = "/root/testdata/sf0.01"
@@ -407,16 +407,93 @@ def test_token_store_query_writes_shards(spark):
     assert rows.sort_values("slot").reset_index(drop=True).equals(out)
 
 
-def test_mixing_deviation(spark):
-    weights = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.15), ("d", 0.05)], "source string, weight double")
-    shares = mixing.shares(weights, 100)
-    assert {r.source: r.share for r in shares.collect()} == {"a": 50, "b": 30, "c": 15, "d": 5}
-    plan = mixing.schedule(shares, 100).toPandas().sort_values("slot")
-    assert plan.slot.tolist() == list(range(100))
-    assert ((plan.slot >= plan.release) & (plan.slot < plan.deadline)).all()
-    for source, share in (("a", 0.5), ("b", 0.3), ("c", 0.15), ("d", 0.05)):
-        done = (plan.source == source).cumsum().to_numpy()
-        assert (abs(done - share * np.arange(1, 101)) < 1).all()
+def fluid_windows(weights, blocks):
+    """Release and deadline of every block, by fluid service that shares each slot by weight among sources that last."""
+    share, size = np.array(weights) / sum(weights), np.array(blocks, float)
+
+    def slot(x):
+        return float(np.minimum(share * x, size).sum())
+
+    return [
+        [(math.floor(slot(k / w) + 1e-6), math.ceil(slot((k + 1) / w) - 1e-6)) for k in range(n)]
+        for w, n in zip(share, blocks, strict=True)
+    ]
+
+
+def earliest_deadline_first(windows):
+    done, out = [0] * len(windows), []
+    for t in range(sum(map(len, windows))):
+        due = [(w[k][1], i) for i, (w, k) in enumerate(zip(windows, done, strict=True)) if k < len(w) and w[k][0] <= t]
+        i = min(due)[1]
+        out.append((i, done[i]))
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("case", ["halves", "pareto", "many"])
+def test_mixing_schedule(spark, case):
+    """Inexact, tiny and many weights: the chunks give what one pass over all slots gives, less than a block off."""
+    rng = np.random.default_rng(12)
+    if case == "halves":
+        weights, blocks = [0.5, *[0.5 / 19] * 19, 1e-5], [400, *[20] * 19, 1]
+    elif case == "pareto":
+        weights = ((rng.pareto(1, 40) + 0.1) ** 0.7).tolist()
+        blocks = [int(x) for x in rng.integers(1, 40, 40)]
+    else:
+        weights, blocks = (rng.random(1100) + 1e-4).tolist(), [int(x) for x in rng.integers(1, 3, 1100)]
+    names = [f"s{i:05d}" for i in range(len(weights))]
+    frame = spark.createDataFrame(list(zip(names, weights, blocks, strict=True)), "source string, weight double, blocks long")
+    scratch = Scratch(spark, "test-mixing")
+    plan = mixing.schedule(mixing.windows(scratch.keep(frame, "weights"), scratch), scratch, 16 if case == "pareto" else 128)
+    got = plan.toPandas().sort_values("slot")
+    windows = fluid_windows(weights, blocks)
+    want = earliest_deadline_first(windows)
+    assert got.slot.tolist() == list(range(sum(blocks)))
+    assert list(zip(got["rank"], got.k, strict=True)) == want
+    assert all(windows[i][k][0] <= t < windows[i][k][1] for t, (i, k) in enumerate(want))
+    if case == "halves":  # while all last, the service is the weights as they are
+        share = np.array(weights) / sum(weights)
+        last = int(min(np.array(blocks) / share))
+        done = np.cumsum([np.arange(len(weights)) == i for i, _ in want[:last]], axis=0)
+        assert (abs(done - share * np.arange(1, last + 1)[:, None]) < 1).all()
+
+
+def test_mixing_checks_every_guess(spark):
+    """A chunk that starts from another state than the chunk before it leaves is scheduled again."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        weights, blocks = ((rng.pareto(1, 25) + 0.1) ** 0.7).tolist(), [int(x) for x in rng.integers(1, 12, 25)]
+        windows = fluid_windows(weights, blocks)
+        placed = set()
+        wrong = False
+        for t, job in enumerate(earliest_deadline_first(windows)):
+            if t % 8 == 0 and t:
+                reach = sorted((windows[i][k][1], i) for i in range(25) for k in range(blocks[i]) if windows[i][k][0] < t < windows[i][k][1])
+                met = sum(windows[i][k][1] <= t for i in range(25) for k in range(blocks[i]))
+                wrong |= {i for _, i in reach[: t - met]} != {i for _, i in reach if any((i, k) in placed and windows[i][k][1] > t for k in range(blocks[i]))}
+            placed.add(job)
+        if wrong:
+            break
+    assert wrong
+    names = [f"s{i:05d}" for i in range(25)]
+    frame = spark.createDataFrame(list(zip(names, weights, blocks, strict=True)), "source string, weight double, blocks long")
+    scratch = Scratch(spark, "test-mixing")
+    got = mixing.schedule(mixing.windows(scratch.keep(frame, "weights"), scratch), scratch, 8).toPandas().sort_values("slot")
+    assert list(zip(got["rank"], got.k, strict=True)) == earliest_deadline_first(windows)
+
+
+def test_mixing_weight_tables(spark):
+    """Weights that are no positive number or have no documents count for nothing; those of one source add up."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2] if i < 8 else None, "x" * 30) for i in range(12)], "doc_id long, source string, text string")
+    nan = float("nan")
+    weights = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", nan), ("z", 5.0), (None, 1.0)], "source string, weight double")
+    out = mixing.mix(docs, weights=weights, block_chars=30).toPandas()
+    assert out[out.source == "b"].slot.isna().all() and len(out) == 12
+    slots = {job: t for t, job in enumerate(earliest_deadline_first(fluid_windows([1, 3], [5, 5])))}  # null first, then a
+    for rank, own in ((0, out[out.doc_id >= 8]), (1, out[out.source == "a"])):
+        assert own.sort_values("doc_id").slot.tolist() == [slots[rank, k] for k in range(4)]
+    ordered = [r.source for r in mixing.in_order(docs, weights=weights, block_chars=30).collect()]
+    assert ordered[-4:] == ["b"] * 4
 
 
 def test_mixing_places(spark, docs):
