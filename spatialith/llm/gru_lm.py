@@ -3,17 +3,19 @@
 Tokens are words (runs of anything but ASCII white space, A-Z lower-cased) and one end token a text.  Words are told
 apart by a 64-bit hash.
 
-Counts: all training texts are counted, pre-aggregated per task and summed by word; nothing is cut off.  Words whose
-count reaches a level that at most ``SENT_WORDS`` words reach are sent to all tasks, so hot words never meet in one
-task; every other occurrence is joined with its word's count by a shuffle.
-
-Model: the ``VOCABULARY`` - 1 most frequent tokens and one name for all others.  A gated recurrent unit in numpy reads
-them; the output is factored into a softmax over classes of frequency rank and one over the words of the class.  A word
-outside the vocabulary is scored by the model as 'other', then by its smoothed count among the others, so the score is
-a probability of the text up to the hash.  Training is truncated back-propagation: each task starts from the same
-weights, takes from each of its training texts runs of windows (with state carried over the windows of a run), and the
-tasks' weights are averaged, for ``ROUNDS`` rounds.  A hash deals the runs to the rounds, so that the network learns from
-every training token once.  Scoring carries the state across windows through the complete text.
+Counts: all texts are counted, in training and in all, pre-aggregated per task and summed by word; nothing is cut off.
+The ``SENT_WORDS`` words with the greatest counts in all texts (ties by hash) are sent to all tasks, so a word that meets
+its count by a shuffle, once a text, has fewer occurrences than any of them, in held-out texts too.
+
+Model: the ``VOCABULARY`` - 1 tokens most frequent in training (ties by hash) and one name for all others.  A gated
+recurrent unit in numpy reads them; the output is factored into a softmax over classes of frequency rank and one over the
+words of the class.  A word outside the vocabulary is scored by the model as 'other', then by its smoothed count among the
+others, so the score is a probability of the text up to the hash.  Training is truncated back-propagation over runs of
+windows, with state carried over the windows of a run.  Runs go to ``ROUNDS`` rounds and, by a hash of their tokens, to
+groups of about ``GROUP_TOKENS`` tokens; in each round every group starts from the same weights and learns from its runs
+in the order of their hashes, and the groups' weights are averaged, 64 at a time.  So the network learns from every
+training token once, and its weights don't depend on how the table is partitioned.  Scoring carries the state across
+windows through the complete text.
 
 Edge cases: null text counts as empty; an empty text is the end token alone.  A null identifier is in the fold of its
 crc32, null, and counts as training.  Without training texts counts are 0 and both scores are those of a uniform guess.
@@ -24,8 +26,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +50,15 @@ WINDOW = 32
 RUN_WINDOWS = 4
 ROUNDS = 2
 TRAIN_ROWS = 256
+#: Groups whose weights are added up in one task.
+AVERAGED = 64
+#: Training tokens of all rounds that one group learns from; groups train side by side.
+GROUP_TOKENS = 1 << 22
 LEARNING_RATE = 0.01
+#: Span of logits within which exponentials of single precision keep their sums.
+FAR = 60
+#: Rows of one softmax, few enough to stay in a core's cache.
+AT_ONCE = 2048
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD_WORDS = 1_000_000
 SCORE_TOKENS = 1_000_000
@@ -67,21 +79,26 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Maps (text, held_out) to (w, c, a): a word's occurrences in training and in all texts."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        words, place = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        return words, np.bincount(place, np.concatenate([c for _, c in held]), len(words)).astype(np.int64)
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, place = np.unique(np.concatenate([w for w, _, _ in held]), return_inverse=True)
+        sums = (np.bincount(place, np.concatenate([h[k] for h in held]), len(words)).astype(np.int64) for k in (1, 2))
+        return words, *sums
 
     def out() -> pa.RecordBatch:
-        words, counts = held[0]
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["w", "c"])
+        words, train, every = held[0]
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(train), pa.array(every)], ["w", "c", "a"])
 
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts, held_out = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in B.chunks(texts):
-            held.append(np.unique(token_hashes(texts[a:b])[0], return_counts=True))
-            if sum(len(w) for w, _ in held[1:]) > HELD_WORDS / 2:
+            hashes, edges = token_hashes(texts[a:b])
+            words, place, every = np.unique(hashes, return_inverse=True, return_counts=True)
+            train = np.bincount(place, np.repeat(~held_out[a:b], np.diff(edges)), len(words)).astype(np.int64)
+            held.append((words, train, every))
+            if sum(len(w) for w, _, _ in held[1:]) > HELD_WORDS / 2:
                 held = [merged()]
                 if len(held[0][0]) > HELD_WORDS:
                     yield out()
@@ -97,7 +114,8 @@ class Words:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        by_count = np.lexsort((self.hashes, -self.counts))[: VOCABULARY - 1]
+        by_count = np.lexsort((self.hashes.view(np.int64), -self.counts))[: VOCABULARY - 1]
+        by_count = by_count[self.counts[by_count] > 0]
         self.number = np.zeros(len(order), np.int32)
         self.number[by_count] = np.arange(1, len(by_count) + 1)
         self.model_counts = np.zeros(VOCABULARY, np.int64)
@@ -113,8 +131,12 @@ class Words:
         return np.where(place >= 0, self.number[place] if len(self.number) else 0, 0)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
 
 
 class Gru:
@@ -157,51 +179,63 @@ class Gru:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
 
-    def inputs(self) -> np.ndarray:
+    def inputs(self, tokens: np.ndarray | slice = slice(None)) -> np.ndarray:
         """What each token adds to the three gates."""
-        return self.p["embed"] @ self.p["w"] + self.p["b"]
+        return self.p["embed"][tokens] @ self.p["w"] + self.p["b"]
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        rz = _sigmoid(gates[:, : 2 * HIDDEN] + h @ self.p["u"][:, : 2 * HIDDEN])
+        u = self.p["u"]
+        rz = h @ u[:, : 2 * HIDDEN]
+        rz += gates[:, : 2 * HIDDEN]
+        _sigmoid(rz)
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        c = np.tanh(gates[:, 2 * HIDDEN :] + (r * h) @ self.p["u"][:, 2 * HIDDEN :])
-        return h + z * (c - h), r, z, c
+        c = (r * h) @ u[:, 2 * HIDDEN :]
+        c += gates[:, 2 * HIDDEN :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, r, z, c
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probabilities of targets given states; with ``grads``, also adds gradients of their sum."""
-        kind, word = target // CLASSES, target % CLASSES
-        p, n = self.p, np.arange(len(target))
-        logit = h @ p["class_w"] + p["class_b"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
-        value = (logit[n, kind] - np.log(total)).astype(np.float64)
-        back = np.zeros_like(h)
-        if grads is not None:
-            d = -e / total[:, None]
-            d[n, kind] += 1
-            grads["class_w"] += h.T @ d
-            grads["class_b"] += d.sum(0)
-            back += d @ p["class_w"].T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if not len(rows):
-                continue
-            x, m = h[rows], np.arange(len(rows))
-            logit = x @ p["word_w"][k] + p["word_b"][k]
-            logit -= logit.max(1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(1)
-            value[rows] += logit[m, word[rows]] - np.log(total)
+        p = self.p
+        order = np.argsort(target // CLASSES, kind="stable")
+        kind, word, x = target[order] // CLASSES, target[order] % CLASSES, h[order]
+        found = np.empty(len(order))
+        back = np.zeros_like(x)
+
+        def softmax(rows: slice, weight: str, bias: str, at: tuple, want: np.ndarray) -> None:
+            """Adds the log-probability of ``want`` under one softmax for ``rows``, and its gradients."""
+            own, n = x[rows], np.arange(len(want))
+            e = own @ p[weight][at]
+            e += p[bias][at]
+            # one shift for all rows, unless they lie so far apart that a row's terms could vanish
+            top = e.max()
+            e -= top if top - e.min() < FAR else e.max(1, keepdims=True)
+            value = e[n, want]
+            np.exp(e, out=e)
+            total = e @ np.ones(e.shape[1], e.dtype)
+            found[rows] += value - np.log(total)
             if grads is not None:
-                d = -e / total[:, None]
-                d[m, word[rows]] += 1
-                grads["word_w"][k] += x.T @ d
-                grads["word_b"][k] += d.sum(0)
-                back[rows] += d @ p["word_w"][k].T
-        return value, back
+                e *= (-1 / total)[:, None]
+                e[n, want] += 1
+                grads[weight][at] += own.T @ e
+                grads[bias][at] += np.ones(len(e), e.dtype) @ e
+                back[rows] += e @ p[weight][at].T
+
+        found[:] = 0
+        for a in range(0, len(order), AT_ONCE):
+            rows = slice(a, a + AT_ONCE)
+            softmax(rows, "class_w", "class_b", (), kind[rows])
+        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            for a in range(cuts[k], cuts[k + 1], AT_ONCE):
+                rows = slice(a, min(a + AT_ONCE, cuts[k + 1]))
+                softmax(rows, "word_w", "word_b", (k,), word[rows])
+        value, out = np.empty(len(order)), np.empty_like(back)
+        value[order], out[order] = found, back
+        return value, out
 
     def score(self, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Natural log-probability of each whole sequence; sequences advance together, state carried to the end."""
@@ -218,12 +252,13 @@ class Gru:
                 k = int(np.searchsorted(-size, -t, side="left"))  # sequences with more than t tokens
                 if not k:
                     break
-                h[:k] = self.step(table_[before[:k]], h[:k])[0]
-                target = tokens[first[:k] + t]
-                states.append(h[:k].copy())
-                targets.append(target)
+                h = self.step(table_[before[:k]], h[:k])[0]
+                before = tokens[first[:k] + t]
+                states.append(h)
+                targets.append(before)
                 rows.append(np.arange(k))
-                before[:k] = target
+            if not states:
+                break
             value, _ = self.log_prob(np.concatenate(states), np.concatenate(targets))
             total += np.bincount(np.concatenate(rows), value, len(total))
         out = np.empty(len(order))
@@ -232,34 +267,45 @@ class Gru:
 
     def train_window(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients over one window (rows by steps), truncated at its start, and the state after it."""
-        p = self.p
+        p, u = self.p, self.p["u"]
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        tape = []
-        for t in range(x.shape[1]):
-            gates = p["embed"][x[:, t]] @ p["w"] + p["b"]
-            new, r, z, c = self.step(gates, h)
-            tape.append((h, r, z, c, new))
-            h = new
-        states = np.stack([s[-1] for s in tape], 1)
+        seen, place = np.unique(x.T, return_inverse=True)  # each token's gates once; steps first, then rows
+        place = place.reshape(x.shape[::-1])
+        table_ = self.inputs(seen)
+        steps = *place.shape, HIDDEN
+        hs = np.empty((steps[0] + 1, *steps[1:]), h.dtype)
+        rs, zs, cs = (np.empty(steps, h.dtype) for _ in range(3))
+        hs[0] = h
+        for t, now in enumerate(place):
+            hs[t + 1], rs[t], zs[t], cs[t] = self.step(table_[now], hs[t])
+        olds, states, h = hs[:-1], hs[1:], hs[-1].copy()
         back = np.zeros_like(states)
-        back[mask] = self.log_prob(states[mask], y[mask], grads)[1]
+        back[mask.T] = self.log_prob(states[mask.T], y.T[mask.T], grads)[1]
+        # what doesn't depend on later steps, for all steps together
+        to_c, to_z, to_r, keep = zs * (1 - cs * cs), (cs - olds) * zs * (1 - zs), olds * rs * (1 - rs), 1 - zs
+        d = np.empty((*states.shape[:2], 3 * HIDDEN), states.dtype)
+        back_rz, back_c = np.ascontiguousarray(u[:, : 2 * HIDDEN].T), np.ascontiguousarray(u[:, 2 * HIDDEN :].T)
         dh = np.zeros_like(h)
-        u = p["u"]
-        for t in range(x.shape[1] - 1, -1, -1):
-            old, r, z, c, _ = tape[t]
-            dh = dh + back[:, t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - old) * z * (1 - z)
-            drh = dc @ u[:, 2 * HIDDEN :].T
-            dr = drh * old * r * (1 - r)
-            d = np.concatenate([dr, dz, dc], 1)
-            grads["u"][:, : 2 * HIDDEN] += old.T @ d[:, : 2 * HIDDEN]
-            grads["u"][:, 2 * HIDDEN :] += (r * old).T @ dc
-            e = p["embed"][x[:, t]]
-            grads["w"] += e.T @ d
-            grads["b"] += d.sum(0)
-            np.add.at(grads["embed"], x[:, t], d @ p["w"].T)
-            dh = dh * (1 - z) + drh * r + d[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
+        for t in range(len(place) - 1, -1, -1):
+            dh += back[t]
+            dc = dh * to_c[t]
+            drh = dc @ back_c
+            d[t, :, :HIDDEN] = drh * to_r[t]
+            d[t, :, HIDDEN : 2 * HIDDEN] = dh * to_z[t]
+            d[t, :, 2 * HIDDEN :] = dc
+            dh *= keep[t]
+            drh *= rs[t]
+            dh += drh
+            dh += d[t, :, : 2 * HIDDEN] @ back_rz
+        d, olds, rs = d.reshape(-1, 3 * HIDDEN), olds.reshape(-1, HIDDEN), rs.reshape(-1, HIDDEN)
+        grads["u"][:, : 2 * HIDDEN] = olds.T @ d[:, : 2 * HIDDEN]
+        grads["u"][:, 2 * HIDDEN :] = (rs * olds).T @ d[:, 2 * HIDDEN :]
+        order = np.argsort(place.ravel(), kind="stable")
+        first = np.searchsorted(place.ravel()[order], np.arange(len(seen)))
+        by_token = np.add.reduceat(d[order], first, axis=0)
+        grads["b"] += np.ones(len(seen), d.dtype) @ by_token
+        grads["w"] += p["embed"][seen].T @ by_token
+        grads["embed"][seen] = by_token @ p["w"].T
         return grads, h
 
     def train(self, runs: Iterator[np.ndarray]) -> int:
@@ -285,11 +331,20 @@ class Gru:
                 seen += n
                 norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
                 scale = 1 / n / max(1.0, norm)
+                rate, spread = LEARNING_RATE / (1 - 0.9**step), 1 / math.sqrt(1 - 0.99**step)
                 for k, g in grads.items():
-                    g = g * scale
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] = self.p[k] + LEARNING_RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+                    g *= 0.1 * scale
+                    m[k] *= 0.9
+                    m[k] += g
+                    g *= g
+                    v[k] *= 0.99
+                    v[k] += g  # a hundredth of the squared gradient
+                    np.sqrt(v[k], out=g)
+                    g *= spread
+                    g += 1e-6
+                    np.divide(m[k], g, out=g)
+                    g *= rate
+                    self.p[k] += g
         return seen
 
 
@@ -304,68 +359,85 @@ def _batches(items: Iterator, n: int) -> Iterator[list]:
         yield held
 
 
-def _train_runs(words: Words, part: int, rounds: int):
-    """Runs of windows of a task's texts that round ``part`` learns from: a hash of a run's tokens gives it one round."""
+def _training_runs(words: Words, rounds: int, groups: int):
+    """Maps texts to (round, g, h, tokens): their runs of windows, dealt by a hash of their tokens and place in the text."""
     span = WINDOW * RUN_WINDOWS
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in B.chunks(texts):
                 hashes, edges = token_hashes(texts[a:b])
-                numbers = words.numbers(words.find(hashes))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)])
+                numbers = words.numbers(words.find(hashes)).astype("<u2")
                 count = (np.diff(edges) + span - 1) // span
-                first = np.repeat(edges[:-1], count) + span * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                first = np.repeat(edges[:-1], count) + span * place
                 last = np.minimum(first + span, np.repeat(edges[1:], count))
-                draw = B.mix64(sums[last] - sums[first]) % np.uint64(rounds)
-                for i in np.flatnonzero(draw == part):
-                    yield numbers[first[i] : last[i]]
+                mixed = B.mix64(hashes + (np.arange(len(hashes), dtype=np.uint64) - np.repeat(edges[:-1], np.diff(edges)).astype(np.uint64)))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+                h = B.mix64(sums[last] - sums[first])
+                part, g = h % np.uint64(rounds), (h >> np.uint64(8)) % np.uint64(groups)
+                tokens = [numbers[x:y].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                columns = [pa.array(part.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(h.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.binary())], ["round", "g", "h", "tokens"])
+
+    return run
+
 
-    return runs
+TRAINED = "g int, seen double, total binary"
 
 
-def _local_round(net_flat: np.ndarray, words: Words, part: int, rounds: int):
-    runs = _train_runs(words, part, rounds)
+def _train_groups(net_flat: np.ndarray):
+    """Maps (g, tokens), sorted by group, to each group's weights times the tokens that it learned from."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Gru(net_flat)
-        seen = net.train(runs(batches))
-        if seen:
-            data = (net.flat().astype(np.float64) * seen).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([data], pa.binary())], ["seen", "total"])
+        rows = ((g, np.frombuffer(t, "<u2")) for b in batches for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for g, runs in groupby(rows, key=lambda r: r[0]):
+            net = Gru(net_flat)
+            seen = net.train(r.astype(np.int64) for _, r in runs)
+            yield _sums_row(g, float(seen), net.flat().astype(np.float64) * seen)
 
     return train
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, total = 0.0, None
-    for batch in batches:
-        for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(t, np.float64)
-            seen, total = seen + s, x.copy() if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()], pa.binary())], ["seen", "total"])
+def _sums_row(g: int, seen: float, total: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([g], pa.int32()), pa.array([seen]), pa.array([total.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["g", "seen", "total"])
+
 
+def _sum_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the rows of every ``AVERAGED`` groups, which come sorted."""
+    rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+    for g, own in groupby(rows, key=lambda r: r[0] // AVERAGED):
+        seen, total = 0.0, 0.0
+        for _, s, t in own:
+            seen, total = seen + s, total + np.frombuffer(t, np.float64)
+        yield _sums_row(g, seen, total)
 
-def train(docs: DataFrame, words: Words, other: int, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
-    """Weights averaged over tasks, by the tokens that each learned from; ``docs``: one column of training texts."""
+
+def train(docs: DataFrame, words: Words, other: int, tokens: int, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
+    """Weights averaged over groups, by the tokens that each learned from; ``docs``: one column of training texts."""
     net = Gru.start(words.model_counts, other)
-    schema = "seen double, total binary"
+    groups = max(1, -(-tokens // GROUP_TOKENS))
+    runs = docs.mapInArrow(_training_runs(words, rounds, groups), "round int, g int, h long, tokens binary")
+    runs = scratch.keep(runs, "runs")
     for n in range(rounds):
-        rows = docs.mapInArrow(_local_round(net.flat(), words, n, rounds), schema)
+        rows = runs.filter(F.col("round") == n).select("g", "h", "tokens").repartitionById(groups, F.col("g"))
+        rows = rows.sortWithinPartitions("g", "h", "tokens").select("g", "tokens").mapInArrow(_train_groups(net.flat()), TRAINED)
         rows = scratch.keep(rows, f"round-{n}")
-        for _ in range(2):  # sums of about the square root of the tasks each, then of those
-            parts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
-            rows = rows.coalesce(parts).mapInArrow(_sum_rows, schema)
-        got = rows.coalesce(1).mapInArrow(_sum_rows, schema).collect()
+        left = groups
+        while left > 1:
+            left = -(-left // AVERAGED)
+            rows = rows.repartitionById(left, F.floor(F.col("g") / AVERAGED).cast("int")).sortWithinPartitions("g")
+            rows = rows.mapInArrow(_sum_groups, TRAINED)
+        got = rows.collect()
         if not got:
             break
         net = Gru((np.frombuffer(got[0].total, np.float64) / got[0].seen).astype(np.float32))
     return net
 
 
-SCORED = "id {}, held_out boolean, n_tokens long, n_sent long, sum_base double, n_other long, sum_other double, net double, rest array<long>"
+SCORED = "id {}, held_out boolean, n_tokens long, n_sent long, sum_base double, n_other long, sum_other double, net double, rest array<long>, times array<int>"
 
 
 def _score(net_flat: np.ndarray, words: Words):
@@ -374,7 +446,7 @@ def _score(net_flat: np.ndarray, words: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Gru(net_flat)
         logs = np.log10(words.counts + SMOOTH)
-        names = ["id", "held_out", "n_tokens", "n_sent", "sum_base", "n_other", "sum_other", "net", "rest"]
+        names = ["id", "held_out", "n_tokens", "n_sent", "sum_base", "n_other", "sum_other", "net", "rest", "times"]
 
         def out(held: list) -> pa.RecordBatch:
             hashes = np.concatenate([h for _, _, h, _ in held])
@@ -383,21 +455,28 @@ def _score(net_flat: np.ndarray, words: Words):
             owner = np.repeat(np.arange(len(sizes)), sizes)
             place = words.find(hashes)
             sent = place >= 0
+            known = sent & (words.counts[np.maximum(place, 0)] > 0) if len(logs) else sent
             number = words.numbers(place)
             value = np.where(sent, logs[np.maximum(place, 0)] if len(logs) else 0.0, 0.0)
             add = lambda x: np.bincount(owner, x, len(sizes))
-            rest = hashes[~sent].view(np.int64)
-            rest_at = np.concatenate([[0], np.cumsum(add(~sent).astype(np.int64))])
+            # other words: each once a text
+            rest, who = hashes[~sent].view(np.int64), owner[~sent]
+            by_word = np.lexsort((rest, who))
+            rest, who = rest[by_word], who[by_word]
+            first = np.flatnonzero(np.concatenate([[True] * bool(len(rest)), (rest[1:] != rest[:-1]) | (who[1:] != who[:-1])]))
+            times = np.diff(np.append(first, len(rest)))
+            rest, rest_at = rest[first], np.searchsorted(who[first], np.arange(len(sizes) + 1))
             columns = [
                 pa.concat_arrays([i for i, _, _, _ in held]),
                 pa.concat_arrays([f for _, f, _, _ in held]),
                 pa.array(sizes),
-                pa.array(add(sent).astype(np.int64)),
+                pa.array(add(known).astype(np.int64)),
                 pa.array(add(value)),
                 pa.array(add(number == 0).astype(np.int64)),
                 pa.array(add(np.where(number == 0, value, 0.0))),
                 pa.array(net.score(number, edges)),
                 pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.array(rest)),
+                pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.array(times, pa.int32())),
             ]
             return pa.RecordBatch.from_arrays(columns, names)
 
@@ -424,33 +503,31 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     training = rows.filter("not held_out").select("text")
-    counts = training.mapInArrow(_count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    counts = scratch.keep(counts, "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_train, v_train = total.n or 0, total.v
-    # the least count that at most SENT_WORDS words reach
-    level, above = None, 0
-    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("c"))
-    for r in by_count.toLocalIterator():
-        above += r.words
-        if above > SENT_WORDS:
-            break
-        level = r.c
-    sent = counts.filter(F.col("c") >= level).toPandas() if level else counts.limit(0).toPandas()
+    counts = rows.select("text", "held_out").mapInArrow(_count, "w long, c long, a long")
+    counts = scratch.keep(counts.groupBy("w").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "counts")
+    total = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    n_train, v_train = total.n or 0, total.v or 0
+    sent = counts.orderBy(F.desc("a"), "w").limit(SENT_WORDS).toPandas()
+    model = counts.filter("c > 0").orderBy(F.desc("c"), "w").limit(VOCABULARY - 1).toPandas()
+    least = sent.iloc[-1] if len(sent) == SENT_WORDS else None
+    sent = pd.concat([sent, model]).drop_duplicates("w")
     words = Words(sent.w.to_numpy(np.int64).view(np.uint64), sent.c.to_numpy(np.int64))
     in_model = int(words.model_counts.sum())
     n_other, v_other = n_train - in_model, v_train - int((words.model_counts > 0).sum())
-    net = train(training, words, n_other, scratch)
+    net = train(training, words, n_other, n_train, scratch)
 
     id_type = rows.schema["id"].dataType.simpleString()
     scored = rows.mapInArrow(_score(net.flat(), words), SCORED.format(id_type))
     scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = scored.select("row", F.explode("rest").alias("w"))
-    rare = counts.filter(F.col("c") < level) if level else counts
-    met = rest.join(rare, "w", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("sum_rest"), F.count("c").alias("n_rest")
+    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("w"), "r.times")
+    # the words that were not sent
+    after = (F.col("a") < int(least.a)) | ((F.col("a") == int(least.a)) & (F.col("w") > int(least.w))) if least is not None else F.lit(False)
+    met = rest.join(counts.filter(after).select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = met.groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("sum_rest"),
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rest"),
     )
-    out = scored.drop("rest").join(met, "row", "left")
+    out = scored.drop("rest", "times").join(met, "row", "left")
     sum_rest, n_rest = F.coalesce("sum_rest", F.lit(0.0)), F.coalesce("n_rest", F.lit(0))
     base = F.col("sum_base") + sum_rest - F.col("n_tokens") * F.lit(math.log10(n_train + SMOOTH * (v_train + 1)))
     others = F.col("sum_other") + sum_rest - F.col("n_other") * F.lit(math.log10(n_other + SMOOTH * (v_other + 1)))

@@ -324,6 +324,24 @@ def test_lm_learns_from_every_token(spark):
     assert sum(pd.read_parquet(f).seen.sum() for f in folder.glob("round-*")) == n > 0
 
 
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    """Scores of every text are the same from one partition and from seven, also with several groups and few sent words."""
+    monkeypatch.setattr(gru_lm, "GROUP_TOKENS", 1 << 14)
+    docs = table(spark, SF, "documents")
+    one = gru_lm.score_documents(docs.coalesce(1)).toPandas().sort_values("doc_id")
+    many = gru_lm.score_documents(docs.repartition(7)).toPandas().sort_values("doc_id")
+    assert np.allclose(one.score, many.score, rtol=1e-6) and one.n_known.tolist() == many.n_known.tolist()
+
+
+def test_lm_few_sent_words(spark, docs, monkeypatch):
+    """With ties at the cut, and most words met by a shuffle, counts are the same and the model keeps its vocabulary."""
+    want = gru_lm.op7_gru_lm(spark, SF).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(gru_lm, "SENT_WORDS", 10)
+    got = gru_lm.op7_gru_lm(spark, SF).toPandas().sort_values("doc_id")
+    assert got.n_known.tolist() == want.n_known.tolist()
+    assert np.allclose(got.base_score, want.base_score) and np.allclose(got.score, want.score, rtol=1e-6)
+
+
 def test_lm_sums_to_one():
     net = gru_lm.Gru.start(np.arange(gru_lm.VOCABULARY)[::-1].copy(), 100)
     h = np.full((gru_lm.VOCABULARY, gru_lm.HIDDEN), 0.3, np.float32)
