@@ -4,12 +4,14 @@ Equal vectors of a label collapse first and count with their multiplicity.  Each
 of about ``SHARD_ROWS`` by hash, and a layered graph is built per shard.  For every pair of a label's shards (and every
 shard with itself) each side's vectors search the other side's graph, many queries at a time in lockstep.  A search that
 comes back with nothing but links may have missed some, so its beam doubles; beyond ``WIDEST`` the query scans the whole
-shard instead, in blocks that are counted, united and forgotten.  After each pass an audit compares a fixed sample of queries with brute force, on links and on
-the nearest neighbour, and all beams double until the audit's recall is reached.  Candidates are verified by cosine in
-double precision; links are united within the task and then over all tasks.
+shard instead, in blocks that are counted, united and forgotten.  First an audit compares a fixed sample of each task's
+queries with brute force, on links and on the nearest neighbour, and the beam doubles until the audit's recall is
+reached; then all queries search with that beam.  Candidates are verified by cosine in double precision; links are
+united within the task and then over all tasks.
 
-Scale: tasks hold two shards, and at most ``WIDEST`` pairs a vector, whatever a label's size or density; every shard of a label meets every other one, in blocks, so work
-grows with the square of a label's number of shards.  Rows that leave a task are one per vector, never one per link.
+Scale: tasks hold two shards, and at most ``WIDEST`` pairs a vector, whatever a label's size or density; every shard of
+a label meets every other one, in blocks, so work grows with the square of a label's number of shards.  Rows that leave a
+task are one per vector, never one per link.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors with a
 null label or of unlike length.  A null identifier gets a null component.  Rows that repeat an identifier count as
@@ -210,24 +212,29 @@ def range_links(
     if same:
         truth[np.arange(len(audit)), audit] = -np.inf
     wanted, best = (truth >= threshold).sum(1), truth.max(1)
-    beam = FIRST_BEAM
-    while True:
-        found_q, found_x, scan, nearest = _search_all(q, graph, full, threshold, beam, same)
+    def search(rows, beam):
+        found_q, found_x, scan, nearest = _search_all(q, graph, full, threshold, beam, same, rows)
         if same:
             others = found_q != found_x
             found_q, found_x = found_q[others], found_x[others]
+        return found_q, found_x, scan, nearest
+
+    # queries don't depend on each other, so the audit's rows alone show which beam all others need
+    beam = FIRST_BEAM
+    while beam < n:
+        found_q, _, scan, nearest = search(audit, beam)
         linked = np.bincount(found_q, minlength=len(q))
         linked[scan] = np.iinfo(np.int64).max  # a scan finds all
         met = nearest[audit] >= best - SLACK
-        if np.minimum(linked[audit], wanted).sum() >= AUDIT_RECALL * wanted.sum() and met.mean() >= AUDIT_RECALL or beam >= n:
-            return found_q, found_x, scan
+        if np.minimum(linked[audit], wanted).sum() >= AUDIT_RECALL * wanted.sum() and met.mean() >= AUDIT_RECALL:
+            break
         beam *= 2
+    return search(np.arange(len(q)), beam)[:3]
 
 
-def _search_all(q, graph, full, threshold, beam, same=False):
-    """Links of all queries; queries whose whole beam is links search again with twice the beam, then are left over."""
+def _search_all(q, graph, full, threshold, beam, same, todo):
+    """Links of the queries ``todo``; queries whose whole beam is links search again with twice the beam, then are left over."""
     out_q, out_x, nearest = [], [], np.full(len(q), -np.inf)
-    todo = np.arange(len(q))
     while len(todo) and beam <= WIDEST and beam < len(full):
         again = []
         for a in range(0, len(todo), BATCH):
