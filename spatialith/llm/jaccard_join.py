@@ -44,7 +44,7 @@ SKETCH_MARGIN = 4
 SMALL = 256
 LEVELS = 3
 #: Bounds on a block of a large bucket: classes, and shingles of all of them.
-BLOCK = 512
+BLOCK = 256
 BLOCK_SHINGLES = 1 << 21
 RECALL = 0.99
 #: Buckets up to this size are compared pair by pair, larger ones by matrix products.
