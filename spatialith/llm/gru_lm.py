@@ -4,7 +4,7 @@ Tokens are words (runs of anything but ASCII white space, A-Z lower-cased) and o
 apart by a 64-bit hash.
 
 Counts: all texts are counted, in training and in all, pre-aggregated per task and summed by word; nothing is cut off.
-The ``SENT_WORDS`` words with the greatest counts in all texts (ties by hash) are sent to all tasks, so a word that meets
+About ``SENT_WORDS`` words with the greatest counts in all texts (ties by hash) are sent to all tasks, so a word that meets
 its count by a shuffle, once a text, has fewer occurrences than any of them, in held-out texts too.
 
 Model: the ``VOCABULARY`` - 1 tokens most frequent in training (ties by hash) and one name for all others.  A gated
@@ -13,7 +13,7 @@ words of the class.  A word outside the vocabulary is scored by the model as 'ot
 others, so the score is a probability of the text up to the hash.  Training is truncated back-propagation over runs of
 windows, with state carried over the windows of a run.  Runs go to ``ROUNDS`` rounds and, by a hash of their tokens, to
 groups of about ``GROUP_TOKENS`` tokens; in each round every group starts from the same weights and learns from its runs
-in the order of their hashes, and the groups' weights are averaged, 64 at a time.  So the network learns from every
+in the order of their hashes, and the groups' weights are averaged, ``AVERAGED`` at a time.  So the network learns from every
 training token once, and its weights don't depend on how the table is partitioned.  Scoring carries the state across
 windows through the complete text.
 
@@ -29,9 +29,8 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbatch as B
@@ -41,7 +40,7 @@ FOLDS = 10
 SMOOTH = 0.1
 #: Hash of the end token.
 END = np.uint64(0xE4D5E4D5E4D5E4D5)
-#: Bound on the words that are sent to all tasks: 16 bytes each.
+#: Words that are sent to all tasks, but for a few thousand at ties: 16 bytes each.
 SENT_WORDS = 1 << 18
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
@@ -51,7 +50,7 @@ RUN_WINDOWS = 4
 ROUNDS = 2
 TRAIN_ROWS = 256
 #: Groups whose weights are added up in one task.
-AVERAGED = 64
+AVERAGED = 8
 #: Training tokens of all rounds that one group learns from; groups train side by side.
 GROUP_TOKENS = 1 << 22
 LEARNING_RATE = 0.01
@@ -496,6 +495,23 @@ def _score(net_flat: np.ndarray, words: Words):
     return run
 
 
+def most_frequent(counts: DataFrame, column: str, k: int) -> Column:
+    """Whether a word is among about the ``k`` most frequent by ``column``: all above a level, and at it the least hashes.
+
+    Hashes are uniform, so a share of them cuts the ties at the level, however many; a few more than ``k`` may come.
+    """
+    above = 0
+    by_count = counts.filter(F.col(column) > 0).groupBy(column).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc(column))
+    for r in by_count.toLocalIterator():
+        if above + r.words >= k:
+            rest = k - above
+            share = min(1.0, (rest + 6 * math.sqrt(rest) + 64) / r.words)
+            last = min((1 << 63) - 1, int(share * 2**64) - (1 << 63))
+            return (F.col(column) > r[column]) | ((F.col(column) == r[column]) & (F.col("w") <= last))
+        above += r.words
+    return F.col(column) > 0
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -507,10 +523,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = scratch.keep(counts.groupBy("w").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n_train, v_train = total.n or 0, total.v or 0
-    sent = counts.orderBy(F.desc("a"), "w").limit(SENT_WORDS).toPandas()
-    model = counts.filter("c > 0").orderBy(F.desc("c"), "w").limit(VOCABULARY - 1).toPandas()
-    least = sent.iloc[-1] if len(sent) == SENT_WORDS else None
-    sent = pd.concat([sent, model]).drop_duplicates("w")
+    is_sent = most_frequent(counts, "a", SENT_WORDS)
+    sent = counts.filter(is_sent | most_frequent(counts, "c", VOCABULARY - 1)).toPandas()
     words = Words(sent.w.to_numpy(np.int64).view(np.uint64), sent.c.to_numpy(np.int64))
     in_model = int(words.model_counts.sum())
     n_other, v_other = n_train - in_model, v_train - int((words.model_counts > 0).sum())
@@ -520,9 +534,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = rows.mapInArrow(_score(net.flat(), words), SCORED.format(id_type))
     scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("w"), "r.times")
-    # the words that were not sent
-    after = (F.col("a") < int(least.a)) | ((F.col("a") == int(least.a)) & (F.col("w") > int(least.w))) if least is not None else F.lit(False)
-    met = rest.join(counts.filter(after).select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    met = rest.join(counts.filter(~is_sent).select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     met = met.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("sum_rest"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rest"),
