@@ -7,11 +7,12 @@ a logistic curve fitted on the training documents turns the evidence into a scor
 
 Lines have no labels, so training starts with each line labelled like its document, then twice relabels the lines of
 bad documents by their marginals (the worst line stays bad) and trains again.  It uses a bounded sample of labelled
-documents, ``SAMPLE_DOCS`` by hash of the identifier; features are computed on the executors, and only they reach the
-driver.  Scoring is a map over whole texts: no shuffle.
+documents, at most ``SAMPLE_DOCS`` by hash of the identifier, and of those, in that order, whole ones as long as all have
+at most ``SAMPLE_LINES`` lines together; features are computed on the executors, and only they reach the driver.  Scoring is a map over whole texts: no shuffle.
 
 Edge cases: null text counts as empty; an empty text is one empty line and gets a score like any other.  Labels that are
-null, or held out, are not learned from; without any usable label all scores are 0.5.  Repeated rows are scored one by
+null, or held out, or that contradict another label of their identifier, are not learned from; without any usable label
+all scores are 0.5.  A null identifier is not held out, and has no label.  Repeated rows are scored one by
 one.  An empty table gives an empty result.  Extra columns pass through ``score_documents``.
 """
 
@@ -30,6 +31,8 @@ from .store import table
 
 #: Bound on labelled documents that the classifier is fitted on.
 SAMPLE_DOCS = 3000
+#: Bound on their lines, of 63 numbers each.
+SAMPLE_LINES = 400_000
 THRESHOLD = 0.3
 FOLDS = 5
 N_OWN = 20
@@ -261,13 +264,32 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit a model on at most ``sample`` labelled documents outside the held-out fold."""
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE_DOCS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lines: int = SAMPLE_LINES,
+) -> Model:
+    """Fit a model on at most ``sample`` labelled documents, of ``lines`` lines, outside the held-out fold."""
     known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.filter(F.col("quality").isin(0, 1) & F.col("_id").isNotNull()).dropDuplicates(["_id"])
-    known = known.filter(fold("_id") != 0).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(known), "_id").select("quality", "text")
+    known = known.filter(F.col("quality").isin(0, 1) & F.col("_id").isNotNull() & (fold("_id") != 0))
+    known = known.groupBy("_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_other"))
+    known = known.filter("quality = _other").drop("_other").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(known), "_id").withColumn("_text", F.xxhash64("text"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    sized = rows.groupBy("_id", "_text").agg(F.max(breaks + 1).alias("n"))  # rows that repeat a text count once
+    chosen, total = [], 0
+    for r in sized.orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample).collect():
+        if total + r.n <= lines:
+            total += r.n
+            chosen.append((r["_id"], r["_text"]))
+    if not chosen:
+        return BLANK
+    use = docs.sparkSession.createDataFrame(chosen, rows.select("_id", "_text").schema)
+    rows = rows.join(F.broadcast(use), ["_id", "_text"]).dropDuplicates(["_id", "_text"]).select("quality", "text")
     got = rows.mapInArrow(_train_rows, "quality int, x binary, size binary").collect()
     got.sort(key=lambda r: (r.quality, bytes(r.x)))  # the order of rows must not change the sums
     x = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in got]
@@ -312,7 +334,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_documents(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id",
-        (fold("doc_id") == 0).alias("held_out"),
+        F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -49,7 +49,7 @@ def unmix64(x: np.ndarray) -> np.ndarray:
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """Base to the power 0..n-1 modulo 2^64, or the inverses."""
     key = "inverse" if inverse else "plain"
-    if len(_POWERS.get(key, ())) < n:
+    if key not in _POWERS or len(_POWERS[key]) < n:
         steps = np.full(max(n, CHUNK_CHARS + 1), _BASE_INV if inverse else _BASE, np.uint64)
         steps[0] = 1
         _POWERS[key] = np.cumprod(steps)

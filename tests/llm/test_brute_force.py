@@ -534,6 +534,73 @@ def test_quality_held_out(spark):
     assert both.predicted[both.quality == 1].mean() > 0.98
 
 
+def plain_score(model, text):
+    """A document's score, line by line: features, forward-backward, length-weighted mean, curve."""
+
+    def kind(c):
+        for k, chars in ((4, ".?"), (5, ",;:'\"()-"), (6, "|"), (8, "!"), (7, "#$%&*@~^<>{}[]\\/_=+`")):
+            if c in chars:
+                return k
+        if ord(c) > 0xFFFF:
+            return 9
+        return 0 if c.isupper() else 1 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 9
+
+    lines = (text or "").split("\n")
+    own = []
+    for line in lines:
+        kinds = [kind(c) for c in line]
+        n, ws, times = max(len(line), 1), re.findall(r"[^\x20\x09-\x0d]+", line), lines.count(line)
+        count = [kinds.count(k) for k in range(10)]
+        letters, m = max(count[0] + count[1], 1), max(len(ws), 1)
+        capped = [min(1, f * count[k] / n) for k, f in ((6, 10), (7, 10), (8, 10))]
+        own.append([
+            count[0] / letters, min(1, 3 * count[0] / letters), count[2] / n, count[3] / n, count[4] / n, count[5] / n, *capped,
+            count[9] / n, math.log1p(len(line)) / 6, math.log1p(len(ws)) / 4, len(set(ws)) / m, sum(len(w) <= 3 for w in ws) / m,
+            (count[0] + count[1]) / m / 10, min(1, times - 1), math.log1p(times - 1), float(bool(kinds) and kinds[-1] == 4),
+            float(len(ws) <= 2), min(1, count[4] / m * 5),
+        ])
+    none = [0.0] * 20
+    rows = []
+    for i, f in enumerate(own):
+        before, after = own[i - 1] if i else none, own[i + 1] if i + 1 < len(own) else none
+        rows.append([*f, *before, *after, 1, float(i == 0), float(i + 1 == len(own))])
+    e = np.clip(np.array(rows) @ model.weights, -30, 30)
+    step = np.exp(model.trans)
+    forward = [np.array([1 / (1 + math.exp(e[0])), 1 / (1 + math.exp(-e[0]))])]
+    for x in e[1:]:
+        a = (forward[-1] @ step) * np.array([1 / (1 + math.exp(x)), 1 / (1 + math.exp(-x))])
+        forward.append(a / a.sum())
+    backward = [np.ones(2)]
+    for x in e[:0:-1]:
+        b = step @ (np.array([1 / (1 + math.exp(x)), 1 / (1 + math.exp(-x))]) * backward[-1])
+        backward.append(b / b.sum())
+    good = [(f * b)[1] / (f * b).sum() for f, b in zip(forward, backward[::-1], strict=True)]
+    size = [max(len(x), 1) for x in lines]
+    q = min(max(float(np.dot(good, size)) / sum(size), 1e-4), 1 - 1e-4)
+    return 1 / (1 + math.exp(-(model.slope * math.log(q / (1 - q)) + model.shift)))
+
+
+def test_quality_whole_documents(spark, docs):
+    """Scores of all whole texts of the small table, and of odd ones, against the plain version."""
+    frame = spark.createDataFrame([(-i, t) for i, t in enumerate(["", None, "\n", "a\n\na\n", "Ünï 日本 😀.\nA|B!", "x" * 9000], 1)], "doc_id long, text string")
+    frame = frame.unionByName(table(spark, SF, "documents").select("doc_id", "text"))
+    model = quality_crf.train(table(spark, SF_MORE, "documents"), table(spark, SF_MORE, "labels"))
+    for r in quality_crf.score_documents(frame, model).collect():
+        assert math.isclose(r.score, plain_score(model, r.text), rel_tol=1e-3, abs_tol=1e-5), r.doc_id
+
+
+def test_quality_labels_and_bounds(spark):
+    """Order, repeats and contradictions of labels don't change the model; long documents are left out whole."""
+    docs, labels = table(spark, SF_MORE, "documents"), table(spark, SF_MORE, "labels")
+    one = quality_crf.train(docs, labels)
+    two = quality_crf.train(docs.unionByName(docs).repartition(5), labels.unionByName(labels).repartition(3))
+    assert (one.weights == two.weights).all() and one.slope == two.slope
+    turned = labels.unionByName(labels.withColumn("quality", 1 - F.col("quality")))
+    assert quality_crf.train(docs, turned) is quality_crf.BLANK
+    assert quality_crf.train(docs, labels, lines=0) is quality_crf.BLANK
+    assert quality_crf.train(docs, labels, lines=300).slope != one.slope
+
+
 def test_quality_marginals():
     """Forward-backward against all label sequences of a short chain."""
     import itertools
