@@ -37,10 +37,14 @@ def visibility(meta: DataFrame, width: int = 320, height: int = 240, margin: int
 
 
 def frame_scores(visible: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per frame: visible objects, well-cropped ones, attached pairs among them, and a score."""
-    pair = visible.alias("p").join(edges.alias("e"), F.col("p.object_id") == F.col("e.parent_id"))
-    pair = pair.join(visible.alias("c"), (F.col("c.object_id") == F.col("e.child_id")) & (F.col("c.frame_id") == F.col("p.frame_id")))
-    n_pairs = pair.groupBy(F.col("p.frame_id").alias("frame_id")).agg(F.count_if((F.col("p.bbox_ratio") >= 0.5) & (F.col("c.bbox_ratio") >= 0.5)).alias("n_pairs"))
+    """Per frame: visible objects, well-cropped ones, attached pairs among them, and a score.
+
+    Objects are known by scene and ``scene_object_id``, as in ``edges``.
+    """
+    end = lambda k: visible.select("scene_id", "frame_id", F.col("scene_object_id").alias(f"{k}_id"), F.col("bbox_ratio").alias(f"{k}_ratio"))
+    pair = edges.select("scene_id", "parent_id", "child_id").join(end("parent"), ["scene_id", "parent_id"])
+    pair = pair.join(end("child"), ["scene_id", "frame_id", "child_id"])
+    n_pairs = pair.groupBy("frame_id").agg(F.count_if((F.col("parent_ratio") >= 0.5) & (F.col("child_ratio") >= 0.5)).alias("n_pairs"))
     base = visible.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n_visible"), F.count_if(F.col("bbox_ratio") >= 0.7).alias("n_cropped"))
     out = base.join(n_pairs, "frame_id", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
     return out.withColumn("score", F.col("n_visible") + 2 * F.col("n_pairs"))

@@ -24,7 +24,7 @@ def ranked_candidates(candidates: DataFrame) -> DataFrame:
     Of equal candidates the smaller parent comes first.
     """
     order = [F.desc("confidence"), F.desc(type_priority()), F.desc("containment"), F.desc("coverage"), F.asc("gap"), F.asc("parent_id")]
-    return candidates.withColumn("rank", F.row_number().over(W.partitionBy("child_id").orderBy(*order)))
+    return candidates.withColumn("rank", F.row_number().over(W.partitionBy("scene_id", "child_id").orderBy(*order)))
 
 
 def best_parent(candidates: DataFrame) -> DataFrame:
@@ -107,10 +107,10 @@ def chain_questions(objects: DataFrame, edges: DataFrame) -> DataFrame:
     outside = tops.join(at, "scene_id").join(inside, ["scene_id", "target", "o_id"], "left_anti").join(top, ["scene_id", "target"])
     square = sum(((F.col(f"o_c{k}") - F.col(f"g_c{k}")) * (F.col(f"o_c{k}") - F.col(f"g_c{k}")) for k in "xyz"), F.lit(0.0))
     near = outside.groupBy("scene_id", "target").agg(F.min_by(F.struct("o_id", "o_label"), F.struct(square, "o_id")).alias("n"))
-    label = lambda k: objects.select(F.col("id").alias(f"{k}_id"), F.col("label").alias(f"{k}_label"))
+    label = lambda k: objects.select("scene_id", F.col("id").alias(f"{k}_id"), F.col("label").alias(f"{k}_label"))
     out = two.join(near.withColumnRenamed("target", "grandparent_id"), ["scene_id", "grandparent_id"])
     for k in ("grandparent", "parent", "grandchild"):
-        out = out.join(label(k), f"{k}_id")
+        out = out.join(label(k), ["scene_id", f"{k}_id"])
     out = out.filter("size(array_distinct(array(parent_label, grandchild_label, n.o_label))) = 3")
     return out.select(
         "scene_id",

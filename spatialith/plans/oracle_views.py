@@ -16,20 +16,20 @@ def _objects() -> str:
     parts = ", ".join(f"{c} AS c{a}, {h} AS h{a}" for c, h, a in zip(centre, half, "xyz", strict=True))
     box = ", ".join(f"{_r(f'c{a} - h{a}')} AS {a}0, {_r(f'c{a} + h{a}')} AS {a}1" for a in "xyz")
     return f"""objects AS (SELECT scene_id, id, label, cx, cy, cz, {box} FROM (
-      SELECT vec_id // 10 AS scene_id, vec_id AS id, 'label_' || label AS label, {parts} FROM embeddings))"""
+      SELECT vec_id // 10 AS scene_id, vec_id % 10 AS id, 'label_' || label AS label, {parts} FROM embeddings))"""
 
 
 _TYPE4 = "['resting_on_rigid', 'resting_on_soft', 'affixed_to', 'contained_in']"
 OBJECTS = _objects()
-EDGES = f"""edges AS (SELECT vec_id // 10 AS scene_id, (vec_id // 10) * 10 + (vec_id % 10) // 2 AS parent_id, vec_id AS child_id,
+EDGES = f"""edges AS (SELECT vec_id // 10 AS scene_id, (vec_id % 10) // 2 AS parent_id, vec_id % 10 AS child_id,
   {_TYPE4}[vec_id % 4 + 1] AS type, (vec_id * 37 % 100) / 100.0::DOUBLE AS confidence,
   (vec_id * 53 % 100) / 100.0::DOUBLE AS coverage, (vec_id * 71 % 50) / 1000.0::DOUBLE AS gap
   FROM embeddings WHERE vec_id % 10 <> 0)"""
-CANDIDATES = f"""candidate_edges AS (SELECT child_id // 10 AS scene_id, (child_id // 10) * 10 + (child_id % 10 + 10 - k) % 10 AS parent_id,
-  child_id, {_TYPE4}[(child_id + k) % 4 + 1] AS type, ((child_id * 37 + k * 11) % 5) / 5.0::DOUBLE AS confidence,
-  ((child_id * 53 + k * 7) % 4) / 4.0::DOUBLE AS coverage, ((child_id * 71 + k * 3) % 50) / 1000.0::DOUBLE AS gap,
-  ((child_id + k) % 3) / 3.0::DOUBLE AS containment, ((child_id * 3 + k) % 7) / 10.0::DOUBLE AS contact_z
-  FROM (SELECT vec_id AS child_id FROM embeddings WHERE vec_id % 10 <> 0), range(1, 4) r(k))"""
+CANDIDATES = f"""candidate_edges AS (SELECT vec_id // 10 AS scene_id, (vec_id % 10 + 10 - k) % 10 AS parent_id,
+  vec_id % 10 AS child_id, {_TYPE4}[(vec_id + k) % 4 + 1] AS type, ((vec_id * 37 + k * 11) % 5) / 5.0::DOUBLE AS confidence,
+  ((vec_id * 53 + k * 7) % 4) / 4.0::DOUBLE AS coverage, ((vec_id * 71 + k * 3) % 50) / 1000.0::DOUBLE AS gap,
+  ((vec_id + k) % 3) / 3.0::DOUBLE AS containment, ((vec_id * 3 + k) % 7) / 10.0::DOUBLE AS contact_z
+  FROM (SELECT vec_id FROM embeddings WHERE vec_id % 10 <> 0), range(1, 4) r(k))"""
 _YAW = "radians(((scene_id * 7 + frame_id * 5) % 12 * 30)::DOUBLE)"
 CAMERAS = f"""cameras AS (SELECT scene_id, frame_id, floor(sin({_YAW}) * 1e6 + 0.5) / 1e6 AS fx, floor(cos({_YAW}) * 1e6 + 0.5) / 1e6 AS fy,
   ((scene_id + frame_id) % 5 - 2)::DOUBLE AS px, ((scene_id * 3 + frame_id) % 5 - 2)::DOUBLE AS py, 1.5::DOUBLE AS pz
@@ -42,11 +42,11 @@ QUESTIONS = """questions AS (SELECT o_orderkey AS question_id, o_orderkey AS ord
   ['not visible', 'occluded', 'not occluded', 'near', 'far'][(o_orderkey * 3 + o_custkey) % 5 + 1] AS correct_value,
   (o_orderkey * 13 % 100) / 100.0::DOUBLE AS ambiguity, o_custkey % 10 AS a_id, o_orderkey % 7 AS b_id,
   o_custkey % 3 = 0 AS attached, o_orderkey % 4 = 0 AS unchanged FROM orders)"""
-PREDICTIONS = """predictions AS (SELECT l_orderkey AS question_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord,
+PREDICTIONS = """predictions AS (SELECT CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS question_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord,
   CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE substr('ABCD', ((l_orderkey * 7 + l_partkey % 3) % 4 + 1)::INT, 1) END AS prediction,
   ['B', ' (c) ', 'Answer: B', 'I think A or B', 'The answer is D.', 'no idea', '', 'Because of C', 'a)', 'option D', 'I choose A, not B'][l_partkey % 11 + 1] AS raw_response
-  FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 11 <> 0)"""
-REVIEWS = """reviews AS (SELECT d.doc_id // 40 AS frame_id, d.doc_id AS object_id, 'label_' || (d.doc_id % 7) AS label,
+  FROM lineitem)"""
+REVIEWS = """reviews AS (SELECT d.doc_id // 10 AS scene_id, d.doc_id // 40 AS frame_id, d.doc_id AS object_id, d.doc_id % 10 AS scene_object_id, 'label_' || (d.doc_id % 7) AS label,
   CASE WHEN toxic = 1 THEN 'absent' WHEN quality = 0 THEN 'unsure' WHEN quality = 1 THEN 'clear' WHEN d.doc_id % 5 = 0 THEN 'absent' WHEN d.doc_id % 9 = 0 THEN NULL ELSE 'clear' END AS status,
   (n_chars % 100) / 100.0::DOUBLE AS bbox_ratio, (n_chars % 2000)::DOUBLE AS area_px, (n_chars % 1000)::DOUBLE AS mask_px,
   (n_chars % 97) / 10.0::DOUBLE AS depth_m, d.doc_id % 3 = 0 AS has_mask, (n_chars % 330 - 5)::DOUBLE AS u, (n_chars % 250 - 5)::DOUBLE AS v

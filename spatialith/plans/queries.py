@@ -132,7 +132,7 @@ def camera_relations(spark: SparkSession, sf: str) -> DataFrame:
     O.views(O.OBJECTS, RELATIONS)
     + f""", moved AS (SELECT a.scene_id, a.id AS a_id, b.id AS b_id, {_direction(P, '(a.cx - b.cx + 1.5)', RING)} AS nd {PAIR} WHERE a.id % 2 = 0 AND b.id % 2 = 1)
   SELECT r.scene_id, r.a_id, r.b_id, r.direction AS old_direction, m.nd AS new_direction, 'direction' AS changes
-  FROM relations r JOIN moved m ON r.a_id = m.a_id AND r.b_id = m.b_id WHERE r.direction <> m.nd""",
+  FROM relations r JOIN moved m ON r.scene_id = m.scene_id AND r.a_id = m.a_id AND r.b_id = m.b_id WHERE r.direction <> m.nd""",
 )
 def relation_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Even objects move 1.5 m east; which pairs' directions change."""
@@ -257,14 +257,14 @@ _PRIO = "CASE type WHEN 'resting_on_rigid' THEN 1 WHEN 'resting_on_soft' THEN 2
 _ORDER = f"confidence DESC, {_PRIO} DESC, containment DESC, coverage DESC, gap, parent_id"
 
 
-@query("attachment_candidate_ranks", O.views(O.CANDIDATES) + f" SELECT scene_id, child_id, parent_id, row_number() OVER (PARTITION BY child_id ORDER BY {_ORDER}) AS rank FROM candidate_edges")
+@query("attachment_candidate_ranks", O.views(O.CANDIDATES) + f" SELECT scene_id, child_id, parent_id, row_number() OVER (PARTITION BY scene_id, child_id ORDER BY {_ORDER}) AS rank FROM candidate_edges")
 def attachment_candidate_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return A.ranked_candidates(S.candidate_edges(spark, sf)).select("scene_id", "child_id", "parent_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
     "attachment_best_parent",
-    O.views(O.CANDIDATES) + f" SELECT scene_id, child_id, parent_id, type, confidence FROM (SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY {_ORDER}) AS r FROM candidate_edges) WHERE r = 1",
+    O.views(O.CANDIDATES) + f" SELECT scene_id, child_id, parent_id, type, confidence FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, child_id ORDER BY {_ORDER}) AS r FROM candidate_edges) WHERE r = 1",
 )
 def attachment_best_parent(spark: SparkSession, sf: str) -> DataFrame:
     return A.best_parent(S.candidate_edges(spark, sf))
@@ -273,7 +273,7 @@ def attachment_best_parent(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "support_best_parent",
     O.views(O.CANDIDATES)
-    + f" SELECT scene_id, child_id, parent_id, type FROM (SELECT *, row_number() OVER (PARTITION BY child_id ORDER BY {_PRIO} DESC, contact_z DESC, gap, confidence DESC, coverage DESC, parent_id) AS r FROM candidate_edges) WHERE r = 1",
+    + f" SELECT scene_id, child_id, parent_id, type FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, child_id ORDER BY {_PRIO} DESC, contact_z DESC, gap, confidence DESC, coverage DESC, parent_id) AS r FROM candidate_edges) WHERE r = 1",
 )
 def support_best_parent(spark: SparkSession, sf: str) -> DataFrame:
     return A.best_support(S.candidate_edges(spark, sf))
@@ -285,7 +285,7 @@ def attachment_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _WALK = """walk(scene_id, root, id, hops) AS (SELECT scene_id, parent_id, child_id, 1 FROM edges UNION ALL
-  SELECT w.scene_id, w.root, e.child_id, w.hops + 1 FROM walk w JOIN edges e ON e.parent_id = w.id WHERE w.hops < 10)"""
+  SELECT w.scene_id, w.root, e.child_id, w.hops + 1 FROM walk w JOIN edges e ON e.scene_id = w.scene_id AND e.parent_id = w.id WHERE w.hops < 10)"""
 _MOVED = "moved AS (SELECT scene_id, id AS target, id FROM objects UNION ALL SELECT scene_id, root, id FROM walk)"
 
 
@@ -301,12 +301,12 @@ def attachment_chains(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "l3_attachment_chain",
     _recursive(O.OBJECTS, O.EDGES, _WALK, _MOVED)
-    + """, two AS (SELECT u.scene_id, u.parent_id AS g, u.child_id AS p, d.child_id AS k FROM edges u JOIN edges d ON d.parent_id = u.child_id),
-    near AS (SELECT g, arg_min(o.id, row((o.cx - t.cx) * (o.cx - t.cx) + (o.cy - t.cy) * (o.cy - t.cy) + (o.cz - t.cz) * (o.cz - t.cz), o.id)) AS n
-      FROM (SELECT DISTINCT scene_id, g FROM two) x JOIN objects t ON t.id = g JOIN objects o ON o.scene_id = x.scene_id
-      WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.target = g AND m.id = o.id) GROUP BY g)
+    + """, two AS (SELECT u.scene_id, u.parent_id AS g, u.child_id AS p, d.child_id AS k FROM edges u JOIN edges d ON d.scene_id = u.scene_id AND d.parent_id = u.child_id),
+    near AS (SELECT x.scene_id, g, arg_min(o.id, row((o.cx - t.cx) * (o.cx - t.cx) + (o.cy - t.cy) * (o.cy - t.cy) + (o.cz - t.cz) * (o.cz - t.cz), o.id)) AS n
+      FROM (SELECT DISTINCT scene_id, g FROM two) x JOIN objects t ON t.scene_id = x.scene_id AND t.id = g JOIN objects o ON o.scene_id = x.scene_id
+      WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.scene_id = x.scene_id AND m.target = g AND m.id = o.id) GROUP BY x.scene_id, g)
     SELECT two.scene_id, two.g AS grandparent_id, two.p AS parent_id, two.k AS grandchild_id, near.n AS neighbor_id, 'Both the ' || op.label || ' and the ' || ok.label AS correct_value
-    FROM two JOIN near USING (g) JOIN objects op ON op.id = two.p JOIN objects ok ON ok.id = two.k JOIN objects nn ON nn.id = near.n
+    FROM two JOIN near USING (scene_id, g) JOIN objects op ON op.scene_id = two.scene_id AND op.id = two.p JOIN objects ok ON ok.scene_id = two.scene_id AND ok.id = two.k JOIN objects nn ON nn.scene_id = two.scene_id AND nn.id = near.n
     WHERE op.label <> ok.label AND ok.label <> nn.label AND op.label <> nn.label""",
 )
 def l3_attachment_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,12 +322,12 @@ _STEPS = ", ".join(
 )
 _LEGAL = f"""steps(move, dx, dy) AS (VALUES {_STEPS}),
 room AS (SELECT scene_id, min(x0) rx0, min(y0) ry0, min(z0) rz0, max(x1) rx1, max(y1) ry1, max(z1) rz1 FROM objects GROUP BY scene_id),
-going AS (SELECT m.scene_id, m.target, s.move, s.dx, s.dy, o.id, o.x0 + s.dx AS x0, o.x1 + s.dx AS x1, o.y0 + s.dy AS y0, o.y1 + s.dy AS y1, o.z0, o.z1 FROM moved m JOIN objects o ON o.id = m.id CROSS JOIN steps s),
+going AS (SELECT m.scene_id, m.target, s.move, s.dx, s.dy, o.id, o.x0 + s.dx AS x0, o.x1 + s.dx AS x1, o.y0 + s.dy AS y0, o.y1 + s.dy AS y1, o.z0, o.z1 FROM moved m JOIN objects o ON o.scene_id = m.scene_id AND o.id = m.id CROSS JOIN steps s),
 inside AS (SELECT g.scene_id, target, move, dx, dy FROM going g JOIN room r ON r.scene_id = g.scene_id GROUP BY ALL
   HAVING bool_and(x0 >= rx0 - 1e-6 AND y0 >= ry0 - 1e-6 AND z0 >= rz0 - 1e-6 AND x1 <= rx1 + 1e-6 AND y1 <= ry1 + 1e-6 AND z1 <= rz1 + 1e-6)),
-hits AS (SELECT DISTINCT a.target, a.move FROM going a JOIN objects b ON a.scene_id = b.scene_id AND {_gap('x')} < 0 AND {_gap('y')} < 0 AND {_gap('z')} < 0
-  WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.target = a.target AND c.id = b.id)),
-legal AS (SELECT * FROM inside i WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.target = i.target AND h.move = i.move))"""
+hits AS (SELECT DISTINCT a.scene_id, a.target, a.move FROM going a JOIN objects b ON a.scene_id = b.scene_id AND {_gap('x')} < 0 AND {_gap('y')} < 0 AND {_gap('z')} < 0
+  WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.scene_id = a.scene_id AND c.target = a.target AND c.id = b.id)),
+legal AS (SELECT * FROM inside i WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.scene_id = i.scene_id AND h.target = i.target AND h.move = i.move))"""
 
 
 @query("legal_moves", _recursive(O.OBJECTS, O.EDGES, _WALK, _MOVED, _LEGAL) + " SELECT scene_id, target, move, dx, dy FROM legal")
@@ -344,9 +344,9 @@ _NEWI = _index(f"({_OY} - l.dy)", f"({_OX} - l.dx)")
     "l2_object_move",
     _recursive(O.OBJECTS, O.EDGES, _WALK, _MOVED, _LEGAL)
     + f""", turned AS (SELECT l.scene_id, l.target, l.move, l.dx, l.dy, max(least(abs({_index(_OY, _OX)} - {_NEWI}), 8 - abs({_index(_OY, _OX)} - {_NEWI}))) AS steps
-      FROM legal l JOIN moved v ON v.target = l.target JOIN objects m ON m.id = v.id JOIN objects s ON s.scene_id = l.scene_id
-      WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.target = l.target AND c.id = s.id) GROUP BY ALL)
-    SELECT scene_id, target, move, dx, dy, steps::BIGINT AS steps FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN steps >= 2 THEN 0 ELSE 1 END, move) AS r FROM turned WHERE steps >= 1) WHERE r = 1""",
+      FROM legal l JOIN moved v ON v.scene_id = l.scene_id AND v.target = l.target JOIN objects m ON m.scene_id = l.scene_id AND m.id = v.id JOIN objects s ON s.scene_id = l.scene_id
+      WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.scene_id = l.scene_id AND c.target = l.target AND c.id = s.id) GROUP BY ALL)
+    SELECT scene_id, target, move, dx, dy, steps::BIGINT AS steps FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, target ORDER BY CASE WHEN steps >= 2 THEN 0 ELSE 1 END, move) AS r FROM turned WHERE steps >= 1) WHERE r = 1""",
 )
 def l2_object_move(spark: SparkSession, sf: str) -> DataFrame:
     """Per object the first legal move that turns some pair by 90 degrees, else by 45."""
@@ -369,7 +369,7 @@ ORACLES["l2_orbit_rotation"] = _recursive(
     _MOVED,
     "turns(angle, co, si) AS (VALUES " + ", ".join(f"({a}, {G.rotation(a)[0]!r}::DOUBLE, {G.rotation(a)[1]!r}::DOUBLE)" for a in C.ORBITS) + ")",
 ) + f""" SELECT m.scene_id, m.target, q.id AS pivot, t.angle, m.id, {_cut('q.cx + (o.cx - q.cx) * co - (o.cy - q.cy) * si')} AS cx, {_cut('q.cy + (o.cx - q.cx) * si + (o.cy - q.cy) * co')} AS cy
-  FROM moved m JOIN objects o ON o.id = m.id JOIN objects q ON q.scene_id = m.scene_id CROSS JOIN turns t WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.target = m.target AND c.id = q.id)"""
+  FROM moved m JOIN objects o ON o.scene_id = m.scene_id AND o.id = m.id JOIN objects q ON q.scene_id = m.scene_id CROSS JOIN turns t WHERE NOT EXISTS (SELECT 1 FROM moved c WHERE c.scene_id = m.scene_id AND c.target = m.target AND c.id = q.id)"""
 
 _TURN3 = "turns(angle, co, si) AS (VALUES " + ", ".join(f"({a}, {G.rotation(a)[0]}::DOUBLE, {G.rotation(a)[1]}::DOUBLE)" for a in C.ROTATIONS) + ")"
 _MEAN = "mean AS (SELECT scene_id, avg(cx) mx, avg(cy) my FROM objects GROUP BY scene_id)"
@@ -380,7 +380,7 @@ _MEAN = "mean AS (SELECT scene_id, avg(cx) mx, avg(cy) my FROM objects GROUP BY
     O.views(O.OBJECTS, RELATIONS, _TURN3)
     + f""" SELECT scene_id, angle, a_id, b_id, old_direction, new_direction FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, angle ORDER BY md5(concat_ws('|', '42', angle, a_id, b_id)), a_id, b_id) AS k FROM (
       SELECT r.scene_id, t.angle, r.a_id, r.b_id, r.direction AS old_direction, {_direction('((a.cx - b.cx) * si + (a.cy - b.cy) * co)', '((a.cx - b.cx) * co - (a.cy - b.cy) * si)', RING)} AS new_direction
-      FROM relations r JOIN objects a ON a.id = r.a_id JOIN objects b ON b.id = r.b_id CROSS JOIN turns t WHERE r.a_label <> r.b_label AND r.d >= 0.5 AND r.ambiguity <= 0.7) WHERE old_direction <> new_direction) WHERE k <= 5""",
+      FROM relations r JOIN objects a ON a.scene_id = r.scene_id AND a.id = r.a_id JOIN objects b ON b.scene_id = r.scene_id AND b.id = r.b_id CROSS JOIN turns t WHERE r.a_label <> r.b_label AND r.d >= 0.5 AND r.ambiguity <= 0.7) WHERE old_direction <> new_direction) WHERE k <= 5""",
 )
 def l3_coordinate_rotation(spark: SparkSession, sf: str) -> DataFrame:
     return C.rotation_questions(S.objects(spark, sf)).select("scene_id", "angle", "a_id", "b_id", "old_direction", "new_direction")
@@ -711,7 +711,7 @@ def selector_visibility(spark: SparkSession, sf: str) -> DataFrame:
 
 _SCORES = """sc AS (SELECT frame_id, n_visible, n_cropped, coalesce(n_pairs, 0) AS n_pairs, n_visible + 2 * coalesce(n_pairs, 0) AS score FROM
   (SELECT frame_id, count(*) AS n_visible, count(*) FILTER (bbox_ratio >= 0.7) AS n_cropped FROM vis WHERE decision <> 'rejected' GROUP BY frame_id) LEFT JOIN
-  (SELECT p.frame_id, count(*) FILTER (p.bbox_ratio >= 0.5 AND c.bbox_ratio >= 0.5) AS n_pairs FROM vis p JOIN edges e ON e.parent_id = p.object_id JOIN vis c ON c.object_id = e.child_id AND c.frame_id = p.frame_id
+  (SELECT p.frame_id, count(*) FILTER (p.bbox_ratio >= 0.5 AND c.bbox_ratio >= 0.5) AS n_pairs FROM vis p JOIN edges e ON e.scene_id = p.scene_id AND e.parent_id = p.scene_object_id JOIN vis c ON c.scene_id = e.scene_id AND c.scene_object_id = e.child_id AND c.frame_id = p.frame_id
    WHERE p.decision <> 'rejected' AND c.decision <> 'rejected' GROUP BY p.frame_id) USING (frame_id))"""
 
 
@@ -791,14 +791,14 @@ def ray_visibility(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "footprint_overlaps",
-    O.views(O.OBJECTS) + f" SELECT a.id AS a_id, b.id AS b_id, round({_OVERLAP} * 1e6)::BIGINT AS overlap_mm2 {PAIR}",
+    O.views(O.OBJECTS) + f" SELECT a.scene_id, a.id AS a_id, b.id AS b_id, round({_OVERLAP} * 1e6)::BIGINT AS overlap_mm2 {PAIR}",
 )
 def footprint_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Polygon clipping of rectangular footprints, so that SQL can check it."""
     corners = lambda p: F.array(*[F.array(F.col(f"{p}x{i}"), F.col(f"{p}y{j}")) for i in (0, 1) for j in (0, 1)])
-    pair = R.pairs(S.objects(spark, sf)).select("a_id", "b_id", corners("a_").alias("a_hull"), corners("b_").alias("b_hull"))
+    pair = R.pairs(S.objects(spark, sf)).select("scene_id", "a_id", "b_id", corners("a_").alias("a_hull"), corners("b_").alias("b_hull"))
     out = K.footprint_overlaps(pair)
-    return out.select("a_id", "b_id", F.round(F.col("overlap_area") * 1e6).cast("long").alias("overlap_mm2"))
+    return out.select("scene_id", "a_id", "b_id", F.round(F.col("overlap_area") * 1e6).cast("long").alias("overlap_mm2"))
 
 
 @query("box_suppression")

@@ -23,13 +23,13 @@ def thousandth(x: Column) -> Column:
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scene_id, id, label, centre cx..cz, box x0..z1.  Ten objects a scene."""
+    """scene_id, id, label, centre cx..cz, box x0..z1.  Ten objects a scene, numbered from 0 in every scene."""
     e = lambda i: F.col("embedding")[i].cast("double")
     half = [thousandth(0.1 + F.abs(e(3)) * 5), thousandth(0.1 + F.abs(e(4)) * 5), thousandth(0.05 + F.abs(e(5)) * 3)]
     centre = [thousandth(e(0) * 20), thousandth(e(1) * 20), thousandth(F.abs(e(2)) * 8)]
     base = read(spark, sf_dir, "embeddings").select(
         F.expr("vec_id div 10").alias("scene_id"),
-        F.col("vec_id").alias("id"),
+        F.expr("vec_id % 10").alias("id"),
         F.concat(F.lit("label_"), F.col("label")).alias("label"),
         *[c.alias(f"c{a}") for c, a in zip(centre, "xyz", strict=True)],
         *[h.alias(f"h{a}") for h, a in zip(half, "xyz", strict=True)],
@@ -44,8 +44,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     child = read(spark, sf_dir, "embeddings").filter("vec_id % 10 <> 0")
     return child.selectExpr(
         "vec_id div 10 as scene_id",
-        "(vec_id div 10) * 10 + (vec_id % 10) div 2 as parent_id",
-        "vec_id as child_id",
+        "(vec_id % 10) div 2 as parent_id",
+        "vec_id % 10 as child_id",
         "element_at(array('resting_on_rigid', 'resting_on_soft', 'affixed_to', 'contained_in'), cast(vec_id % 4 as int) + 1) as type",
         "(vec_id * 37 % 100) / 100.0D as confidence",
         "(vec_id * 53 % 100) / 100.0D as coverage",
@@ -56,16 +56,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Like ``edges``, with three candidate parents (0 to 2 places before the child) for each object."""
     child = read(spark, sf_dir, "embeddings").select("vec_id").filter("vec_id % 10 <> 0")
-    return child.selectExpr("vec_id as child_id", "explode(sequence(1, 3)) as k").selectExpr(
-        "child_id div 10 as scene_id",
-        "(child_id div 10) * 10 + (child_id % 10 + 10 - k) % 10 as parent_id",
-        "child_id",
-        "element_at(array('resting_on_rigid', 'resting_on_soft', 'affixed_to', 'contained_in'), cast((child_id + k) % 4 as int) + 1) as type",
-        "((child_id * 37 + k * 11) % 5) / 5.0D as confidence",
-        "((child_id * 53 + k * 7) % 4) / 4.0D as coverage",
-        "((child_id * 71 + k * 3) % 50) / 1000.0D as gap",
-        "((child_id + k) % 3) / 3.0D as containment",
-        "((child_id * 3 + k) % 7) / 10.0D as contact_z",
+    return child.selectExpr("vec_id", "explode(sequence(1, 3)) as k").selectExpr(
+        "vec_id div 10 as scene_id",
+        "(vec_id % 10 + 10 - k) % 10 as parent_id",
+        "vec_id % 10 as child_id",
+        "element_at(array('resting_on_rigid', 'resting_on_soft', 'affixed_to', 'contained_in'), cast((vec_id + k) % 4 as int) + 1) as type",
+        "((vec_id * 37 + k * 11) % 5) / 5.0D as confidence",
+        "((vec_id * 53 + k * 7) % 4) / 4.0D as coverage",
+        "((vec_id * 71 + k * 3) % 50) / 1000.0D as gap",
+        "((vec_id + k) % 3) / 3.0D as containment",
+        "((vec_id * 3 + k) % 7) / 10.0D as contact_z",
     )
 
 
@@ -107,12 +107,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers made from line items; a question may have several, the last counts, or none."""
+    """Model answers made from all line items; a question may have several, the last counts.
+
+    Every eleventh order's answers belong to no question of the table, so that some questions have none.
+    """
     return (
         read(spark, sf_dir, "lineitem")
-        .filter("l_linenumber <= 2 and l_orderkey % 11 <> 0")
         .selectExpr(
-            "l_orderkey as question_id",
+            "case when l_orderkey % 11 = 0 then -l_orderkey else l_orderkey end as question_id",
             "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as ord",
             "case when l_suppkey % 17 = 0 then null else substring('ABCD', cast((l_orderkey * 7 + l_partkey % 3) % 4 as int) + 1, 1) end as prediction",
             "element_at(array('B', ' (c) ', 'Answer: B', 'I think A or B', 'The answer is D.', 'no idea', '', 'Because of C', 'a)', 'option D', 'I choose A, not B'), cast(l_partkey % 11 as int) + 1) as raw_response",
@@ -121,12 +123,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per frame and object a reviewer's verdict, made from documents and labels."""
+    """Per frame and object a reviewer's verdict, made from documents and labels.
+
+    ``object_id`` is the table's own, ``scene_object_id`` the one that edges use within the scene.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labels = read(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id", "left").selectExpr(
+        "doc_id div 10 as scene_id",
         "doc_id div 40 as frame_id",
         "doc_id as object_id",
+        "doc_id % 10 as scene_object_id",
         "concat('label_', doc_id % 7) as label",
         "case when toxic = 1 then 'absent' when quality = 0 then 'unsure' when quality = 1 then 'clear' when doc_id % 5 = 0 then 'absent' when doc_id % 9 = 0 then null else 'clear' end as status",
         "(n_chars % 100) / 100.0D as bbox_ratio",
