@@ -126,7 +126,7 @@ def in_image(u: Column, v: Column, width: int, height: int, margin: int = 0) ->
 
 
 def vertical_tolerance(a_height: Column, b_height: Column) -> Column:
-    """How far apart surfaces may be that still touch; b rests on a."""
+    """How far apart surfaces may be that still touch; a rests on b."""
     soft = F.least(F.greatest(0.02 + 0.05 * b_height, F.lit(0.03)), F.lit(0.10))
     return F.least(soft, F.greatest(0.30 * a_height, F.lit(0.03)))
 
@@ -169,3 +169,14 @@ def shoelace(polygon: Column) -> Column:
     turned = F.concat(F.slice(polygon, 2, n), F.slice(polygon, 1, 1))
     cross = F.zip_with(polygon, turned, lambda p, q: p[0] * q[1] - q[0] * p[1])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2
+
+
+def camera_heading(fx: Column, fy: Column) -> Column:
+    """Compass point of a camera's view; north if it looks straight up or down."""
+    return F.when(F.hypot(fx, fy) < 1e-6, "north").otherwise(ring_direction(fy, fx, CARDINAL))
+
+
+def sample_count(area: Column, least_area: Column, base: int) -> Column:
+    """Surface samples of an object: ``base`` for the smallest, more by the square root of the area."""
+    scale = F.sqrt(F.greatest(area / least_area, F.lit(1.0)))
+    return F.coalesce(F.greatest(F.lit(base), F.ceil(base * scale)), F.lit(base)).cast("long")

@@ -69,6 +69,18 @@ def stride(frames: DataFrame, group: str, order: str) -> DataFrame:
     return rows.filter(F.col("_i") % step == 0).drop("_n", "_i")
 
 
+def every_nth(frames: DataFrame, group: str, order: str, n: int = 3) -> DataFrame:
+    """The first, then every ``n``-th frame of each group."""
+    w = W.partitionBy(group).orderBy(order)
+    return frames.withColumn("_i", F.row_number().over(w) - 1).filter(F.col("_i") % n == 0).drop("_i")
+
+
+def rerank(accepted: DataFrame, group: str, most: int) -> DataFrame:
+    """The clearest accepted frames of each group, ``most`` at a time; ties go to the first name."""
+    w = W.partitionBy(group).orderBy(F.coalesce("clarity", F.lit(0)).desc(), F.coalesce("image_name", F.lit("")))
+    return accepted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
 def covering_frames(coverage: DataFrame, group: str = "scene_id") -> DataFrame:
     """Greedy set cover: per group, frames by how many items they newly cover; ties to clarity, then the later name.
 
@@ -99,8 +111,8 @@ def occlusion_decision(m: DataFrame) -> DataFrame:
     """
     enough = (F.col("n_valid") >= 64) & (F.col("n_valid") >= 0.25 * F.col("n_in_frame"))
     ratio = F.col("n_occluded") / F.col("n_valid")
-    skip = (F.col("area_px") < 400) | (F.col("in_frame_ratio") < 0.6) | (F.col("n_in_frame") <= 0)
-    probed = (F.col("probe_n") >= 64) & (F.col("probe_valid") >= F.col("probe_n")) & (F.col("probe_visible") == 0)
+    skip = (F.col("area_px") < 400) | (F.col("in_frame_ratio") < 0.05) | (F.col("n_in_frame") <= 0)
+    probed = (F.col("probe_n") >= 512) & (F.col("probe_valid") >= F.col("probe_n")) & (F.col("probe_visible") == 0)
     decision = (
         F.when(skip, "skip")
         .when(probed & (F.col("n_valid") > 0) & enough & (F.col("n_visible") == 0), "not visible")

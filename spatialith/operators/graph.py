@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed order of attachment types, the strongest last.
-TYPE_PRIORITY = {"resting_on_rigid": 1, "resting_on_soft": 2, "affixed_to": 3, "contained_in": 4}
+TYPE_PRIORITY = {"supported_by": 1, "resting_on_soft_surface": 2, "affixed_to": 3, "contained_in": 4}
 
 
 def type_priority(column: str = "type"):

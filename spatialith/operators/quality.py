@@ -5,7 +5,6 @@ Random choices of other engines become hash orders, so results don't depend on p
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -175,19 +174,112 @@ def calibrate_bins(distances: DataFrame, column: str = "distance_raw", least: fl
     return q.select(*[spread[i].alias(f"limit_{i + 1}") for i in range(3)])
 
 
-def balance_letters(questions: DataFrame, share: float = 0.35) -> DataFrame:
-    """Per level and type, in order, the right answer moves to the rarest letter while its own letter has too large a share.
+def balance_letters(questions: DataFrame, share: float = 0.35, letters: str = "ABCD") -> DataFrame:
+    """Per level and type, letters with more than ``share`` of the answers give the excess to letters with room.
 
-    Sequential by nature: each group is one task, bounded by a benchmark's size.
+    The first excess questions by ``ord`` change: the right option swaps places with the option at the new letter.  Counts
+    are of the whole group, so a group in which nothing can get better stays as it is.
     """
+    group = ["level", "type"]
+    counts = questions.groupBy(*group, "answer").agg(F.count(F.lit(1)).alias("n"))
+    spine = counts.select(*group).distinct().withColumn("answer", F.explode(F.array(*map(F.lit, letters))))
+    counts = spine.join(counts, [*group, "answer"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    most = F.floor(F.sum("n").over(W.partitionBy(*group)) * share)
+    counts = counts.withColumn("over", F.greatest(F.col("n") - most, F.lit(0))).withColumn("room", F.greatest(most - F.col("n"), F.lit(0)))
+    before = W.partitionBy(*group).orderBy("answer").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("over_before", F.coalesce(F.sum("over").over(before), F.lit(0)))
+    counts = counts.withColumn("room_before", F.coalesce(F.sum("room").over(before), F.lit(0)))
+    rows = questions.join(counts.select(*group, "answer", "over", "over_before"), [*group, "answer"], "left")
+    rows = rows.withColumn("_r", F.row_number().over(W.partitionBy(*group, "answer").orderBy("ord")))
+    rows = rows.withColumn("_place", F.when(F.col("_r") <= F.col("over"), F.col("over_before") + F.col("_r")))
+    free = counts.filter("room > 0").select(*group, F.col("answer").alias("_to"), "room", "room_before").alias("f")
+    inside = (F.col("_place") > F.col("f.room_before")) & (F.col("_place") <= F.col("f.room_before") + F.col("f.room"))
+    rows = rows.alias("q").join(free, (F.col("q.level") == F.col("f.level")) & (F.col("q.type") == F.col("f.type")) & inside, "left")
+    old, new = F.ascii("q.answer") - ord(letters[0]), F.ascii("_to") - ord(letters[0])
+    swapped = F.transform("q.options", lambda x, i: F.when(i == old, F.get("q.options", new)).when(i == new, F.get("q.options", old)).otherwise(x))
+    out = {"options": F.when(F.col("_to").isNull(), F.col("q.options")).otherwise(swapped), "answer": F.coalesce("_to", "q.answer")}
+    return rows.select(*[out[c].alias(c) if c in out else F.col(f"q.{c}") for c in questions.columns])
+
+
+def matched_by_text(questions: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Questions with the last prediction for their scene and wording; for predictions that carry no question's number."""
+    last = predictions.groupBy("scene_id", "question").agg(F.max_by(F.struct("prediction"), "ord").alias("p")).select("scene_id", "question", "p.prediction")
+    rows = questions.join(last, ["scene_id", "question"])
+    return rows.withColumn("correct", F.coalesce(F.col("prediction") == F.col("answer"), F.lit(False)))
+
+
+#: Fixed order of types in the viewer.
+VIEWER_ORDER = [
+    "direction_agent", "occlusion", "distance", "direction_object_centric", "direction_allocentric", "object_move_agent",
+    "object_move_distance", "object_move_occlusion", "object_rotate_object_centric", "object_move_allocentric",
+    "viewpoint_move", "object_remove", "attachment_chain", "coordinate_rotation_agent",
+    "coordinate_rotation_object_centric", "coordinate_rotation_allocentric",
+]
+MOVES = ["object_move_agent", "object_move_distance", "object_move_occlusion", "object_move_allocentric", "object_rotate_object_centric"]
+
+
+def canonical_type(type_: Column) -> Column:
+    """The type trimmed; an older name gives the present one, and an empty one "unknown"."""
+    name = F.trim(F.coalesce(type_, F.lit("")))
+    return F.when(name == "object_move_object_centric", "object_rotate_object_centric").when(name == "", "unknown").otherwise(name)
+
+
+def viewer_order(questions: DataFrame) -> DataFrame:
+    """Adds ``type_rank`` and ``shuffle``: sorted by them, types come in the viewer's order and each is shuffled."""
+    name = canonical_type(F.col("type"))
+    place = F.array_position(F.array(*map(F.lit, VIEWER_ORDER)), name)
+    rank = F.when(place > 0, place - 1).otherwise(len(VIEWER_ORDER))
+    return questions.withColumns({"type_rank": rank.cast("long"), "shuffle": hash_order("question_id")})
+
+
+def viewer_summary(questions: DataFrame) -> DataFrame:
+    """(type, n, attached, unattached): questions by canonical type; of moves, those with and without attachment."""
+    rows = questions.withColumn("type", canonical_type(F.col("type")))
+    move = F.col("type").isin(MOVES)
+    return rows.groupBy("type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(move & F.col("attached")).alias("attached"), F.count_if(move & ~F.col("attached")).alias("unattached")
+    )
+
+
+def image_summary(records: DataFrame) -> DataFrame:
+    """One row: images in all, passed and rejected by the first stage, scored by the second, selected and rejected."""
+    return records.agg(
+        F.count(F.lit(1)).alias("total_images"),
+        F.count_if("stage1_pass").alias("stage1_pass"),
+        F.count_if(~F.coalesce("stage1_pass", F.lit(False))).alias("stage1_reject"),
+        F.count("score").alias("stage2_scored"),
+        F.count_if("final_pass").alias("final_selected"),
+        F.count_if(~F.coalesce("final_pass", F.lit(False))).alias("final_reject"),
+    )
+
+
+def slice_in_order(rows: DataFrame, order: list, start: int = 0, most: int | None = None) -> DataFrame:
+    """Rows from ``start`` on, at most ``most`` of them, in order."""
+    if start < 0 or most is not None and most <= 0:
+        raise ValueError("start must be 0 or more, and most above 0")
+    ordered = rows.orderBy(*order).offset(start)
+    return ordered if most is None else ordered.limit(most)
+
+
+def reason_counts(events: DataFrame) -> DataFrame:
+    """(generator, reason, n): why candidates were skipped."""
+    return events.groupBy("generator", F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def review_rollup(reviews: DataFrame) -> DataFrame:
+    """(review_type, reviewed, passed, flagged, issues): verdicts and issue counts by type of review."""
+    flagged = F.coalesce(F.col("verdict") != "pass", F.lit(True))
+    return reviews.groupBy("review_type").agg(
+        F.count(F.lit(1)).alias("reviewed"),
+        F.count_if(~flagged).alias("passed"),
+        F.count_if(flagged).alias("flagged"),
+        F.coalesce(F.sum(F.size("issues")), F.lit(0)).cast("long").alias("issues"),
+    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, out = dict.fromkeys("ABCD", 0), []
-        for i, letter in enumerate(pdf.sort_values("ord").answer):
-            if counts[letter] + 1 > max(1, share * (i + 1)):
-                letter = min("ABCD", key=lambda c: (counts[c], c))
-            counts[letter] += 1
-            out.append(letter)
-        return pdf.sort_values("ord").assign(answer=out)
 
-    return questions.groupBy("level", "type").applyInPandas(run, questions.schema)
+def concat_scenes(*parts: DataFrame) -> DataFrame:
+    """Question tables of several scenes as one; columns that one of them lacks are null there."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

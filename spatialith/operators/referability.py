@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+
 
 def crop_label_statuses(reviews: DataFrame) -> DataFrame:
     """(frame_id, label, status, n_clear, referable_id) from each object's verdict: clear, unsure, absent or null."""
@@ -92,3 +94,27 @@ def alias_inventory(reviews: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_objects"),
         *[F.count_if(status == s).alias(f"n_{s}") for s in ("clear", "unsure", "absent", "missing")],
     )
+
+
+def restricted(edges: DataFrame, objects: DataFrame) -> DataFrame:
+    """Edges whose two ends are both among ``objects`` (scene_id, id)."""
+    ends = objects.select("scene_id", "id").distinct()
+    for end in ("parent_id", "child_id"):
+        edges = edges.join(ends.withColumnRenamed("id", end), ["scene_id", end], "left_semi")
+    return edges
+
+
+def gates(questions: DataFrame, mentions: DataFrame, visible: DataFrame, audits: DataFrame) -> DataFrame:
+    """Adds ``removed_by``, the first gate that a question fails, in the order in-frame, referable, facing; null if kept.
+
+    ``mentions``: question_id, frame_id, obj_id; ``visible``: frame_id, obj_id; ``audits``: question_id, decision;
+    ``questions``: question_id, type, correct_value, and dx, dy, dz from anchor to facing object or null.
+    """
+    lost = mentions.filter("obj_id is not null").join(visible, ["frame_id", "obj_id"], "left_anti")
+    lost = lost.select("question_id").distinct().withColumn("_lost", F.lit(True))
+    rows = questions.join(lost, "question_id", "left").join(audits.select("question_id", "decision"), "question_id", "left")
+    absent = (F.lower("type") == "occlusion") & (F.lower("correct_value") == "not visible")
+    faced = F.coalesce(G.stable_facing(F.col("dx"), F.col("dy"), F.col("dz")), F.lit(True))
+    gate = F.when(F.coalesce("_lost", F.lit(False)) & ~F.coalesce(absent, F.lit(False)), "in_frame_mentions")
+    gate = gate.when(F.coalesce("decision", F.lit("drop")) != "pass", "referable_mentions").when(~faced, "stable_facing")
+    return rows.withColumn("removed_by", gate).drop("_lost", "decision")

@@ -93,6 +93,13 @@ def changed(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str])
     return both.withColumn("changes", F.concat_ws(",", *names)).filter("changes <> ''")
 
 
+def merged_changes(primary: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
+    """Changed relations of two searches by key: ``changes`` (a map) of both, where ``extra`` wins."""
+    both = primary.select(*keys, F.lit(0).alias("_o"), "changes").unionByName(extra.select(*keys, F.lit(1).alias("_o"), "changes"))
+    one = both.select(*keys, "_o", F.explode("changes").alias("field", "value")).groupBy(*keys, "field").agg(F.max_by("value", "_o").alias("value"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("changes"))
+
+
 def triplets(objects: DataFrame, least_distance: float = 0.5) -> DataFrame:
     """Ordered (reference, facing, target) with different labels, a stable heading, and distances of some size.
 

@@ -19,7 +19,7 @@ def _objects() -> str:
       SELECT vec_id // 10 AS scene_id, vec_id % 10 AS id, 'label_' || label AS label, {parts} FROM embeddings))"""
 
 
-_TYPE4 = "['resting_on_rigid', 'resting_on_soft', 'affixed_to', 'contained_in']"
+_TYPE4 = "['supported_by', 'resting_on_soft_surface', 'affixed_to', 'contained_in']"
 OBJECTS = _objects()
 EDGES = f"""edges AS (SELECT vec_id // 10 AS scene_id, (vec_id % 10) // 2 AS parent_id, vec_id % 10 AS child_id,
   {_TYPE4}[vec_id % 4 + 1] AS type, (vec_id * 37 % 100) / 100.0::DOUBLE AS confidence,
@@ -30,6 +30,18 @@ CANDIDATES = f"""candidate_edges AS (SELECT vec_id // 10 AS scene_id, (vec_id %
   ((vec_id * 53 + k * 7) % 4) / 4.0::DOUBLE AS coverage, ((vec_id * 71 + k * 3) % 50) / 1000.0::DOUBLE AS gap,
   ((vec_id + k) % 3) / 3.0::DOUBLE AS containment, ((vec_id * 3 + k) % 7) / 10.0::DOUBLE AS contact_z
   FROM (SELECT vec_id FROM embeddings WHERE vec_id % 10 <> 0), range(1, 4) r(k))"""
+_FURNITURE = "['bed', 'desk', 'cabinet', 'drawer', 'box', 'tv stand', 'table', 'sofa']"
+_THINGS = "['pillow', 'book', 'handle', 'book', 'toy', 'monitor', 'cup', 'towel']"
+_RISE = "CASE WHEN mode = 1 THEN p.z0 + 0.3 * (p.z1 - p.z0) WHEN mode = 3 THEN p.z1 - 0.06 ELSE p.z1 + (o.scene_id % 7 - 3) * 0.01 END::DOUBLE"
+#: Needs OBJECTS.  With views of all bottoms and tops.
+FURNISHED = f"""on_top AS (SELECT o.scene_id, o.id, {_r("p.cx + CASE WHEN mode = 2 THEN 0.9 ELSE 0.1 END::DOUBLE * (p.x1 - p.x0) / 2")} AS cx, {_r("p.cy + 0.05 * (p.y1 - p.y0)")} AS cy,
+  {_r("0.15 * (p.x1 - p.x0)")} AS hx, {_r("0.15 * (p.y1 - p.y0)")} AS hy, {_r(_RISE)} AS z0, {_r(f"({_RISE}) + 0.3 * (p.z1 - p.z0)")} AS z1
+  FROM (SELECT *, (scene_id + id // 2) % 4 AS mode FROM objects WHERE id % 2 = 1) o JOIN objects p ON p.scene_id = o.scene_id AND p.id = o.id - 1),
+bare AS (SELECT scene_id, id, cx, cy, cz, x0, y0, z0, x1, y1, z1 FROM objects WHERE id % 2 = 0 UNION ALL
+  SELECT scene_id, id, cx, cy, (z0 + z1) / 2, {_r("cx - hx")}, {_r("cy - hy")}, z0, {_r("cx + hx")}, {_r("cy + hy")}, z1 FROM on_top),
+furnished AS (SELECT *, CASE WHEN id % 2 = 0 THEN {_FURNITURE}[(scene_id + id // 2) % 8 + 1] ELSE {_THINGS}[(scene_id + id // 2 + CASE WHEN scene_id % 3 = 0 THEN 1 ELSE 0 END) % 8 + 1] END AS label FROM bare),
+bottoms AS (SELECT scene_id, id, z0 AS z, x0, y0, x1, y1, 1.0::DOUBLE AS score FROM furnished UNION ALL SELECT scene_id, id, z0 + 0.02, x0, y0, (x0 + x1) / 2, y1, 0.5 FROM furnished),
+tops AS (SELECT scene_id, id, z1 AS z, x0, y0, x1, y1, 1.0::DOUBLE AS score FROM furnished UNION ALL SELECT scene_id, id, (z0 + z1) / 2, x0, y0, x1, (y0 + y1) / 2, 0.5 FROM furnished)"""
 _YAW = "radians(((scene_id * 7 + frame_id * 5) % 12 * 30)::DOUBLE)"
 CAMERAS = f"""cameras AS (SELECT scene_id, frame_id, floor(sin({_YAW}) * 1e6 + 0.5) / 1e6 AS fx, floor(cos({_YAW}) * 1e6 + 0.5) / 1e6 AS fy,
   ((scene_id + frame_id) % 5 - 2)::DOUBLE AS px, ((scene_id * 3 + frame_id) % 5 - 2)::DOUBLE AS py, 1.5::DOUBLE AS pz
@@ -41,7 +53,8 @@ QUESTIONS = """questions AS (SELECT o_orderkey AS question_id, o_orderkey AS ord
   'question ' || (o_orderkey % 997) AS question, substr('ABCD', ((o_orderkey * 7 + o_custkey) % 4 + 1)::INT, 1) AS answer,
   ['not visible', 'occluded', 'not occluded', 'near', 'far'][(o_orderkey * 3 + o_custkey) % 5 + 1] AS correct_value,
   (o_orderkey * 13 % 100) / 100.0::DOUBLE AS ambiguity, o_custkey % 10 AS a_id, o_orderkey % 7 AS b_id,
-  o_custkey % 3 = 0 AS attached, o_orderkey % 4 = 0 AS unchanged FROM orders)"""
+  o_custkey % 3 = 0 AS attached, o_orderkey % 4 = 0 AS unchanged,
+  list_transform(range(0, 4), lambda i: 'option ' || ((o_orderkey + i) % 997)) AS options FROM orders)"""
 PREDICTIONS = """predictions AS (SELECT CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS question_id, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ord,
   CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE substr('ABCD', ((l_orderkey * 7 + l_partkey % 3) % 4 + 1)::INT, 1) END AS prediction,
   ['B', ' (c) ', 'Answer: B', 'I think A or B', 'The answer is D.', 'no idea', '', 'Because of C', 'a)', 'option D', 'I choose A, not B'][l_partkey % 11 + 1] AS raw_response

@@ -253,7 +253,7 @@ def projection(spark: SparkSession, sf: str) -> DataFrame:
 
 # attachment graph
 
-_PRIO = "CASE type WHEN 'resting_on_rigid' THEN 1 WHEN 'resting_on_soft' THEN 2 WHEN 'affixed_to' THEN 3 WHEN 'contained_in' THEN 4 ELSE 0 END"
+_PRIO = "CASE type WHEN 'supported_by' THEN 1 WHEN 'resting_on_soft_surface' THEN 2 WHEN 'affixed_to' THEN 3 WHEN 'contained_in' THEN 4 ELSE 0 END"
 _ORDER = f"confidence DESC, {_PRIO} DESC, containment DESC, coverage DESC, gap, parent_id"
 
 
@@ -586,9 +586,20 @@ def calibrate_distance_bins(spark: SparkSession, sf: str) -> DataFrame:
     return Q.calibrate_bins(R.measure(R.pairs(S.objects(spark, sf))))
 
 
-@query("balance_answer_letters")
+@query(
+    "balance_answer_letters",
+    O.views(O.QUESTIONS)
+    + """, s AS (SELECT level, type, answer, sum(n) AS n FROM (SELECT level, type, answer, 1 AS n FROM questions UNION ALL SELECT DISTINCT level, type, unnest(['A', 'B', 'C', 'D']), 0 FROM questions) GROUP BY ALL),
+    m AS (SELECT *, floor(sum(n) OVER (PARTITION BY level, type) * 0.35) AS most FROM s),
+    giving AS (SELECT *, row_number() OVER (PARTITION BY level, type ORDER BY answer, r) AS place FROM (SELECT q.*, m.n, m.most, row_number() OVER (PARTITION BY q.level, q.type, q.answer ORDER BY ord) AS r FROM questions q JOIN m USING (level, type, answer)) WHERE r <= n - most),
+    taking AS (SELECT *, row_number() OVER (PARTITION BY level, type ORDER BY answer, i) AS place FROM (SELECT level, type, answer, unnest(range(0, greatest(most - n, 0)::BIGINT)) AS i FROM m)),
+    moved AS (SELECT g.question_id, t.answer AS new FROM giving g JOIN taking t USING (level, type, place))
+    SELECT question_id, level, type, coalesce(new, answer) AS answer, array_to_string(list_transform(range(0, 4), lambda i: CASE WHEN new IS NULL THEN options[i + 1] WHEN i = ascii(answer) - 65 THEN options[ascii(new) - 64]
+      WHEN i = ascii(new) - 65 THEN options[ascii(answer) - 64] ELSE options[i + 1] END), ',') AS options FROM questions LEFT JOIN moved USING (question_id)""",
+)
 def balance_answer_letters(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.balance_letters(S.questions(spark, sf)).select("question_id", "level", "type", "answer")
+    rows = Q.balance_letters(S.questions(spark, sf))
+    return rows.select("question_id", "level", "type", "answer", F.array_join("options", ",").alias("options"))
 
 
 _U = "upper(trim(coalesce(raw_response, '')))"
@@ -751,13 +762,13 @@ def frame_cover(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _METRICS = """rays AS (SELECT object_id, area_px, bbox_ratio AS in_frame_ratio, mask_px::BIGINT AS n_in_frame, (mask_px * 0.8)::BIGINT AS n_valid, object_id % 50 AS n_occluded,
-  CASE WHEN object_id % 6 = 0 THEN 0 ELSE 40 END AS n_visible, 64 AS probe_n, 64 AS probe_valid, CASE WHEN object_id % 6 = 0 THEN 0 ELSE 3 END AS probe_visible FROM reviews)"""
+  CASE WHEN object_id % 6 = 0 THEN 0 ELSE 40 END AS n_visible, 512 AS probe_n, 512 AS probe_valid, CASE WHEN object_id % 6 = 0 THEN 0 ELSE 3 END AS probe_visible FROM reviews)"""
 
 
 @query(
     "occlusion_decision",
     O.views(O.REVIEWS, _METRICS.replace("(mask_px * 0.8)::BIGINT", "floor(mask_px * 0.8)::BIGINT"))
-    + """ SELECT object_id, CASE WHEN area_px < 400 OR in_frame_ratio < 0.6 OR n_in_frame <= 0 THEN 'skip' WHEN probe_visible = 0 AND n_valid >= 64 AND n_valid >= 0.25 * n_in_frame AND n_visible = 0 THEN 'not visible'
+    + """ SELECT object_id, CASE WHEN area_px < 400 OR in_frame_ratio < 0.05 OR n_in_frame <= 0 THEN 'skip' WHEN probe_n >= 512 AND probe_valid >= probe_n AND probe_visible = 0 AND n_valid > 0 AND n_valid >= 64 AND n_valid >= 0.25 * n_in_frame AND n_visible = 0 THEN 'not visible'
       WHEN NOT (n_valid >= 64 AND n_valid >= 0.25 * n_in_frame) THEN 'skip' WHEN n_occluded / n_valid < 0.005 THEN 'not occluded' WHEN n_occluded / n_valid > 0.10 AND n_occluded >= 16 THEN 'occluded' ELSE 'grayzone' END AS decision FROM rays""",
 )
 def occlusion_decision(spark: SparkSession, sf: str) -> DataFrame:
@@ -769,8 +780,8 @@ def occlusion_decision(spark: SparkSession, sf: str) -> DataFrame:
         "floor(mask_px * 0.8) as n_valid",
         "object_id % 50 as n_occluded",
         "case when object_id % 6 = 0 then 0 else 40 end as n_visible",
-        "64 as probe_n",
-        "64 as probe_valid",
+        "512 as probe_n",
+        "512 as probe_valid",
         "case when object_id % 6 = 0 then 0 else 3 end as probe_visible",
     )
     return V.occlusion_decision(rows).select("object_id", "decision")
@@ -854,3 +865,6 @@ def scene_parsing(spark: SparkSession, sf: str) -> DataFrame:
     vertices = S.read(spark, sf, "lineitem").selectExpr("l_orderkey div 100 as scene_id", "l_orderkey as segment", "l_quantity as x", "l_discount as y", "l_tax as z")
     segments = S.read(spark, sf, "orders").selectExpr("o_orderkey div 100 as scene_id", "o_orderkey as segment", "o_orderkey % 5 as id", "concat('label_', o_orderkey % 5) as label")
     return files.parse_scene(vertices, segments, ["label_0"]).select("scene_id", "id", "label", "n_vertices", "x0", "x1", "cx")
+
+
+from . import scene_queries  # noqa: E402, F401  registers its queries

@@ -46,7 +46,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id div 10 as scene_id",
         "(vec_id % 10) div 2 as parent_id",
         "vec_id % 10 as child_id",
-        "element_at(array('resting_on_rigid', 'resting_on_soft', 'affixed_to', 'contained_in'), cast(vec_id % 4 as int) + 1) as type",
+        "element_at(array('supported_by', 'resting_on_soft_surface', 'affixed_to', 'contained_in'), cast(vec_id % 4 as int) + 1) as type",
         "(vec_id * 37 % 100) / 100.0D as confidence",
         "(vec_id * 53 % 100) / 100.0D as coverage",
         "(vec_id * 71 % 50) / 1000.0D as gap",
@@ -60,7 +60,7 @@ def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id div 10 as scene_id",
         "(vec_id % 10 + 10 - k) % 10 as parent_id",
         "vec_id % 10 as child_id",
-        "element_at(array('resting_on_rigid', 'resting_on_soft', 'affixed_to', 'contained_in'), cast((vec_id + k) % 4 as int) + 1) as type",
+        "element_at(array('supported_by', 'resting_on_soft_surface', 'affixed_to', 'contained_in'), cast((vec_id + k) % 4 as int) + 1) as type",
         "((vec_id * 37 + k * 11) % 5) / 5.0D as confidence",
         "((vec_id * 53 + k * 7) % 4) / 4.0D as coverage",
         "((vec_id * 71 + k * 3) % 50) / 1000.0D as gap",
@@ -69,6 +69,42 @@ def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labels of the furnished scenes: what stands on the floor, and what is on, in or at it.
+FURNITURE = ["bed", "desk", "cabinet", "drawer", "box", "tv stand", "table", "sofa"]
+THINGS = ["pillow", "book", "handle", "book", "toy", "monitor", "cup", "towel"]
+
+
+def furnished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``objects``; each odd object lies on, in, at the edge of, or close under the top of the one before it.
+
+    With candidate surfaces: the footprint and a smaller one below, the footprint and half of it above.
+    """
+    plain = objects(spark, sf_dir)
+    below = plain.filter("id % 2 = 0").select("scene_id", (F.col("id") + 1).alias("id"), *[F.col(c).alias(f"p_{c}") for c in ("cx", "cy", "x0", "x1", "y0", "y1", "z0", "z1")])
+    both = plain.filter("id % 2 = 1").join(below, ["scene_id", "id"])
+    both = both.withColumn("mode", F.expr("(scene_id + id div 2) % 4")).withColumn("tall", F.col("p_z1") - F.col("p_z0"))
+    shift = F.when(F.col("mode") == 2, 0.9).otherwise(0.1)
+    rise = F.when(F.col("mode") == 1, F.col("p_z0") + 0.3 * F.col("tall")).when(F.col("mode") == 3, F.col("p_z1") - 0.06)
+    rise = rise.otherwise(F.col("p_z1") + (F.expr("scene_id % 7") - 3) * 0.01)
+    both = both.select(
+        "scene_id",
+        "id",
+        thousandth(F.col("p_cx") + shift * (F.col("p_x1") - F.col("p_x0")) / 2).alias("cx"),
+        thousandth(F.col("p_cy") + 0.05 * (F.col("p_y1") - F.col("p_y0"))).alias("cy"),
+        thousandth(0.15 * (F.col("p_x1") - F.col("p_x0"))).alias("hx"),
+        thousandth(0.15 * (F.col("p_y1") - F.col("p_y0"))).alias("hy"),
+        thousandth(rise).alias("z0"),
+        thousandth(rise + 0.3 * F.col("tall")).alias("z1"),
+    )
+    both = both.select("scene_id", "id", "cx", "cy", ((F.col("z0") + F.col("z1")) / 2).alias("cz"), *[thousandth(F.col(f"c{k}") + s * F.col(f"h{k}")).alias(f"{k}{n}") for n, s in ((0, -1), (1, 1)) for k in "xy"], "z0", "z1")
+    rows = plain.filter("id % 2 = 0").drop("label").unionByName(both)
+    place = F.expr("cast((scene_id + id div 2 + if(id % 2 = 1 and scene_id % 3 = 0, 1, 0)) % 8 as int)")
+    named = F.when(F.expr("id % 2 = 0"), F.get(F.array(*map(F.lit, FURNITURE)), place)).otherwise(F.get(F.array(*map(F.lit, THINGS)), place))
+    low = "array(named_struct('z', z0, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', y1, 'score', 1D), named_struct('z', z0 + 0.02D, 'x0', x0, 'y0', y0, 'x1', (x0 + x1) / 2, 'y1', y1, 'score', 0.5D))"
+    high = "array(named_struct('z', z1, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', y1, 'score', 1D), named_struct('z', (z0 + z1) / 2, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', (y0 + y1) / 2, 'score', 0.5D))"
+    return rows.withColumns({"label": named, "bottoms": F.expr(low), "tops": F.expr(high)})
+
+
 def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scene_id, frame_id, position px..pz and yaw; a level camera that looks along (sin yaw, cos yaw)."""
     scenes = read(spark, sf_dir, "embeddings").filter("vec_id % 10 = 0").selectExpr("vec_id div 10 as scene_id")
@@ -103,6 +139,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey % 7 as b_id",
         "o_custkey % 3 = 0 as attached",
         "o_orderkey % 4 = 0 as unchanged",
+        "transform(sequence(0, 3), i -> concat('option ', (o_orderkey + i) % 997)) as options",
     )
 
 
