@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..operators import attachment as T
+from ..operators import counterfactual as C
 from ..operators import frames as V
 from ..operators import graph as A
 from ..operators import occlusion as N
@@ -16,7 +17,7 @@ from ..operators import referability as M
 from ..operators import relations as R
 from ..sources import adapters as S
 from . import oracle_views as O
-from .queries import RING, _cut, _direction, _gap, _OVERLAP, _sql_list, cut, query
+from .queries import _LEGAL, _MOVED, _WALK, EGO, RING, _ambiguity, _bin, _cut, _direction, _distance, _gap, _near, _OVERLAP, _recursive, _sql_list, cut, query
 
 # labels
 
@@ -410,3 +411,100 @@ def surface_sample_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = S.objects(spark, sf).select("scene_id", "id", area.alias("area"))
     least = rows.groupBy("scene_id").agg(F.min(F.when(F.col("area") > 1e-10, F.col("area"))).alias("least"))
     return rows.join(least, "scene_id").select("scene_id", "id", G.sample_count(F.when(F.col("area") > 1e-10, F.col("area")), F.col("least"), 512).alias("n"))
+
+
+# generators after a move
+
+_STILL = "NOT EXISTS (SELECT 1 FROM moved c WHERE c.scene_id = {t}.scene_id AND c.target = {t}.target AND c.id = {s}.id)"
+_PLACE = "list_position(['very_close', 'close', 'moderate', 'far'], {})"
+
+
+@query(
+    "l2_stable_distance_move",
+    _recursive(O.OBJECTS, O.EDGES, _WALK, _MOVED, _LEGAL)
+    + f""", pair AS (SELECT v.scene_id, v.target, a.id AS m_id, b.id AS s_id, {_distance()} AS old, a.x0, a.x1, a.y0, a.y1, a.z0, a.z1, b.x0 AS bx0, b.x1 AS bx1, b.y0 AS by0, b.y1 AS by1, b.z0 AS bz0, b.z1 AS bz1
+      FROM moved v JOIN objects a ON a.scene_id = v.scene_id AND a.id = v.id JOIN objects b ON b.scene_id = v.scene_id WHERE {_STILL.format(t='v', s='b')}),
+    shifted AS (SELECT p.scene_id, p.target, p.m_id, p.s_id, l.move, {_bin('old')} AS old_bin, p.x0 + l.dx AS x0, p.x1 + l.dx AS x1, p.y0 + l.dy AS y0, p.y1 + l.dy AS y1, p.z0, p.z1, bx0, bx1, by0, by1, bz0, bz1 FROM pair p JOIN legal l USING (scene_id, target) WHERE old >= 0.2),
+    gone AS (SELECT a.scene_id, a.target, a.m_id, a.s_id, a.move, a.old_bin, sqrt({' + '.join(f"greatest(greatest(a.{k}0 - a.b{k}1, a.b{k}0 - a.{k}1), 0.0) * greatest(greatest(a.{k}0 - a.b{k}1, a.b{k}0 - a.{k}1), 0.0)" for k in 'xyz')}) AS d FROM shifted a),
+    rated AS (SELECT *, {_bin('d')} AS bin, abs({_PLACE.format(_bin('d'))} - {_PLACE.format('old_bin')}) AS apart, {_near('d')} AS near FROM gone WHERE d >= 0.2),
+    first AS (SELECT scene_id, target, m_id, s_id, old_bin, min(move) FILTER (apart = 1 AND NOT near) AS hit, min(move) FILTER (apart = 0) AS same FROM rated GROUP BY ALL)
+    SELECT f.scene_id, f.target, f.m_id, f.s_id, r.move, f.old_bin, r.bin AS new_bin, hit IS NULL AS unchanged FROM first f JOIN rated r ON r.scene_id = f.scene_id AND r.target = f.target AND r.m_id = f.m_id AND r.s_id = f.s_id
+      AND r.move = coalesce(f.hit, CASE WHEN f.m_id <> f.target THEN f.same END)""",
+)
+def l2_stable_distance_move(spark: SparkSession, sf: str) -> DataFrame:
+    objects = S.objects(spark, sf)
+    moved = A.moved_sets(objects, S.edges(spark, sf))
+    return C.stable_distance_moves(objects, moved, C.legal_moves(objects, moved))
+
+
+_NX, _NY = "(m.cx + l.dx - s.cx)", "(m.cy + l.dy - s.cy)"
+
+
+@query(
+    "l2_object_move_allocentric",
+    _recursive(O.OBJECTS, O.EDGES, _WALK, _MOVED, _LEGAL)
+    + f""", turned AS (SELECT l.scene_id, l.target, l.move, l.dx, l.dy, max(least(abs(o - n), 8 - abs(o - n))) AS steps FROM (SELECT l.*, list_position({RING}, {_direction('(s.cy - m.cy)', '(s.cx - m.cx)', RING)}) AS o, list_position({RING}, {_direction('(s.cy - m.cy - l.dy)', '(s.cx - m.cx - l.dx)', RING)}) AS n
+      FROM legal l JOIN moved v ON v.scene_id = l.scene_id AND v.target = l.target JOIN objects m ON m.scene_id = l.scene_id AND m.id = v.id JOIN objects s ON s.scene_id = l.scene_id WHERE {_STILL.format(t='l', s='s')}
+        AND (abs(s.cx - m.cx) + abs(s.cy - m.cy) > 2e-6) AND (abs(s.cx - m.cx - l.dx) + abs(s.cy - m.cy - l.dy) > 2e-6)) l GROUP BY ALL),
+    chosen AS (SELECT * FROM turned WHERE steps >= 1 QUALIFY row_number() OVER (PARTITION BY scene_id, target ORDER BY CASE WHEN steps >= 2 THEN 0 ELSE 1 END, move) = 1)
+    SELECT l.scene_id, l.target, l.move, m.id AS m_id, s.id AS s_id, {_direction('(m.cy - s.cy)', '(m.cx - s.cx)', RING)} AS old_direction, {_direction(_NY, _NX, RING)} AS new_direction
+    FROM chosen l JOIN moved v ON v.scene_id = l.scene_id AND v.target = l.target JOIN objects m ON m.scene_id = l.scene_id AND m.id = v.id JOIN objects s ON s.scene_id = l.scene_id
+    WHERE {_STILL.format(t='l', s='s')} AND m.label <> s.label AND {_ambiguity(_NY, _NX)} <= 0.7 AND {_direction('(m.cy - s.cy)', '(m.cx - s.cx)', RING)} <> {_direction(_NY, _NX, RING)}""",
+)
+def l2_object_move_allocentric(spark: SparkSession, sf: str) -> DataFrame:
+    """Map directions that change by each object's chosen move."""
+    objects = S.objects(spark, sf)
+    moved = A.moved_sets(objects, S.edges(spark, sf))
+    return C.moved_directions(objects, moved, C.meaningful_moves(objects, moved, C.legal_moves(objects, moved)))
+
+
+def _turned(x: str, y: str) -> tuple[str, str]:
+    return f"(q.cx + ({x} - q.cx) * co - ({y} - q.cy) * si)", f"(q.cy + ({x} - q.cx) * si + ({y} - q.cy) * co)"
+
+
+_CORNERS = [_turned(f"o.{x}", f"o.{y}") for x in ("x0", "x1") for y in ("y0", "y1")]
+_TURNS = "turns(ord, angle, co, si) AS (VALUES " + ", ".join(f"({i}, {a}, {G.rotation(a)[0]!r}::DOUBLE, {G.rotation(a)[1]!r}::DOUBLE)" for i, a in enumerate(C.ORBITS)) + ")"
+_ORBITS = f"""{_TURNS}, orbit AS (SELECT m.scene_id, m.target, q.id AS "pivot", t.ord, t.angle, m.id, {_turned('o.cx', 'o.cy')[0]} AS cx, {_turned('o.cx', 'o.cy')[1]} AS cy, least({', '.join(c[0] for c in _CORNERS)}) AS x0, greatest({', '.join(c[0] for c in _CORNERS)}) AS x1,
+  least({', '.join(c[1] for c in _CORNERS)}) AS y0, greatest({', '.join(c[1] for c in _CORNERS)}) AS y1, o.z0, o.z1
+  FROM moved m JOIN objects o ON o.scene_id = m.scene_id AND o.id = m.id JOIN objects q ON q.scene_id = m.scene_id CROSS JOIN turns t WHERE {_STILL.format(t='m', s='q')}),
+room AS (SELECT scene_id, min(x0) rx0, min(y0) ry0, min(z0) rz0, max(x1) rx1, max(y1) ry1, max(z1) rz1 FROM objects GROUP BY scene_id),
+allowed AS (SELECT scene_id, target, "pivot", ord, angle FROM orbit g JOIN room r USING (scene_id) GROUP BY ALL
+  HAVING bool_and(x0 >= rx0 - 1e-6 AND y0 >= ry0 - 1e-6 AND z0 >= rz0 - 1e-6 AND x1 <= rx1 + 1e-6 AND y1 <= ry1 + 1e-6 AND z1 <= rz1 + 1e-6)),
+struck AS (SELECT DISTINCT a.scene_id, a.target, a."pivot", a.ord FROM orbit a JOIN objects b ON a.scene_id = b.scene_id AND {_gap('x')} < 0 AND {_gap('y')} < 0 AND {_gap('z')} < 0 WHERE {_STILL.format(t='a', s='b')}),
+free AS (SELECT * FROM allowed ANTI JOIN struck USING (scene_id, target, "pivot", ord))"""
+
+
+@query("legal_orbits", _recursive(O.OBJECTS, O.EDGES, _WALK, _MOVED, _ORBITS) + ' SELECT scene_id, target, "pivot", angle FROM free')
+def legal_orbits(spark: SparkSession, sf: str) -> DataFrame:
+    objects = S.objects(spark, sf)
+    return C.legal_orbits(objects, A.moved_sets(objects, S.edges(spark, sf))).select("scene_id", "target", "pivot", "angle")
+
+
+def _faced(fx: str, fy: str, x: str, y: str) -> tuple[str, str]:
+    norm = f"sqrt({fx} * {fx} + {fy} * {fy})"
+    return f"(({x} * {fx} + {y} * {fy}) / {norm})", f"(({x} * {fy} - {y} * {fx}) / {norm})"
+
+
+def _firm(fx: str, fy: str, fz: str) -> str:
+    flat, total = f"sqrt({fx} * {fx} + {fy} * {fy})", f"sqrt({fx} * {fx} + {fy} * {fy} + {fz} * {fz})"
+    return f"({flat} >= 0.3 AND {total} >= 1e-6 AND {flat} >= 0.5 * {total})"
+
+
+_OLD = _faced("(q.cx - m.cx)", "(q.cy - m.cy)", "(r.cx - m.cx)", "(r.cy - m.cy)")
+_NOW = _faced("(q.cx - n.cx)", "(q.cy - n.cy)", "(coalesce(k.cx, r.cx) - n.cx)", "(coalesce(k.cy, r.cy) - n.cy)")
+
+
+@query(
+    "l2_orbit_object_centric",
+    _recursive(O.OBJECTS, O.EDGES, _WALK, _MOVED, _ORBITS)
+    + f""", seen AS (SELECT n.scene_id, n.target, m.id AS m_id, q.id AS "pivot", r.id AS r_id, n.ord, n.angle, {_direction(*_OLD, EGO)} AS old_direction, {_direction(*_NOW, EGO)} AS new_direction
+      FROM orbit n JOIN free f ON f.scene_id = n.scene_id AND f.target = n.target AND f."pivot" = n."pivot" AND f.ord = n.ord JOIN objects m ON m.scene_id = n.scene_id AND m.id = n.id JOIN objects q ON q.scene_id = n.scene_id AND q.id = n."pivot" JOIN objects r ON r.scene_id = n.scene_id
+      LEFT JOIN orbit k ON k.scene_id = n.scene_id AND k.target = n.target AND k."pivot" = n."pivot" AND k.ord = n.ord AND k.id = r.id
+      WHERE m.label <> q.label AND r.id <> m.id AND r.id <> q.id AND r.label <> m.label AND r.label <> q.label AND {_firm('(q.cx - m.cx)', '(q.cy - m.cy)', '(q.cz - m.cz)')} AND {_firm('(q.cx - n.cx)', '(q.cy - n.cy)', '(q.cz - m.cz)')} AND {_ambiguity(*_NOW)} <= 0.7)
+    SELECT scene_id, target, m_id, "pivot", r_id, angle, old_direction, new_direction, old_direction = new_direction AS unchanged FROM seen
+    QUALIFY row_number() OVER (PARTITION BY scene_id, target, m_id, "pivot", r_id ORDER BY old_direction = new_direction, ord) = 1""",
+)
+def l2_orbit_object_centric(spark: SparkSession, sf: str) -> DataFrame:
+    """Rotation questions: the first legal orbit that turns a reference for one who faces the pivot, else unchanged."""
+    objects = S.objects(spark, sf)
+    return C.orbit_questions(objects, A.moved_sets(objects, S.edges(spark, sf)))
