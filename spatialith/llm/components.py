@@ -35,6 +35,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         named = current.join(left, "a").join(right, "b").filter("x <> y")
         named = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         current = scratch.keep(named, f"{name}-edges-{len(steps)}")
+        scratch.drop(f"{name}-edges-{len(steps) - 1}")
     if not steps:
         return current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     found = steps[0]

@@ -109,6 +109,41 @@ def test_jaccard(docs, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_pipeline(spark, docs, empty, tmp_path):
+    """Nulls, empty and long texts, repeated identifiers and rows, clashing columns, no labels, and empty tables."""
+    import corpus_pipeline
+
+    labels = "doc_id long, quality int, toxic int"
+    more = [(1, "unlike the other text of identifier one, and long enough", "en", "a", 1), (None, "", "en", "b", 0)]
+    every = docs.unionByName(spark.createDataFrame([(*r, "clash", "clash", "clash", None, "clash") for r in more], SCHEMA))
+    every.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, str(tmp_path))
+        assert rows.columns == docs.columns
+    # equal texts: 1 and 2; 3, 4 and null; 7 twice.  The white space of 6 is no near copy.
+    kept = sorted((r.doc_id for r in rows.collect()), key=str)
+    assert kept == sorted([2, 4, None, 5, 6, 7, -8, 1], key=str)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], labels).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_leaves_no_scratch(spark):
+    """After a run only the last stage's input is left in the shared folder."""
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.iterdir())
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    (left,) = set(root.iterdir()) - before
+    assert [x.name for x in left.iterdir()] == ["stage-3"]
+
+
 def test_pieces(docs, empty, vocabulary):
     out = pieces.encode_documents(docs, vocabulary)
     n, same = by_id(out, "n_tokens"), by_id(out, "round_trip")
