@@ -2,17 +2,18 @@
 
 Each rule's regex is turned, once and on the driver, into a Boolean query over trigrams: an OR of clauses, each the AND
 of the trigrams that one literal spelling needs.  The index holds, for every trigram that some rule asks for, bitmaps of
-the documents that contain it (case-folded), one per range of 32768 identifiers.  Clauses intersect bitmaps, rules unite
-clauses, and the documents that are left are verified with the regex itself.  A rule without mandatory trigrams (a bare
+the documents that contain it (case-folded), one per range of 32768 rows of a file: rows are numbered without gaps there,
+whatever the identifiers.  Clauses intersect bitmaps, rules unite clauses, and the documents that are left are verified
+with the regex itself.  Files are known by a hash; files that shared one would only add candidates.  A rule without mandatory trigrams (a bare
 run of hexadecimal digits) has no query and scans every text.
 
 Scale: the index is one pass that shuffles at most 4 KB per trigram and range after map-side union, and no task holds
-the postings of a whole trigram.  Candidates join the documents by identifier; Catalyst broadcasts them only when their
+the postings of a whole trigram.  Candidates join the documents by file and row; Catalyst broadcasts them only when their
 stored size is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles both sides otherwise.
 
-Edge cases: null text counts as empty and has no secrets.  Rows with a null identifier are outside the index and are
-verified by every rule; rows that repeat an identifier share candidates and are verified one by one.  An empty table
-gives an empty result.  Extra columns are ignored.  Spans count code points, end exclusive.
+Edge cases: null text counts as empty and has no secrets.  Identifiers play no part, so null and repeated ones are
+harmless; rows that don't come straight from files are stored first, which gives them places.  An empty table gives an
+empty result.  Extra columns are ignored, whatever their names.  Spans count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, table
+from .store import Scratch, located, table
 
 
 def _either_case(words: str) -> str:
@@ -135,21 +136,22 @@ def trigram_query(regex: str) -> Clauses | None:
     return None if frozenset() in found else found
 
 
-def build_index(docs: DataFrame, grams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(gram, bucket, bitmap): postings of ``grams`` as bitmaps over ranges of identifiers."""
-    folded = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("low")
-    )
+def build_index(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """(gram, file, bucket, bitmap): postings of ``grams`` as bitmaps over ranges of a file's rows.
+
+    ``rows``: file, row, text.
+    """
+    folded = rows.select("file", "row", F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
     return (
-        folded.select("id", F.explode(held).alias("gram"))
-        .groupBy("gram", F.bitmap_bucket_number("id").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bitmap"))
+        folded.select("file", "row", F.explode(held).alias("gram"))
+        .groupBy("gram", "file", F.bitmap_bucket_number("row").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bitmap"))
     )
 
 
 def candidates(index: DataFrame, queries: dict[int, Clauses]) -> DataFrame:
-    """(id, mask): documents that a rule's query lets through; bit r of the mask is rule r."""
+    """(file, row, mask): documents that a rule's query lets through; bit r of the mask is rule r."""
     clauses = [
         (rule, n, gram, len(clause))
         for rule, q in queries.items()
@@ -158,9 +160,9 @@ def candidates(index: DataFrame, queries: dict[int, Clauses]) -> DataFrame:
     ]
     rows = ", ".join(f"({r}, {n}, '{g.replace(chr(39), chr(39) * 2)}', {k})" for r, n, g, k in clauses)
     wanted = index.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(rule, clause, gram, n)")
-    both = index.join(F.broadcast(wanted), "gram").groupBy("rule", "clause", "bucket", "n")
+    both = index.join(F.broadcast(wanted), "gram").groupBy("rule", "clause", "file", "bucket", "n")
     both = both.agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("found")).filter("found = n")
-    either = both.groupBy("rule", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    either = both.groupBy("rule", "file", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     positions = F.expr(
         """flatten(transform(
             filter(
@@ -168,14 +170,14 @@ def candidates(index: DataFrame, queries: dict[int, Clauses]) -> DataFrame:
                 x -> x.b != 0),
             x -> transform(filter(sequence(0, 7), k -> (shiftright(x.b, k) & 1) = 1), k -> x.j * 8 + k)))"""
     )
-    at = either.select("rule", "bucket", F.explode(positions).alias("p"))
+    at = either.select("rule", "file", "bucket", F.explode(positions).alias("p"))
     # the inverse of bitmap_bucket_number and bitmap_bit_position
-    ident = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("p") + 1).otherwise(
+    row = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + F.col("p") + 1).otherwise(
         F.col("bucket") * 32768 - F.col("p")
     )
     return (
-        at.select(ident.alias("_cand"), F.expr("shiftleft(1, rule)").alias("m"))
-        .groupBy("_cand")
+        at.select("file", row.alias("row"), F.expr("shiftleft(1, rule)").alias("m"))
+        .groupBy("file", "row")
         .agg(F.bit_or("m").alias("_mask"))
     )
 
@@ -206,19 +208,21 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "secrets")
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r[1]))}
     grams = sorted({g for q in queries.values() for c in q for g in c})
-    index = scratch.keep(build_index(docs, grams, id_col, text_col), "index")
+    text = F.coalesce(F.col(f"doc.{text_col}"), F.lit("")).alias("text")
+    rows = located(docs, scratch)
+    rows = rows.select(F.col(f"doc.{id_col}").alias("id"), text, F.xxhash64("_file").alias("file"), F.col("_row").alias("row"))
+    index = scratch.keep(build_index(rows, grams), "index")
     found = scratch.keep(candidates(index, queries), "candidates")
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    rows = rows.join(found, F.col(id_col) == F.col("_cand"), "left")
+    rows = rows.join(found, ["file", "row"], "left")
     spans = []
     for i, (kind, regex, group, least) in enumerate(rules):
         run = RUNS.get(kind, regex)
-        look = F.col(text_col).rlike(run)
+        look = F.col("text").rlike(run)
         if i in queries:
-            look = (F.col(id_col).isNull() | ((F.col("_mask").bitwiseAND(F.lit(1 << i))) != 0)) & look
+            look = (F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0) & look
         none = F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int>>")
-        spans.append(F.when(look, _spans(F.col(text_col), i, kind, run, group, least)).otherwise(none))
-    return rows.select(id_col, text_col, F.array_sort(F.concat(*spans)).alias("spans"))
+        spans.append(F.when(look, _spans(F.col("text"), i, kind, run, group, least)).otherwise(none))
+    return rows.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def _written(spans: Column) -> Column:

@@ -623,6 +623,19 @@ def test_trigram_queries():
     assert q["access"] == {frozenset({"aki", "kia"})}
 
 
+def test_secrets_of_sparse_identifiers(spark):
+    """Far apart, negative, null and repeated identifiers: every row is found by its place, and the index stays dense."""
+    rng = np.random.default_rng(2)
+    ids = [None if i % 17 == 0 else int(x) for i, x in enumerate(rng.integers(-(2**62), 2**62, 400))]
+    ids[5] = ids[6]
+    texts = [f"x{i} password = hunter{i:04d} and" if i % 4 == 0 else f"x{i} nothing" for i in range(400)]
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("file", F.lit("clash"))
+    out = secrets.find_secrets(frame).collect()
+    assert len(out) == 400
+    want = {t: [(m.start(), m.end()) for m in re.finditer(r"password = \S+", t)] for t in texts}
+    assert all([(s["start"], s["stop"]) for s in r.spans] == want[r.text] for r in out)
+
+
 def test_licenses(spark, docs):
     out = licenses.op10_licenses(spark, SF_MORE).toPandas().merge(docs, on="doc_id")
     for name, line in (
