@@ -651,10 +651,54 @@ def test_licenses(spark, docs):
 
 
 def test_license_anchors_lose_nothing():
-    model = licenses.Templates({"the": 900, "license": 3}, 1000)
-    for _, text in licenses.TEMPLATES:
+    words = licenses._hashes(["the", "license"])
+    model = licenses.Templates(licenses.Frequencies(words, np.array([900, 3]), 1000, 2))
+    for k, (_, text) in enumerate([*licenses.TEMPLATES, *licenses.FULL_TEXTS]):
         bare = " ".join(t for t in licenses.terms(text) if t not in model.anchors)
-        assert not bare or model.best(bare)[0] < licenses.HEADER_COSINE
+        whole = k >= len(licenses.TEMPLATES)
+        assert not bare or model.best(bare, whole)[0] < (licenses.FILE_COSINE if whole else licenses.HEADER_COSINE)
+
+
+def plain_scan(texts):
+    """Best header of each text by TF-IDF cosine of all its units with all templates, with counts of all terms."""
+    bags = [licenses.terms(t) for t in texts]
+    df = collections.Counter(w for b in bags for w in b)
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+    vector = lambda t: {w: c * idf(w) for w, c in licenses.terms(t).items()}
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / size if size else 0.0
+
+    short = [(n, vector(t)) for n, t in licenses.TEMPLATES]
+    out = []
+    for text in texts:
+        best = max(((cosine(vector(text[x:y]), v), n) for x, y in licenses.units(text) for n, v in short), default=(0, None), key=lambda s: s[0])
+        whole = max(cosine(vector(text), v) for _, v in short + [(n, vector(t)) for n, t in licenses.FULL_TEXTS])
+        out.append((best if best[0] >= licenses.HEADER_COSINE else (0.0, None), whole))
+    return out
+
+
+@pytest.mark.parametrize("sent", [licenses.SENT_TERMS, 20])
+def test_licenses_against_all_cosines(spark, docs, monkeypatch, sent):
+    """Scores of whole texts with and without header lines, also when most terms meet their frequencies by a shuffle."""
+    monkeypatch.setattr(licenses.sent_frequencies, "__defaults__", (sent,))
+    texts = [t for t in docs.text if len(t) < 3000][:160]
+    texts += ["Licensed under the zebra License version 2 of Apache.", "the MIT License the the the", licenses.FULL_TEXTS[0][1] + " Jane Doe", "some words\n\n" + licenses.FULL_TEXTS[1][1]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("license", F.lit("clash"))
+    out = licenses.scan(frame).toPandas().sort_values("doc_id")
+    want = plain_scan(texts)
+    assert any(s for (s, _), _ in want)
+    for r, ((score, name), _) in zip(out.itertuples(), want, strict=True):
+        assert (r.license or None) == name and (name is None or math.isclose(r.score, score, abs_tol=1e-9)), (r.doc_id, r.license, name, r.score, score)
+
+
+def test_license_full_texts_are_files(spark):
+    """A whole licence text is a licence file of its directory, whatever its name."""
+    rows = [(1, "a/terms.txt", "Copyright 2001 Jane Doe\n\n" + licenses.FULL_TEXTS[0][1]), (2, "a/b/c.py", "code"), (3, "d/e.py", "code")]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), path=F.col("path"))
+    found = {r.doc_id: (r.license, r.method) for r in out.collect()}
+    assert found[2] == ("MIT", "inherited") and found[3] == (None, None)
 
 
 def test_license_inheritance(spark):
