@@ -42,6 +42,8 @@ HEADER_COSINE = 0.6
 FILE_COSINE = 0.8
 #: Terms whose document frequencies are sent to all tasks, but for a few thousand at ties: 16 bytes each.
 SENT_TERMS = 1 << 18
+#: Documents with possible headers that one task compares.
+DOCS_A_TASK = 512
 #: Distinct terms that a counting task holds before it hands on what it has.
 HELD_TERMS = 1_000_000
 #: Fixed texts: licence, and the statements and notices that declare it.
@@ -405,7 +407,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     few = looked.filter("text is not null")
     met = few.select("r", F.explode("rare").alias("w")).join(counts.filter(~is_sent), "w")
     met = met.groupBy("r").agg(F.collect_list(F.struct("w", "df")).alias("given"))  # of one text's qualifying units
-    few = few.join(met, "r", "left").select("id", "path", "text", "given")
+    tasks = -(-few.count() // DOCS_A_TASK) or 1  # few bytes, but each text takes its time
+    few = few.join(met, "r", "left").repartition(tasks, "r").select("id", "path", "text", "given")
     scanned = few.mapInArrow(_scan(model, HEADER_COSINE, FILE_COSINE), SCANNED.format(id_type))
     none = ["null as license", "0D as score", "'' as spans", "0L as n_headers", "null as file_license", "0D as file_score"]
     none = looked.filter("text is null").selectExpr("id", "path", *none)
