@@ -11,8 +11,8 @@ Model: the ``VOCABULARY`` - 1 tokens most frequent in training (ties by hash) an
 recurrent unit in numpy reads them; the output is factored into a softmax over classes of frequency rank and one over the
 words of the class.  A word outside the vocabulary is scored by the model as 'other', then by its smoothed count among the
 others, so the score is a probability of the text up to the hash.  Training is truncated back-propagation over runs of
-windows, with state carried over the windows of a run.  Runs go to ``ROUNDS`` rounds and, by a hash of their tokens, to
-groups of about ``GROUP_TOKENS`` tokens; in each round every group starts from the same weights and learns from its runs
+windows, with state carried over the windows of a run.  Runs go to ``ROUNDS`` rounds and, by a hash of identifier, place
+and tokens, to groups of about ``GROUP_TOKENS`` tokens; in each round every group starts from the same weights and learns from its runs
 in the order of their hashes, and the groups' weights are averaged, ``AVERAGED`` at a time.  So the network learns from every
 training token once, and its weights don't depend on how the table is partitioned.  Scoring carries the state across
 windows through the complete text.
@@ -30,6 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -359,27 +360,32 @@ def _batches(items: Iterator, n: int) -> Iterator[list]:
         yield held
 
 
-def _training_runs(words: Words, rounds: int, groups: int):
-    """Maps texts to (round, g, h, tokens): their runs of windows, dealt by a hash of their tokens and place in the text."""
+def _training_runs(part: int, rounds: int, groups: int):
+    """Maps (salt, numbers) to (g, h, tokens): the runs of windows of a round, dealt by hash of salt, place and tokens.
+
+    The salt, a hash of the identifier, spreads the copies of a text over all groups.
+    """
     span = WINDOW * RUN_WINDOWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in B.chunks(texts):
-                hashes, edges = token_hashes(texts[a:b])
-                numbers = words.numbers(words.find(hashes)).astype("<u2")
+            salts, packed = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
+            for lo, hi in B.chunks(packed, 4 * B.CHUNK_CHARS):
+                numbers = np.frombuffer(b"".join(packed[lo:hi]), "<u2")
+                edges = np.concatenate([[0], np.cumsum([len(x) // 2 for x in packed[lo:hi]])]).astype(np.int64)
                 count = (np.diff(edges) + span - 1) // span
                 place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 first = np.repeat(edges[:-1], count) + span * place
                 last = np.minimum(first + span, np.repeat(edges[1:], count))
-                mixed = B.mix64(hashes + (np.arange(len(hashes), dtype=np.uint64) - np.repeat(edges[:-1], np.diff(edges)).astype(np.uint64)))
+                at = np.arange(len(numbers)) - np.repeat(first, last - first)
+                mixed = B.mix64(numbers.astype(np.uint64) << np.uint64(16) | at.astype(np.uint64))
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-                h = B.mix64(sums[last] - sums[first])
-                part, g = h % np.uint64(rounds), (h >> np.uint64(8)) % np.uint64(groups)
-                tokens = [numbers[x:y].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                columns = [pa.array(part.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(h.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.binary())], ["round", "g", "h", "tokens"])
+                h = B.mix64(sums[last] - sums[first] + B.mix64(np.repeat(salts[lo:hi], count) + place.astype(np.uint64)))
+                use = np.flatnonzero(h % np.uint64(rounds) == part)
+                g = (h[use] >> np.uint64(8)) % np.uint64(groups)
+                tokens = [numbers[x:y].tobytes() for x, y in zip(first[use].tolist(), last[use].tolist(), strict=True)]
+                columns = [pa.array(g.astype(np.int32)), pa.array(h[use].view(np.int64)), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "h", "tokens"])
 
     return run
 
@@ -415,81 +421,103 @@ def _sum_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _sums_row(g, seen, total)
 
 
-def train(docs: DataFrame, words: Words, other: int, tokens: int, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
-    """Weights averaged over groups, by the tokens that each learned from; ``docs``: one column of training texts."""
-    net = Gru.start(words.model_counts, other)
+def train(rows: DataFrame, start: Gru, tokens: int, scratch: Scratch, rounds: int = ROUNDS) -> Gru:
+    """Weights averaged over groups, by the tokens that each learned from; ``rows``: (salt, numbers) of training texts."""
+    net = start
     groups = max(1, -(-tokens // GROUP_TOKENS))
-    runs = docs.mapInArrow(_training_runs(words, rounds, groups), "round int, g int, h long, tokens binary")
-    runs = scratch.keep(runs, "runs")
     for n in range(rounds):
-        rows = runs.filter(F.col("round") == n).select("g", "h", "tokens").repartitionById(groups, F.col("g"))
-        rows = rows.sortWithinPartitions("g", "h", "tokens").select("g", "tokens").mapInArrow(_train_groups(net.flat()), TRAINED)
-        rows = scratch.keep(rows, f"round-{n}")
+        runs = rows.mapInArrow(_training_runs(n, rounds, groups), "g int, h long, tokens binary").repartitionById(groups, F.col("g"))
+        runs = runs.sortWithinPartitions("g", "h", "tokens").select("g", "tokens").mapInArrow(_train_groups(net.flat()), TRAINED)
+        runs = scratch.keep(runs, f"round-{n}")
         left = groups
         while left > 1:
             left = -(-left // AVERAGED)
-            rows = rows.repartitionById(left, F.floor(F.col("g") / AVERAGED).cast("int")).sortWithinPartitions("g")
-            rows = rows.mapInArrow(_sum_groups, TRAINED)
-        got = rows.collect()
+            runs = runs.repartitionById(left, F.floor(F.col("g") / AVERAGED).cast("int")).sortWithinPartitions("g")
+            runs = runs.mapInArrow(_sum_groups, TRAINED)
+        got = runs.collect()
         if not got:
             break
         net = Gru((np.frombuffer(got[0].total, np.float64) / got[0].seen).astype(np.float32))
     return net
 
 
-SCORED = "id {}, held_out boolean, n_tokens long, n_sent long, sum_base double, n_other long, sum_other double, net double, rest array<long>, times array<int>"
+LOOKED = (
+    "id {}, held_out boolean, n_tokens long, n_sent long, sum_base double, n_other long, sum_other double, "
+    "rest array<long>, times array<int>, numbers binary"
+)
 
 
-def _score(net_flat: np.ndarray, words: Words):
-    """Per text: what the words that all tasks know add, the model's log-probability, and the hashes of other words."""
+def _look(words: Words):
+    """Per text: what the words that all tasks know add, hashes of the other words, and all tokens' numbers in the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Gru(net_flat)
         logs = np.log10(words.counts + SMOOTH)
-        names = ["id", "held_out", "n_tokens", "n_sent", "sum_base", "n_other", "sum_other", "net", "rest", "times"]
-
-        def out(held: list) -> pa.RecordBatch:
-            hashes = np.concatenate([h for _, _, h, _ in held])
-            sizes = np.concatenate([np.diff(e) for _, _, _, e in held])
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            place = words.find(hashes)
-            sent = place >= 0
-            known = sent & (words.counts[np.maximum(place, 0)] > 0) if len(logs) else sent
-            number = words.numbers(place)
-            value = np.where(sent, logs[np.maximum(place, 0)] if len(logs) else 0.0, 0.0)
-            add = lambda x: np.bincount(owner, x, len(sizes))
-            # other words: each once a text
-            rest, who = hashes[~sent].view(np.int64), owner[~sent]
-            by_word = np.lexsort((rest, who))
-            rest, who = rest[by_word], who[by_word]
-            first = np.flatnonzero(np.concatenate([[True] * bool(len(rest)), (rest[1:] != rest[:-1]) | (who[1:] != who[:-1])]))
-            times = np.diff(np.append(first, len(rest)))
-            rest, rest_at = rest[first], np.searchsorted(who[first], np.arange(len(sizes) + 1))
-            columns = [
-                pa.concat_arrays([i for i, _, _, _ in held]),
-                pa.concat_arrays([f for _, f, _, _ in held]),
-                pa.array(sizes),
-                pa.array(add(known).astype(np.int64)),
-                pa.array(add(value)),
-                pa.array(add(number == 0).astype(np.int64)),
-                pa.array(add(np.where(number == 0, value, 0.0))),
-                pa.array(net.score(number, edges)),
-                pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.array(rest)),
-                pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.array(times, pa.int32())),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        held, n = [], 0
+        names = [c.split()[0] for c in LOOKED.split(", ")]
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in B.chunks(texts):
                 hashes, edges = token_hashes(texts[a:b])
-                held.append((batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), hashes, edges))
-                n += len(hashes)
-                if n > SCORE_TOKENS:
+                sizes = np.diff(edges)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                place = words.find(hashes)
+                sent = place >= 0
+                known = sent & (words.counts[np.maximum(place, 0)] > 0) if len(logs) else sent
+                number = words.numbers(place)
+                value = np.where(sent, logs[np.maximum(place, 0)] if len(logs) else 0.0, 0.0)
+                add = lambda x: np.bincount(owner, x, len(sizes))  # noqa: B023, E731
+                # other words: each once a text
+                rest, who = hashes[~sent].view(np.int64), owner[~sent]
+                by_word = np.lexsort((rest, who))
+                rest, who = rest[by_word], who[by_word]
+                new = np.ones(len(rest), bool)
+                new[1:] = (rest[1:] != rest[:-1]) | (who[1:] != who[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(rest)))
+                rest, rest_at = rest[first], np.searchsorted(who[first], np.arange(len(sizes) + 1))
+                packed = number.astype("<u2")
+                columns = [
+                    batch.column(0).slice(a, b - a),
+                    batch.column(1).slice(a, b - a),
+                    pa.array(sizes),
+                    pa.array(add(known).astype(np.int64)),
+                    pa.array(add(value)),
+                    pa.array(add(number == 0).astype(np.int64)),
+                    pa.array(add(np.where(number == 0, value, 0.0))),
+                    pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.array(rest)),
+                    pa.ListArray.from_arrays(pa.array(rest_at, pa.int32()), pa.array(times, pa.int32())),
+                    pa.array([packed[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def _score(net_flat: np.ndarray):
+    """Maps (.., numbers) to (.., net): the model's log-probability of each whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Gru(net_flat)
+
+        def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            batch = pa.Table.from_batches(held).combine_chunks()
+            packed = batch.column("numbers").to_pylist()
+            edges = np.concatenate([[0], np.cumsum([len(x) // 2 for x in packed])]).astype(np.int64)
+            value = net.score(np.frombuffer(b"".join(packed), "<u2").astype(np.int64), edges)
+            return batch.drop_columns(["numbers"]).append_column("net", pa.array(value)).to_batches()[0]
+
+        held, n = [], 0
+        for batch in batches:
+            size = pc.binary_length(batch.column(batch.schema.get_field_index("numbers"))).to_numpy(zero_copy_only=False) // 2
+            first, total = 0, 0
+            for i, k in enumerate(size.tolist()):
+                total += k
+                if n + total > SCORE_TOKENS:
+                    held.append(batch.slice(first, i + 1 - first))
                     yield out(held)
-                    held, n = [], 0
+                    held, n, first, total = [], 0, i + 1, 0
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
+                n += total
         if held:
             yield out(held)
 
@@ -502,7 +530,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "gru-lm")
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    training = rows.filter("not held_out").select("text")
     counts = rows.select("text", "held_out").mapInArrow(_count, "w long, c long, a long")
     counts = scratch.keep(counts.groupBy("w").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "counts")
     total = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
@@ -512,18 +539,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = Words(sent.w.to_numpy(np.int64).view(np.uint64), sent.c.to_numpy(np.int64))
     in_model = int(words.model_counts.sum())
     n_other, v_other = n_train - in_model, v_train - int((words.model_counts > 0).sum())
-    net = train(training, words, n_other, n_train, scratch)
-
     id_type = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(net.flat(), words), SCORED.format(id_type))
-    scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("w"), "r.times")
+    looked = rows.mapInArrow(_look(words), LOOKED.format(id_type)).withColumn("row", F.monotonically_increasing_id())
+    looked = scratch.keep(looked, "looked")
+    learned = looked.filter("not held_out").select(F.xxhash64(F.col("id").cast("string")).alias("salt"), "numbers")
+    net = train(learned, Gru.start(words.model_counts, n_other), n_train, scratch)
+
+    rest = looked.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("w"), "r.times")
     met = rest.join(counts.filter(~is_sent).select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     met = met.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + F.lit(SMOOTH))).alias("sum_rest"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rest"),
     )
-    out = scored.drop("rest", "times").join(met, "row", "left")
+    slim = looked.drop("rest", "times")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "numbers") + ", net double"
+    out = slim.mapInArrow(_score(net.flat()), schema).join(met, "row", "left")
     sum_rest, n_rest = F.coalesce("sum_rest", F.lit(0.0)), F.coalesce("n_rest", F.lit(0))
     base = F.col("sum_base") + sum_rest - F.col("n_tokens") * F.lit(math.log10(n_train + SMOOTH * (v_train + 1)))
     others = F.col("sum_other") + sum_rest - F.col("n_other") * F.lit(math.log10(n_other + SMOOTH * (v_other + 1)))
