@@ -62,7 +62,9 @@ FAR = 60
 AT_ONCE = 2048
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD_WORDS = 1_000_000
-SCORE_TOKENS = 1_000_000
+#: Tokens whose texts advance together, and states that wait for their softmax.
+SCORE_TOKENS = 4_000_000
+SCORE_STATES = 16_384
 
 
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -247,21 +249,19 @@ class Gru:
         total = np.zeros(len(order))
         h = np.zeros((len(order), HIDDEN), np.float32)
         before = np.zeros(len(order), np.int64)  # the state before a text has read the 'other' token
-        for start in range(0, int(size.max(initial=0)), WINDOW):
-            states, targets, rows = [], [], []
-            for t in range(start, start + WINDOW):
-                k = int(np.searchsorted(-size, -t, side="left"))  # sequences with more than t tokens
-                if not k:
-                    break
-                h = self.step(table_[before[:k]], h[:k])[0]
-                before = tokens[first[:k] + t]
-                states.append(h)
-                targets.append(before)
-                rows.append(np.arange(k))
-            if not states:
-                break
-            value, _ = self.log_prob(np.concatenate(states), np.concatenate(targets))
-            total += np.bincount(np.concatenate(rows), value, len(total))
+        longest = int(size.max(initial=0))
+        alive = np.searchsorted(-size, -np.arange(longest), side="left").tolist()  # sequences with more than t tokens
+        states, targets, waiting = [], [], 0
+        for t, k in enumerate(alive):
+            h = self.step(table_[before[:k]], h[:k])[0]
+            before = tokens[first[:k] + t]
+            states.append(h)
+            targets.append(before)
+            waiting += k
+            if waiting >= SCORE_STATES or t + 1 == longest:
+                value, _ = self.log_prob(np.concatenate(states), np.concatenate(targets))
+                total += np.bincount(np.concatenate([np.arange(len(s)) for s in states]), value, len(total))
+                states, targets, waiting = [], [], 0
         out = np.empty(len(order))
         out[order] = total
         return out
@@ -315,7 +315,8 @@ class Gru:
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step, seen = 0, 0
         for batch in _batches(runs, TRAIN_ROWS):
-            wide = max(len(r) for r in batch)
+            batch.sort(key=len, reverse=True)  # runs that have ended drop out of later windows
+            wide = len(batch[0])
             y = np.zeros((len(batch), wide), np.int64)
             mask = np.zeros(y.shape, bool)
             for i, r in enumerate(batch):
@@ -323,11 +324,10 @@ class Gru:
             x = np.concatenate([np.zeros((len(batch), 1), np.int64), y[:, :-1]], 1)
             h = np.zeros((len(batch), HIDDEN), np.float32)
             for a in range(0, wide, WINDOW):
-                part = mask[:, a : a + WINDOW]
-                n = int(part.sum())
-                if not n:
-                    break
-                grads, h = self.train_window(x[:, a : a + WINDOW], y[:, a : a + WINDOW], part, h)
+                k = int(mask[:, a].sum())
+                here = slice(None, k), slice(a, a + WINDOW)
+                n = int(mask[here].sum())
+                grads, h = self.train_window(x[here], y[here], mask[here], h[:k])
                 step += 1
                 seen += n
                 norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n

@@ -376,17 +376,16 @@ def test_lm_gradients():
         assert math.isclose((up - down) / 2e-5, g[at], rel_tol=1e-4)
 
 
-def test_lm_state_is_carried():
-    """Whole-document scores don't depend on the window."""
+def test_lm_state_is_carried(monkeypatch):
+    """Whole-document scores don't depend on how many states wait for their softmax, nor on what is scored alongside."""
     net = gru_lm.Gru.start(np.arange(gru_lm.VOCABULARY)[::-1].copy(), 100)
     tokens = np.random.default_rng(2).integers(0, 100, 500)
     edges = np.array([0, 300, 300, 500])
     first = net.score(tokens, edges)
-    before, gru_lm.WINDOW = gru_lm.WINDOW, 7
-    try:
-        assert np.allclose(first, net.score(tokens, edges), rtol=1e-5)
-    finally:
-        gru_lm.WINDOW = before
+    monkeypatch.setattr(gru_lm, "SCORE_STATES", 7)
+    assert np.allclose(first, net.score(tokens, edges), rtol=1e-5)
+    alone = [net.score(tokens[x:y], np.array([0, y - x]))[0] for x, y in zip(edges, edges[1:], strict=False)]
+    assert np.allclose(first, alone, rtol=1e-5)
 
 
 def test_feistel_is_a_permutation():
