@@ -203,7 +203,7 @@ class Gru:
     def log_prob(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Natural log-probabilities of targets given states; with ``grads``, also adds gradients of their sum."""
         p = self.p
-        order = np.argsort(target // CLASSES, kind="stable")
+        order = np.argsort((target // CLASSES).astype(np.uint16), kind="stable")  # two bytes sort by counting
         kind, word, x = target[order] // CLASSES, target[order] % CLASSES, h[order]
         found = np.empty(len(order))
         back = np.zeros_like(x)
@@ -270,8 +270,11 @@ class Gru:
         """Gradients over one window (rows by steps), truncated at its start, and the state after it."""
         p, u = self.p, self.p["u"]
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        seen, place = np.unique(x.T, return_inverse=True)  # each token's gates once; steps first, then rows
-        place = place.reshape(x.shape[::-1])
+        times = np.bincount(x.ravel(), minlength=VOCABULARY)
+        seen = np.flatnonzero(times)  # each token's gates once; steps first, then rows
+        number = np.zeros(VOCABULARY, np.uint16)
+        number[seen] = np.arange(len(seen))
+        place = number[x.T]
         table_ = self.inputs(seen)
         steps = *place.shape, HIDDEN
         hs = np.empty((steps[0] + 1, *steps[1:]), h.dtype)
@@ -302,7 +305,7 @@ class Gru:
         grads["u"][:, : 2 * HIDDEN] = olds.T @ d[:, : 2 * HIDDEN]
         grads["u"][:, 2 * HIDDEN :] = (rs * olds).T @ d[:, 2 * HIDDEN :]
         order = np.argsort(place.ravel(), kind="stable")
-        first = np.searchsorted(place.ravel()[order], np.arange(len(seen)))
+        first = np.cumsum(times[seen]) - times[seen]
         by_token = np.add.reduceat(d[order], first, axis=0)
         grads["b"] += np.ones(len(seen), d.dtype) @ by_token
         grads["w"] += p["embed"][seen].T @ by_token
