@@ -98,9 +98,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, held_out = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in B.chunks(texts):
             hashes, edges = token_hashes(texts[a:b])
-            words, place, every = np.unique(hashes, return_inverse=True, return_counts=True)
-            train = np.bincount(place, np.repeat(~held_out[a:b], np.diff(edges)), len(words)).astype(np.int64)
-            held.append((words, train, every))
+            out_of_it = np.repeat(held_out[a:b], np.diff(edges))
+            for part, learned in ((hashes[~out_of_it], 1), (hashes[out_of_it], 0)):  # plain sorts, without places
+                if len(part):
+                    words, every = np.unique(part, return_counts=True)
+                    held.append((words, every * learned, every))
             if sum(len(w) for w, _, _ in held[1:]) > HELD_WORDS / 2:
                 held = [merged()]
                 if len(held[0][0]) > HELD_WORDS:
@@ -333,7 +335,7 @@ class Gru:
                 grads, h = self.train_window(x[here], y[here], mask[here], h[:k])
                 step += 1
                 seen += n
-                norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
+                norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
                 scale = 1 / n / max(1.0, norm)
                 rate, spread = LEARNING_RATE / (1 - 0.9**step), 1 / math.sqrt(1 - 0.99**step)
                 for k, g in grads.items():
