@@ -53,6 +53,31 @@ def _merge_by_rank(symbols: list[str], rank: dict[str, int]) -> tuple[list[str],
     return symbols, last
 
 
+class Places:
+    """Sorted 64-bit hashes, and where those with the same leading bits start: hashes are spread evenly."""
+
+    def __init__(self, keys: np.ndarray, bits: int):
+        self.shift = np.uint64(64 - bits)
+        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.bucket = starts.astype(np.int32)
+        self.ceiling = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        at = self.bucket[keys >> self.shift]
+        here = self.ceiling[at]
+        out = np.where(here == keys, at, np.int32(-1))
+        todo = np.flatnonzero(here < keys)  # behind others of its bucket
+        while len(todo):
+            at[todo] += 1
+            here = self.ceiling[at[todo]]
+            same = here == keys[todo]
+            out[todo[same]] = at[todo[same]]
+            todo = todo[here < keys[todo]]
+        out[out == len(self.ceiling) - 1] = -1  # the end is no key
+        return out
+
+
 class Vocabulary:
     """A SentencePiece model's pieces as sorted arrays, ready to be shipped to workers."""
 
@@ -92,11 +117,7 @@ class Vocabulary:
         self.keys = keys[by_key]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        # keys are spread evenly: where those with the same leading bits start
-        self.shift = np.uint64(64 - BUCKET_BITS)
-        starts = np.searchsorted(self.keys, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << self.shift)
-        self.bucket = starts.astype(np.int32)
-        self.ceiling = np.append(self.keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.find = Places(self.keys, BUCKET_BITS).find
         self.ids = np.array([kept[j][1] for j in by_key], np.int32)
         self.score = np.array([kept[j][2] for j in by_key])
         self.unknown_score = float(min(x for _, _, x in kept)) - 10
@@ -106,8 +127,7 @@ class Vocabulary:
         self.left = np.array([n if halves[j] is None else place[halves[j][0]] for n, j in enumerate(by_key)])
         self.right = np.array([n if halves[j] is None else place[halves[j][1]] for n, j in enumerate(by_key)])
         self.longest = int(self.length.max())
-        pairs = {(ord(a), ord(b)) for p in text for a, b in zip(p, p[1:], strict=False)}
-        self.pairs = np.sort(np.array([(a << 21) | b for a, b in pairs] or [0], np.int64))
+        self.pairs = sorted({(ord(a), ord(b)) for p in text for a, b in zip(p, p[1:], strict=False)})
         # what each id decodes to, as bytes
         chars = [p.piece.replace("▁", " ").encode() for p in proto.pieces]
         for n, i in enumerate(self.byte_ids):
@@ -117,20 +137,6 @@ class Vocabulary:
         self.out = np.frombuffer(b"".join(chars), np.uint8)
         self.out_at = np.concatenate([[0], np.cumsum([len(c) for c in chars])])
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key among the pieces, or -1."""
-        at = self.bucket[keys >> self.shift]
-        here = self.ceiling[at]
-        out = np.where(here == keys, at, np.int32(-1))
-        todo = np.flatnonzero(here < keys)  # behind others of its bucket
-        while len(todo):
-            at[todo] += 1
-            here = self.ceiling[at[todo]]
-            same = here == keys[todo]
-            out[todo[same]] = at[todo[same]]
-            todo = todo[here < keys[todo]]
-        return out
-
 
 class Encoder:
     """Encodes chunks of texts; keeps units that it has encoded."""
@@ -142,13 +148,27 @@ class Encoder:
         self._slots = np.full(PAIR_SLOTS, -1, np.int64)
         self._valid = np.zeros(PAIR_SLOTS, bool)
         self._raw: np.ndarray | None = None
+        # characters by number: 0 is in no pair; whether two may stand together in a piece
+        pairs = np.array(vocabulary.pairs, np.int64).reshape(-1, 2)
+        members = np.unique(pairs)
+        self._number = np.zeros(0x110000, np.int32)
+        self._number[members] = np.arange(1, len(members) + 1)
+        self._together = np.zeros((len(members) + 1, len(members) + 1), bool)
+        self._together[self._number[pairs[:, 0]], self._number[pairs[:, 1]]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        #: Hashes of units in order, and the number of each; tokens of units by number.
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.places = Places(self.known, 1)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.int32)
 
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each unit, or -1."""
+        at = self.places.find(keys)
+        return np.where(at >= 0, self.number[at], -1) if len(self.number) else at.astype(np.int64)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, flat, and len(texts) + 1 offsets."""
         return next(self.encode_parts([texts]))
@@ -156,39 +176,37 @@ class Encoder:
     def encode_parts(self, parts: list[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``encode`` of each part; units that the cache lacks are encoded together, so that arrays are long."""
         cut = [self._cut(texts) for texts in parts]
-        self._learn([c[2:] for c in cut])
-        for keys, at, *_ in cut:
-            place = np.searchsorted(self.known, keys)
-            count = self.count[place]
+        self._learn([c[4:] for c in cut])
+        for number, at, fresh, keys, *_ in cut:
+            number[fresh] = self._numbers(keys)
+            count = self.count[number]
             total = np.concatenate([[0], np.cumsum(count)])
-            ids = self.tokens[np.repeat(self.first[place] - total[:-1], count) + np.arange(total[-1])]
+            ids = self.tokens[np.repeat(self.first[number] - total[:-1], count) + np.arange(total[-1])]
             yield ids, total[at]
         if len(self.known) > self.cache_units:
             self.clear()
 
     def _cut(self, texts) -> tuple[np.ndarray, ...]:
-        """Hash of every unit, each text's first unit, and hashes, lengths and characters of units to be learned."""
+        """Number of every unit, each text's first unit, units that lack a number and their hashes; hashes, lengths and
+        characters of what is to be learned."""
         prefix = chr(SPACE) if self.v.dummy_prefix else ""
         flat, offsets = B.codes([prefix + t if t else None for t in texts])
         flat = np.where(flat == 32, np.uint32(SPACE), flat)
-        joined = (flat[:-1].astype(np.int64) << 21) | flat[1:]
-        at = np.minimum(np.searchsorted(self.v.pairs, joined), len(self.v.pairs) - 1)
+        character = self._number[flat]
         edge = np.ones(len(flat), bool)
-        edge[1:] = self.v.pairs[at] != joined
+        edge[1:] = ~self._together[character[:-1], character[1:]]
         edge[offsets[:-1][offsets[:-1] < len(flat)]] = True
         starts = np.flatnonzero(edge)
         ends = np.append(starts[1:], len(flat))[: len(starts)]
         keys = B.span_hashes(flat, starts, ends)
-        unique, sample = np.unique(keys, return_index=True)
-        at = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), bool)
-        near = at < len(self.known)
-        new[near] = self.known[at[near]] != unique[near]
-        sample = sample[new]
+        number = self._numbers(keys)
+        fresh = np.flatnonzero(number < 0)
+        unique, sample = np.unique(keys[fresh], return_index=True)
+        sample = fresh[sample]
         size = ends[sample] - starts[sample]
         first = np.cumsum(size) - size
         characters = flat[np.repeat(starts[sample] - first, size) + np.arange(size.sum())]
-        return keys, np.searchsorted(starts, offsets), unique[new], size, characters
+        return number, np.searchsorted(starts, offsets), fresh, keys[fresh], unique, size, characters
 
     def _learn(self, lacking: list[tuple[np.ndarray, ...]]) -> None:
         keys, size, flat = (np.concatenate(x) for x in zip(*lacking, strict=True))
@@ -197,12 +215,14 @@ class Encoder:
         ends = np.cumsum(size)
         keys, sample = np.unique(keys, return_index=True)
         ids, edges = self._units(flat, ends[sample] - size[sample], ends[sample])
-        first = np.concatenate([self.first, len(self.tokens) + edges[:-1]])
-        count = np.concatenate([self.count, np.diff(edges)])
+        number = np.concatenate([self.number, len(self.first) + np.arange(len(keys))])
+        self.first = np.concatenate([self.first, len(self.tokens) + edges[:-1]])
+        self.count = np.concatenate([self.count, np.diff(edges)])
         self.tokens = np.concatenate([self.tokens, ids])
         known = np.concatenate([self.known, keys])
         order = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[order], first[order], count[order]
+        self.known, self.number = known[order], number[order]
+        self.places = Places(self.known, len(known).bit_length())
 
     def _units(self, flat, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of units, flat, and offsets.  Units of one length advance together."""

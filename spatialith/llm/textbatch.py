@@ -20,6 +20,7 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: What a span's length adds to its hash before the last mixing.
 LENGTH_FACTOR = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
+_POINT_SALT = np.uint64(0x632BE59BD9B4E019)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -99,10 +100,23 @@ def words(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_POINTS = mix64(np.arange(1 << 16, dtype=np.uint64) + _POINT_SALT)
+
+
+def mixed_points(flat: np.ndarray) -> np.ndarray:
+    """Mixed code points; those of the first plane from a table."""
+    out = _POINTS.take(flat, mode="clip")
+    far = np.flatnonzero(flat >= len(_POINTS))
+    out[far] = mix64(flat[far].astype(np.uint64) + _POINT_SALT)
+    return out
+
+
 def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span of code points."""
-    terms = mix64(flat.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * powers(len(flat))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    terms = mixed_points(flat)
+    terms *= powers(len(flat))
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
     raw = (sums[ends] - sums[starts]) * powers(len(flat) + 1, inverse=True)[starts]
     return mix64(raw + (ends - starts).astype(np.uint64) * LENGTH_FACTOR)
 
