@@ -98,8 +98,18 @@ def footprint_overlaps(pairs: DataFrame) -> DataFrame:
 # surfaces
 
 
+#: Fixed values of surface distances: samples of the smallest object, pairs that are refined, how many samples of each
+#: object are refined, points around each, and their share of the way to a random point of its triangle.
+SAMPLES, TOP_PAIRS, REFINED, RESAMPLES, BLEND = 512, 8, 4, 64, 0.2
+
+
 def sample_surface(triangles: np.ndarray, n: int, seed: int) -> np.ndarray:
     """``n`` well-spread points: area-weighted samples, four times too many, then farthest points first."""
+    return surface_samples(triangles, n, seed)[0]
+
+
+def surface_samples(triangles: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The points of ``sample_surface``, and the triangle of each."""
     rng = np.random.default_rng(seed)
     a, b, c = triangles[:, 0], triangles[:, 1], triangles[:, 2]
     weight = np.linalg.norm(np.cross(b - a, c - a), axis=1)
@@ -112,18 +122,49 @@ def sample_surface(triangles: np.ndarray, n: int, seed: int) -> np.ndarray:
     while len(chosen) < n:
         chosen.append(int(gap.argmax()))
         np.minimum(gap, squares(chosen[-1]), out=gap)
-    return points[chosen]
+    return points[chosen], pick[chosen]
+
 
+def nearest_pairs(a: np.ndarray, b: np.ndarray, k: int = TOP_PAIRS, block: int = 256) -> list[tuple[float, int, int]]:
+    """The k smallest distances between two point sets and their places, block by block; ties go to the first places.
 
-def nearest_pairs(a: np.ndarray, b: np.ndarray, k: int = 8, block: int = 256) -> list[tuple[float, int, int]]:
-    """The k smallest distances between two point sets, block by block."""
+    Points farther from the other set's box than k pairs are apart can't be in any of them and are left out.
+    """
+    beyond = lambda p, q: np.linalg.norm(p - p.clip(q.min(0), q.max(0)), axis=1)
+    gaps = beyond(a, b), beyond(b, a)
     found: list[tuple[float, int, int]] = []
-    for i in range(0, len(a), block):
-        for j in range(0, len(b), block):
-            d = np.linalg.norm(a[i : i + block, None] - b[None, j : j + block], axis=2)
-            at = np.argpartition(d.ravel(), min(k, d.size) - 1)[:k]
-            found += [(float(d.flat[x]), i + x // d.shape[1], j + x % d.shape[1]) for x in at.tolist()]
-    return sorted(found)[:k]
+    for some in (block, None):  # the points nearest to the other box give a limit for all
+        limit = found[-1][0] * (1 + 1e-9) if len(found) == k else np.inf
+        rows, columns = (np.sort(np.argsort(g, kind="stable")[:some]) for g in gaps)
+        rows, columns = rows[gaps[0][rows] <= limit], columns[gaps[1][columns] <= limit]
+        found = []
+        for i in range(0, len(rows), block):
+            for j in range(0, len(columns), block):
+                r, c = rows[i : i + block], columns[j : j + block]
+                d = np.sqrt(sum((a[r, x][:, None] - b[c, x]) ** 2 for x in range(3))).ravel()
+                at = np.flatnonzero(d <= limit)
+                at = at[np.argsort(d[at], kind="stable")[:k]]
+                found = sorted(found + list(zip(d[at].tolist(), r[at // len(c)].tolist(), c[at % len(c)].tolist(), strict=True)))[:k]
+                if len(found) == k:
+                    limit = min(limit, found[-1][0])
+    return found
+
+
+def around(triangle: np.ndarray, point: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """``n`` points of a triangle near one of its points."""
+    spread = np.random.default_rng(seed).dirichlet(np.ones(3), n) @ triangle
+    return point + BLEND * (spread - point)
+
+
+def surface_distance(a: tuple, b: tuple) -> float:
+    """Least distance of two sampled surfaces (triangles, points, triangle of each point), the nearest pairs refined."""
+    near = nearest_pairs(a[1], b[1])
+    wide = []
+    for (triangles, points, owner), places in ((a, [p[1] for p in near]), (b, [p[2] for p in near])):
+        distinct = list(dict.fromkeys(places))
+        more = [around(triangles[owner[i]], points[i], RESAMPLES, i) for i in distinct[:REFINED]]
+        wide.append(np.concatenate([points[distinct], *more]))
+    return min(near[0][0], nearest_pairs(*wide, 1)[0][0])
 
 
 def box_triangles(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -140,18 +181,25 @@ def sample_counts(boxes: list[np.ndarray], base: int) -> list[int]:
     return [int(np.ceil(base * np.sqrt(max(a / least, 1.0)))) for a in areas]
 
 
-def surface_distances(objects: DataFrame, n: int = 32) -> DataFrame:
-    """(scene_id, a_id, b_id, distance): least distance between sampled surfaces of a scene's boxes."""
+def surface_distances(objects: DataFrame, n: int = SAMPLES) -> DataFrame:
+    """(scene_id, a_id, b_id, distance): least distance between sampled surfaces of a scene's boxes.
+
+    ``n``: samples of the smallest object of a scene; larger ones get more.
+    """
+    # a fixed number of partitions: by bytes, Spark would put these few rows into one slow task
+    parts = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         low, high = pdf[["x0", "y0", "z0"]].to_numpy(), pdf[["x1", "y1", "z1"]].to_numpy()
-        points = [sample_surface(box_triangles(a, b), n, int(i)) for a, b, i in zip(low, high, pdf.id, strict=True)]
+        boxes = [box_triangles(a, b) for a, b in zip(low, high, strict=True)]
+        things = [(t, *surface_samples(t, c, int(i))) for t, c, i in zip(boxes, sample_counts(boxes, n), pdf.id, strict=True)]
         ids = pdf.id.tolist()
-        rows = [(pdf.scene_id.iloc[0], ids[i], ids[j], nearest_pairs(points[i], points[j], 1)[0][0]) for i in range(len(ids)) for j in range(i + 1, len(ids))]
+        rows = [(pdf.scene_id.iloc[0], ids[i], ids[j], surface_distance(things[i], things[j])) for i in range(len(ids)) for j in range(i + 1, len(ids))]
         return pd.DataFrame(rows, columns=["scene_id", "a_id", "b_id", "distance"])
 
-    return objects.groupBy("scene_id").applyInPandas(run, "scene_id long, a_id long, b_id long, distance double")
+    spread = objects.repartition(parts, "scene_id")
+    return spread.groupBy("scene_id").applyInPandas(run, "scene_id long, a_id long, b_id long, distance double")
 
 
 # rays

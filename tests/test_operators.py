@@ -160,3 +160,30 @@ def test_ray_visibility_covers_every_frame(spark):
     assert sorted(map(tuple, out[["scene_id", "frame_id", "id"]].to_numpy().tolist())) == sorted(map(tuple, wanted.to_numpy().tolist()))
     assert (out.n_rays >= 512).all() and (out.n_rays > 512).any()
     assert ((out.n_visible >= 0) & (out.n_visible <= out.n_rays)).all()
+
+
+def test_nearest_pairs_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    for shift in (0, 0.5, 3, 40):
+        # few distinct coordinates, so that distances tie
+        a, b = rng.integers(0, 4, (700, 3)).astype(float), rng.integers(0, 4, (300, 3)) + float(shift)
+        all_pairs = np.sqrt(((a[:, None] - b) ** 2).sum(2))
+        want = sorted((float(d), i, j) for (i, j), d in np.ndenumerate(all_pairs))[:8]
+        assert K.nearest_pairs(a, b, 8, block=64) == want
+    assert len(K.nearest_pairs(np.zeros((1, 3)), np.ones((2, 3)))) == 2
+
+
+def test_surface_distances(spark):
+    """Large boxes beside each other, apart along three axes, and one within another."""
+    boxes = [(0, 0, 0, 0, 0, 4, 4, 4), (0, 1, 4.5, 0, 0, 8, 4, 4), (0, 2, 5, 6, 7, 6, 7, 8), (0, 3, 1, 1, 1, 2, 2, 2)]
+    objects = spark.createDataFrame([(s, i, *map(float, b)) for s, i, *b in boxes], "scene_id long, id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    found = {(r.a_id, r.b_id): r.distance for r in K.surface_distances(objects).collect()}
+    gaps = {(0, 1): 0.5, (0, 2): 14**0.5, (0, 3): 1.0, (1, 2): 13**0.5, (1, 3): 2.5, (2, 3): 50**0.5}
+    assert found.keys() == gaps.keys()
+    for pair, gap in gaps.items():
+        assert gap - 1e-9 <= found[pair] <= gap + 0.12, (pair, found[pair], gap)
+    things = [(t, *K.surface_samples(t, 600, 1)) for t in (K.box_triangles(np.array(b[2:5], float), np.array(b[5:], float)) for b in boxes[:2])]
+    coarse = K.nearest_pairs(things[0][1], things[1][1], 1)[0][0]
+    assert 0.5 <= K.surface_distance(*things) < coarse
+    local = K.around(things[0][0][0], things[0][0][0].mean(0), 64, 1)
+    assert np.abs(local - things[0][0][0].mean(0)).max() <= K.BLEND * 4
