@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -126,11 +127,13 @@ class Words:
         self.model_counts = np.zeros(VOCABULARY, np.int64)
         self.model_counts[1 : len(by_count) + 1] = self.counts[by_count]
 
+    @cached_property
+    def places(self) -> B.Places:
+        """Built where it is used: the driver sends the hashes alone."""
+        return B.Places(self.hashes, max(1, len(self.hashes).bit_length()))
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        return self.places.find(hashes)
 
     def numbers(self, place: np.ndarray) -> np.ndarray:
         return np.where(place >= 0, self.number[place] if len(self.number) else 0, 0)

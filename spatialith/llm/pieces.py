@@ -53,31 +53,6 @@ def _merge_by_rank(symbols: list[str], rank: dict[str, int]) -> tuple[list[str],
     return symbols, last
 
 
-class Places:
-    """Sorted 64-bit hashes, and where those with the same leading bits start: hashes are spread evenly."""
-
-    def __init__(self, keys: np.ndarray, bits: int):
-        self.shift = np.uint64(64 - bits)
-        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
-        self.bucket = starts.astype(np.int32)
-        self.ceiling = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, or -1."""
-        at = self.bucket[keys >> self.shift]
-        here = self.ceiling[at]
-        out = np.where(here == keys, at, np.int32(-1))
-        todo = np.flatnonzero(here < keys)  # behind others of its bucket
-        while len(todo):
-            at[todo] += 1
-            here = self.ceiling[at[todo]]
-            same = here == keys[todo]
-            out[todo[same]] = at[todo[same]]
-            todo = todo[here < keys[todo]]
-        out[out == len(self.ceiling) - 1] = -1  # the end is no key
-        return out
-
-
 class Vocabulary:
     """A SentencePiece model's pieces as sorted arrays, ready to be shipped to workers."""
 
@@ -117,7 +92,7 @@ class Vocabulary:
         self.keys = keys[by_key]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        self.find = Places(self.keys, BUCKET_BITS).find
+        self.find = B.Places(self.keys, BUCKET_BITS).find
         self.ids = np.array([kept[j][1] for j in by_key], np.int32)
         self.score = np.array([kept[j][2] for j in by_key])
         self.unknown_score = float(min(x for _, _, x in kept)) - 10
@@ -160,7 +135,7 @@ class Encoder:
     def clear(self) -> None:
         #: Hashes of units in order, and the number of each; tokens of units by number.
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.places = Places(self.known, 1)
+        self.places = B.Places(self.known, 1)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.tokens = np.zeros(0, np.int32)
 
@@ -222,7 +197,7 @@ class Encoder:
         known = np.concatenate([self.known, keys])
         order = np.argsort(known, kind="stable")
         self.known, self.number = known[order], number[order]
-        self.places = Places(self.known, len(known).bit_length())
+        self.places = B.Places(self.known, len(known).bit_length())
 
     def _units(self, flat, starts, ends) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of units, flat, and offsets.  Units of one length advance together."""
