@@ -7,6 +7,7 @@ one scene, never an unbounded key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,10 @@ def footprint_overlaps(pairs: DataFrame) -> DataFrame:
 SAMPLES, TOP_PAIRS, REFINED, RESAMPLES, BLEND = 512, 8, 4, 64, 0.2
 
 
+#: Point sets that are thinned side by side, and points of a patch.
+TOGETHER, PATCH = 64, 32
+
+
 def sample_surface(triangles: np.ndarray, n: int, seed: int) -> np.ndarray:
     """``n`` well-spread points: area-weighted samples, four times too many, then farthest points first."""
     return surface_samples(triangles, n, seed)[0]
@@ -110,49 +115,170 @@ def sample_surface(triangles: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 def surface_samples(triangles: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The points of ``sample_surface``, and the triangle of each."""
-    rng = np.random.default_rng(seed)
-    a, b, c = triangles[:, 0], triangles[:, 1], triangles[:, 2]
-    weight = np.linalg.norm(np.cross(b - a, c - a), axis=1)
-    pick = rng.choice(len(triangles), 4 * n, p=weight / weight.sum())
-    r, s = np.sqrt(rng.random(4 * n)), rng.random(4 * n)
-    points = a[pick] * (1 - r)[:, None] + b[pick] * (r * (1 - s))[:, None] + c[pick] * (r * s)[:, None]
-    x, y, z = np.ascontiguousarray(points.T)
-    squares = lambda i: (x - x[i]) ** 2 + (y - y[i]) ** 2 + (z - z[i]) ** 2
-    chosen, gap = [0], squares(0)
-    while len(chosen) < n:
-        chosen.append(int(gap.argmax()))
-        np.minimum(gap, squares(chosen[-1]), out=gap)
-    return points[chosen], pick[chosen]
-
-
-def nearest_pairs(a: np.ndarray, b: np.ndarray, k: int = TOP_PAIRS, block: int = 256) -> list[tuple[float, int, int]]:
-    """The k smallest distances between two point sets and their places, block by block; ties go to the first places.
-
-    Points farther from the other set's box than k pairs are apart can't be in any of them and are left out.
+    return all_surface_samples([(triangles, n, seed)])[0]
+
+
+def all_surface_samples(meshes: list[tuple[np.ndarray, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``surface_samples`` of each (triangles, n, seed)."""
+    drawn = []
+    for triangles, n, seed in meshes:
+        rng = np.random.default_rng(seed)
+        a, b, c = triangles[:, 0], triangles[:, 1], triangles[:, 2]
+        weight = np.linalg.norm(np.cross(b - a, c - a), axis=1)
+        pick = rng.choice(len(triangles), 4 * n, p=weight / weight.sum())
+        r, s = np.sqrt(rng.random(4 * n)), rng.random(4 * n)
+        drawn.append((a[pick] * (1 - r)[:, None] + b[pick] * (r * (1 - s))[:, None] + c[pick] * (r * s)[:, None], pick))
+    out: list = [None] * len(meshes)
+    by_size = sorted(range(len(meshes)), key=lambda i: -meshes[i][1])
+    for at in range(0, len(by_size), TOGETHER):
+        some = by_size[at : at + TOGETHER]
+        chosen = farthest_first([drawn[i][0] for i in some], [meshes[i][1] for i in some])
+        for i, places in zip(some, chosen, strict=True):
+            out[i] = drawn[i][0][places], drawn[i][1][places]
+    return out
+
+
+def along_curve(points: np.ndarray, bits: int = 6) -> np.ndarray:
+    """Places of the points in the order of a Hilbert curve (Skilling's transposition)."""
+    scale = ((1 << bits) - 1) / max(np.ptp(points, axis=0).max(), EPS)
+    axes = list(np.ascontiguousarray(((points - points.min(0)) * scale).astype(np.int32).T))
+    for level in range(bits - 1, 0, -1):
+        low = (1 << level) - 1
+        for k in range(3):
+            on = -(axes[k] >> level & 1)  # all bits or none
+            swap = (axes[0] ^ axes[k]) & low & ~on
+            axes[0] ^= low & on
+            axes[0] ^= swap
+            if k:
+                axes[k] ^= swap
+    axes[1] ^= axes[0]
+    axes[2] ^= axes[1]
+    turn = np.zeros_like(axes[2])
+    for level in range(bits - 1, 0, -1):
+        turn ^= -(axes[2] >> level & 1) & ((1 << level) - 1)
+    key = np.zeros_like(turn)
+    for level in range(bits - 1, -1, -1):
+        for x in axes:
+            key = key << 1 | (x ^ turn) >> level & 1
+    return np.argsort(key, kind="stable")
+
+
+def farthest_first(clouds: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
+    """Places of ``count`` points of each set: the first, then always the one farthest from all before.
+
+    The sets, by falling count, advance together.  Each is cut into patches of neighbours with a ball around them; a new
+    point is compared with the points of those patches alone that hold one it can be the nearest to.
+    """
+    sets, wide = len(clouds), -(-max(map(len, clouds)) // PATCH)
+    place = np.zeros((sets, wide * PATCH), np.int64)
+    xyz = np.full((3, sets, wide * PATCH), np.nan)  # no point is there
+    for i, points in enumerate(clouds):
+        order = along_curve(points)
+        place[i, : len(points)] = order
+        xyz[:, i, : len(points)] = points[order].T
+    first = np.array([points[0] for points in clouds]).T
+    gap = sum((xyz[k] - first[k][:, None]) ** 2 for k in range(3))
+    gap[np.isnan(gap)] = -1
+    x, y, z = xyz.reshape(3, -1, PATCH)
+    gap = gap.reshape(-1, PATCH)
+    top = gap.max(1)
+    filled = np.flatnonzero(top >= 0)
+    centre, radius = np.zeros((3, len(top))), np.zeros(len(top))
+    for k, values in enumerate((x, y, z)):
+        centre[k, filled] = (np.nanmin(values[filled], 1) + np.nanmax(values[filled], 1)) / 2
+    away = sum((v[filled] - c[filled, None]) ** 2 for v, c in zip((x, y, z), centre, strict=True))
+    radius[filled] = np.sqrt(np.nanmax(away, 1)) * (1 + 1e-9) + 1e-9
+    reach = np.full(len(top), -1.0)  # square of the distance from the centre within which a point changes a patch
+    reach[filled] = (radius[filled] + np.sqrt(top[filled])) ** 2
+    np.nan_to_num(xyz, copy=False)
+    cx, cy, cz = centre.reshape(3, sets, wide)
+    by_set, reaches = top.reshape(sets, wide), reach.reshape(sets, wide)
+    chosen = np.zeros((sets, max(counts)), np.int64)
+    chosen[:, 0] = -1
+    base = np.arange(sets) * wide
+    alive = np.searchsorted(-np.array(counts), -np.arange(max(counts)), side="left").tolist()
+    for t in range(1, max(counts)):
+        k = alive[t]
+        row = base[:k] + by_set[:k].argmax(1)
+        column = gap[row].argmax(1)
+        chosen[:k, t] = row * PATCH + column
+        qx, qy, qz = x[row, column], y[row, column], z[row, column]
+        d = cx[:k] - qx[:, None]
+        d *= d
+        for c, q in ((cy, qy), (cz, qz)):
+            e = c[:k] - q[:, None]
+            e *= e
+            d += e
+        met = np.flatnonzero(d < reaches[:k])
+        owner = met // wide
+        d = x[met]
+        d -= qx[owner][:, None]
+        d *= d
+        for c, q in ((y, qy), (z, qz)):
+            e = c[met]
+            e -= q[owner][:, None]
+            e *= e
+            d += e
+        np.minimum(d, gap[met], out=d)
+        gap[met] = d
+        most = d.max(1)
+        top[met] = most
+        reach[met] = (radius[met] + np.sqrt(most)) ** 2
+    places = place.ravel()[chosen]
+    places[:, 0] = 0
+    return [places[i, :n] for i, n in enumerate(counts)]
+
+
+def nearest_pairs(a: np.ndarray, b: np.ndarray, k: int = TOP_PAIRS, block: int = 256, limit: float = np.inf) -> list[tuple[float, int, int]]:
+    """The k smallest distances between two point sets, of those up to ``limit``, and their places, block by block.
+
+    Ties go to the first places.  Points farther from the other set's box than k pairs are apart can't be in any of them
+    and are left out.
     """
     beyond = lambda p, q: np.linalg.norm(p - p.clip(q.min(0), q.max(0)), axis=1)
     gaps = beyond(a, b), beyond(b, a)
     found: list[tuple[float, int, int]] = []
-    for some in (block, None):  # the points nearest to the other box give a limit for all
-        limit = found[-1][0] * (1 + 1e-9) if len(found) == k else np.inf
-        rows, columns = (np.sort(np.argsort(g, kind="stable")[:some]) for g in gaps)
-        rows, columns = rows[gaps[0][rows] <= limit], columns[gaps[1][columns] <= limit]
+    for some in (min(block, 48), None):  # the points nearest to the other box give a limit for all
+        if len(found) == k:
+            limit = min(limit, found[-1][0])
+        within = limit * (1 + 1e-9)
+        places = []
+        for g in gaps:
+            near = np.flatnonzero(g <= within)
+            places.append(np.sort(near[np.argpartition(g[near], some)[:some]]) if some and len(near) > some else near)
+        rows, columns = places
         found = []
         for i in range(0, len(rows), block):
             for j in range(0, len(columns), block):
                 r, c = rows[i : i + block], columns[j : j + block]
-                d = np.sqrt(sum((a[r, x][:, None] - b[c, x]) ** 2 for x in range(3))).ravel()
-                at = np.flatnonzero(d <= limit)
-                at = at[np.argsort(d[at], kind="stable")[:k]]
-                found = sorted(found + list(zip(d[at].tolist(), r[at // len(c)].tolist(), c[at % len(c)].tolist(), strict=True)))[:k]
+                d = np.zeros((len(r), len(c)))
+                for x in range(3):
+                    e = a[r, x][:, None] - b[c, x]
+                    e *= e
+                    d += e
+                d = d.ravel()
+                at = np.flatnonzero(d <= limit * limit * (1 + 1e-12))
+                d = np.sqrt(d[at])
+                if len(at) > k:
+                    least = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                    at, d = at[least], d[least]
+                first = np.argsort(d, kind="stable")[:k]
+                at, d = at[first], d[first]
+                found = sorted(found + list(zip(d.tolist(), r[at // len(c)].tolist(), c[at % len(c)].tolist(), strict=True)))[:k]
                 if len(found) == k:
                     limit = min(limit, found[-1][0])
     return found
 
 
+@lru_cache(4096)
+def spreads(n: int, seed: int) -> np.ndarray:
+    """Shares of a triangle's corners in ``n`` random points of it."""
+    return np.random.default_rng(seed).dirichlet(np.ones(3), n)
+
+
 def around(triangle: np.ndarray, point: np.ndarray, n: int, seed: int) -> np.ndarray:
     """``n`` points of a triangle near one of its points."""
-    spread = np.random.default_rng(seed).dirichlet(np.ones(3), n) @ triangle
+    spread = spreads(n, seed) @ triangle
     return point + BLEND * (spread - point)
 
 
@@ -164,7 +290,7 @@ def surface_distance(a: tuple, b: tuple) -> float:
         distinct = list(dict.fromkeys(places))
         more = [around(triangles[owner[i]], points[i], RESAMPLES, i) for i in distinct[:REFINED]]
         wide.append(np.concatenate([points[distinct], *more]))
-    return min(near[0][0], nearest_pairs(*wide, 1)[0][0])
+    return min(near[0][0], nearest_pairs(*wide, 1, limit=near[0][0])[0][0])
 
 
 def box_triangles(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -186,20 +312,57 @@ def surface_distances(objects: DataFrame, n: int = SAMPLES) -> DataFrame:
 
     ``n``: samples of the smallest object of a scene; larger ones get more.
     """
-    # a fixed number of partitions: by bytes, Spark would put these few rows into one slow task
-    parts = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        low, high = pdf[["x0", "y0", "z0"]].to_numpy(), pdf[["x1", "y1", "z1"]].to_numpy()
-        boxes = [box_triangles(a, b) for a, b in zip(low, high, strict=True)]
-        things = [(t, *surface_samples(t, c, int(i))) for t, c, i in zip(boxes, sample_counts(boxes, n), pdf.id, strict=True)]
-        ids = pdf.id.tolist()
-        rows = [(pdf.scene_id.iloc[0], ids[i], ids[j], surface_distance(things[i], things[j])) for i in range(len(ids)) for j in range(i + 1, len(ids))]
-        return pd.DataFrame(rows, columns=["scene_id", "a_id", "b_id", "distance"])
-
-    spread = objects.repartition(parts, "scene_id")
-    return spread.groupBy("scene_id").applyInPandas(run, "scene_id long, a_id long, b_id long, distance double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for scenes in whole_scenes(batches):
+            for scene, ids, _, things in sampled(scenes, n):
+                rows = [(scene, ids[i], ids[j], surface_distance(things[i], things[j])) for i in range(len(ids)) for j in range(i + 1, len(ids))]
+                yield pd.DataFrame(rows, columns=["scene_id", "a_id", "b_id", "distance"])
+
+    return by_scene(objects, "id").mapInPandas(run, "scene_id long, a_id long, b_id long, distance double")
+
+
+def by_scene(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of each scene together, in a fixed number of partitions: by bytes, Spark would put few rows into one slow task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "scene_id").sortWithinPartitions("scene_id", *order)
+
+
+def whole_scenes(batches: Iterator[pd.DataFrame], objects: int = 5 * TOGETHER) -> Iterator[list[pd.DataFrame]]:
+    """Runs of scenes, of about ``objects`` different objects together, of rows that come sorted by scene."""
+    held: list[pd.DataFrame] = []
+    some: list[pd.DataFrame] = []
+    size = 0
+
+    def more(scene: list[pd.DataFrame]) -> None:
+        nonlocal size
+        some.append(pd.concat(scene, ignore_index=True))
+        size += some[-1].id.nunique()
+
+    for batch in batches:
+        for scene_id, rows in batch.groupby("scene_id", dropna=False, sort=False):
+            if held and held[0].scene_id.iloc[0] != scene_id:
+                more(held)
+                held = []
+                if size >= objects:
+                    yield some
+                    some, size = [], 0
+            held.append(rows)
+    if held:
+        more(held)
+    if some:
+        yield some
+
+
+def sampled(scenes: list[pd.DataFrame], n: int) -> Iterator[tuple[int, list[int], tuple[np.ndarray, np.ndarray], list[tuple]]]:
+    """Of each scene of sorted objects: its identifier, theirs, their boxes, and their (triangles, points, triangle of each)."""
+    boxes = [(pdf[["x0", "y0", "z0"]].to_numpy(), pdf[["x1", "y1", "z1"]].to_numpy()) for pdf in scenes]
+    meshes = []
+    for pdf, (low, high) in zip(scenes, boxes, strict=True):
+        triangles = [box_triangles(a, b) for a, b in zip(low, high, strict=True)]
+        meshes += [(t, c, int(i)) for t, c, i in zip(triangles, sample_counts(triangles, n), pdf.id, strict=True)]
+    samples = iter([(mesh[0], *found) for mesh, found in zip(meshes, all_surface_samples(meshes), strict=True)])
+    for pdf, box in zip(scenes, boxes, strict=True):
+        yield pdf.scene_id.iloc[0], pdf.id.tolist(), box, [next(samples) for _ in range(len(pdf))]
 
 
 # rays
@@ -220,39 +383,51 @@ def hit_distances(origin: np.ndarray, directions: np.ndarray, triangles: np.ndar
     return np.where(ok & (u >= 0) & (v >= 0) & (u + v <= 1) & (t > EPS), t, np.inf)
 
 
+def first_hits(origin: np.ndarray, directions: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distance along each unit ray to the surface of a box, inf where it misses: ``hit_distances`` of its triangles."""
+    enter, leave = np.full(len(directions), -np.inf), np.full(len(directions), np.inf)
+    for k in range(3):
+        d = directions[:, k]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (low[k] - origin[k]) / d, (high[k] - origin[k]) / d
+        along = d == 0  # such a ray stays between the two faces, or never comes between them
+        if along.any():
+            t[along], u[along] = (-np.inf, np.inf) if low[k] <= origin[k] <= high[k] else (np.inf, -np.inf)
+        np.maximum(enter, np.where(along, t, np.minimum(t, u)), out=enter)
+        np.minimum(leave, np.where(along, u, np.maximum(t, u)), out=leave)
+    first = np.where(enter > EPS, enter, leave)
+    return np.where((enter <= leave) & (first > EPS), first, np.inf)
+
+
 def visible_shares(objects: DataFrame, cameras: DataFrame, n: int = 512) -> DataFrame:
     """(scene_id, frame_id, id, n_rays, n_visible): how many rays to an object's surface meet nothing before it.
 
     ``n``: rays to the smallest object of a scene; larger ones get more.
     """
-    # a fixed number of partitions: by bytes, Spark would put these few rows into one slow task
-    parts = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = cameras.join(objects, "scene_id").repartition(parts, "scene_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        things = pdf.drop_duplicates("id").sort_values("id")
-        low, high = things[["x0", "y0", "z0"]].to_numpy(), things[["x1", "y1", "z1"]].to_numpy()
-        boxes = [box_triangles(a, b) for a, b in zip(low, high, strict=True)]
-        every = np.concatenate(boxes)
-        counts = sample_counts(boxes, n)
-        points = [sample_surface(t, c, int(i)) for t, c, i in zip(boxes, counts, things.id, strict=True)]
-        rows = []
-        for frame in pdf.drop_duplicates("frame_id").sort_values("frame_id").itertuples():
-            eye = np.array([frame.px, frame.py, frame.pz], float)
-            for i, object_id in enumerate(things.id):
-                target = points[i] - eye
-                far = np.linalg.norm(target, axis=1)
-                clear = 0
-                for at in range(0, counts[i], 512):
-                    part = slice(at, at + 512)
-                    hits = hit_distances(eye, target[part] / far[part, None], every)
-                    hits[:, 12 * i : 12 * i + 12] = np.inf  # the object itself hides nothing of its own
-                    clear += int((hits.min(1) > far[part] - 1e-3).sum())
-                rows.append((frame.scene_id, frame.frame_id, object_id, counts[i], clear))
-        return pd.DataFrame(rows, columns=["scene_id", "frame_id", "id", "n_rays", "n_visible"])
-
-    schema = "scene_id long, frame_id long, id long, n_rays int, n_visible int"
-    return joined.groupBy("scene_id").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for scenes in whole_scenes(batches):
+            things_of = sampled([pdf.drop_duplicates("id").sort_values("id") for pdf in scenes], n)
+            for pdf, (scene, ids, boxes, things) in zip(scenes, things_of, strict=True):
+                rows = []
+                counts = [len(t[1]) for t in things]
+                owner = np.repeat(np.arange(len(ids)), counts)
+                points = np.concatenate([t[1] for t in things])
+                for frame in pdf.drop_duplicates("frame_id").sort_values("frame_id").itertuples():
+                    eye = np.array([frame.px, frame.py, frame.pz], float)
+                    target = points - eye
+                    far = np.linalg.norm(target, axis=1)
+                    target /= far[:, None]
+                    clear = np.ones(len(points), bool)
+                    for i, (low, high) in enumerate(zip(*boxes, strict=True)):
+                        left = np.flatnonzero(clear & (owner != i))  # the object itself hides nothing of its own
+                        clear[left] = first_hits(eye, target[left], low, high) > far[left] - 1e-3
+                    seen = np.bincount(owner[clear], minlength=len(ids))
+                    rows += [(scene, frame.frame_id, i, c, int(s)) for i, c, s in zip(ids, counts, seen, strict=True)]
+                yield pd.DataFrame(rows, columns=["scene_id", "frame_id", "id", "n_rays", "n_visible"])
+
+    joined = by_scene(cameras.join(objects, "scene_id"), "frame_id", "id")
+    return joined.mapInPandas(run, "scene_id long, frame_id long, id long, n_rays int, n_visible int")
 
 
 def compress_path(hits: np.ndarray, owners: np.ndarray, merge: float = 1e-3) -> list[tuple[float, int]]:

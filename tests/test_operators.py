@@ -187,3 +187,53 @@ def test_surface_distances(spark):
     assert 0.5 <= K.surface_distance(*things) < coarse
     local = K.around(things[0][0][0], things[0][0][0].mean(0), 64, 1)
     assert np.abs(local - things[0][0][0].mean(0)).max() <= K.BLEND * 4
+
+
+def test_farthest_points_are_those_of_all_points():
+    """Sets of many sizes side by side, one of them with few distinct coordinates, give what a plain search gives."""
+    rng = np.random.default_rng(7)
+    clouds = [rng.random((m, 3)) * rng.random(3) * 9 for m in (2000, 700, 64, 33, 5)] + [rng.permutation(np.argwhere(np.ones((2, 1, 2))))]
+    counts = [500, 300, 64, 8, 1, 4]
+    order = sorted(range(len(clouds)), key=lambda i: -counts[i])
+    found = K.farthest_first([clouds[i] for i in order], [counts[i] for i in order])
+    for i, places in zip(order, found, strict=True):
+        chosen, gap = [0], ((clouds[i] - clouds[i][0]) ** 2 @ np.ones(3))
+        for place in places[1:]:
+            assert gap[place] >= gap.max() * (1 - 1e-12)
+            chosen.append(int(place))
+            gap = np.minimum(gap, (clouds[i] - clouds[i][place]) ** 2 @ np.ones(3))
+        assert places.tolist() == chosen and len(set(chosen)) == counts[i]
+
+
+def test_first_hits_are_those_of_triangles():
+    rng = np.random.default_rng(3)
+    low, high = np.array([1.0, -1, -0.5]), np.array([2.0, 1, 1.5])
+    rays = rng.normal(size=(4000, 3))
+    rays /= np.linalg.norm(rays, axis=1, keepdims=True)
+    for eye in ([0.0, 0, 0], [1.5, 0.2, 0.3], [4.0, 3, 2], [1.5, 0, 9]):  # before, inside, behind, above
+        want = K.hit_distances(np.array(eye), rays, K.box_triangles(low, high)).min(1)
+        assert np.allclose(K.first_hits(np.array(eye), rays, low, high), want, atol=1e-9)
+        assert np.isfinite(want).any()
+    straight = np.array([[1.0, 0, 0], [0, 1, 0], [0, 0, -1]])
+    assert K.first_hits(np.array([0.0, 0.5, 0.25]), straight, low, high).tolist() == [1, np.inf, np.inf]
+
+
+def test_scenes_cross_batches(spark):
+    """Scenes that several Arrow batches share are not torn apart."""
+    boxes = [(s, i, i * 3.0, 0.0, 0.0, i * 3.0 + 1, 1.0, 1.0) for s in range(5) for i in range(4)]
+    objects = spark.createDataFrame(boxes, "scene_id long, id long, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    frames = spark.createDataFrame([(s, f, -5.0 + f, 0.5, 0.5) for s in range(5) for f in range(2)], "scene_id long, frame_id long, px double, py double, pz double")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    runs = []
+    try:
+        for rows in ("3", "10000"):
+            spark.conf.set(key, rows)
+            distances = sorted(map(tuple, K.surface_distances(objects, 64).collect()))
+            shares = sorted(map(tuple, K.visible_shares(objects, frames, 64).collect()))
+            runs.append((distances, shares))
+    finally:
+        spark.conf.set(key, before)
+    assert runs[0] == runs[1] and len(runs[0][0]) == 5 * 6 and len(runs[0][1]) == 5 * 2 * 4
+    assert all(2 * (b - a) - 1e-9 <= d - (b - a - 1) <= 2 * (b - a) + 0.2 for _, a, b, d in runs[0][0])
+    assert all(v == r if i == 0 else v < r for _, _, i, r, v in runs[0][1])  # boxes in a row hide those behind
