@@ -212,15 +212,20 @@ class Gru:
         kind, word, x = target[order] // CLASSES, target[order] % CLASSES, h[order]
         found = np.empty(len(order))
         back = np.zeros_like(x)
+        # a last input that is always one takes the biases into the products
+        x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+        heads = {w: np.concatenate([p[w], p[b][..., None, :]], -2) for w, b in (("class_w", "class_b"), ("word_w", "word_b"))}
+        longest = math.sqrt(max(np.einsum("ij,ij->i", h, h).max(initial=0), 0.0))
+        most = {w: longest * math.sqrt(np.square(p[w]).sum(-2).max()) + np.abs(head[..., -1, :]).max() for w, head in heads.items()}
 
         def softmax(rows: slice, weight: str, bias: str, at: tuple, want: np.ndarray) -> None:
             """Adds the log-probability of ``want`` under one softmax for ``rows``, and its gradients."""
             own, n = x[rows], np.arange(len(want))
-            e = own @ p[weight][at]
-            e += p[bias][at]
-            # one shift for all rows, unless they lie so far apart that a row's terms could vanish
-            top = e.max()
-            e -= top if top - e.min() < FAR else e.max(1, keepdims=True)
+            e = own @ heads[weight][at]
+            if not most[weight] < FAR:  # else no term vanishes or overflows as it is
+                # one shift for all rows, unless they lie so far apart that a row's terms could vanish
+                top = e.max()
+                e -= top if top - e.min() < FAR else e.max(1, keepdims=True)
             value = e[n, want]
             np.exp(e, out=e)
             total = e @ np.ones(e.shape[1], e.dtype)
@@ -228,8 +233,9 @@ class Gru:
             if grads is not None:
                 e *= (-1 / total)[:, None]
                 e[n, want] += 1
-                grads[weight][at] += own.T @ e
-                grads[bias][at] += np.ones(len(e), e.dtype) @ e
+                both = own.T @ e
+                grads[weight][at] += both[:-1]
+                grads[bias][at] += both[-1]
                 back[rows] += e @ p[weight][at].T
 
         found[:] = 0
@@ -280,41 +286,61 @@ class Gru:
         number = np.zeros(VOCABULARY, np.uint16)
         number[seen] = np.arange(len(seen))
         place = number[x.T]
-        table_ = self.inputs(seen)
-        steps = *place.shape, HIDDEN
-        hs = np.empty((steps[0] + 1, *steps[1:]), h.dtype)
-        rs, zs, cs = (np.empty(steps, h.dtype) for _ in range(3))
+        here = np.flatnonzero(mask.T)
+        table_, cut = self.inputs(seen), 2 * HIDDEN
+        # each step's gates, first what the token adds to them
+        rz, cs = np.ascontiguousarray(table_[:, :cut])[place], np.ascontiguousarray(table_[:, cut:])[place]
+        u_rz, u_c = np.ascontiguousarray(u[:, :cut]), np.ascontiguousarray(u[:, cut:])
+        hs = np.empty((len(place) + 1, *h.shape), h.dtype)
         hs[0] = h
-        for t, now in enumerate(place):
-            hs[t + 1], rs[t], zs[t], cs[t] = self.step(table_[now], hs[t])
-        olds, states, h = hs[:-1], hs[1:], hs[-1].copy()
+        rs, zs = rz[..., :HIDDEN], rz[..., HIDDEN:]
+        olds, states, h = hs[:-1], hs[1:], hs[-1]
+        reset = np.empty_like(states)
+        for t in range(len(place)):
+            rz[t] += olds[t] @ u_rz
+            _sigmoid(rz[t])
+            np.multiply(rs[t], olds[t], out=reset[t])
+            cs[t] += reset[t] @ u_c
+            np.tanh(cs[t], out=cs[t])
+            new = np.subtract(cs[t], olds[t], out=states[t])
+            new *= zs[t]
+            new += olds[t]
+        h = h.copy()
         back = np.zeros_like(states)
-        back[mask.T] = self.log_prob(states[mask.T], y.T[mask.T], grads)[1]
+        back.reshape(-1, HIDDEN)[here] = self.log_prob(states.reshape(-1, HIDDEN)[here], y.T.ravel()[here], grads)[1]
         # what doesn't depend on later steps, for all steps together
-        to_c, to_z, to_r, keep = zs * (1 - cs * cs), (cs - olds) * zs * (1 - zs), olds * rs * (1 - rs), 1 - zs
-        d = np.empty((*states.shape[:2], 3 * HIDDEN), states.dtype)
-        back_rz, back_c = np.ascontiguousarray(u[:, : 2 * HIDDEN].T), np.ascontiguousarray(u[:, 2 * HIDDEN :].T)
+        keep = 1 - zs
+        to_c, to_rz = zs * (1 - cs * cs), np.empty_like(rz)
+        np.multiply(reset, 1 - rs, out=to_rz[..., :HIDDEN])
+        np.multiply((cs - olds) * zs, keep, out=to_rz[..., HIDDEN:])
+        d_rz, d_c = np.empty_like(rz), np.empty_like(states)
+        back_rz, back_c = np.ascontiguousarray(u_rz.T), np.ascontiguousarray(u_c.T)
+        both = np.empty_like(rz[0])
         dh = np.zeros_like(h)
         for t in range(len(place) - 1, -1, -1):
             dh += back[t]
-            dc = dh * to_c[t]
-            drh = dc @ back_c
-            d[t, :, :HIDDEN] = drh * to_r[t]
-            d[t, :, HIDDEN : 2 * HIDDEN] = dh * to_z[t]
-            d[t, :, 2 * HIDDEN :] = dc
+            np.multiply(dh, to_c[t], out=d_c[t])
+            drh = np.matmul(d_c[t], back_c)
+            both[:, :HIDDEN], both[:, HIDDEN:] = drh, dh
+            np.multiply(both, to_rz[t], out=d_rz[t])
             dh *= keep[t]
             drh *= rs[t]
             dh += drh
-            dh += d[t, :, : 2 * HIDDEN] @ back_rz
-        d, olds, rs = d.reshape(-1, 3 * HIDDEN), olds.reshape(-1, HIDDEN), rs.reshape(-1, HIDDEN)
-        grads["u"][:, : 2 * HIDDEN] = olds.T @ d[:, : 2 * HIDDEN]
-        grads["u"][:, 2 * HIDDEN :] = (rs * olds).T @ d[:, 2 * HIDDEN :]
+            dh += d_rz[t] @ back_rz
+        d_rz, d_c = d_rz.reshape(-1, cut), d_c.reshape(-1, HIDDEN)
+        grads["u"][:, :cut] = olds.reshape(-1, HIDDEN).T @ d_rz
+        grads["u"][:, cut:] = reset.reshape(-1, HIDDEN).T @ d_c
+        ones = np.ones(len(d_c), d_c.dtype)
+        own = p["embed"][seen[place.ravel()]]
+        for part, d in ((slice(cut), d_rz), (slice(cut, None), d_c)):
+            grads["b"][part] = ones @ d
+            grads["w"][:, part] = own.T @ d
+        w = np.ascontiguousarray(p["w"].T)
+        by_place = d_rz @ w[:cut]
+        by_place += d_c @ w[cut:]
         order = np.argsort(place.ravel(), kind="stable")
         first = np.cumsum(times[seen]) - times[seen]
-        by_token = np.add.reduceat(d[order], first, axis=0)
-        grads["b"] += np.ones(len(seen), d.dtype) @ by_token
-        grads["w"] += p["embed"][seen].T @ by_token
-        grads["embed"][seen] = by_token @ p["w"].T
+        grads["embed"][seen] = np.add.reduceat(by_place[order], first, axis=0)
         return grads, h
 
     def train(self, runs: Iterator[np.ndarray]) -> int:

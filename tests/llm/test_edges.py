@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,62 @@ def test_hnsw(spark):
     assert [r.n_links for k, r in out.items() if k[0] == 9] == [0, 2]
     assert all(first[i].n_links == 0 and first[i].kept for i in (3, 4, 5, 6, 7, 8))
     assert hnsw_dedup.near_duplicates(v.limit(0)).count() == 0
+
+
+def test_gru_log_prob_near_and_far_logits():
+    """Log-probabilities and gradients are those of double precision, with logits that need a shift and without."""
+    rng = np.random.default_rng(11)
+    h = np.tanh(rng.normal(size=(300, gru_lm.HIDDEN))).astype(np.float32)
+    target = rng.integers(0, gru_lm.VOCABULARY, 300)
+    kind, word = target // gru_lm.CLASSES, target % gru_lm.CLASSES
+    for size in (0.1, 8.0):
+        net = gru_lm.Gru.start(rng.integers(1, 1000, gru_lm.VOCABULARY), 5)
+        net.p["class_w"] = (size * rng.normal(size=net.p["class_w"].shape)).astype(np.float32)
+        grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+        found, back = net.log_prob(h, target, grads)
+        p, x = {k: v.astype(float) for k, v in net.p.items()}, h.astype(float)
+        want, slope = np.zeros(300), np.zeros(x.shape)
+        logits = x @ p["class_w"] + p["class_b"], np.einsum("nh,nhc->nc", x, p["word_w"][kind]) + p["word_b"][kind]
+        errors = []
+        for e, aim in zip(logits, (kind, word), strict=True):
+            e = e - e.max(1, keepdims=True)
+            e -= np.log(np.exp(e).sum(1, keepdims=True))
+            want += e[np.arange(300), aim]
+            errors.append(np.eye(gru_lm.CLASSES)[aim] - np.exp(e))
+        slope = errors[0] @ p["class_w"].T + np.einsum("nc,nhc->nh", errors[1], p["word_w"][kind])
+        assert np.allclose(found, want, rtol=1e-4, atol=1e-3) and np.allclose(back, slope, rtol=1e-2, atol=1e-2)
+        assert np.allclose(grads["class_b"], errors[0].sum(0), atol=1e-2) and np.allclose(grads["class_w"], x.T @ errors[0], atol=1e-2)
+        assert np.isclose(grads["word_b"].sum(), errors[1].sum(), atol=1e-2)
+
+
+def test_gru_window_gradient_is_that_of_its_loss():
+    """A window whose rows end at different steps; differences of the loss in double precision."""
+    rng = np.random.default_rng(12)
+    net = gru_lm.Gru.start(rng.integers(1, 1000, gru_lm.VOCABULARY), 5)
+    net.p = {k: v.astype(float) * (1 if k.endswith("_b") else 3) for k, v in net.p.items()}
+    x, y = rng.integers(0, 40, (2, 4, 6))
+    mask = np.arange(6) < np.array([6, 6, 4, 1])[:, None]
+    start = rng.normal(size=(4, gru_lm.HIDDEN)) * 0.3
+
+    def loss() -> float:
+        h, total = start, 0.0
+        for t in range(6):
+            h = net.step(net.inputs(x[:, t]), h)[0]
+            total += net.log_prob(h[mask[:, t]], y[mask[:, t], t])[0].sum()
+        return total
+
+    grads, after = net.train_window(x, y, mask, start)
+    h = start
+    for t in range(6):
+        h = net.step(net.inputs(x[:, t]), h)[0]
+    assert np.allclose(after, h)
+    for name in ("embed", "w", "u", "b", "class_w", "class_b"):
+        flat, slope = net.p[name].reshape(-1), grads[name].reshape(-1)
+        for i in np.argsort(-np.abs(slope))[:3].tolist() + [0]:
+            before = flat[i]
+            flat[i] = before + 1e-5
+            up = loss()
+            flat[i] = before - 1e-5
+            down = loss()
+            flat[i] = before
+            assert np.isclose((up - down) / 2e-5, slope[i], rtol=1e-4, atol=1e-6), (name, i)
