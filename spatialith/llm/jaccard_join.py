@@ -74,9 +74,8 @@ def set_digests(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in B.chunks(texts):
-            values, edges = B.shingles(texts[a:b])
+        for a, b, texts in B.text_chunks(batch.column(1)):
+            values, edges = B.shingles(texts)
             d1, d2 = set_digests(values, edges)
             small = (values >> np.uint64(16)).astype(np.uint32)
             sketch = [small[x : min(y, x + SKETCH)].tobytes() for x, y in zip(edges, edges[1:], strict=False)]
@@ -351,7 +350,7 @@ def _buckets(reps: DataFrame, scratch: Scratch, threshold: float, runs: int, sma
     schema = "path long, id long, n long"
     choose = _paths(threshold, runs)
     found: DataFrame | None = None
-    rows = reps.select(F.lit(None).cast("long").alias("path"), "id", "n", "sketch").mapInArrow(choose, schema)
+    rows = reps.select(F.lit(None).cast("long").alias("path"), "id", "n", "sketch").mapInArrow(B.tidy(choose), schema)
     for level in range(1, levels + 1):
         # the same bucket by two tokens of one path is one bucket
         rows = scratch.keep(rows.distinct() if level > 1 else rows, f"paths-{level}")
@@ -365,7 +364,7 @@ def _buckets(reps: DataFrame, scratch: Scratch, threshold: float, runs: int, sma
         large = rows.filter(F.col("size") > small)
         if level == levels or large.isEmpty():
             break
-        rows = large.join(reps.select("id", "sketch"), "id").select("path", "id", "n", "sketch").mapInArrow(choose, schema)
+        rows = large.join(reps.select("id", "sketch"), "id").select("path", "id", "n", "sketch").mapInArrow(B.tidy(choose), schema)
     return found
 
 
@@ -375,7 +374,7 @@ def _grouped(
     """From (doc, file, row, text): (doc, file, row, class_id, n_links, kept)."""
     runs = runs or runs_needed(threshold, RECALL, levels)
     signature = "doc long, file string, row long, n long, d1 long, d2 long, sketch binary"
-    signed = rows.select("doc", "text", "file", "row").mapInArrow(_signatures, signature)
+    signed = rows.select("doc", "text", "file", "row").mapInArrow(B.tidy(_signatures), signature)
     signed = scratch.keep(signed, "signatures")
     classes = signed.filter("n > 0 and doc is not null").groupBy("d1", "d2", "n", "sketch")
     classes = classes.agg(F.min(F.struct("doc", "file", "row")).alias("rep"), F.count(F.lit(1)).alias("weight"))
@@ -397,11 +396,11 @@ def _grouped(
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     bounds = F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj")
     with_sketch = dealt.select("path", "id", "block", *bounds, "n", "sketch", "paths")
-    active = by_bucket(with_sketch).mapInArrow(_candidates(threshold), "path long, bi int, bj int, block int, id long")
+    active = by_bucket(with_sketch).mapInArrow(B.tidy(_candidates(threshold)), "path long, bi int, bj int, block int, id long")
     active = scratch.keep(active, "active")
     texts = active.join(known.select("id", "weight", "d1", "paths", "rep.file", "rep.row"), "id")
     texts = texts.join(rows.select("file", "row", "text"), ["file", "row"]).drop("file", "row")
-    checked = by_bucket(texts).mapInArrow(_verify(threshold), "id long, links long, root long")
+    checked = by_bucket(texts).mapInArrow(B.tidy(_verify(threshold)), "id long, links long, root long")
     checked = scratch.keep(checked, "links")
 
     links = checked.groupBy("id").agg(F.sum("links").alias("links"))

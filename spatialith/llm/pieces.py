@@ -375,7 +375,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
                 columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), lists, pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "token_ids", "round_trip"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, token_ids array<int>, round_trip boolean")
+    return rows.mapInArrow(B.tidy(run), f"`{id_col}` {id_type}, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,7 +290,7 @@ def train(
         return BLANK
     use = docs.sparkSession.createDataFrame(chosen, rows.select("_id", "_text").schema)
     rows = rows.join(F.broadcast(use), ["_id", "_text"]).dropDuplicates(["_id", "_text"]).select("quality", "text")
-    got = rows.mapInArrow(_train_rows, "quality int, x binary, size binary").collect()
+    got = rows.mapInArrow(B.tidy(_train_rows), "quality int, x binary, size binary").collect()
     got.sort(key=lambda r: (r.quality, bytes(r.x)))  # the order of rows must not change the sums
     x = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in got]
     size = [np.frombuffer(r["size"], np.float64) for r in got]
@@ -312,14 +312,13 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", name:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(n_text).to_pylist()
-            score = np.empty(len(texts))
-            for a, b in B.chunks(texts):
-                score[a:b] = model.scores(*line_features(texts[a:b]))
+            score = np.empty(batch.num_rows)
+            for a, b, texts in B.text_chunks(batch.column(n_text)):
+                score[a:b] = model.scores(*line_features(texts))
             names = [*batch.schema.names, name]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(B.tidy(run), T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,9 +6,12 @@ white-space characters.  Hashes are 64-bit polynomial sums over mixed code point
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of one chunk; a longer text is a chunk of its own.
 CHUNK_CHARS = 1_000_000
@@ -77,6 +80,36 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
         yield first, len(texts)
 
 
+def text_chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """``chunks`` of a column with the texts of each, which alone are Python strings at a time."""
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    for first, end in chunks([range(n) for n in sizes.tolist()], limit):
+        yield first, end, column.slice(first, end - first).to_pylist()
+
+
+def give_back() -> None:
+    """Returns what this process holds but doesn't use to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run``, a map over batches, that gives memory back at the end of a task.
+
+    Workers outlive their tasks, and stand beside later stages of the same executor, the heap's growth included.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
 def lower_ascii(flat: np.ndarray) -> np.ndarray:
     return np.where((flat >= 65) & (flat <= 90), flat + np.uint32(32), flat)
 

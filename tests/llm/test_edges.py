@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from spatialith.llm import (
     secrets,
     token_store,
 )
+from spatialith.llm import textbatch as B
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, _id string, path string, slot string"
 LONG = "word " * 40_000 + "é" * 5_000
@@ -264,3 +266,25 @@ def test_gru_window_gradient_is_that_of_its_loss():
             down = loss()
             flat[i] = before
             assert np.isclose((up - down) / 2e-5, slope[i], rtol=1e-4, atol=1e-6), (name, i)
+
+
+def test_chunks_of_a_column_are_those_of_its_texts():
+    texts = ["a" * 700_000, None, "é" * 400_000, "", "b" * 1_500_000, "c", "😀" * 10]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(texts * 2).slice(len(texts))):
+        found = list(B.text_chunks(column))
+        assert [(a, b) for a, b, _ in found] == list(B.chunks(texts)) and [t for *_, part in found for t in part] == texts
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """At the end of a task, whether its rows were all read or not; a batch's texts are not all strings at once."""
+    calls = []
+    monkeypatch.setattr(B, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(["a b c"] * 4), *[pa.array(range(4))] * 2], ["doc", "text", "file", "row"])
+    run = B.tidy(jaccard_join._signatures)
+    assert [b.num_rows for b in run(iter([batch, batch]))] == [4, 4] and calls == [1]
+    some = run(iter([batch, batch]))
+    next(some)
+    some.close()
+    assert calls == [1, 1]
+    monkeypatch.undo()
+    B.give_back()
