@@ -107,6 +107,9 @@ SAMPLES, TOP_PAIRS, REFINED, RESAMPLES, BLEND = 512, 8, 4, 64, 0.2
 #: Point sets that are thinned side by side, and points of a patch.
 TOGETHER, PATCH = 64, 32
 
+#: Points of each set that give a first limit to its nearest pairs; pairs of sets, and points of a side, that are searched together.
+NEAREST, SIDE_BY_SIDE, AT_ONCE = 32, 64, 1 << 15
+
 
 def sample_surface(triangles: np.ndarray, n: int, seed: int) -> np.ndarray:
     """``n`` well-spread points: area-weighted samples, four times too many, then farthest points first."""
@@ -130,18 +133,22 @@ def all_surface_samples(meshes: list[tuple[np.ndarray, int, int]]) -> list[tuple
         drawn.append((a[pick] * (1 - r)[:, None] + b[pick] * (r * (1 - s))[:, None] + c[pick] * (r * s)[:, None], pick))
     out: list = [None] * len(meshes)
     by_size = sorted(range(len(meshes)), key=lambda i: -meshes[i][1])
-    for at in range(0, len(by_size), TOGETHER):
-        some = by_size[at : at + TOGETHER]
+    runs = max(1, round(len(by_size) / TOGETHER))  # of about equal length
+    for run in range(runs):
+        some = by_size[len(by_size) * run // runs : len(by_size) * (run + 1) // runs]
+        if not some:
+            continue
         chosen = farthest_first([drawn[i][0] for i in some], [meshes[i][1] for i in some])
         for i, places in zip(some, chosen, strict=True):
             out[i] = drawn[i][0][places], drawn[i][1][places]
     return out
 
 
-def along_curve(points: np.ndarray, bits: int = 6) -> np.ndarray:
-    """Places of the points in the order of a Hilbert curve (Skilling's transposition)."""
-    scale = ((1 << bits) - 1) / max(np.ptp(points, axis=0).max(), EPS)
-    axes = list(np.ascontiguousarray(((points - points.min(0)) * scale).astype(np.int32).T))
+@lru_cache(1)
+def curve_steps(bits: int) -> np.ndarray:
+    """Place of each cell of a cube on the Hilbert curve (Skilling's transposition)."""
+    side = np.arange(1 << bits, dtype=np.int32)
+    axes = [x.ravel() for x in np.meshgrid(side, side, side, indexing="ij")]
     for level in range(bits - 1, 0, -1):
         low = (1 << level) - 1
         for k in range(3):
@@ -160,7 +167,14 @@ def along_curve(points: np.ndarray, bits: int = 6) -> np.ndarray:
     for level in range(bits - 1, -1, -1):
         for x in axes:
             key = key << 1 | (x ^ turn) >> level & 1
-    return np.argsort(key, kind="stable")
+    return key
+
+
+def along_curve(points: np.ndarray, bits: int = 6) -> np.ndarray:
+    """Places of the points in the order of a Hilbert curve."""
+    scale = ((1 << bits) - 1) / max(np.ptp(points, axis=0).max(), EPS)
+    x, y, z = ((points - points.min(0)) * scale).astype(np.int32).T
+    return np.argsort(curve_steps(bits)[(x << bits | y) << bits | z], kind="stable")
 
 
 def farthest_first(clouds: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
@@ -229,45 +243,72 @@ def farthest_first(clouds: list[np.ndarray], counts: list[int]) -> list[np.ndarr
     return [places[i, :n] for i, n in enumerate(counts)]
 
 
-def nearest_pairs(a: np.ndarray, b: np.ndarray, k: int = TOP_PAIRS, block: int = 256, limit: float = np.inf) -> list[tuple[float, int, int]]:
-    """The k smallest distances between two point sets, of those up to ``limit``, and their places, block by block.
+def nearest_of_each(a: np.ndarray, b: np.ndarray, k: int, limit: np.ndarray, block: int = 256) -> tuple[np.ndarray, ...]:
+    """Of each row of two arrays of point sets (rows, 3, points), padded by nan: the k smallest distances up to the root of its ``limit``.
 
-    Ties go to the first places.  Points farther from the other set's box than k pairs are apart can't be in any of them
-    and are left out.
+    Returns row, distance and both places, sorted; ties go to the first places.  Points farther from the other set's box
+    than k pairs are apart can't be in any of them and are left out.
     """
-    beyond = lambda p, q: np.linalg.norm(p - p.clip(q.min(0), q.max(0)), axis=1)
-    gaps = beyond(a, b), beyond(b, a)
-    found: list[tuple[float, int, int]] = []
-    for some in (min(block, 48), None):  # the points nearest to the other box give a limit for all
-        if len(found) == k:
-            limit = min(limit, found[-1][0])
-        within = limit * (1 + 1e-9)
-        places = []
-        for g in gaps:
-            near = np.flatnonzero(g <= within)
-            places.append(np.sort(near[np.argpartition(g[near], some)[:some]]) if some and len(near) > some else near)
-        rows, columns = places
-        found = []
-        for i in range(0, len(rows), block):
-            for j in range(0, len(columns), block):
-                r, c = rows[i : i + block], columns[j : j + block]
-                d = np.zeros((len(r), len(c)))
-                for x in range(3):
-                    e = a[r, x][:, None] - b[c, x]
-                    e *= e
-                    d += e
-                d = d.ravel()
-                at = np.flatnonzero(d <= limit * limit * (1 + 1e-12))
-                d = np.sqrt(d[at])
-                if len(at) > k:
-                    least = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    at, d = at[least], d[least]
-                first = np.argsort(d, kind="stable")[:k]
-                at, d = at[first], d[first]
-                found = sorted(found + list(zip(d.tolist(), r[at // len(c)].tolist(), c[at % len(c)].tolist(), strict=True)))[:k]
-                if len(found) == k:
-                    limit = min(limit, found[-1][0])
-    return found
+    gaps = []
+    with np.errstate(invalid="ignore"):
+        for p, q in ((a, b), (b, a)):
+            low, high = np.fmin.reduce(q, 2), np.fmax.reduce(q, 2)
+            gap = 0.0
+            for x in range(3):
+                e = p[:, x] - p[:, x].clip(low[:, x, None], high[:, x, None])
+                e *= e
+                gap = gap + e
+            gap[np.isnan(gap)] = np.inf
+            gaps.append(gap)
+    # the points nearest to the other box give a limit for all
+    first = [np.argpartition(g, NEAREST, 1)[:, :NEAREST] if g.shape[1] > NEAREST else np.broadcast_to(np.arange(g.shape[1]), g.shape) for g in gaps]
+    p, q = (np.take_along_axis(s, f[:, None], 2) for s, f in zip((a, b), first, strict=True))
+    d = squares(p[..., None], q[:, :, None]).reshape(len(a), -1)
+    d[np.isnan(d)] = np.inf
+    if d.shape[1] >= k:
+        limit = np.minimum(limit, np.partition(d, k - 1, 1)[:, k - 1])
+    (ra, i), (rb, j) = (np.nonzero(g <= np.minimum(limit * (1 + 1e-9), np.finfo(float).max)[:, None]) for g in gaps)
+    cuts_a, cuts_b = (np.searchsorted(r, np.arange(len(a) + 1)) for r in (ra, rb))
+    wide = np.diff(cuts_b)
+    few = np.diff(cuts_a) * wide <= block * block // 8
+    found = []
+
+    def add(r: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        at = np.flatnonzero(d <= limit[r] * (1 + 1e-12))
+        found.append((r[at], np.sqrt(d[at]), i[at], j[at]))
+
+    some = np.flatnonzero(few[ra])
+    times = wide[ra[some]]
+    left = np.repeat(some, times)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + cuts_b[ra[left]]
+    add(ra[left], i[left], j[right], squares(a[ra[left], :, i[left]], b[ra[left], :, j[right]]))
+    for r in np.flatnonzero(~few):
+        mine, others = i[cuts_a[r] : cuts_a[r + 1]], j[cuts_b[r] : cuts_b[r + 1]]
+        for at in range(0, len(mine), block):
+            d = squares(a[r][:, mine[at : at + block], None][None], b[r][:, others][None, :, None]).ravel()
+            near = np.flatnonzero(d <= limit[r] * (1 + 1e-12))
+            add(np.full(len(near), r), mine[at + near // len(others)], others[near % len(others)], d[near])
+    r, d, i, j = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((j, i, d, r))
+    start = np.searchsorted(r[order], np.arange(len(a)))
+    order = order[np.arange(len(order)) - start[r[order]] < k]
+    return r[order], d[order], i[order], j[order]
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of points, whose coordinates are the second axis, one after the other."""
+    d = 0.0
+    for x in range(3):
+        e = a[:, x] - b[:, x]
+        e *= e
+        d = d + e
+    return d
+
+
+def nearest_pairs(a: np.ndarray, b: np.ndarray, k: int = TOP_PAIRS, block: int = 256) -> list[tuple[float, int, int]]:
+    """The k smallest distances between two point sets and their places."""
+    _, d, i, j = nearest_of_each(a.T[None], b.T[None], k, np.array([np.inf]), block)
+    return list(zip(d.tolist(), i.tolist(), j.tolist(), strict=True))
 
 
 @lru_cache(4096)
@@ -278,19 +319,67 @@ def spreads(n: int, seed: int) -> np.ndarray:
 
 def around(triangle: np.ndarray, point: np.ndarray, n: int, seed: int) -> np.ndarray:
     """``n`` points of a triangle near one of its points."""
-    spread = spreads(n, seed) @ triangle
+    return drawn_to(spreads(n, seed) @ triangle, point)
+
+
+def drawn_to(spread: np.ndarray, point: np.ndarray) -> np.ndarray:
     return point + BLEND * (spread - point)
 
 
 def surface_distance(a: tuple, b: tuple) -> float:
     """Least distance of two sampled surfaces (triangles, points, triangle of each point), the nearest pairs refined."""
-    near = nearest_pairs(a[1], b[1])
+    return pair_distances([a, b], np.array([0]), np.array([1]))[0]
+
+
+def pair_distances(things: list[tuple], left: np.ndarray, right: np.ndarray) -> list[float]:
+    """``surface_distance`` of many pairs of things, given by their places."""
+    out: list[float] = []
+    at = 0
+    while at < len(left):
+        wide = max(len(things[i][1]) for i in (*left[at : at + SIDE_BY_SIDE], *right[at : at + SIDE_BY_SIDE]))
+        pairs = slice(at, at + max(1, min(SIDE_BY_SIDE, AT_ONCE // wide)))
+        out += _pair_distances(things, left[pairs], right[pairs])
+        at = pairs.stop
+    return out
+
+
+def _pair_distances(things: list[tuple], left: np.ndarray, right: np.ndarray) -> list[float]:
+    used, own = np.unique(np.concatenate([left, right]), return_inverse=True)
+    some = [things[i] for i in used.tolist()]
+    points = padded([t[1] for t in some])
+    rows, d, i, j = nearest_of_each(points[own[: len(left)]], points[own[len(left) :]], TOP_PAIRS, np.full(len(left), np.inf))
+    least = d[np.searchsorted(rows, np.arange(len(left)))]
+    # each side's places as they come first, and the points around the first of them, drawn once
+    sides, wanted = [], {}
+    cuts = np.searchsorted(rows, np.arange(len(left) + 1)).tolist()
+    for places, who in ((i.tolist(), own[: len(left)].tolist()), (j.tolist(), own[len(left) :].tolist())):
+        distinct = [[(t, p) for p in dict.fromkeys(places[a:b])] for t, a, b in zip(who, cuts, cuts[1:], strict=False)]
+        for keys in distinct:
+            for key in keys[:REFINED]:
+                wanted.setdefault(key, len(wanted))
+        sides.append(distinct)
+    centre = np.array([some[t][1][p] for t, p in wanted])
+    corners = np.array([some[t][0][some[t][2][p]] for t, p in wanted])
+    spread = np.array([spreads(RESAMPLES, p) for _, p in wanted])
+    more = drawn_to(spread @ corners, centre[:, None])
     wide = []
-    for (triangles, points, owner), places in ((a, [p[1] for p in near]), (b, [p[2] for p in near])):
-        distinct = list(dict.fromkeys(places))
-        more = [around(triangles[owner[i]], points[i], RESAMPLES, i) for i in distinct[:REFINED]]
-        wide.append(np.concatenate([points[distinct], *more]))
-    return min(near[0][0], nearest_pairs(*wide, 1, limit=near[0][0])[0][0])
+    for distinct in sides:
+        sets = np.full((len(left), 3, TOP_PAIRS + REFINED * RESAMPLES), np.nan)
+        for row, keys in enumerate(distinct):
+            sets[row, :, : len(keys)] = np.array([some[t][1][p] for t, p in keys]).T
+            near = [wanted[key] for key in keys[:REFINED]]
+            sets[row, :, TOP_PAIRS : TOP_PAIRS + len(near) * RESAMPLES] = more[near].reshape(-1, 3).T
+        wide.append(sets)
+    _, d, _, _ = nearest_of_each(*wide, 1, least * least * (1 + 1e-9))
+    return np.minimum(least, d).tolist()
+
+
+def padded(sets: list[np.ndarray]) -> np.ndarray:
+    """Point sets as one array, the shorter ones filled up with nan."""
+    out = np.full((len(sets), 3, max(map(len, sets))), np.nan)
+    for row, points in zip(out, sets, strict=True):
+        row[:, : len(points)] = points.T
+    return out
 
 
 def box_triangles(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -315,19 +404,24 @@ def surface_distances(objects: DataFrame, n: int = SAMPLES) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for scenes in whole_scenes(batches):
             for scene, ids, _, things in sampled(scenes, n):
-                rows = [(scene, ids[i], ids[j], surface_distance(things[i], things[j])) for i in range(len(ids)) for j in range(i + 1, len(ids))]
-                yield pd.DataFrame(rows, columns=["scene_id", "a_id", "b_id", "distance"])
+                i, j = np.triu_indices(len(ids), 1)
+                names = np.array(ids, np.int64)
+                yield pd.DataFrame({"scene_id": scene, "a_id": names[i], "b_id": names[j], "distance": np.array(pair_distances(things, i, j), float)})
 
     return by_scene(objects, "id").mapInPandas(run, "scene_id long, a_id long, b_id long, distance double")
 
 
 def by_scene(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows of each scene together, in a fixed number of partitions: by bytes, Spark would put few rows into one slow task."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows of each scene together, in a fixed number of partitions: by bytes, Spark would put few rows into one slow task.
+
+    A few for each core: scenes of one partition are sampled side by side.
+    """
+    spark = rows.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return rows.repartition(parts, "scene_id").sortWithinPartitions("scene_id", *order)
 
 
-def whole_scenes(batches: Iterator[pd.DataFrame], objects: int = 5 * TOGETHER) -> Iterator[list[pd.DataFrame]]:
+def whole_scenes(batches: Iterator[pd.DataFrame], objects: int = 6 * TOGETHER) -> Iterator[list[pd.DataFrame]]:
     """Runs of scenes, of about ``objects`` different objects together, of rows that come sorted by scene."""
     held: list[pd.DataFrame] = []
     some: list[pd.DataFrame] = []

@@ -189,6 +189,23 @@ def test_surface_distances(spark):
     assert np.abs(local - things[0][0][0].mean(0)).max() <= K.BLEND * 4
 
 
+def test_pair_distances_side_by_side():
+    """All pairs together, of apart, crossing and nested boxes with different numbers of points, give what each pair gives by itself."""
+    boxes = [(0, 0, 0, 4, 4, 4), (4.5, 0, 0, 8, 4, 4), (3, 3, 3, 5, 5, 5), (1, 1, 1, 2, 2, 2), (0, 0, 0, 4, 4, 4)]
+    meshes = [K.box_triangles(np.array(b[:3], float), np.array(b[3:], float)) for b in boxes]
+    things = [(t, *K.surface_samples(t, 100 * (i + 1), i)) for i, t in enumerate(meshes)]
+    left, right = np.triu_indices(len(things), 1)
+    together = K.pair_distances(things, left, right)
+    for i, j, found in zip(left, right, together, strict=True):
+        near = sorted((float(d), *at) for at, d in np.ndenumerate(np.sqrt(((things[i][1][:, None] - things[j][1]) ** 2).sum(2))))[:8]
+        wide = []
+        for (triangles, points, owner), places in ((things[i], [p[1] for p in near]), (things[j], [p[2] for p in near])):
+            distinct = list(dict.fromkeys(places))
+            wide.append(np.concatenate([points[distinct], *(K.around(triangles[owner[p]], points[p], 64, p) for p in distinct[:4])]))
+        assert abs(found - np.sqrt(((wide[0][:, None] - wide[1]) ** 2).sum(2)).min()) < 1e-12
+    assert K.pair_distances(things, left[:0], right[:0]) == []
+
+
 def test_farthest_points_are_those_of_all_points():
     """Sets of many sizes side by side, one of them with few distinct coordinates, give what a plain search gives."""
     rng = np.random.default_rng(7)
