@@ -60,7 +60,7 @@ LEARNING_RATE = 0.01
 #: Span of logits within which exponentials of single precision keep their sums.
 FAR = 60
 #: Rows of one softmax, few enough to stay in a core's cache.
-AT_ONCE = 2048
+AT_ONCE = 1024
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD_WORDS = 1_000_000
 #: Tokens whose texts advance together, and states that wait for their softmax.
@@ -84,6 +84,7 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Maps (text, held_out) to (w, c, a): a word's occurrences in training and in all texts."""
+    B.keep_freed()
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,11 +141,22 @@ class Words:
 
 
 def _sigmoid(x: np.ndarray) -> None:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
+    """In place, by one exponential, which takes half the time of a hyperbolic tangent; far values end at 0 and 1."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> None:
+    """In place: twice the sigmoid of twice the value, less one."""
+    x *= -2
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.divide(2, x, out=x)
+    x -= 1
 
 
 class Gru:
@@ -199,56 +211,68 @@ class Gru:
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
         c = (r * h) @ u[:, 2 * HIDDEN :]
         c += gates[:, 2 * HIDDEN :]
-        np.tanh(c, out=c)
+        _tanh(c)
         new = c - h
         new *= z
         new += h
         return new, r, z, c
 
-    def log_prob(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log-probabilities of targets given states; with ``grads``, also adds gradients of their sum."""
+    def log_prob(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probabilities of targets given states; with ``grads``, also adds gradients of their sum and gives those of the states."""
         p = self.p
         order = np.argsort((target // CLASSES).astype(np.uint16), kind="stable")  # two bytes sort by counting
-        kind, word, x = target[order] // CLASSES, target[order] % CLASSES, h[order]
-        found = np.empty(len(order))
-        back = np.zeros_like(x)
+        kind, word, x = target[order] // CLASSES, target[order] % CLASSES, h.take(order, 0)
         # a last input that is always one takes the biases into the products
         x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-        heads = {w: np.concatenate([p[w], p[b][..., None, :]], -2) for w, b in (("class_w", "class_b"), ("word_w", "word_b"))}
+        back = np.zeros_like(h) if grads is not None else None
+        found = np.zeros(len(order))
         longest = math.sqrt(max(np.einsum("ij,ij->i", h, h).max(initial=0), 0.0))
-        most = {w: longest * math.sqrt(np.square(p[w]).sum(-2).max()) + np.abs(head[..., -1, :]).max() for w, head in heads.items()}
-
-        def softmax(rows: slice, weight: str, bias: str, at: tuple, want: np.ndarray) -> None:
-            """Adds the log-probability of ``want`` under one softmax for ``rows``, and its gradients."""
-            own, n = x[rows], np.arange(len(want))
-            e = own @ heads[weight][at]
-            if not most[weight] < FAR:  # else no term vanishes or overflows as it is
+        buffer, ones = np.empty((min(AT_ONCE, len(order)), CLASSES), x.dtype), np.ones(CLASSES, x.dtype)
+
+        def softmax(parts: list[tuple[tuple, int, int]], weight: str, bias: str, head: np.ndarray, small: bool, want: np.ndarray) -> None:
+            """Adds the log-probability of ``want`` under the softmax of each part of some rows, and its gradients."""
+            first, last = parts[0][1], parts[-1][2]
+            e, rows, n = buffer[: last - first], slice(first, last), np.arange(last - first)
+            for at, a, b in parts:
+                np.matmul(x[a:b], head[at], out=e[a - first : b - first])
+            if not small:  # else no term vanishes or overflows as it is
                 # one shift for all rows, unless they lie so far apart that a row's terms could vanish
                 top = e.max()
                 e -= top if top - e.min() < FAR else e.max(1, keepdims=True)
-            value = e[n, want]
+            value = e[n, want[rows]]
             np.exp(e, out=e)
-            total = e @ np.ones(e.shape[1], e.dtype)
+            total = e @ ones
             found[rows] += value - np.log(total)
             if grads is not None:
                 e *= (-1 / total)[:, None]
-                e[n, want] += 1
-                both = own.T @ e
-                grads[weight][at] += both[:-1]
-                grads[bias][at] += both[-1]
-                back[rows] += e @ p[weight][at].T
-
-        found[:] = 0
-        for a in range(0, len(order), AT_ONCE):
-            rows = slice(a, a + AT_ONCE)
-            softmax(rows, "class_w", "class_b", (), kind[rows])
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            for a in range(cuts[k], cuts[k + 1], AT_ONCE):
-                rows = slice(a, min(a + AT_ONCE, cuts[k + 1]))
-                softmax(rows, "word_w", "word_b", (k,), word[rows])
-        value, out = np.empty(len(order)), np.empty_like(back)
-        value[order], out[order] = found, back
+                e[n, want[rows]] += 1
+                for at, a, b in parts:
+                    own = e[a - first : b - first]
+                    both = x[a:b].T @ own
+                    grads[weight][at] += both[:-1]
+                    grads[bias][at] += both[-1]
+                    back[a:b] += own @ p[weight][at].T
+
+        cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        whole = [((), a, min(a + AT_ONCE, len(order))) for a in range(0, len(order), AT_ONCE)]
+        by_class = [((k,), a, min(a + AT_ONCE, cuts[k + 1])) for k in range(CLASSES) for a in range(cuts[k], cuts[k + 1], AT_ONCE)]
+        for parts, weight, bias, want in ((whole, "class_w", "class_b", kind), (by_class, "word_w", "word_b", word)):
+            head = np.concatenate([p[weight], p[bias][..., None, :]], -2)
+            small = bool(longest * math.sqrt(np.square(p[weight]).sum(-2).max()) + np.abs(p[bias]).max() < FAR)
+            some: list = []
+            for part in parts:  # classes of few rows share all but the products
+                if some and part[2] - some[0][1] > AT_ONCE:
+                    softmax(some, weight, bias, head, small, want)
+                    some = []
+                some.append(part)
+            if some:
+                softmax(some, weight, bias, head, small, want)
+        value = np.empty(len(order))
+        value[order] = found
+        if back is None:
+            return value, None
+        out = np.empty_like(back)
+        out[order] = back
         return value, out
 
     def score(self, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -264,7 +288,7 @@ class Gru:
         alive = np.searchsorted(-size, -np.arange(longest), side="left").tolist()  # sequences with more than t tokens
         states, targets, waiting = [], [], 0
         for t, k in enumerate(alive):
-            h = self.step(table_[before[:k]], h[:k])[0]
+            h = self.step(table_.take(before[:k], 0), h[:k])[0]
             before = tokens[first[:k] + t]
             states.append(h)
             targets.append(before)
@@ -289,7 +313,7 @@ class Gru:
         here = np.flatnonzero(mask.T)
         table_, cut = self.inputs(seen), 2 * HIDDEN
         # each step's gates, first what the token adds to them
-        rz, cs = np.ascontiguousarray(table_[:, :cut])[place], np.ascontiguousarray(table_[:, cut:])[place]
+        rz, cs = np.ascontiguousarray(table_[:, :cut]).take(place, 0), np.ascontiguousarray(table_[:, cut:]).take(place, 0)
         u_rz, u_c = np.ascontiguousarray(u[:, :cut]), np.ascontiguousarray(u[:, cut:])
         hs = np.empty((len(place) + 1, *h.shape), h.dtype)
         hs[0] = h
@@ -301,7 +325,7 @@ class Gru:
             _sigmoid(rz[t])
             np.multiply(rs[t], olds[t], out=reset[t])
             cs[t] += reset[t] @ u_c
-            np.tanh(cs[t], out=cs[t])
+            _tanh(cs[t])
             new = np.subtract(cs[t], olds[t], out=states[t])
             new *= zs[t]
             new += olds[t]
@@ -331,7 +355,7 @@ class Gru:
         grads["u"][:, :cut] = olds.reshape(-1, HIDDEN).T @ d_rz
         grads["u"][:, cut:] = reset.reshape(-1, HIDDEN).T @ d_c
         ones = np.ones(len(d_c), d_c.dtype)
-        own = p["embed"][seen[place.ravel()]]
+        own = p["embed"].take(seen.take(place.ravel()), 0)
         for part, d in ((slice(cut), d_rz), (slice(cut, None), d_c)):
             grads["b"][part] = ones @ d
             grads["w"][:, part] = own.T @ d
@@ -340,7 +364,7 @@ class Gru:
         by_place += d_c @ w[cut:]
         order = np.argsort(place.ravel(), kind="stable")
         first = np.cumsum(times[seen]) - times[seen]
-        grads["embed"][seen] = np.add.reduceat(by_place[order], first, axis=0)
+        grads["embed"][seen] = np.add.reduceat(by_place.take(order, 0), first, axis=0)
         return grads, h
 
     def train(self, runs: Iterator[np.ndarray]) -> int:
@@ -431,6 +455,7 @@ def _train_groups(net_flat: np.ndarray):
     """Maps (g, tokens), sorted by group, to each group's weights times the tokens that it learned from."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.keep_freed()
         rows = ((g, np.frombuffer(t, "<u2")) for b in batches for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for g, runs in groupby(rows, key=lambda r: r[0]):
             net = Gru(net_flat)
@@ -485,6 +510,7 @@ def _look(words: Words):
     """Per text: what the words that all tasks know add, hashes of the other words, and all tokens' numbers in the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.keep_freed()
         logs = np.log10(words.counts + SMOOTH)
         names = [c.split()[0] for c in LOOKED.split(", ")]
         for batch in batches:
@@ -530,6 +556,7 @@ def _score(net_flat: np.ndarray):
     """Maps (.., numbers) to (.., net): the model's log-probability of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        B.keep_freed()
         net = Gru(net_flat)
 
         def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -288,3 +288,32 @@ def test_workers_give_memory_back(monkeypatch):
     assert calls == [1, 1]
     monkeypatch.undo()
     B.give_back()
+
+
+def test_gru_training_uses_its_memory_again():
+    """Windows after the first ones don't have the system clear new pages."""
+    import resource
+
+    from spatialith.llm import textbatch
+
+    textbatch.keep_freed()
+    rng = np.random.default_rng(3)
+    net = gru_lm.Gru.start(rng.integers(1, 1000, gru_lm.VOCABULARY), 5)
+    runs = [rng.integers(0, gru_lm.VOCABULARY, 128) for _ in range(gru_lm.TRAIN_ROWS)]
+    net.train(iter(runs))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    assert net.train(iter(runs * 2)) == 2 * 128 * gru_lm.TRAIN_ROWS
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 8000  # 8 windows; some 3000 pages each before
+
+
+def test_gru_log_prob_without_gradients_and_by_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    net = gru_lm.Gru.start(rng.integers(1, 1000, gru_lm.VOCABULARY), 5)
+    h, target = rng.normal(size=(500, gru_lm.HIDDEN)).astype(np.float32), rng.integers(0, gru_lm.VOCABULARY, 500)
+    value, back = net.log_prob(h, target)
+    assert back is None
+    for rows in (1, 7, 100, 5000):
+        monkeypatch.setattr(gru_lm, "AT_ONCE", rows)
+        grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+        got, back = net.log_prob(h, target, grads)
+        assert np.allclose(got, value, atol=1e-5) and back.shape == h.shape
