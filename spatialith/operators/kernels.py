@@ -6,6 +6,7 @@ one scene, never an unbounded key.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -402,6 +403,7 @@ def surface_distances(objects: DataFrame, n: int = SAMPLES) -> DataFrame:
     ``n``: samples of the smallest object of a scene; larger ones get more.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_freed()
         for scenes in whole_scenes(batches):
             for scene, ids, _, things in sampled(scenes, n):
                 i, j = np.triu_indices(len(ids), 1)
@@ -411,6 +413,14 @@ def surface_distances(objects: DataFrame, n: int = SAMPLES) -> DataFrame:
     return by_scene(objects, "id").mapInPandas(run, "scene_id long, a_id long, b_id long, distance double")
 
 
+def keep_freed() -> None:
+    """Lets this process use up to 64 MB again that it freed: the system would clear the pages of each array anew."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option:
+        option(-3, 1 << 25)  # M_MMAP_THRESHOLD
+        option(-1, 1 << 26)  # M_TRIM_THRESHOLD
+
+
 def by_scene(rows: DataFrame, *order: str) -> DataFrame:
     """Rows of each scene together, in a fixed number of partitions: by bytes, Spark would put few rows into one slow task.
 
@@ -500,6 +510,7 @@ def visible_shares(objects: DataFrame, cameras: DataFrame, n: int = 512) -> Data
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_freed()
         for scenes in whole_scenes(batches):
             things_of = sampled([pdf.drop_duplicates("id").sort_values("id") for pdf in scenes], n)
             for pdf, (scene, ids, boxes, things) in zip(scenes, things_of, strict=True):
