@@ -48,6 +48,8 @@ SENT_WORDS = 1 << 18
 CLASSES = 64
 VOCABULARY = CLASSES * CLASSES
 EMBED, HIDDEN = 24, 32
+#: Values of a step's column: state, token, one and reset state; the first three make two gates.
+INPUTS, FIRST = 2 * HIDDEN + EMBED + 1, HIDDEN + EMBED + 1
 WINDOW = 32
 RUN_WINDOWS = 4
 ROUNDS = 2
@@ -59,19 +61,21 @@ GROUP_TOKENS = 1 << 22
 LEARNING_RATE = 0.01
 #: Span of logits within which exponentials of single precision keep their sums.
 FAR = 60
-#: Rows of one softmax, few enough to stay in a core's cache.
-AT_ONCE = 1024
+#: Rows of one softmax, and weights of one update, few enough to stay in a core's cache.
+AT_ONCE = 256
+ADAM_ONCE = 1 << 14
 #: Distinct words that a counting task holds before it hands on what it has.
 HELD_WORDS = 1_000_000
 #: Tokens whose texts advance together, and states that wait for their softmax.
 SCORE_TOKENS = 4_000_000
 SCORE_STATES = 16_384
+#: Sequences that advance side by side.
+SCORE_ROWS = 512
 
 
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's end token included, flat, and len(texts) + 1 offsets."""
-    flat, offsets = B.codes(texts)
-    flat = B.lower_ascii(flat)
+    flat, offsets = B.lowered_codes(texts)
     starts, ends, at = B.words(flat, offsets)
     n = np.diff(at)
     edges = np.concatenate([[0], np.cumsum(n + 1)])
@@ -140,25 +144,6 @@ class Words:
         return np.where(place >= 0, self.number[place] if len(self.number) else 0, 0)
 
 
-def _sigmoid(x: np.ndarray) -> None:
-    """In place, by one exponential, which takes half the time of a hyperbolic tangent; far values end at 0 and 1."""
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
-
-
-def _tanh(x: np.ndarray) -> None:
-    """In place: twice the sigmoid of twice the value, less one."""
-    x *= -2
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += 1
-    np.divide(2, x, out=x)
-    x -= 1
-
-
 class Gru:
     """Weights of the model, its forward pass, and one training step."""
 
@@ -204,172 +189,226 @@ class Gru:
         return self.p["embed"][tokens] @ self.p["w"] + self.p["b"]
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step in plain form, a row a sequence; scoring and training do the same with a column a sequence."""
         u = self.p["u"]
-        rz = h @ u[:, : 2 * HIDDEN]
-        rz += gates[:, : 2 * HIDDEN]
-        _sigmoid(rz)
-        r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        c = (r * h) @ u[:, 2 * HIDDEN :]
-        c += gates[:, 2 * HIDDEN :]
-        _tanh(c)
-        new = c - h
-        new *= z
-        new += h
-        return new, r, z, c
+        r, z = np.split(np.tanh((h @ u[:, : 2 * HIDDEN] + gates[:, : 2 * HIDDEN]) / 2) / 2 + 0.5, 2, axis=1)
+        c = np.tanh((r * h) @ u[:, 2 * HIDDEN :] + gates[:, 2 * HIDDEN :])
+        return h + z * (c - h), r, z, c
+
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Products that make the gates of a column: of state, token and one; of token, one and reset state."""
+        w, u, b, cut = self.p["w"], self.p["u"], self.p["b"][None], 2 * HIDDEN
+        rz = np.concatenate([u[:, :cut], w[:, :cut], b[:, :cut]]).T / 2  # a sigmoid is half a tangent of half its value, and a half
+        return np.ascontiguousarray(rz), np.ascontiguousarray(np.concatenate([w[:, cut:], b[:, cut:], u[:, cut:]]).T)
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of targets given states; with ``grads``, also adds gradients of their sum and gives those of the states."""
-        p = self.p
-        order = np.argsort((target // CLASSES).astype(np.uint16), kind="stable")  # two bytes sort by counting
-        kind, word, x = target[order] // CLASSES, target[order] % CLASSES, h.take(order, 0)
+        """Natural log-probabilities of targets given states.
+
+        With ``grads``, also adds gradients of their sum to what it holds, and gives those of the states.
+        """
         # a last input that is always one takes the biases into the products
-        x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-        back = np.zeros_like(h) if grads is not None else None
-        found = np.zeros(len(order))
-        longest = math.sqrt(max(np.einsum("ij,ij->i", h, h).max(initial=0), 0.0))
-        buffer, ones = np.empty((min(AT_ONCE, len(order)), CLASSES), x.dtype), np.ones(CLASSES, x.dtype)
-
-        def softmax(parts: list[tuple[tuple, int, int]], weight: str, bias: str, head: np.ndarray, small: bool, want: np.ndarray) -> None:
-            """Adds the log-probability of ``want`` under the softmax of each part of some rows, and its gradients."""
-            first, last = parts[0][1], parts[-1][2]
-            e, rows, n = buffer[: last - first], slice(first, last), np.arange(last - first)
-            for at, a, b in parts:
-                np.matmul(x[a:b], head[at], out=e[a - first : b - first])
-            if not small:  # else no term vanishes or overflows as it is
-                # one shift for all rows, unless they lie so far apart that a row's terms could vanish
-                top = e.max()
-                e -= top if top - e.min() < FAR else e.max(1, keepdims=True)
-            value = e[n, want[rows]]
-            np.exp(e, out=e)
-            total = e @ ones
-            found[rows] += value - np.log(total)
-            if grads is not None:
-                e *= (-1 / total)[:, None]
-                e[n, want[rows]] += 1
-                for at, a, b in parts:
-                    own = e[a - first : b - first]
-                    both = x[a:b].T @ own
-                    grads[weight][at] += both[:-1]
-                    grads[bias][at] += both[-1]
-                    back[a:b] += own @ p[weight][at].T
-
-        cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-        whole = [((), a, min(a + AT_ONCE, len(order))) for a in range(0, len(order), AT_ONCE)]
-        by_class = [((k,), a, min(a + AT_ONCE, cuts[k + 1])) for k in range(CLASSES) for a in range(cuts[k], cuts[k + 1], AT_ONCE)]
-        for parts, weight, bias, want in ((whole, "class_w", "class_b", kind), (by_class, "word_w", "word_b", word)):
+        return self._log_prob(np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1), target, grads)
+
+    def _log_prob(self, x: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        p = self.p
+        kind, word = target // CLASSES, target % CLASSES
+        order = np.argsort(kind.astype(np.uint16), kind="stable")  # two bytes sort by counting
+        squares = np.einsum("ij,ij->i", x, x).max(initial=1) - 1
+        longest = math.sqrt(max(squares, 0.0))
+        buffer, ones = np.empty((min(AT_ONCE, len(x)), CLASSES), x.dtype), np.ones(CLASSES, x.dtype)
+        start = np.arange(len(buffer)) * CLASSES
+
+        def factor(x: np.ndarray, want: np.ndarray, parts: list, weight: str, bias: str) -> tuple[np.ndarray, np.ndarray | None]:
+            """Log-probability of ``want`` under the softmax of each part's rows, and its gradients by states."""
             head = np.concatenate([p[weight], p[bias][..., None, :]], -2)
             small = bool(longest * math.sqrt(np.square(p[weight]).sum(-2).max()) + np.abs(p[bias]).max() < FAR)
+            found, back = np.empty(len(x), x.dtype), None
+            if grads is not None:
+                sums, back = np.zeros_like(head), np.empty((len(x), HIDDEN), x.dtype)
+                turned, begins = np.ascontiguousarray(np.swapaxes(p[weight], -1, -2)), {}
+
+            def softmax(parts: list[tuple[tuple, int, int]]) -> None:
+                first, last = parts[0][1], parts[-1][2]
+                e = buffer[: last - first]
+                for at, a, b in parts:
+                    np.matmul(x[a:b], head[at], out=e[a - first : b - first])
+                if not small:  # else no term vanishes or overflows as it is
+                    # one shift for all rows, unless they lie so far apart that a row's terms could vanish
+                    top = e.max()
+                    e -= top if top - e.min() < FAR else e.max(1, keepdims=True)
+                flat, aim = e.reshape(-1), start[: last - first] + want[first:last]
+                value = flat.take(aim)
+                np.exp(e, out=e)
+                total = e @ ones
+                np.subtract(value, np.log(total), out=found[first:last])
+                if grads is not None:
+                    e *= (-1 / total)[:, None]
+                    flat[aim] += 1
+                    for at, a, b in parts:
+                        own = e[a - first : b - first]
+                        if a == begins.get(at, a):  # the first rows of these weights
+                            np.matmul(x[a:b].T, own, out=sums[at])
+                            begins[at] = a
+                        else:
+                            sums[at] += x[a:b].T @ own
+                        np.matmul(own, turned[at], out=back[a:b])
+
             some: list = []
             for part in parts:  # classes of few rows share all but the products
                 if some and part[2] - some[0][1] > AT_ONCE:
-                    softmax(some, weight, bias, head, small, want)
+                    softmax(some)
                     some = []
                 some.append(part)
             if some:
-                softmax(some, weight, bias, head, small, want)
-        value = np.empty(len(order))
-        value[order] = found
-        if back is None:
-            return value, None
-        out = np.empty_like(back)
-        out[order] = back
-        return value, out
+                softmax(some)
+            if grads is not None:
+                for name, own in ((weight, sums[..., :-1, :]), (bias, sums[..., -1, :])):
+                    grads[name] = grads[name] + own if name in grads else own.copy()
+            return found, back
+
+        whole = [((), a, min(a + AT_ONCE, len(x))) for a in range(0, len(x), AT_ONCE)]
+        cuts = np.searchsorted(kind.take(order), np.arange(CLASSES + 1)).tolist()
+        by_class = [((k,), a, min(a + AT_ONCE, cuts[k + 1])) for k in range(CLASSES) for a in range(cuts[k], cuts[k + 1], AT_ONCE)]
+        value, back = factor(x, kind, whole, "class_w", "class_b")
+        found, more = factor(x.take(order, 0), word.take(order), by_class, "word_w", "word_b")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        value = value.astype(np.float64)
+        value += found.take(place)
+        if back is not None:
+            back += more.take(place, 0)
+        return value, back
 
     def score(self, tokens: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Natural log-probability of each whole sequence; sequences advance together, state carried to the end."""
-        table_ = self.inputs()
         size = np.diff(edges)
         order = np.argsort(-size, kind="stable")
         size, first = size[order], edges[:-1][order]
         total = np.zeros(len(order))
-        h = np.zeros((len(order), HIDDEN), np.float32)
-        before = np.zeros(len(order), np.int64)  # the state before a text has read the 'other' token
-        longest = int(size.max(initial=0))
-        alive = np.searchsorted(-size, -np.arange(longest), side="left").tolist()  # sequences with more than t tokens
-        states, targets, waiting = [], [], 0
-        for t, k in enumerate(alive):
-            h = self.step(table_.take(before[:k], 0), h[:k])[0]
-            before = tokens[first[:k] + t]
-            states.append(h)
-            targets.append(before)
-            waiting += k
-            if waiting >= SCORE_STATES or t + 1 == longest:
-                value, _ = self.log_prob(np.concatenate(states), np.concatenate(targets))
-                total += np.bincount(np.concatenate([np.arange(len(s)) for s in states]), value, len(total))
-                states, targets, waiting = [], [], 0
+        gates_rz, gates_c = self._gates()
+        embed = np.ascontiguousarray(self.p["embed"].T)
+        # states that wait for their softmax, a last one after each; what they aim at and whose they are
+        states = np.ones((SCORE_STATES + SCORE_ROWS, HIDDEN + 1), np.float32)
+        targets, owners = np.empty((2, len(states)), np.int64)
+        waiting = 0
+        for a in range(0, len(order), SCORE_ROWS):  # so few side by side that they stay in a core's cache
+            mine, begin = size[a : a + SCORE_ROWS], first[a : a + SCORE_ROWS]
+            alive = np.searchsorted(-mine, -np.arange(int(mine[0])), side="left").tolist()  # sequences with more than t tokens
+            h = np.zeros((HIDDEN, len(mine)), np.float32)
+            before = np.zeros(len(mine), np.int64)  # the state before a text has read the 'other' token
+            own = np.arange(a, a + len(mine))
+            x = np.empty((0, 0), np.float32)
+            for t, k in enumerate(alive):
+                if k != x.shape[1]:
+                    x, h, before = np.ones((INPUTS, k), np.float32), h[:, :k], before[:k]
+                    begin, own = begin[:k], own[:k]
+                x[:HIDDEN] = h
+                np.take(embed, before, axis=1, out=x[HIDDEN : HIDDEN + EMBED], mode="clip")
+                rz = gates_rz @ x[:FIRST]
+                np.tanh(rz, out=rz)
+                rz += 1
+                rz *= 0.5
+                np.multiply(rz[:HIDDEN], h, out=x[FIRST:])
+                new = gates_c @ x[HIDDEN:]
+                np.tanh(new, out=new)
+                new -= h
+                new *= rz[HIDDEN:]
+                new += h
+                h = new
+                before = tokens.take(begin + t)
+                here = slice(waiting, waiting + k)
+                states[here, :HIDDEN], targets[here], owners[here] = h.T, before, own
+                waiting += k
+                if waiting >= SCORE_STATES:
+                    total += np.bincount(owners[:waiting], self._log_prob(states[:waiting], targets[:waiting])[0], len(total))
+                    waiting = 0
+        if waiting:
+            total += np.bincount(owners[:waiting], self._log_prob(states[:waiting], targets[:waiting])[0], len(total))
         out = np.empty(len(order))
         out[order] = total
         return out
 
     def train_window(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients over one window (rows by steps), truncated at its start, and the state after it."""
-        p, u = self.p, self.p["u"]
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        times = np.bincount(x.ravel(), minlength=VOCABULARY)
-        seen = np.flatnonzero(times)  # each token's gates once; steps first, then rows
-        number = np.zeros(VOCABULARY, np.uint16)
-        number[seen] = np.arange(len(seen))
-        place = number[x.T]
+        """Gradients over one window (rows by steps), truncated at its start, and the state after it.
+
+        Each step has a column a row, of state, token, one and reset state, so every gate's values lie together.
+        """
+        p, cut = self.p, 2 * HIDDEN
+        k, steps = x.shape
+        gates_rz, gates_c = self._gates()
+        embed = np.ascontiguousarray(p["embed"].T)
+        x = np.ascontiguousarray(x.T)
+        xs = np.empty((steps + 1, INPUTS, k), h.dtype)
+        xs[:, HIDDEN + EMBED] = 1
+        xs[0, :HIDDEN] = h.T
+        rzs, cs = np.empty((steps, cut, k), h.dtype), np.empty((steps, HIDDEN, k), h.dtype)
+        for t in range(steps):
+            here, rz, c, old, new = xs[t], rzs[t], cs[t], xs[t, :HIDDEN], xs[t + 1, :HIDDEN]
+            np.take(embed, x[t], axis=1, out=here[HIDDEN : HIDDEN + EMBED], mode="clip")
+            np.matmul(gates_rz, here[:FIRST], out=rz)
+            np.tanh(rz, out=rz)
+            rz += 1
+            rz *= 0.5
+            np.multiply(rz[:HIDDEN], old, out=here[FIRST:])
+            np.matmul(gates_c, here[HIDDEN:], out=c)
+            np.tanh(c, out=c)
+            np.subtract(c, old, out=new)
+            new *= rz[HIDDEN:]
+            new += old
+        states = np.ones((steps, k, HIDDEN + 1), h.dtype)
+        states[..., :-1] = xs[1:, :HIDDEN].transpose(0, 2, 1)
+        after = states[-1, :, :-1].copy()
+        grads: dict[str, np.ndarray] = {}
         here = np.flatnonzero(mask.T)
-        table_, cut = self.inputs(seen), 2 * HIDDEN
-        # each step's gates, first what the token adds to them
-        rz, cs = np.ascontiguousarray(table_[:, :cut]).take(place, 0), np.ascontiguousarray(table_[:, cut:]).take(place, 0)
-        u_rz, u_c = np.ascontiguousarray(u[:, :cut]), np.ascontiguousarray(u[:, cut:])
-        hs = np.empty((len(place) + 1, *h.shape), h.dtype)
-        hs[0] = h
-        rs, zs = rz[..., :HIDDEN], rz[..., HIDDEN:]
-        olds, states, h = hs[:-1], hs[1:], hs[-1]
-        reset = np.empty_like(states)
-        for t in range(len(place)):
-            rz[t] += olds[t] @ u_rz
-            _sigmoid(rz[t])
-            np.multiply(rs[t], olds[t], out=reset[t])
-            cs[t] += reset[t] @ u_c
-            _tanh(cs[t])
-            new = np.subtract(cs[t], olds[t], out=states[t])
-            new *= zs[t]
-            new += olds[t]
-        h = h.copy()
-        back = np.zeros_like(states)
-        back.reshape(-1, HIDDEN)[here] = self.log_prob(states.reshape(-1, HIDDEN)[here], y.T.ravel()[here], grads)[1]
-        # what doesn't depend on later steps, for all steps together
-        keep = 1 - zs
-        to_c, to_rz = zs * (1 - cs * cs), np.empty_like(rz)
-        np.multiply(reset, 1 - rs, out=to_rz[..., :HIDDEN])
-        np.multiply((cs - olds) * zs, keep, out=to_rz[..., HIDDEN:])
-        d_rz, d_c = np.empty_like(rz), np.empty_like(states)
-        back_rz, back_c = np.ascontiguousarray(u_rz.T), np.ascontiguousarray(u_c.T)
-        both = np.empty_like(rz[0])
-        dh = np.zeros_like(h)
-        for t in range(len(place) - 1, -1, -1):
+        back = np.zeros((steps, k, HIDDEN), h.dtype)
+        back.reshape(-1, HIDDEN)[here] = self._log_prob(states.reshape(-1, HIDDEN + 1).take(here, 0), y.T.ravel().take(here), grads)[1]
+        back = np.ascontiguousarray(back.transpose(0, 2, 1))
+        # gradients of what the gates take in: by state or reset state, and by token
+        back_rz = np.concatenate([p["u"][:, :cut], p["w"][:, :cut]])
+        back_c = np.concatenate([p["u"][:, cut:], p["w"][:, cut:]])
+        by_token = np.empty((EMBED, steps, k), h.dtype)
+        sum_rz, sum_c = np.zeros((cut, FIRST), h.dtype), np.zeros((HIDDEN, FIRST), h.dtype)
+        d_rz, (d_c, part), dh = np.empty((cut, k), h.dtype), np.empty((2, HIDDEN, k), h.dtype), np.zeros((HIDDEN, k), h.dtype)
+        for t in range(steps - 1, -1, -1):
+            here, c, r, z, old = xs[t], cs[t], rzs[t, :HIDDEN], rzs[t, HIDDEN:], xs[t, :HIDDEN]
             dh += back[t]
-            np.multiply(dh, to_c[t], out=d_c[t])
-            drh = np.matmul(d_c[t], back_c)
-            both[:, :HIDDEN], both[:, HIDDEN:] = drh, dh
-            np.multiply(both, to_rz[t], out=d_rz[t])
-            dh *= keep[t]
-            drh *= rs[t]
+            np.multiply(c, c, out=part)
+            np.subtract(1, part, out=part)
+            part *= z
+            np.multiply(dh, part, out=d_c)
+            by_c = back_c @ d_c
+            drh = by_c[:HIDDEN]
+            np.subtract(1, r, out=part)
+            part *= here[FIRST:]
+            np.multiply(drh, part, out=d_rz[:HIDDEN])
+            np.subtract(1, z, out=part)
+            c -= old
+            c *= z
+            dh *= part
+            np.multiply(dh, c, out=d_rz[HIDDEN:])
+            drh *= r
             dh += drh
-            dh += d_rz[t] @ back_rz
-        d_rz, d_c = d_rz.reshape(-1, cut), d_c.reshape(-1, HIDDEN)
-        grads["u"][:, :cut] = olds.reshape(-1, HIDDEN).T @ d_rz
-        grads["u"][:, cut:] = reset.reshape(-1, HIDDEN).T @ d_c
-        ones = np.ones(len(d_c), d_c.dtype)
-        own = p["embed"].take(seen.take(place.ravel()), 0)
-        for part, d in ((slice(cut), d_rz), (slice(cut, None), d_c)):
-            grads["b"][part] = ones @ d
-            grads["w"][:, part] = own.T @ d
-        w = np.ascontiguousarray(p["w"].T)
-        by_place = d_rz @ w[:cut]
-        by_place += d_c @ w[cut:]
-        order = np.argsort(place.ravel(), kind="stable")
-        first = np.cumsum(times[seen]) - times[seen]
-        grads["embed"][seen] = np.add.reduceat(by_place.take(order, 0), first, axis=0)
-        return grads, h
+            by_rz = back_rz @ d_rz
+            dh += by_rz[:HIDDEN]
+            np.add(by_rz[HIDDEN:], by_c[HIDDEN:], out=by_token[:, t])
+            sum_rz += d_rz @ here[:FIRST].T
+            sum_c += d_c @ here[HIDDEN:].T
+        sum_rz, sum_c = sum_rz.T, sum_c.T
+        grads["u"] = np.concatenate([sum_rz[:HIDDEN], sum_c[EMBED + 1 :]], 1)
+        grads["w"] = np.concatenate([sum_rz[HIDDEN:-1], sum_c[:EMBED]], 1)
+        grads["b"] = np.concatenate([sum_rz[-1], sum_c[EMBED]])
+        read = x.ravel()
+        by_embed = np.empty(embed.shape, h.dtype)
+        for own, out in zip(by_token.reshape(EMBED, -1), by_embed, strict=True):
+            out[:] = np.bincount(read, own, VOCABULARY)
+        grads["embed"] = by_embed.T
+        return grads, after
 
     def train(self, runs: Iterator[np.ndarray]) -> int:
         """Adam over batches of runs, one step a window; returns the tokens that it learned from."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        # a window reads the columns of this table, one token each
+        self.p = {k: np.asfortranarray(x) if k == "embed" else np.ascontiguousarray(x) for k, x in self.p.items()}
+        m = {k: np.zeros_like(x) for k, x in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step, seen = 0, 0
         for batch in _batches(runs, TRAIN_ROWS):
@@ -388,22 +427,24 @@ class Gru:
                 grads, h = self.train_window(x[here], y[here], mask[here], h[:k])
                 step += 1
                 seen += n
-                norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
+                norm = math.sqrt(sum(float(np.vdot(each := g.ravel("K"), each)) for g in grads.values())) / n
                 scale = 1 / n / max(1.0, norm)
                 rate, spread = LEARNING_RATE / (1 - 0.9**step), 1 / math.sqrt(1 - 0.99**step)
                 for k, g in grads.items():
-                    g *= 0.1 * scale
-                    m[k] *= 0.9
-                    m[k] += g
-                    g *= g
-                    v[k] *= 0.99
-                    v[k] += g  # a hundredth of the squared gradient
-                    np.sqrt(v[k], out=g)
-                    g *= spread
-                    g += 1e-6
-                    np.divide(m[k], g, out=g)
-                    g *= rate
-                    self.p[k] += g
+                    whole = [each.ravel("F" if k == "embed" else "C") for each in (g, m[k], v[k], self.p[k])]
+                    for at in range(0, g.size, ADAM_ONCE):
+                        g_, m_, v_, p_ = (each[at : at + ADAM_ONCE] for each in whole)
+                        g_ *= 0.1 * scale
+                        m_ *= 0.9
+                        m_ += g_
+                        g_ *= g_
+                        v_ *= 0.99
+                        v_ += g_  # a hundredth of the squared gradient
+                        np.sqrt(v_, out=g_)
+                        g_ += 1e-6 / spread
+                        np.divide(m_, g_, out=g_)
+                        g_ *= rate / spread
+                        p_ += g_
         return seen
 
 

@@ -317,3 +317,63 @@ def test_gru_log_prob_without_gradients_and_by_blocks(monkeypatch):
         grads = {k: np.zeros_like(v) for k, v in net.p.items()}
         got, back = net.log_prob(h, target, grads)
         assert np.allclose(got, value, atol=1e-5) and back.shape == h.shape
+
+
+def test_gru_training_is_plain_adam_over_windows():
+    """Runs of several lengths; each step against a plain one over whole arrays."""
+    rng = np.random.default_rng(13)
+    counts = rng.integers(1, 1000, gru_lm.VOCABULARY)
+    runs = [rng.integers(0, gru_lm.VOCABULARY, n) for n in (70, 64, 33, 32, 1)]
+    net, plain = gru_lm.Gru.start(counts, 5), gru_lm.Gru.start(counts, 5)
+    assert net.train(iter(runs)) == 200
+    m, v = ({k: np.zeros(x.shape) for k, x in plain.p.items()} for _ in range(2))
+    h = np.zeros((5, gru_lm.HIDDEN), np.float32)
+    for step, a in enumerate(range(0, 70, gru_lm.WINDOW), 1):
+        here = [r for r in runs if len(r) > a]
+        y, mask, x = np.zeros((3, len(here), min(gru_lm.WINDOW, 70 - a)), np.int64)
+        for i, r in enumerate(here):
+            part = r[a : a + gru_lm.WINDOW]
+            y[i, : len(part)], mask[i, : len(part)] = part, 1
+            x[i] = np.resize(np.append(np.concatenate([[0], r])[a : a + gru_lm.WINDOW], np.zeros(32, int)), x.shape[1])
+        grads, h = plain.train_window(x, y, mask.astype(bool), h[: len(here)])
+        n = mask.sum()
+        scale = 1 / n / max(1.0, np.sqrt(sum((g.astype(float) ** 2).sum() for g in grads.values())) / n)
+        for k, g in grads.items():
+            g = g.astype(float) * scale
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.99 * v[k] + 0.01 * g * g
+            top = m[k] / (1 - 0.9**step)
+            plain.p[k] = (plain.p[k] + gru_lm.LEARNING_RATE * top / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    assert np.allclose(net.flat(), plain.flat(), rtol=1e-3, atol=1e-4)
+
+
+def test_gru_scores_few_sequences_side_by_side(monkeypatch):
+    """Those that advance together stay in a core's cache; how many doesn't change a score, which is that of plain steps."""
+    rng = np.random.default_rng(14)
+    net = gru_lm.Gru.start(rng.integers(1, 1000, gru_lm.VOCABULARY), 5)
+    edges = np.array([0, 3, 3, 40, 41, 90])
+    tokens = rng.integers(0, gru_lm.VOCABULARY, 90).astype("<u2")
+    want = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        h, value, before = np.zeros((1, gru_lm.HIDDEN), np.float32), 0.0, 0
+        for token in tokens[a:b].tolist():
+            h = net.step(net.inputs(np.array([before])), h)[0]
+            value, before = value + net.log_prob(h, np.array([token]))[0][0], token
+        want.append(value)
+    wide, take = [], np.take
+    monkeypatch.setattr(np, "take", lambda x, i, **more: (wide.append(len(i)), take(x, i, **more))[1])
+    for rows in (1, 2, 512):
+        monkeypatch.setattr(gru_lm, "SCORE_ROWS", rows)
+        wide.clear()
+        assert np.allclose(net.score(tokens, edges), want, rtol=1e-5) and 0 < max(wide) <= rows
+
+
+def test_lowered_codes_of_one_byte_and_of_four():
+    plain, far = ["Ab É\xa0ß", None, "", "ZÀÿ"], ["Ab É", "ZŁ😀", "\ud800A"]
+    for texts, size in ((plain, 1), (far, 4), ([], 1)):
+        flat, offsets = B.lowered_codes(texts)
+        want, at = B.codes(texts)
+        assert flat.dtype.itemsize == size and offsets.tolist() == at.tolist()
+        assert flat.tolist() == B.lower_ascii(want).tolist()
+        spans = offsets[:-1], offsets[1:]
+        assert (B.span_hashes(flat, *spans) == B.span_hashes(B.lower_ascii(want), *spans)).all()
