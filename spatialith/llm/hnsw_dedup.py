@@ -40,10 +40,31 @@ AUDIT_ROWS = 64
 AUDIT_RECALL = 0.99
 BATCH = 256
 AT_ONCE = 4
+#: Rows of candidates, and pairs of a query and a node, whose vectors are gathered together.
+CACHED_ROWS, CACHED_PAIRS = 64, 1024
 #: Single precision in the search; what it finds within this margin is verified in double precision.
 SLACK = 1e-4
 
 
+#: In a beam, a place without a node.  It sorts behind all keys and counts as visited.
+NO_NODE = np.iinfo(np.int64).max
+
+
+def _keys(sims: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Integers that sort by falling similarity, then node: the bits of both, and a last bit that is set once visited."""
+    bits = np.ascontiguousarray(sims, np.float32).view(np.int32)
+    rising = bits ^ (bits >> 31 & 0x7FFFFFFF)
+    return (~rising).astype(np.int64) << 32 | nodes.astype(np.int64) << 1
+
+
+def _unkey(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes and similarities of keys."""
+    rising = ~(key >> 32).astype(np.int32)
+    sims = (rising ^ (rising >> 31 & 0x7FFFFFFF)).view(np.float32)
+    none = key == NO_NODE
+    return np.where(none, -1, (key & 0xFFFFFFFF) >> 1), np.where(none, np.float32(-np.inf), sims)
+
+
 class Graph:
     """A layered proximity graph over unit vectors."""
 
@@ -54,6 +75,7 @@ class Graph:
         # the highest vectors first: every layer has its nodes before others search through it
         self.order = np.lexsort((np.arange(len(ids)), -self.level))
         self.top = int(self.level.max()) if len(ids) else 0
+        self.stamp, self.clock = np.zeros(0, np.int32), 0
         if links is not None:
             self.links = links
         else:
@@ -106,9 +128,9 @@ class Graph:
         both.sort(axis=1)
         both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
         value = np.empty(both.shape, np.float32)
-        for a in range(0, len(node), 512):
-            part = both[a : a + 512]
-            value[a : a + 512] = np.einsum("nkd,nd->nk", self.unit[part], self.unit[node[a : a + 512]])
+        for a in range(0, len(node), CACHED_ROWS):
+            part, x = both[a : a + CACHED_ROWS], self.unit[node[a : a + CACHED_ROWS]]
+            value[a : a + CACHED_ROWS] = (self.unit.take(np.maximum(part, 0), 0) @ x[:, :, None])[:, :, 0]
         value[(both < 0) | (both == node[:, None])] = -np.inf
         best = np.argsort(-value, axis=1, kind="stable")
         both, value = np.take_along_axis(both, best, 1), np.take_along_axis(value, best, 1)
@@ -123,72 +145,98 @@ class Graph:
 
         Places that are left go to the nearest of the others.
         """
-        n, m = ids.shape
-        m = min(m, 2 * k)
-        ids, value = ids[:, :m], value[:, :m]
-        out = np.full((n, k), -1, np.int64)
-        for a in range(0, n, 256):
-            i, v = ids[a : a + 256], value[a : a + 256]
-            x = self.unit[np.maximum(i, 0)]
-            near = x @ x.transpose(0, 2, 1)
-            taken, count = np.zeros(i.shape, bool), np.zeros(len(i), int)
-            for c in range(m):
-                ok = (v[:, c] > -np.inf) & (count < k) & ~((near[:, c] > v[:, c : c + 1]) & taken).any(1)
-                taken[:, c] = ok
-                count += ok
-            rank = np.where(v == -np.inf, 3 * m, np.where(taken, 0, m) + np.arange(m))
-            best = np.argsort(rank, axis=1, kind="stable")[:, :k]
-            picked = np.where(np.take_along_axis(rank, best, 1) < 3 * m, np.take_along_axis(i, best, 1), -1)
-            out[a : a + 256, : picked.shape[1]] = picked
+        ids, value = ids[:, : 2 * k], value[:, : 2 * k]
+        valid = (value > -np.inf).sum(1)
+        nearer = np.zeros(ids.shape, np.uint64)  # bit j of column c: candidate c is nearer to candidate j than to the node
+        order = np.argsort(valid, kind="stable")  # rows of about as many candidates together
+        for a in range(0, len(ids), CACHED_ROWS):
+            rows = order[a : a + CACHED_ROWS]
+            m = int(valid[rows[-1]])
+            x = self.unit.take(np.maximum(ids[rows, :m], 0), 0)
+            bits = np.zeros((len(rows), m, 64), bool)
+            np.greater(x @ np.ascontiguousarray(x.transpose(0, 2, 1)), value[rows, :m, None], out=bits[:, :, :m])
+            nearer[rows, :m] = np.packbits(bits, axis=2, bitorder="little").view("<u8")[:, :, 0]
+        chosen, count, taken = np.zeros(len(ids), np.uint64), np.zeros(len(ids), int), np.zeros(ids.shape, bool)
+        for c in range(int(valid.max(initial=0))):
+            taken[:, c] = ok = (c < valid) & (count < k) & (nearer[:, c] & chosen == 0)
+            chosen |= ok.astype(np.uint64) << np.uint64(c)
+            count += ok
+        m = ids.shape[1]
+        rank = np.where(value == -np.inf, 3 * m, np.where(taken, 0, m) + np.arange(m)).astype(np.int16)
+        best = np.argsort(rank, axis=1, kind="stable")[:, :k]
+        picked = np.where(np.take_along_axis(rank, best, 1) < 3 * m, np.take_along_axis(ids, best, 1), -1)
+        return np.pad(picked, ((0, 0), (0, k - picked.shape[1])), constant_values=-1)
+
+    def _sims(self, q: np.ndarray, row: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Similarities of pairs of a query and a node, ordered by query, in pieces that stay in a core's cache."""
+        out, near = np.empty(len(near), np.float32), near.astype(np.intp)
+        if len(near) >= 64 * len(q):
+            edge = np.searchsorted(row, np.arange(len(q) + 1)).tolist()
+            for r, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+                np.dot(self.unit.take(near[a:b], 0), q[r], out=out[a:b])
+        else:
+            for a in range(0, len(near), CACHED_PAIRS):
+                x, y = self.unit.take(near[a : a + CACHED_PAIRS], 0), q.take(row[a : a + CACHED_PAIRS], 0)
+                np.einsum("nd,nd->n", x, y, out=out[a : a + CACHED_PAIRS])
         return out
 
     def _search_layer(self, q: np.ndarray, entry: np.ndarray, beam: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``beam`` nearest nodes that each query's walk finds, best first; -1 and -inf where there are fewer."""
-        n, table_ = len(q), self.links[layer]
-        seen = np.zeros((n, len(self.unit)), bool)
-        rows = np.arange(n)[:, None]
-        ids = np.full((n, beam + entry.shape[1]), -1, np.int64)
-        sims = np.full(ids.shape, -np.inf, np.float32)
-        done = np.zeros(ids.shape, bool)
+        """The ``beam`` nearest nodes that each query's walk finds, best first; -1 and -inf where there are fewer.
+
+        A query's beam is a row of sorted keys, see ``_keys``.  Each round visits its best unvisited nodes together,
+        more of them the wider the beam, and only neighbours that enter the beam are sorted into it.
+        """
+        table_, nodes = self.links[layer], len(self.unit)
+        take, width = max(AT_ONCE, beam // AT_ONCE), table_.shape[1]
+        stamp, since = self._fresh_stamps(len(q)), self.clock
         entry = np.sort(entry, 1)
-        value = np.einsum("nkd,nd->nk", self.unit[entry], q)
-        value[:, 1:][entry[:, 1:] == entry[:, :-1]] = -np.inf
-        ids[:, : entry.shape[1]], sims[:, : entry.shape[1]] = entry, value
-        seen[rows, entry] = True
-        active = np.arange(n)
-        while len(active):
-            s = np.where(done[active], -np.inf, sims[active])
-            take = min(AT_ONCE, s.shape[1])
-            pick = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            good = np.take_along_axis(s, pick, 1) > -np.inf
-            live = good.any(1)
-            active, pick, good = active[live], pick[live], good[live]
+        state = _keys(np.einsum("nkd,nd->nk", self.unit[entry], q), entry)
+        state[:, 1:][entry[:, 1:] == entry[:, :-1]] = NO_NODE
+        stamp[(np.arange(len(q)) * (nodes + 1))[:, None] + entry] = since
+        state.sort(axis=1)
+        state = np.concatenate([state, np.full((len(q), max(0, beam - entry.shape[1])), NO_NODE)], 1)[:, :beam]
+        result, active = np.empty_like(state), np.arange(len(q))
+        while True:
+            unvisited = (state & 1) == 0
+            live = unvisited.any(1)
+            if not live.all():
+                result[active[~live]] = state[~live]
+                active, state, q, unvisited = active[live], state[live], q[live], unvisited[live]
             if not len(active):
                 break
-            done[active[:, None], pick] |= True
-            at = np.where(good, ids[active[:, None], pick], 0)
-            near = np.where(good[:, :, None], table_[at], -1).reshape(len(active), -1)
-            near.sort(axis=1)
-            fresh = near >= 0
-            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-            fresh &= ~seen[active[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(fresh)
-            seen[active[r], near[r, c]] = True
-            value = np.full(near.shape, -np.inf, np.float32)
-            value[r, c] = np.einsum("nd,nd->n", self.unit[near[r, c]], q[active[r]])
-            all_ids = np.concatenate([ids[active], near], 1)
-            all_sims = np.concatenate([sims[active], value], 1)
-            all_done = np.concatenate([done[active], np.zeros(near.shape, bool)], 1)
-            best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            width = ids.shape[1]
-            ids[active, :beam] = np.take_along_axis(all_ids, best, 1)
-            sims[active, :beam] = np.take_along_axis(all_sims, best, 1)
-            done[active, :beam] = np.take_along_axis(all_done, best, 1)
-            if width > beam:
-                sims[active[:, None], np.arange(beam, width)] = -np.inf
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
-        sims = np.take_along_axis(sims, order, 1)
-        return np.where(sims > -np.inf, np.take_along_axis(ids, order, 1), -1), sims
+            visit = unvisited & (np.cumsum(unvisited, 1, dtype=np.int32) <= take)
+            row, at = np.nonzero(visit)
+            near = table_[(state[row, at] & 0xFFFFFFFF) >> 1]
+            state += visit
+            # a missing neighbour, -1, meets the last place of the row before, which is never fresh
+            flat = ((active * (nodes + 1))[row][:, None] + near).ravel()
+            fresh = np.flatnonzero(stamp[flat] < since)
+            flat = flat[fresh]
+            mark = np.arange(self.clock, self.clock + len(fresh), dtype=np.int32)
+            self.clock += len(fresh)
+            stamp[flat] = mark
+            fresh = fresh[stamp[flat] == mark]  # one of those that several visited nodes share
+            row, near = row[fresh // width], near.ravel()[fresh]
+            key = _keys(self._sims(q, row, near), near)
+            enters = key < state[row, -1]
+            row, key = row[enters], key[enters]
+            if len(row):
+                count = np.bincount(row, minlength=len(active))
+                new = np.full((len(active), count.max()), NO_NODE)
+                new[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = key
+                state = np.concatenate([state, new], 1)
+                state.sort(axis=1)
+                state = state[:, :beam]
+        return _unkey(result)
+
+    def _fresh_stamps(self, rows: int) -> np.ndarray:
+        """For each query and node a number that is below ``clock`` until the walk meets the node; kept between walks."""
+        places = len(self.unit) + 1
+        if len(self.stamp) < rows * places or self.clock > 2**30:
+            self.stamp, self.clock = np.zeros(max(rows, min(BATCH, places)) * places, np.int32), 1
+            self.stamp[places - 1 :: places] = np.iinfo(np.int32).max
+        self.clock += 1
+        return self.stamp
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         beam = min(beam, len(self.unit))

@@ -181,6 +181,65 @@ def test_hnsw_against_all_pairs():
     assert found <= true and len(found) >= 0.99 * len(true)
 
 
+def test_hnsw_wide_beams_take_few_rounds():
+    """A wide beam visits many nodes a round, in pieces of bounded memory, and finds what narrower steps would."""
+    import tracemalloc
+
+    reads = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            reads.append(at)
+            return np.asarray(self)[at]
+
+    x = np.random.default_rng(4).normal(size=(2500, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw_dedup.Graph(unit, np.arange(len(unit)))
+    graph.links[0] = graph.links[0].view(Counted)
+    q = unit[:256].astype(np.float32)
+    tracemalloc.start()
+    ids, sims = graph.search(q, 128)
+    assert tracemalloc.get_traced_memory()[1] < 64e6
+    tracemalloc.stop()
+    assert len(reads) <= 24
+    true = q @ graph.unit.T
+    assert (np.diff(np.sort(ids, 1), axis=1) > 0).all() and (np.diff(sims, axis=1) <= 0).all()
+    assert np.allclose(sims, np.take_along_axis(true, ids, 1), atol=1e-5)
+    assert (np.sort(true, 1)[:, -2] - sims[:, 1] < 1e-5).mean() >= 0.97
+    again = graph.search(q, 128)
+    assert (again[0] == ids).all() and (again[1] == sims).all()
+
+
+def test_hnsw_beam_wider_than_its_component():
+    """Nodes that links don't reach leave places of a beam empty."""
+    unit = np.eye(4) - 0.1
+    graph = hnsw_dedup.Graph(unit / np.linalg.norm(unit, axis=1, keepdims=True), np.arange(4), [np.array([[1], [0], [3], [2]], np.int32)])
+    graph.order, graph.top = np.array([0, 1, 2, 3]), 0
+    ids, sims = graph.search(graph.unit[1:2], 4)
+    assert ids.tolist() == [[1, 0, -1, -1]] and np.isneginf(sims[0, 2:]).all() and sims[0, 1] < 0
+    assert np.allclose(sims[0, :2], graph.unit[1] @ graph.unit[[1, 0]].T)
+
+
+def test_hnsw_diverse_against_a_plain_loop():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    graph = hnsw_dedup.Graph(x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(300))
+    ids = np.array([rng.permutation(300)[:20] for _ in range(150)])
+    nodes = rng.integers(0, 300, 150)
+    value = np.einsum("nkd,nd->nk", graph.unit[ids], graph.unit[nodes])
+    value[np.arange(20) >= rng.integers(0, 21, 150)[:, None]] = -np.inf
+    best = np.argsort(-value, axis=1, kind="stable")
+    ids, value = np.take_along_axis(ids, best, 1), np.take_along_axis(value, best, 1)
+    for k, got in [(k, graph._diverse(ids, value, k)) for k in (4, 12, 32)]:
+        for i, v, out in zip(ids, value, got, strict=True):
+            chosen, left = [], []
+            for a, s in zip(i[: 2 * k].tolist(), v[: 2 * k].tolist(), strict=True):
+                if s > -np.inf:
+                    near = any(graph.unit[a] @ graph.unit[b] > s for b in chosen)
+                    (left if near or len(chosen) == k else chosen).append(a)
+            assert out[out >= 0].tolist() == (chosen + left)[:k]
+
+
 def test_hnsw_audit_leaves_the_row_itself_out(monkeypatch):
     """A first search that finds each row but no other link is widened, though few links are wanted."""
     x = np.random.default_rng(8).normal(size=(200, 32))
